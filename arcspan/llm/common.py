@@ -197,3 +197,29 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     off = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one blob; :func:`unpack_arrays` needs their types."""
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack_arrays(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    counts = np.frombuffer(blob, np.int64, len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(counts.tolist(), kinds, strict=True):
+        a = np.frombuffer(blob, kind, n, at)
+        out.append(a)
+        at += a.nbytes
+    return out
+
+
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words by running sums, whatever row they are in."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    p, inverse = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * p[: len(words)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * inverse[:n])
