@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspan.llm.common import as_bytes, deal, offsets, slices, table
+from arcspan.llm.common import as_bytes, deal, lean, offsets, slices, table
 
 OPEN, MIDDLE, CLOSE = b"### ", b": ", b"</turn>\n"
 CONTROLS = (b"###", b"</turn>")
@@ -153,7 +153,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     Rows come in the order of conversation and turn within a partition; a conversation is in one partition.
     """
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    return sorted_turns(turns).mapInArrow(_write, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, loss_start long, loss_bytes long")
+    return sorted_turns(turns).mapInArrow(lean(_write), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, loss_start long, loss_bytes long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _rows(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBa
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation what is read back from its formatted turns."""
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return sorted_turns(turns).mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sorted_turns(turns).mapInArrow(lean(_digest), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

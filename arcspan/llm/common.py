@@ -7,9 +7,11 @@ hash of any span of a text costs O(1).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,18 @@ def deal(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts(df.sparkSession), *[F.col(k) for k in keys])
 
 
+def lean(work: Callable) -> Callable:
+    """An Arrow function that gives memory back to the system when its partition is done, since Python workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not on every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, Text, as_bytes, checkpoint_dir, cut, grams, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, Text, as_bytes, checkpoint_dir, cut, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
 from arcspan.llm.components import components
 from arcspan.llm.substring_dedup import by_shard
 
 SHINGLE, PERCENT = 4, 85
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 UNIT_SETS, UNIT_SHINGLES = 1500, 3_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -369,8 +369,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     width = parts(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    asked = read.select("rk", "text").mapInArrow(lambda b: _ask(b, size, width, width), "shard int, blob binary")
-    answers = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_answer, "block int, blob binary")
+    asked = read.select("rk", "text").mapInArrow(lean(lambda b: _ask(b, size, width, width)), "shard int, blob binary")
+    answers = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_answer), "block int, blob binary")
     null = lambda t: F.lit(None).cast(t)
     both = answers.select("block", "blob", null("long").alias("rk"), null(kind).alias("doc_id"), null("string").alias("text"))
     both = both.unionByName(read.select(F.pmod("rk", F.lit(width)).cast("int").alias("block"), null("binary").alias("blob"), "rk", "doc_id", "text"))
@@ -378,12 +378,12 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     schema = f"kind int, doc_id {kind}, rk long, rid long, n long, blob binary"
     path = f"{checkpoint_dir(spark)}/arcspan-{uuid.uuid4().hex}"
-    dealt.mapInArrow(lambda b: _order(b, size, percent, width), schema).write.partitionBy("kind").parquet(path)
+    dealt.mapInArrow(lean(lambda b: _order(b, size, percent, width)), schema).write.partitionBy("kind").parquet(path)
     stored = spark.read.schema(schema).parquet(path)
     rows, routes, sets = (stored.where(F.col("kind") == k) for k in (DOCS, ROUTES, SETS))
 
     met = routes.select(F.col("n").cast("int").alias("shard"), "blob").repartition(width, "shard").sortWithinPartitions("shard")
-    met = met.mapInArrow(lambda b: _links(x for _, x in by_shard(b, _meet)), "a long, b long")
+    met = met.mapInArrow(lean(lambda b: _links(x for _, x in by_shard(b, _meet))), "a long, b long")
     candidates = components(met)
     sized = sets.select("rid", "n", "blob").join(candidates.withColumnRenamed("node", "rid"), "rid").select("root", "rid", "n", "blob")
     unit = candidates.join(sets.select(F.col("rid").alias("node"), "n").distinct(), "node").groupBy("root")
@@ -393,7 +393,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     others = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda x: x != slot))
     spread = sized.join(unit, "root").select("root", "rid", "blob", slot.alias("slot"), F.explode(others).alias("other"))
     spread = spread.select(F.xxhash64("root", F.least("slot", "other"), F.greatest("slot", "other")).alias("unit"), "rid", "blob")
-    links = spread.repartition(width, "unit").sortWithinPartitions("unit", "rid").mapInArrow(lambda b: _join(b, percent), "a long, b long")
+    links = spread.repartition(width, "unit").sortWithinPartitions("unit", "rid").mapInArrow(lean(lambda b: _join(b, percent)), "a long, b long")
 
     found = components(links).withColumnRenamed("node", "rid")
     least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least")).join(found, "rid", "left")

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import Text, as_bytes, cut, slices, table
+from arcspan.llm.common import Text, as_bytes, cut, lean, slices, table
 
 CAPACITY, END_ID = 2048, 0
 #: Bins open at once; sequences a packing task makes, about; words that a task remembers.
-OPEN_BINS, SEQUENCES, REMEMBERED = 512, 16384, 1 << 19
+OPEN_BINS, SEQUENCES, REMEMBERED = 512, 16384, 1 << 20
 
 
 def vocabulary() -> str:
@@ -70,13 +70,23 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids = np.full(1 << 20, self.end_id, np.uint32)  # place 0: the end id
-        self.start, self.length = np.zeros(REMEMBERED + 1, np.int64), np.ones(REMEMBERED + 1, np.int64)
+        none = np.zeros(0, np.uint64)
+        self.old, self.new = (none, none.astype(np.int32)), (none, none.astype(np.int32))  # sorted hashes and their words
+        self.ids = np.full(1 << 20, self.end_id, np.uint32)  # word 0: the end id
+        self.start, self.length = np.zeros(1 << 16, np.int32), np.ones(1 << 16, np.int32)
         self.n, self.used = 1, 1
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        """Remember the ids of new words."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Words by hash, -1 for new ones."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, word in (self.old, self.new):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, word[at], out)
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """Remember the ids of new words, given with their hashes."""
         e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids, counts = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
         while self.used + len(ids) > len(self.ids):
@@ -86,9 +96,13 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.start[self.n : self.n + len(words)] = self.used + np.cumsum(counts) - counts
         self.length[self.n : self.n + len(words)] = counts
-        self.at.update(zip(keys, range(self.n, self.n + len(words)), strict=True))
+        new = np.arange(self.n, self.n + len(words), dtype=np.int32)
+        self.new = _merged(self.new, (keys, new))
+        if 8 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = _merged(self.old, self.new), (self.new[0][:0], self.new[1][:0])
         self.n += len(words)
         self.used += len(ids)
+        return new
 
     def encode(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end ids included, and how many each text has."""
@@ -102,22 +116,25 @@ class Encoder:
             s, e = np.sort(np.concatenate([s, cuts])), np.sort(np.concatenate([e, cuts]))
             first = np.searchsorted(s, t.off)
         keys, one, inverse = np.unique(t.spans(s, e), return_index=True, return_inverse=True)
-        at = self.at
-        listed = keys.tolist()
-        found = [at.get(k, -1) for k in listed]
-        if new := [i for i, x in enumerate(found) if x < 0]:
-            raw, begin, end = t.data.tobytes(), s[one].tolist(), e[one].tolist()
-            self.learn([listed[i] for i in new], [raw[begin[i] : end[i]].decode() for i in new])
-            for i in new:
-                found[i] = at[listed[i]]
-        words = np.insert(np.array(found, np.int64)[inverse], first[1:], 0)
-        lengths = self.length[words]
+        found = self.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw = t.data.tobytes()
+            found[new] = self.learn(keys[new], [raw[a:b].decode() for a, b in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)])
+        words = np.insert(found[inverse], first[1:], 0)
+        lengths = self.length[words].astype(np.int64)
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.start[words] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         until = ends[first[1:] + np.arange(t.n)]
         return ids, np.diff(until, prepend=0)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted tables of hashes and words as one."""
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -152,7 +169,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 class Bins:
@@ -206,7 +223,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     keys = ["doc_id", "piece", "ids_crc32", "length"]
     dealt = parts.repartition(tasks, *keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
-    return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
+    return dealt.mapInArrow(lean(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:

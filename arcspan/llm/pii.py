@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import as_bytes, cut, slices, table
+from arcspan.llm.common import as_bytes, cut, lean, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -165,7 +165,7 @@ def propose(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """All candidates of each text with their votes."""
     read = docs.select(*keep, F.col(text))
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in read.schema.fields[:-1])
-    return read.mapInArrow(_propose, keys + _SCHEMA)
+    return read.mapInArrow(lean(_propose), keys + _SCHEMA)
 
 
 def reliabilities(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(lean(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -281,7 +281,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
                 batch = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, column.type)], names=batch.schema.names)
             yield batch
 
-    out = last.mapInArrow(run, last.schema)
+    out = last.mapInArrow(lean(run), last.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

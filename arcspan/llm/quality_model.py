@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import as_bytes, cut, offsets, slices, table
+from arcspan.llm.common import as_bytes, cut, lean, offsets, slices, table
 
 N_SYMBOLS, ORDER = 64, 3
 QUANTILE, MARGIN, MOST_LANGUAGES = 0.99, 1.1, 256
@@ -115,7 +115,7 @@ def _model(rows: pd.DataFrame) -> pd.DataFrame:
 
 def train(trusted: DataFrame) -> DataFrame:
     """A model for each language of a table with lang and text."""
-    counts = trusted.select("lang", "text").mapInArrow(_count, "lang string, code int, n long")
+    counts = trusted.select("lang", "text").mapInArrow(lean(_count), "lang string, code int, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return counts.groupBy("lang").applyInPandas(_model, "lang string, model binary")
 
@@ -140,7 +140,7 @@ def score(docs: DataFrame, models: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), pa.array(out, pa.float64())], names=["doc_id", "lang", "n_bytes", "perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, lang string, n_bytes long, perplexity double")
+    return docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(lean(run), f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:

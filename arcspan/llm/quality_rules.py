@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, Text, as_bytes, mix, slices, table
+from arcspan.llm.common import PLACES, Text, as_bytes, lean, mix, slices, table
 
 #: (bytes up to, least ratio, greatest ratio) of whole texts; the last band has no end.
 WHOLE_BANDS = ((512, 0.95, 2.6), (2048, 1.2, 2.4), (8192, 1.3, 2.55), (32768, 1.4, 2.75), (1 << 62, 1.4, 3.5))
@@ -119,7 +119,7 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     read = docs.select(*[F.col(c) for c in keep], F.col(text))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]] + [SCHEMA])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return read.mapInArrow(measure, schema).withColumn("base_failed", base).withColumn("kept", ~base & ~F.col("band_failed"))
+    return read.mapInArrow(lean(measure), schema).withColumn("base_failed", base).withColumn("kept", ~base & ~F.col("band_failed"))
 
 
 def _good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def reject(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, all their columns unchanged; one pass, no shuffle."""
     names = docs.columns
     last = docs.select(*[c for c in names if c != text], text)
-    return last.mapInArrow(_good, last.schema).select(*names)
+    return last.mapInArrow(lean(_good), last.schema).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, SLICE_BYTES, Text, as_bytes, grams, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, SLICE_BYTES, Text, as_bytes, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
 
 MIN_WORDS = 35
 #: Bytes of text in which repeats are settled before windows are sent.
@@ -251,8 +251,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows that also stand elsewhere: rk (xxhash64 of id and text), first window, number of windows in a row."""
     width = parts(docs.sparkSession)
     shards = 2 * width
-    sent = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(lambda b: _requests(b, min_words, shards), "shard int, blob binary")
-    return sent.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_spans, "rk long, start long, n long")
+    sent = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(lean(lambda b: _requests(b, min_words, shards)), "shard int, blob binary")
+    return sent.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_spans), "rk long, start long, n long")
 
 
 def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
@@ -286,7 +286,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs.select("doc_id", "text"), min_words).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), min_words).mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -301,7 +301,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(new, pa.string())], names=batch.schema.names[:-1])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema.fields[:-1])
-    return last.mapInArrow(run, schema).select(*names)
+    return last.mapInArrow(lean(run), schema).select(*names)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS, most_words: int = MOST_REFERENCE_WORDS) -> DataFrame:
@@ -336,7 +336,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = MIN
                 new.append(b" ".join(compress(words, keep.tolist())).decode() if gone else x.as_py())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.string())], names=batch.schema.names)
 
-    return last.mapInArrow(run, last.schema).select(*names)
+    return last.mapInArrow(lean(run), last.schema).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

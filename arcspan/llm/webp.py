@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import table
+from arcspan.llm.common import lean, table
 
 WIDTH, MAX_SIDE = 16, 16384
 #: Order in which a header gives the lengths of the codes of code lengths (fixed by the format).
@@ -651,13 +651,13 @@ def media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A media column (WebP files) of each text."""
     read = docs.select(key, text)
-    return read.mapInArrow(media, f"`{key}` {read.schema[0].dataType.simpleString()}, media binary")
+    return read.mapInArrow(lean(media), f"`{key}` {read.schema[0].dataType.simpleString()}, media binary")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store each text, read it back, and give sizes, digests and features."""
     read = docs.select(F.col(key), F.col(text))
-    return read.mapInArrow(measure, f"`{key}` {read.schema[0].dataType.simpleString()}, {SCHEMA}")
+    return read.mapInArrow(lean(measure), f"`{key}` {read.schema[0].dataType.simpleString()}, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
