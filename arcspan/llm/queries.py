@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspan.llm import chat_format, jaccard_join, line_dedup, packing, pii, quality_model, quality_rules, substring_dedup, webp
+from arcspan.llm import chat_format, jaccard_join, line_dedup, packing, piece_lattice, pii, quality_model, quality_rules, substring_dedup, webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": piece_lattice.query,
     "op2_quality_classifier": quality_model.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_quality_rules": quality_rules.query,
