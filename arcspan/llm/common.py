@@ -89,6 +89,8 @@ def _table(fold: bool) -> np.ndarray:
 
 
 _PLAIN, _FOLDED = _table(False), _table(True)
+#: The random numbers that stand for bytes.
+BYTES = _PLAIN
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _powers = _inverses = np.ones(1, np.uint64)
@@ -237,3 +239,17 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * p[: len(words)], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * inverse[:n])
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[tuple[int, object]]:
+    """Rows sorted by shard in the first column, a blob in the second: ``work`` of each shard's blobs, one shard in memory."""
+    now, blobs = None, []
+    for batch in batches:
+        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if shard != now and blobs:
+                yield now, work(blobs)
+                blobs = []
+            now = shard
+            blobs.append(blob.as_buffer().to_pybytes())
+    if blobs:
+        yield now, work(blobs)

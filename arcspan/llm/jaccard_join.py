@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, Text, as_bytes, checkpoint_dir, cut, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, Text, as_bytes, by_shard, checkpoint_dir, cut, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
 from arcspan.llm.components import components
-from arcspan.llm.substring_dedup import by_shard
 
 SHINGLE, PERCENT = 4, 85
 GROUP_BYTES = 1 << 22

@@ -10,7 +10,9 @@ the leftmost of equals, until no pair has an edge. Characters without a piece be
 model has none. Cuts are the bits of a long. Units over
 :data:`MOST_FOLDED` characters, which a fold would also take quadratic time for, are merged with a heap.
 
-Encoded units are then joined back to the places of the texts and put in order. Decoding joins ids with pieces likewise.
+Tasks send the distinct units of a group of texts with counts, by shard. When all units are encoded, the most frequent ones, at
+most :data:`MOST_KNOWN`, are broadcast; tasks replace units by places in that table, and the rest, every place of it, is joined
+with the encoded units and put back into the rows. Decoding joins ids with pieces.
 
 Defined results: null and empty texts have no ids; repeated rows each get a row; an empty table gives an empty table; only the
 key and the text are read.
@@ -18,18 +20,24 @@ key and the text are read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import cut, lean, table
+from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, lean, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
 
 SPACE = "▁"
 MOST_FOLDED = 60
+#: Units that are broadcast; bytes of text whose units are counted before they are sent.
+MOST_KNOWN, GROUP_BYTES = 1_000_000, 1 << 23
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -77,26 +85,20 @@ def model(kind: int, rows: list[tuple[str, int, float, int]]) -> Model:
     return Model(kind, tuple(rows), max(map(len, normal), default=1), "".join(c for c in "\n\t\r" if c not in inside), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
 
 
-def units(text: Column, m: Model) -> Column:
-    """The units of a text, in order."""
-    alone = m.alone.encode("unicode_escape").decode()
-    pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
-    written = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(written, F.lit(pattern), F.lit(0)))
-
-
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges) with edges (cost, s, e, id, ends, inside), best first: the pieces that stand in each unit from place s to
-    place e, their negative scores, and bits for their ends and the places inside them (for units under 62 characters)."""
-    n = F.length("unit")
-    spans = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
-    spans = spans.select("unit", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = spans.join(F.broadcast(pieces.where(F.col("kind") == NORMAL)), "piece")
+    """(unit, n, edges) with edges (cost, s, e, id, ends, inside), best first: the pieces that stand in each unit from place s to
+    place e, their negative scores, and bits for their ends and the places inside them (for units under 62 characters).
+
+    ``words`` is (unit, n); dealt by unit, it is grouped again without another shuffle."""
+    size = F.length("unit")
+    spans = words.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    spans = spans.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("l"))
+    spans = spans.select("unit", "n", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
+    edges = spans.join(F.broadcast(pieces.where(F.col("kind") == NORMAL)), "piece", "left").where("id IS NOT NULL OR l = 1").withColumn("e", F.col("s") + F.col("l"))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
     ends, inside = bit(F.col("s")).bitwiseOR(bit(F.col("e"))), bit(F.col("e")) - bit(F.col("s") + 1)
     row = F.struct((-F.col("score")).alias("cost"), "s", "e", "id", ends.alias("ends"), inside.alias("inside"))
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(row)).alias("edges"))
+    return edges.groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), row))).alias("edges"))
 
 
 def merge(unit: Column, edges: Column) -> Column:
@@ -192,45 +194,283 @@ def _long(m: Model):
                     i = names.get(unit[a:b])
                     got += [i] if i is not None else [m.bytes[x] for x in unit[a:b].encode()] if m.bytes else [m.unknown]
                 out.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
     return run
 
 
 def encode_units(words: DataFrame, m: Model) -> DataFrame:
-    """(unit, ids) of distinct units."""
+    """(unit, n, ids) of distinct units (unit, n)."""
     spark = words.sparkSession
     most = MOST_FOLDED if m.kind == BPE else 1 << 30
-    short = words.where(F.length("unit") <= most)
-    found = short.join(lattice(short, m.pieces(spark), m.longest), "unit", "left")
-    edges = F.coalesce("edges", F.array().cast("array<struct<cost:double,s:int,e:int,id:int,ends:bigint,inside:bigint>>"))
-    found = found.withColumn("edges", edges)
-    unit = F.col("unit")
-    if m.kind == BPE:
-        done = found.withColumn("cuts", merge(unit, F.col("edges")))
-        bits = F.col("cuts")
-        chosen = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inside"]) == 0))
-        done = done.withColumn("chosen", F.array_sort(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))))
-        places = F.filter(F.sequence(F.lit(0), F.length(unit)), lambda k: F.getbit(bits, k) == 1)
-        known = F.size("chosen") == F.bit_count(bits) - 1
-        done = done.select("unit", F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, F.col("edges"), places, m)).alias("ids"))
-    else:
-        lowest = min((s for _, _, s, k in m.rows if k == NORMAL), default=0.0)
-        done = found.withColumn("cuts", viterbi(unit, F.col("edges"), lowest - 10.0)).select("unit", ids(unit, F.col("edges"), F.col("cuts"), m).alias("ids"))
+    found = lattice(words.where(F.length("unit") <= most), m.pieces(spark), m.longest)
+    unit, edges = F.col("unit"), F.col("edges")
     if m.kind != BPE:
-        return done
-    return done.unionByName(words.where(F.length("unit") > most).select("unit").mapInArrow(lean(_long(m)), "unit string, ids array<int>"))
+        lowest = min((s for _, _, s, k in m.rows if k == NORMAL), default=0.0)
+        return found.withColumn("cuts", viterbi(unit, edges, lowest - 10.0)).select("unit", "n", ids(unit, edges, F.col("cuts"), m).alias("ids"))
+    bits = F.col("cuts")
+    chosen = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inside"]) == 0))
+    done = found.withColumn("cuts", merge(unit, edges)).withColumn("chosen", F.array_sort(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))))
+    places = F.filter(F.sequence(F.lit(0), F.length(unit)), lambda k: F.getbit(bits, k) == 1)
+    known = F.size("chosen") == F.bit_count(bits) - 1
+    done = done.select("unit", "n", F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, edges, places, m)).alias("ids"))
+    return done.unionByName(words.where(F.length("unit") > most).select("unit", "n").mapInArrow(lean(_long(m)), "unit string, n long, ids array<int>"))
+
+
+class Units:
+    """Rows of a large binary column as units: their places, hashes and rows. Spaces stand for the model's space."""
+
+    def __init__(self, column: pa.Array, i: int, j: int, alone: np.ndarray) -> None:
+        off = offsets(column)[i : j + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+        full = np.diff(off) > 0
+        # one space before each text
+        size = np.where(full, np.diff(off) + 1, 0)
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        self.data = np.full(int(self.off[-1]), 32, np.uint8)
+        inner = np.ones(len(self.data), bool)
+        inner[self.off[:-1][full]] = False
+        self.data[inner] = raw
+        d = self.data
+        start = np.zeros(len(d), bool)
+        if len(d):
+            lone = alone[d]
+            start[1:] = ((d[1:] == 32) & (d[:-1] != 32)) | lone[1:] | lone[:-1]
+            start[self.off[:-1][full]] = True
+        self.s = np.flatnonzero(start)
+        self.e = np.append(self.s[1:], len(d)) if len(self.s) else self.s
+        self.first = np.searchsorted(self.s, self.off)
+        p, inverse = powers(len(d) + 1)
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum(BYTES[d] * p[: len(d)], out=sums[1:])
+        self.keys = mix((sums[self.e] - sums[self.s]) * inverse[self.s] + (self.e - self.s).astype(np.uint64) * PLACES[70])
+
+    def cut(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the units ``at``, and their lengths."""
+        return gather(self.data, self.s[at], self.e[at] - self.s[at])
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(length)
+    return data[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], length
+
+
+def _strings(data: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Units as strings, with the model's space."""
+    off = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    flat = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(off), pa.py_buffer(data.tobytes()))
+    return pc.replace_substring(flat, " ", SPACE)
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    """A text column as large binary where the model's space is a space."""
+    return as_bytes(pc.replace_substring(column, SPACE, " "))
+
+
+def _alone(m: Model) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(m.alone.encode())] = True
+    return out
+
+
+def _ask(m: Model, shards: int):
+    """Texts to blobs by shard: the distinct units of a group of texts with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, press = _alone(m), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            column = _texts(batch.column(0))
+            for i, j in slices(column, GROUP_BYTES):
+                part, found = column.slice(i, j - i), []
+                for a, b in slices(part):
+                    u = Units(part, a, b, alone)
+                    keys, at, n = np.unique(u.keys, return_index=True, return_counts=True)
+                    found.append((keys, n, *u.cut(at)))
+                keys, n, data, length = (np.concatenate(x) for x in zip(*found, strict=True))
+                if not len(keys):
+                    continue
+                keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+                n = np.bincount(back, n).astype(np.int64)
+                begin = np.cumsum(length) - length
+                shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
+                blobs = []
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                    mine = at[order[a:b]]
+                    bytes_, lengths = gather(data, begin[mine], length[mine])
+                    blobs.append(press.compress(pack_arrays(n[order[a:b]].astype(np.uint32), lengths.astype(np.uint32), bytes_)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order[cuts]], pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+    return run
+
+
+def _count(blobs: list[bytes]) -> pa.Table:
+    got = [unpack_arrays(zstandard.decompress(b), np.uint32, np.uint32, np.uint8) for b in blobs]
+    n, length, data = (np.concatenate(x) for x in zip(*got, strict=True))
+    return pa.table({"unit": _strings(data, length.astype(np.int64)), "n": n.astype(np.int64)}).group_by("unit").aggregate([("n", "sum")])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, found in by_shard(batches, _count):
+        for batch in found.to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([batch.column("unit").cast(pa.string()), batch.column("n_sum")], names=["unit", "n"])
+
+
+def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
+    """(unit, n, ids) of all distinct units of the texts, written to the checkpoint folder."""
+    width = parts(docs.sparkSession)
+    asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
+    words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
+    return cut(encode_units(cut(words).repartition(width, "unit"), m))
+
+
+class Known:
+    """The frequent units of a corpus by hash: a bounded table."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        column = as_bytes(pc.replace_substring(_whole(rows["unit"]), SPACE, " "))
+        off = offsets(column)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[: off[-1]] if len(column) and off[-1] else np.zeros(0, np.uint8)
+        keys = np.zeros(len(column), np.uint64)
+        for a in range(0, len(column), 1 << 15):  # hashed in parts, as powers are kept for short texts
+            o = off[a : a + (1 << 15) + 1]
+            d = data[o[0] : o[-1]]
+            p, inverse = powers(len(d) + 1)
+            sums = np.zeros(len(d) + 1, np.uint64)
+            np.cumsum(BYTES[d] * p[: len(d)], out=sums[1:])
+            o = o - o[0]
+            keys[a : a + len(o) - 1] = mix((sums[o[1:]] - sums[o[:-1]]) * inverse[o[:-1]] + np.diff(o).astype(np.uint64) * PLACES[70])
+        ids = _whole(rows["ids"])
+        self.flat = ids.flatten().to_numpy().astype(np.int32)
+        self.length = np.array(ids.value_lengths().to_numpy(), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        order = np.argsort(keys)
+        self.keys, self.place = keys[order], order.astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """1 + place in the table, 0 for units that aren't there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at] + 1, 0)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers under 2 ** 28 in bytes of seven bits, low ones first; the bytes of each."""
+    n = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        has = n > k
+        out[(ends - n + k)[has]] = ((x[has] >> 7 * k) & 127) | np.where(n[has] > k + 1, 128, 0)
+    return out, n
+
+
+def unvarints(data: np.ndarray) -> np.ndarray:
+    last = data < 128
+    ends = np.flatnonzero(last) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    start = np.concatenate([[0], ends[:-1]])
+    place = np.arange(len(data)) - np.repeat(start, ends - start)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, start)
+
+
+def _compact(m: Model, known, holes: bool):
+    """Key, id and text: either the row with its units as places in the table (0: a hole), or its holes, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, table_ = _alone(m), known.value
+        for batch in batches:
+            column = _texts(batch.column(2))
+            for i, j in slices(column):
+                u = Units(column, i, j, alone)
+                found = table_.find(u.keys)
+                if holes:
+                    at = np.flatnonzero(found == 0)
+                    row = np.searchsorted(u.first, at, "right") - 1
+                    rk = batch.column(0).to_numpy()[i:j][row]
+                    yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - u.first[row]).astype(np.int32)), _strings(*u.cut(at)).cast(pa.string())], names=["rk", "p", "unit"])
+                else:
+                    data, n = varints(found)
+                    ends = np.concatenate([[0], np.cumsum(n)])[u.first]
+                    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), blobs.cast(pa.binary())], names=["rk", "doc_id", "blob"])
+
+    return run
+
+
+def _assemble(known, digest: bool):
+    """Rows of units and what fills their holes to ids, or to their number and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = known.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                out = []
+                for blob, fill in zip(batch.column(2), batch.column(3), strict=True):
+                    at = unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) - 1
+                    flat, start, length = t.flat, t.start[at] if len(t.start) else at, t.length[at] if len(t.length) else at
+                    if fill.is_valid:
+                        rows = fill.values
+                        p, ids = rows.field("p").to_numpy(), rows.field("ids")
+                        order = np.unique(p, return_index=True)[1]  # a repeated row's holes are there twice
+                        n = ids.value_lengths().to_numpy().astype(np.int64)
+                        mine = np.flatnonzero(at < 0)
+                        start, length = start.copy(), length.copy()
+                        start[mine], length[mine] = ((np.cumsum(n) - n)[order] + len(flat)), n[order]
+                        flat = np.concatenate([flat, ids.flatten().to_numpy()]) if len(flat) < 4096 else _Two(flat, ids.flatten().to_numpy())
+                    out.append(gather(flat, start, length)[0] if not isinstance(flat, _Two) else flat.gather(start, length))
+                if digest:
+                    more = [pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in out], pa.string())]
+                    yield pa.RecordBatch.from_arrays([batch.column(1), *more], names=["doc_id", "n_tokens", "ids_sha256"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["doc_id", "rk", "ids"])
+
+    return run
+
+
+class _Two:
+    """Two arrays read as one, without a copy of the first."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a, self.b = a, b
+
+    def gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(length)
+        at = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        out, late = self.a[np.minimum(at, len(self.a) - 1)], at >= len(self.a)
+        out[late] = self.b[at[late] - len(self.a)]
+        return out
 
 
-def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
-    """(doc_id, rk, ids): the ids of each row's text, in order."""
+def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most: int = MOST_KNOWN) -> DataFrame:
+    """(doc_id, rk, ids): the ids of each row's text, in order; with ``digest`` (doc_id, n_tokens, ids_sha256)."""
     m = m or load()
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), units(F.col("text"), m).alias("units"))
-    places = rows.select("rk", F.posexplode("units").alias("p", "unit"))
-    known = cut(encode_units(places.select("unit").distinct(), m))
-    parts = F.array_sort(F.collect_set(F.struct("p", "ids")))  # repeated rows have equal places
-    whole = places.join(known, "unit").groupBy("rk").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
-    return rows.select("doc_id", "rk").join(whole, "rk", "left").select("doc_id", "rk", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    spark = docs.sparkSession
+    words = vocabulary_of(docs, m)
+    sizes = sorted(words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), reverse=True)
+    least, total = 64, 0
+    for k, n in sizes:  # the most frequent units, by powers of two of the count, while they fit
+        total += n
+        if total > most:
+            break
+        least = k
+    frequent = F.floor(F.log2("n")) >= least
+    known = spark.sparkContext.broadcast(Known(words.where(frequent).select("unit", "ids", "n").toArrow().sort_by([("n", "descending")])))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
+    holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, unit string")
+    fills = holes.join(words.where(~frequent).select("unit", "ids"), "unit").groupBy("rk").agg(F.collect_list(F.struct("p", "ids")).alias("fills"))
+    rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
+    whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
+    return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
 
 
 def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id") -> DataFrame:
@@ -248,5 +488,4 @@ def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id") -> D
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digest of the ids."""
-    out = encode(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return encode(table(spark, sf_dir, "documents"), digest=True)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, SLICE_BYTES, Text, as_bytes, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, SLICE_BYTES, Text, as_bytes, by_shard, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
 
 MIN_WORDS = 35
 #: Bytes of text in which repeats are settled before windows are sent.
@@ -227,20 +227,6 @@ def _search(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def by_shard(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple[int, object]]:
-    """Rows sorted by shard in the first column, a blob in the second: ``work`` of each shard's blobs, one shard in memory."""
-    now, blobs = None, []
-    for batch in batches:
-        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if shard != now and blobs:
-                yield now, work(blobs)
-                blobs = []
-            now = shard
-            blobs.append(blob.as_buffer().to_pybytes())
-    if blobs:
-        yield now, work(blobs)
-
-
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, (rk, start, n) in by_shard(batches, _search):
         for a in range(0, len(rk), 1 << 16):

@@ -1,0 +1,595 @@
+"""Corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from arcspan.llm import chat_format, jaccard_join, line_dedup, packing, pii, piece_lattice, quality_model, quality_rules, substring_dedup, webp
+from arcspan.llm.common import Text, as_bytes, grams, slices, whole_runs
+from arcspan.llm.components import components
+
+WORDS = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, kind string, rk long, n long, unit string"
+
+
+def docs(spark, texts, parts=5):
+    rows = [(i, t, "en", f"src{i % 3}", len(t or ""), "own", 1, 2, "u") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(WORDS, t or "")
+
+
+def some_texts(seed, n=80):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdeéß日", k=rng.randint(1, 6))) for _ in range(150)] + ["The", "A,b", "x\x0by", "#", "$%", "1.2"]
+    out = [None, "", " \n\t ", "a", "A", "é", "one two", "word " * 400, "x" * 5000]
+    while len(out) < n:
+        if rng.random() < 0.5:
+            out.append(rng.choice([" ", "\n", "  "]).join(rng.choices(vocabulary, k=rng.randint(1, 130))))
+        else:
+            base = words(rng.choice([t for t in out if t])) + ["z"]
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(len(base))] = rng.choice(vocabulary)
+            out.append(" ".join(base))
+    return out
+
+
+# --- word parsing ----------------------------------------------------------------------------------------------------------
+
+
+def test_words_and_hashes_do_not_depend_on_the_slice():
+    texts = [t or "" for t in some_texts(1)]
+    column = as_bytes(pa.array(texts))
+    whole = Text(column, 0, len(texts))
+    parts = [Text(column, i, j) for i, j in slices(column, 300)]
+    assert len(parts) > 5
+    assert (np.concatenate([p.words() for p in parts]) == whole.words()).all()
+    got = [whole.data[s:e].tobytes().decode() for s, e in zip(whole.ws, whole.we, strict=True)]
+    assert got == [w for t in texts for w in words(t)]
+    by_hash = collections.defaultdict(set)
+    for h, w in zip(whole.words().tolist(), got, strict=True):
+        by_hash[h].add(w)
+    assert all(len(s) == 1 for s in by_hash.values()) and len(by_hash) == len(set(got))
+
+
+def test_runs_of_words_stay_in_their_row():
+    column = as_bytes(pa.array(["a b c", "", "d", "e f g h", "i j"]))
+    t = Text(column, 0, 5)
+    assert whole_runs(t.first, t.n_words, 3).tolist() == [True, False, False, False, True, True, False, False]
+    assert len(grams(t.words(), 3)) == 8
+
+
+# --- 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_sentencepiece_equals_the_library(spark, most):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.vocabulary())
+    rng = random.Random(3)
+    alphabet = [*"abcdeghinorstu ", "  ", "   ", "\n", "\t", "\r", "é", "日", "🙂", "▁", "the ", "ing", ",", "1", "\x00", "ﬁ"]
+    texts = [None, "", " ", "  ", "a" * 300, "thethe" * 60] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(150)]
+    encoded = piece_lattice.encode(docs(spark, texts), most=most).cache()
+    got = {r.doc_id: r.ids for r in encoded.collect()}
+    assert got == {i: library.encode(t or "") for i, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in piece_lattice.decode(encoded.select("doc_id", "ids")).collect()}
+    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+    assert piece_lattice.encode(empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_encoded_each(spark):
+    rows = docs(spark, ["hello unusual", "x"])
+    got = piece_lattice.encode(rows.unionByName(rows), most=1).collect()
+    assert len(got) == 4 and len({tuple(r.ids) for r in got}) == 2
+
+
+def test_viterbi_equals_brute_force(spark):
+    rows = [("<unk>", 0, 0.0, 2), ("▁", 1, -2.0, 1)] + [(p, i + 2, -1.0 - (i * 7 % 11) / 3, 1) for i, p in enumerate(["a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", "abab"])]
+    m = piece_lattice.model(piece_lattice.UNIGRAM, rows)
+    score = {p: s for p, _, s, k in rows if k == 1}
+    name = {p: i for p, i, _, k in rows if k == 1}
+    low = min(score.values()) - 10.0
+
+    def best(u):
+        ways = [(0.0, [])]
+        for e in range(1, len(u) + 1):
+            found = [(ways[s][0] + score[u[s:e]], ways[s][1] + [name[u[s:e]]]) for s in range(e) if u[s:e] in score]
+            if u[e - 1] not in score:
+                found.append((ways[e - 1][0] + low, ways[e - 1][1] + [0]))
+            ways.append(max(found, key=lambda x: x[0]))
+        return ways[-1]
+
+    units = ["▁" + "".join(x) for n in range(0, 6) for x in itertools.product("abc", repeat=n)]
+    got = {r.unit: r.ids for r in piece_lattice.encode_units(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), m).collect()}
+    total = lambda ids: sum({i: s for p, i, s, k in rows}[i] if i else low for i in ids)
+    for u in units:
+        assert abs(total(got[u]) - best(u)[0]) < 1e-9, u
+
+
+# --- 2 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_kneser_ney_sums_to_one_and_prefers_what_it_saw():
+    rng = np.random.default_rng(1)
+    counts = np.zeros((64, 64, 64), np.int64)
+    at = rng.integers(0, 20, (3, 4000))
+    np.add.at(counts, tuple(at), 1)
+    p = np.exp(quality_model.kneser_ney(counts).astype(np.float64))
+    assert np.allclose(p.sum(-1), 1, atol=1e-4)
+    assert p[counts > 3].mean() > p[counts == 0].mean() * 5
+
+
+def test_interpolation_against_the_formula():
+    counts = np.zeros((64, 64, 64), np.int64)
+    for c, n in (((1, 2, 3), 4), ((1, 2, 4), 1), ((5, 2, 3), 2), ((1, 3, 3), 1), ((2, 3, 4), 3), ((7, 7, 7), 1), ((8, 7, 7), 2)):
+        counts[c] = n
+    d3, pairs = quality_model._discounts(counts), np.count_nonzero(counts, axis=0)
+    d2, single = quality_model._discounts(pairs), np.count_nonzero(pairs, axis=0)
+    d1 = quality_model._discounts(single)
+    p1 = (max(single[3] - d1[min(single[3], 3)], 0) + sum(d1[min(x, 3)] for x in single) / 64) / single.sum()
+    row = pairs[2]
+    p2 = max(row[3] - d2[min(row[3], 3)], 0) / row.sum() + sum(d2[min(x, 3)] for x in row) / row.sum() * p1
+    own = counts[1, 2]
+    p3 = max(own[3] - d3[min(own[3], 3)], 0) / own.sum() + sum(d3[min(x, 3)] for x in own) / own.sum() * p2
+    assert abs(np.exp(quality_model.kneser_ney(counts)[1, 2, 3]) - p3) < 1e-6
+
+
+def test_classifier_keeps_clean_text_and_rejects_noise(spark):
+    rng = random.Random(5)
+    clean = lambda: " ".join(rng.choices(["the", "and", "river", "stone", "walks", "over", "green"], k=80))
+    noise = lambda: "".join(rng.choices("qxzjkv#$%@|", k=400))
+    texts = [clean() for _ in range(60)] + [noise() for _ in range(10)] + [None, ""]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] * 2 + [(None, 1, 0), (60, 0, 0)], "doc_id long, quality int, toxic int")
+    table = docs(spark, texts)
+    out = {r.doc_id: r for r in quality_model.classify(table, labels).collect()}
+    assert all(out[i].kept for i in range(60)) and not any(out[i].kept for i in range(60, 72))
+    assert quality_model.classify(empty(spark), labels).count() == 0
+    other = table.withColumn("lang", F.lit(None).cast("string"))
+    assert quality_model.classify(other, labels.limit(0)).where("kept").count() == 70
+
+
+# --- 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def shingle_set(t):
+    w = words("".join(c.lower() if c.isascii() else c for c in (t or "")))
+    return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[i : i + 4]) for i in range(len(w) - 3)])
+
+
+def brute_components(texts):
+    sets, up = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b]:
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize(("seed", "unit"), [(1, 1500), (2, 1500), (3, 12)])
+def test_jaccard_join(spark, monkeypatch, seed, unit):
+    monkeypatch.setattr(jaccard_join, "UNIT_SETS", unit)
+    rng = random.Random(seed)
+    texts = some_texts(seed, 150)
+    base = words(texts[20]) + ["q"] * 3 + rng.choices(["u", "v", "w"], k=60)
+    for _ in range(60):  # a chain of near copies
+        base = list(base)
+        base[rng.randrange(len(base))] = f"w{rng.randrange(9)}"
+        texts.append(" ".join(base))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_jaccard_dedup_keeps_one_row_of_each_component(spark):
+    texts = some_texts(9, 60)
+    rows = docs(spark, texts)
+    kept = jaccard_join.dedup(rows.unionByName(rows))
+    assert kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute_components(texts).values()})
+    assert jaccard_join.join(empty(spark)).count() == 0
+    nulls = docs(spark, ["a b c d e f", "a b c d e f"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.component_id for r in jaccard_join.join(nulls).collect()] == [None, None]
+
+
+def test_trie_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        base = rng.choice(400, 60, replace=False)
+        sets = []
+        for _ in range(40):
+            s = set((base if rng.random() < 0.7 else rng.choice(400, 50)).tolist())
+            for _ in range(rng.integers(0, 9)):
+                s ^= {int(rng.integers(0, 400))}
+            sets.append(np.array(sorted(s), np.uint64))
+        got = dict(jaccard_join.join_sets(list(range(40)), sets))
+        up = list(range(40))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in itertools.combinations(range(40), 2):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+        assert [got.get(i, i) for i in range(40)] == [top(i) for i in range(40)]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    up = list(range(400))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: top(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_rules(t):
+    t = t or ""
+    w = words(t)
+    windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    texts = some_texts(11) + ["a b\na b\n\n c\na b", "x y z x y z x", "\n\n", "l\nl\n", " l\nl"]
+    got = {r.doc_id: r for r in quality_rules.judge(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_rules(t), t
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.reject(docs(spark, texts))
+    assert kept.columns == docs(spark, []).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality_rules.judge(empty(spark)).count() == 0
+
+
+def test_bands_reject_noise_and_repetition():
+    rng = random.Random(1)
+    natural = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(900))
+    compressor = quality_rules.zstandard.ZstdCompressor(level=3, write_content_size=False)
+    bad = lambda x: quality_rules.outside(len(x), *quality_rules.ratios(x, compressor))
+    assert not bad(natural.encode())
+    assert bad(bytes(rng.randrange(256) for _ in range(6000))) and bad(b"again and " * 900)
+    mixed = natural.encode() + bytes(rng.randrange(256) for _ in range(8192))
+    assert bad(mixed)
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(90):
+        lines = [f"line {rng.randrange(10**9)}" for _ in range(rng.randint(1, 5))]
+        if i % 4 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["  all rights reserved", "all rights reserved\t"]))
+        if i % 9 == 0:
+            lines.append("")
+        texts.append("\n".join(lines))
+    texts += [None, "", "\n"]
+    rows = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 2, None).otherwise(F.col("source")))
+    host = [None if i % 3 == 2 else f"src{i % 3}" for i in range(len(texts))]
+    pages, hits = collections.Counter(host), collections.Counter()
+    for h, t in zip(host, texts, strict=True):
+        hits.update({(h, x.strip(" \t\r")) for x in (t or "").split("\n") if x.strip(" \t\r")})
+    gone = {k for k, n in hits.items() if n >= 5 and pages[k[0]] >= 20 and n > 0.05 * pages[k[0]]}
+    assert gone
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" \t\r")) not in gone) for i, (h, t) in enumerate(zip(host, texts, strict=True))}
+    out = line_dedup.drop(rows)
+    assert out.columns == rows.columns
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    assert all(r.n_chars == len(want[r.doc_id]) for r in out.where("text is not null").collect())
+    digest = {r.doc_id: r for r in line_dedup.digests(rows).collect()}
+    assert all(digest[i].kept_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in want.items())
+    assert line_dedup.drop(empty(spark)).count() == 0
+    urls = spark.createDataFrame([("https://M.example.net/en?x=1",), ("no url",), (None,)], "u string")
+    assert [r[0] for r in urls.select(line_dedup.page_host(F.col("u"))).collect()] == ["m.example.net", None, None]
+
+
+# --- 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_the_rules():
+    rng = random.Random(2)
+    alphabet = [*"a1234560.@-+ ()é%_", "42", "255", "4111111111111111", "a.b@c.de", "+1 (202) 555-0147"]
+    for _ in range(4000):
+        t = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))
+        assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(t)] == brute_spans(t), t
+
+
+def test_pii(spark):
+    texts = some_texts(4, 40) + ["é mail a.b@c.example.com now", "call +1 (202) 555-0147 or (202) 555-0199.", "4111 1111 1111 1111 and 10.0.0.1", "write to bob [at] example [dot] com please", "version 1.2.3.4 of 2024", "1." * 5000, "@" * 2000 + "9" * 20000]
+    got = {r.doc_id: r for r in pii.digests(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_spans(t or "")
+        written = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert got[i].base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert set(filter(None, written.split(","))) <= set(filter(None, got[i].spans.split(",")))
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(x[0] == k for x in base) for k in pii.KINDS)
+    masked = {r.doc_id: r for r in pii.mask(docs(spark, texts)).collect()}
+    assert masked[40].text == "é mail [EMAIL] now" and masked[40].n_chars == len(masked[40].text)
+    assert masked[42].text == "[CARD] and [IP]" and masked[0].text is None
+    assert all(masked[i].text == t for i, t in enumerate(texts[:40]) if not got[i].spans)
+    assert pii.digests(empty(spark)).count() == 0
+
+
+def test_expectation_maximisation_finds_the_bad_labeler():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20000) < 0.6
+    right = (0.95, 0.9, 0.85, 0.5)
+    votes = np.stack([np.where(rng.random(20000) < p, truth, ~truth) for p in right], 1)
+    v, n = np.unique(np.where(votes, pii.FOR, pii.AGAINST), axis=0, return_counts=True)
+    p, theta = pii.reliabilities(np.zeros(len(v), int), v, n.astype(float))
+    learned = theta[:, 1, pii.FOR]
+    assert np.abs(learned - right).max() < 0.03
+    beta = pii.train(np.zeros(len(v), int), v, n.astype(float), p)
+    own = np.array([sum(int(x) << 2 * i for i, x in enumerate(row)) for row in v])
+    said = dict(zip(own.tolist(), [pii.accepted(beta, 0, int(c)) for c in own], strict=True))
+    codes = (np.where(votes, pii.FOR, pii.AGAINST) << (2 * np.arange(4))).sum(1)
+    assert np.mean([said[int(c)] == t for c, t in zip(codes, truth, strict=True)]) > 0.93
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_stored_payloads_come_back():
+    rng = random.Random(1)
+    for t in (b"", b"abc", "é日".encode() * 70, b"x" * 64, bytes(rng.randrange(256) for _ in range(3 << 19))):
+        payload = webp.padded(t)
+        assert len(payload) % 64 == 0 and payload
+        assert b"".join(p.astype("<u4").tobytes() for p in webp.load(webp.store(payload))) == payload
+
+
+@pytest.mark.parametrize("cache", [0, 1, 5, 11])
+@pytest.mark.parametrize("references", [False, True])
+def test_webp_tools_round_trip(cache, references):
+    rng = np.random.default_rng(cache)
+    for trial in range(15):
+        h, w = rng.integers(1, 26, 2)
+        colours = int(rng.integers(1, [3, 5, 17, 200, 400][trial % 5]))
+        p = rng.integers(0, 2**32, colours, dtype=np.uint32)[rng.integers(0, colours, (h, w))]
+        bits = 2 + trial % 3
+        size = ((h + (1 << bits) - 1) >> bits, (w + (1 << bits) - 1) >> bits)
+        modes = (rng.integers(0, 14, size).astype(np.uint32) << 8) | np.uint32(0xFF000000)
+        cross = rng.integers(0, 2**24, size).astype(np.uint32)
+        for steps in ((), ((webp.PREDICTOR, bits, modes),), ((webp.CROSS_COLOUR, bits, cross), (webp.SUBTRACT_GREEN,)), ((webp.PREDICTOR, bits, modes), (webp.CROSS_COLOUR, bits, cross), (webp.SUBTRACT_GREEN,)), ((webp.PALETTE,),) if colours <= 256 else ()):
+            assert (webp.decode(webp.encode(p, steps, cache, references)) == p).all()
+
+
+def test_webp_predictors_and_faults():
+    rng = np.random.default_rng(7)
+    p = rng.integers(0, 2**32, (9, 11), dtype=np.uint32)
+    for mode in range(14):
+        modes = np.full((3, 3), mode << 8, np.uint32)
+        assert (webp.decode(webp.encode(p, ((webp.PREDICTOR, 2, modes),))) == p).all()
+    data = webp.encode(p)
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFX" + data[4:])
+    with pytest.raises(ValueError):
+        webp.decode(data[:16] + (20).to_bytes(4, "little") + data[20:41])
+    assert len(webp.NEAR) == 120 and webp.NEAR[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and webp.NEAR[-1] == (8, 7)
+
+
+def test_media_digests(spark):
+    texts = some_texts(6, 30)
+    got = {r.doc_id: r for r in webp.digests(docs(spark, texts)).collect()}
+    files = {r.doc_id: bytes(r.media) for r in webp.to_media(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_bytes == len(files[i]) and r.media_sha256 == hashlib.sha256(files[i]).hexdigest()
+    assert got[0].feature == got[1].feature
+    assert webp.digests(empty(spark)).count() == 0
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    texts = some_texts(5, 60) + ["word " * 3000, "<|endoftext|> THE <|ENDOFTEXT|>.", "İΣ́ e.", "12,3.a b,c"]
+    rows = docs(spark, texts)
+    placed = packing.packed(rows.unionByName(rows)).collect()
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in placed:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        want = [(k, k * 2048, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(ids[a : a + 2048] for a in range(0, len(ids), 2048))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[i]) == sorted(want * 2), t
+    for parts in by_sequence.values():
+        end = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 2048
+    total = sum(r.length for r in placed)
+    assert len(by_sequence) <= 1.05 * total / 2048 + 2
+    assert packing.packed(empty(spark)).count() == 0
+    whole = packing.sequences(rows).collect()
+    assert sum(len(r.ids) for r in whole) == total // 2
+
+
+def test_bins_choose_the_best_fit():
+    rng = random.Random(1)
+    for most in (1, 3, 50):
+        bins, free, opened = packing.Bins(100, most), {}, []
+        for _ in range(500):
+            n = rng.randint(1, 100)
+            fits = [f for b, f in free.items() if f >= n]
+            b, offset = bins.place(n)
+            if fits:
+                assert free[b] == min(fits) and offset == 100 - free[b]
+            else:
+                assert b not in opened and offset == 0
+                opened.append(b)
+                if len(free) == most:
+                    fullest = min(free, key=free.get)
+                    if free[fullest] < 100 - n:
+                        low = free[fullest]
+                        gone = next(x for x in sorted(free, reverse=True) if free[x] == low and x not in itertools.chain(*bins.by_free))
+                        del free[gone]
+                    else:
+                        continue
+                free[b] = 100
+            free[b] -= n
+            if not free[b]:
+                del free[b]
+            assert sorted(free.values()) == sorted(f for f, x in enumerate(bins.by_free) for _ in x) and bins.open == len(free) <= most
+
+
+# --- 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_turns_come_back():
+    rng = random.Random(3)
+    pieces = ["\\", "#", "##", "###", "<", "</turn>", "</turn>\n", "\n", ":", ": ", "é", "日", "a", "", "### assistant: "]
+    for _ in range(200):
+        n = rng.randint(0, 12)
+        roles = [rng.choice(["user", "assistant", "system", "", "a:b", "x###", None, "assistant\\"]) for _ in range(n)]
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(pieces, k=rng.randint(0, 10))) for _ in range(n)]
+        out, _, mask = chat_format.assemble(as_bytes(pa.array(roles, pa.string())), as_bytes(pa.array(texts, pa.string())))
+        got = chat_format.parse(out, mask)
+        assert [(a, b) for a, b, _, _ in got] == [((r or "").encode(), (t or "").encode()) for r, t in zip(roles, texts, strict=True)]
+        assert [c for _, _, c, _ in got] == [(t or "").encode() if r == "assistant" else b"" for r, t in zip(roles, texts, strict=True)]
+        assert sum(x[3] for x in got) == len(out.tobytes().decode())
+
+
+def test_conversations(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é ### x", "\\</turn>", "plain"])) for c in [1, 2, None, 5] for t in range(rng.randint(1, 9))]
+    rows += [(9, t, "assistant", "long é " * 50) for t in range(500)] + [(2, 0, "user", "again")] * 2
+    table = spark.createDataFrame([(*r, "own") for r in rows], "conv_id long, turn int, role string, text string, formatted string").repartition(4)
+    got = {r.conv_id: r for r in chat_format.digests(table).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, (r[3] or "").encode()))
+        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+        assert got[c].n_turns == len(own)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    whole = chat_format.formatted(table)
+    chars = {r.conv_id: r.n for r in whole.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}
+    assert chars == {c: r.formatted_chars for c, r in got.items()}
+    assert chat_format.digests(table.limit(0)).count() == 0
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def brute_kept(texts, k):
+    split = [(t or "").encode().split() for t in texts]
+    seen = collections.Counter(tuple(d[i : i + k]) for d in split for i in range(len(d) - k + 1))
+    out = []
+    for d in split:
+        gone = {i + n for i in range(len(d) - k + 1) if seen[tuple(d[i : i + k])] > 1 for n in range(k)}
+        out.append([w for i, w in enumerate(d) if i not in gone])
+    return split, out
+
+
+@pytest.mark.parametrize(("k", "alphabet"), [(5, "ab"), (6, "abcd"), (35, "abcdefgh")])
+@pytest.mark.parametrize("group", [1 << 23, 400])
+def test_substring_dedup(spark, monkeypatch, k, alphabet, group):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group)
+    rng = random.Random(k)
+    base = [rng.choice(alphabet) for _ in range(400)]
+    texts = [None, "", "   ", "a " * 50]
+    for _ in range(50):
+        d = [rng.choice(alphabet * 3 + "xyz") for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 2)):
+            a = rng.randint(0, 300)
+            d[len(d) // 2 : len(d) // 2] = base[a : a + rng.randint(1, 80)]
+        texts.append(rng.choice([" ", "\n"]).join(d))
+    texts += texts[5:9]
+    got = {r.doc_id: r for r in substring_dedup.digests(docs(spark, texts), k).collect()}
+    for i, (whole, kept) in enumerate(zip(*brute_kept(texts, k), strict=True)):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(whole), len(whole) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+
+
+def test_substring_removal_and_reference(spark):
+    rng = random.Random(6)
+    passage = " ".join(rng.choices("abcdefghijk", k=40))
+    texts = [f"one {passage} two", f"three\n{passage}", "short é text", None, passage[:20]]
+    out = {r.doc_id: r.text for r in substring_dedup.remove(docs(spark, texts)).collect()}
+    assert out == {0: "one two", 1: "three", 2: "short é text", 3: None, 4: passage[:20]}
+    twice = docs(spark, [" ".join(map(str, range(40)))])
+    assert [r.text for r in substring_dedup.remove(twice.unionByName(twice)).collect()] == ["", ""]
+    reference = spark.createDataFrame([(passage,), (None,)], "text string")
+    out = {r.doc_id: r.text for r in substring_dedup.remove_reference(docs(spark, texts), reference).collect()}
+    assert out[0] == "one two" and out[1] == "three" and out[2] == "short é text" and out[4] == passage[:20]
+    with pytest.raises(ValueError):
+        substring_dedup.remove_reference(docs(spark, texts), reference, most_words=5)
+    assert substring_dedup.digests(empty(spark)).count() == 0
+
+
+def test_automaton_counts_occurrences():
+    rng = random.Random(1)
+    for _ in range(50):
+        sequences = [[rng.choice("ab") for _ in range(rng.randint(0, 12))] for _ in range(4)]
+        weights = [rng.randint(1, 3) for _ in sequences]
+        a = substring_dedup.Automaton()
+        for s, w in zip(sequences, weights, strict=True):
+            a.add(s, w)
+        a.finish()
+        for probe in sequences:
+            marked = {i for s, e in a.spans(probe, 3, 3) for i in range(s, e)}
+            want = set()
+            for s, e in itertools.combinations(range(len(probe) + 1), 2):
+                n = sum(w * sum(q[i : i + e - s] == probe[s:e] for i in range(len(q) - (e - s) + 1)) for q, w in zip(sequences, weights, strict=True))
+                if e - s >= 3 and n >= 3:
+                    want |= set(range(s, e))
+            assert marked == want
