@@ -54,7 +54,9 @@ class Model:
     bytes: tuple[int, ...]
 
     def pieces(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), "piece string, id int, score double, kind int")
+        """(piece, id, score, kind, rank), rank 0 for the best score and the same for equal ones."""
+        place = {x: i for i, x in enumerate(sorted({r[2] for r in self.rows}, reverse=True))}
+        return spark.createDataFrame([(*r, place[r[2]]) for r in self.rows], "piece string, id int, score double, kind int, rank long")
 
 
 def vocabulary() -> str:
@@ -85,36 +87,53 @@ def model(kind: int, rows: list[tuple[str, int, float, int]]) -> Model:
     return Model(kind, tuple(rows), max(map(len, normal), default=1), "".join(c for c in "\n\t\r" if c not in inside), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, n, edges) with edges (cost, s, e, id, ends, inside), best first: the pieces that stand in each unit from place s to
-    place e, their negative scores, and bits for their ends and the places inside them (for units under 62 characters).
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int, edge: Column) -> DataFrame:
+    """(unit, n, edges) of words (unit, n): the pieces of ``least`` characters or more that stand in each unit from place s to place
+    e, as ``edge`` writes them from (s, e, id, score, rank), in order.
 
-    ``words`` is (unit, n); dealt by unit, it is grouped again without another shuffle."""
+    Words that are dealt by unit are grouped again without another shuffle."""
     size = F.length("unit")
-    spans = words.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = spans.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("l"))
+    starts = F.when(size >= least, F.sequence(F.lit(0), size - least))
+    spans = words.select("unit", "n", size.alias("size"), F.explode_outer(starts).alias("s"))
+    lengths = F.when(F.col("s").isNotNull(), F.sequence(F.lit(least), F.least(F.lit(longest), F.col("size") - F.col("s"))))
+    spans = spans.select("unit", "n", "s", F.explode_outer(lengths).alias("l"))
     spans = spans.select("unit", "n", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = spans.join(F.broadcast(pieces.where(F.col("kind") == NORMAL)), "piece", "left").where("id IS NOT NULL OR l = 1").withColumn("e", F.col("s") + F.col("l"))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
-    ends, inside = bit(F.col("s")).bitwiseOR(bit(F.col("e"))), bit(F.col("e")) - bit(F.col("s") + 1)
-    row = F.struct((-F.col("score")).alias("cost"), "s", "e", "id", ends.alias("ends"), inside.alias("inside"))
-    return edges.groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), row))).alias("edges"))
+    # joined by a 64-bit hash, as a table with a long key is probed fastest, and then compared
+    known = pieces.where((F.col("kind") == NORMAL) & (F.length("piece") >= least)).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("same"), "id", "score", "rank")
+    found = spans.withColumn("h", F.xxhash64("piece")).join(F.broadcast(known), "h", "left").withColumn("id", F.when(F.col("piece") == F.col("same"), F.col("id")))
+    found = found.where(f"id IS NOT NULL OR s IS NULL OR s = 0 AND l = {least}").withColumn("e", F.col("s") + F.col("l"))
+    return found.groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+
+
+#: An edge in 46 bits, best first: rank of its score, s, e, id. And its parts, with bits for its ends and the places inside it.
+CODE = "(rank << 29) + (cast(s AS bigint) << 23) + (cast(e AS bigint) << 17) + id"
+
+
+def _bit(c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), c)
+
+
+def _decoded(codes: Column) -> Column:
+    def one(c: Column) -> Column:
+        s, e = (F.call_function("shiftright", c, F.lit(n)).bitwiseAND(F.lit(63)).cast("int") for n in (23, 17))
+        return F.struct(s.alias("s"), e.alias("e"), c.bitwiseAND(F.lit((1 << 17) - 1)).cast("int").alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inside"))
+
+    return F.transform(codes, one)
 
 
 def merge(unit: Column, edges: Column) -> Column:
     """Cuts of a unit after all merges, a bit for each place between its pieces, both ends included. Edges come best first."""
     n = F.length(unit)
-    wide = F.filter(edges, lambda x: x["inside"] != 0)
 
     def step(cuts: Column, _: Column) -> Column:
         # an edge joins two neighbours if its ends are cuts and one cut is inside it
         pair = lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
-        best = F.get(F.filter(wide, pair), F.lit(0))
+        best = F.get(F.filter(edges, pair), F.lit(0))
         return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["inside"], F.lit(0).cast("long"))))
 
-    rounds = F.slice(F.sequence(F.lit(1), F.greatest(F.size(wide), F.lit(1))), 1, F.greatest(F.least(n - 1, F.size(wide)), F.lit(0)))
-    whole = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1
-    return F.aggregate(rounds, whole, step)
+    most = F.least(n - 1, F.size(edges))
+    rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1, step)
 
 
 def viterbi(unit: Column, edges: Column, unknown_score: float) -> Column:
@@ -125,7 +144,7 @@ def viterbi(unit: Column, edges: Column, unknown_score: float) -> Column:
     def step(best: Column, e: Column) -> Column:
         def reach(x: Column) -> Column:
             from_ = F.get(best, x["s"])
-            return F.struct((from_["score"] - x["cost"]).alias("score"), (-x["s"]).alias("first"), F.concat(from_["cuts"], F.array(e)).alias("cuts"))
+            return F.struct((from_["score"] + x["score"]).alias("score"), (-x["s"]).alias("first"), F.concat(from_["cuts"], F.array(e)).alias("cuts"))
 
         ending = F.filter(edges, lambda x: x["e"] == e)
         single = F.exists(ending, lambda x: x["s"] == e - 1)
@@ -139,22 +158,30 @@ def viterbi(unit: Column, edges: Column, unknown_score: float) -> Column:
     return F.element_at(folded, -1)["cuts"]
 
 
-def ids(unit: Column, edges: Column, cuts: Column, m: Model) -> Column:
-    """The ids of the pieces between cuts."""
+def spare_ids(char: Column, m: Model) -> Column:
+    """The ids of a character that no longer piece took: its own piece, its bytes, or the unknown piece."""
+    own = {p: i for p, i, _, k in m.rows if k == NORMAL and len(p) == 1}
+    near = F.array(*[F.lit(own.get(chr(c))).cast("int") for c in range(0x250)])
+    far = [x for c, i in own.items() if ord(c) >= 0x250 for x in (F.lit(c), F.lit(i))]
+    far = F.try_element_at(F.create_map(*far), char) if far else F.lit(None).cast("int")
+    found = F.when(F.ascii(char) < 0x250, F.get(near, F.ascii(char))).otherwise(far)
+    if m.bytes:
+        code = F.hex(F.encode(char, "utf-8"))
+        pairs = F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))
+        spare = F.transform(pairs, lambda b: F.get(F.array(*[F.lit(x) for x in m.bytes]), b))
+    else:
+        spare = F.array(F.lit(m.unknown))
+    return F.when(found.isNotNull(), F.array(found)).otherwise(spare)
+
 
-    def one(i: Column) -> Column:
-        s, e = F.get(cuts, i), F.get(cuts, i + 1)
-        found = F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        char = F.substring(unit, s + 1, F.lit(1))
-        if m.bytes:
-            code = F.hex(F.encode(char, "utf-8"))
-            pairs = F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))
-            spare = F.transform(pairs, lambda b: F.get(F.array(*[F.lit(x) for x in m.bytes]), b))
-        else:
-            spare = F.array(F.lit(m.unknown))
-        return F.when(found.isNotNull(), F.array(found)).otherwise(spare)
+def ids(unit: Column, chosen: Column, places: Column, m: Model) -> Column:
+    """The ids between the places of cuts, from the chosen edges (s, id) and the characters between them."""
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one))
+    def one(k: Column) -> Column:
+        found = F.get(F.filter(chosen, lambda x: x["s"] == k), F.lit(0))["id"]
+        return F.when(found.isNotNull(), F.array(found)).otherwise(spare_ids(F.substring(unit, k + 1, F.lit(1)), m))
+
+    return F.flatten(F.transform(F.slice(places, 1, F.size(places) - 1), one))
 
 
 def merge_long(unit: str, scores: dict[str, float], longest: int) -> list[int]:
@@ -203,17 +230,21 @@ def encode_units(words: DataFrame, m: Model) -> DataFrame:
     """(unit, n, ids) of distinct units (unit, n)."""
     spark = words.sparkSession
     most = MOST_FOLDED if m.kind == BPE else 1 << 30
-    found = lattice(words.where(F.length("unit") <= most), m.pieces(spark), m.longest)
     unit, edges = F.col("unit"), F.col("edges")
     if m.kind != BPE:
+        found = lattice(words, m.pieces(spark), m.longest, 1, F.struct("s", "e", "score", "id"))
         lowest = min((s for _, _, s, k in m.rows if k == NORMAL), default=0.0)
-        return found.withColumn("cuts", viterbi(unit, edges, lowest - 10.0)).select("unit", "n", ids(unit, edges, F.col("cuts"), m).alias("ids"))
+        found = found.withColumn("cuts", viterbi(unit, edges, lowest - 10.0))
+        pairs = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("s"), F.get("cuts", i + 1).alias("e")))
+        chosen = F.filter(edges, lambda x: F.array_contains(pairs, F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+        return found.select("unit", "n", ids(unit, F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))), F.col("cuts"), m).alias("ids"))
+    found = lattice(words.where(F.length("unit") <= most), m.pieces(spark), m.longest, 2, F.expr(CODE)).withColumn("edges", _decoded(edges))
     bits = F.col("cuts")
     chosen = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inside"]) == 0))
     done = found.withColumn("cuts", merge(unit, edges)).withColumn("chosen", F.array_sort(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))))
     places = F.filter(F.sequence(F.lit(0), F.length(unit)), lambda k: F.getbit(bits, k) == 1)
     known = F.size("chosen") == F.bit_count(bits) - 1
-    done = done.select("unit", "n", F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, edges, places, m)).alias("ids"))
+    done = done.select("unit", "n", F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, F.col("chosen"), places, m)).alias("ids"))
     return done.unionByName(words.where(F.length("unit") > most).select("unit", "n").mapInArrow(lean(_long(m)), "unit string, n long, ids array<int>"))
 
 
@@ -322,7 +353,7 @@ def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     width = parts(docs.sparkSession)
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
     words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
-    return cut(encode_units(cut(words).repartition(width, "unit"), m))
+    return cut(encode_units(cut(words).repartition(4 * width, "unit"), m))
 
 
 class Known:
@@ -343,17 +374,42 @@ class Known:
             keys[a : a + len(o) - 1] = mix((sums[o[1:]] - sums[o[:-1]]) * inverse[o[:-1]] + np.diff(o).astype(np.uint64) * PLACES[70])
         ids = _whole(rows["ids"])
         self.flat = ids.flatten().to_numpy().astype(np.int32)
-        self.length = np.array(ids.value_lengths().to_numpy(), np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        order = np.argsort(keys)
-        self.keys, self.place = keys[order], order.astype(np.int64)
+        self.length = ids.value_lengths().to_numpy().astype(np.int32)
+        self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.keys, self.slots = keys, None
+
+    def _build(self) -> None:
+        """Open addressing, about four slots a unit. Built where it is needed: what is broadcast stays small."""
+        keys = self.keys
+        self.mask = np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.slots, self.place = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+        left, step = np.arange(len(keys)), np.uint64(0)
+        while len(left):
+            at = (keys[left] + step) & self.mask
+            free = self.place[at] == 0
+            _, first = np.unique(at, return_index=True)
+            won = np.zeros(len(left), bool)
+            won[first] = True
+            won &= free
+            self.slots[at[won]], self.place[at[won]] = keys[left[won]], left[won] + 1
+            left, step = left[~won], step + np.uint64(1)
+        self.tries = int(step)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """1 + place in the table, 0 for units that aren't there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.place[at] + 1, 0)
+        if self.slots is None:
+            self._build()
+        out = np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
+        for step in range(self.tries):
+            at = (keys[left] + np.uint64(step)) & self.mask
+            place = self.place[at]
+            same = (place > 0) & (self.slots[at] == keys[left])
+            out[left[same]] = place[same]
+            left = left[(place > 0) & ~same]
+            if not len(left):
+                break
+        return out
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -416,7 +472,7 @@ def _assemble(known, digest: bool):
                 out = []
                 for blob, fill in zip(batch.column(2), batch.column(3), strict=True):
                     at = unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) - 1
-                    flat, start, length = t.flat, t.start[at] if len(t.start) else at, t.length[at] if len(t.length) else at
+                    flat, start, length = t.flat, t.start[at].astype(np.int64) if len(t.start) else at, t.length[at].astype(np.int64) if len(t.length) else at
                     if fill.is_valid:
                         rows = fill.values
                         p, ids = rows.field("p").to_numpy(), rows.field("ids")
