@@ -37,7 +37,7 @@ from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, lean, mix
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast; bytes of text whose units are counted before they are sent.
-MOST_KNOWN, GROUP_BYTES = 1_000_000, 1 << 23
+MOST_KNOWN, GROUP_BYTES = 500_000, 1 << 24
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -308,11 +308,11 @@ def _ask(m: Model, shards: int):
     """Texts to blobs by shard: the distinct units of a group of texts with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone, press = _alone(m), zstandard.ZstdCompressor(level=1)
+        alone, press = _alone(m), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            column = _texts(batch.column(0))
+            column = as_bytes(batch.column(0))
             for i, j in slices(column, GROUP_BYTES):
-                part, found = column.slice(i, j - i), []
+                part, found = _texts(batch.column(0).slice(i, j - i)), []
                 for a, b in slices(part):
                     u = Units(part, a, b, alone)
                     keys, at, n = np.unique(u.keys, return_index=True, return_counts=True)
@@ -443,9 +443,9 @@ def _compact(m: Model, known, holes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, table_ = _alone(m), known.value
         for batch in batches:
-            column = _texts(batch.column(2))
+            column = as_bytes(batch.column(2))
             for i, j in slices(column):
-                u = Units(column, i, j, alone)
+                u = Units(_texts(batch.column(2).slice(i, j - i)), 0, j - i, alone)
                 found = table_.find(u.keys)
                 if holes:
                     at = np.flatnonzero(found == 0)
@@ -472,16 +472,18 @@ def _assemble(known, digest: bool):
                 out = []
                 for blob, fill in zip(batch.column(2), batch.column(3), strict=True):
                     at = unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) - 1
-                    flat, start, length = t.flat, t.start[at].astype(np.int64) if len(t.start) else at, t.length[at].astype(np.int64) if len(t.length) else at
+                    flat = t.flat
+                    start, length = (x[at].astype(np.int64) if len(x) else np.zeros(len(at), np.int64) for x in (t.start, t.length))
                     if fill.is_valid:
-                        rows = fill.values
-                        p, ids = rows.field("p").to_numpy(), rows.field("ids")
-                        order = np.unique(p, return_index=True)[1]  # a repeated row's holes are there twice
-                        n = ids.value_lengths().to_numpy().astype(np.int64)
+                        by_place = {}  # a repeated row's holes are there twice
+                        for x in fill.as_py().split(";"):
+                            p, _, ids = x.partition(",")
+                            by_place[int(p)] = ids
+                        found = [np.fromstring(by_place[p], np.int32, sep=",") for p in sorted(by_place)]
+                        n = np.array([len(x) for x in found], np.int64)
                         mine = np.flatnonzero(at < 0)
-                        start, length = start.copy(), length.copy()
-                        start[mine], length[mine] = ((np.cumsum(n) - n)[order] + len(flat)), n[order]
-                        flat = np.concatenate([flat, ids.flatten().to_numpy()]) if len(flat) < 4096 else _Two(flat, ids.flatten().to_numpy())
+                        start[mine], length[mine] = np.cumsum(n) - n + len(flat), n
+                        flat = _Two(flat, np.concatenate(found))
                     out.append(gather(flat, start, length)[0] if not isinstance(flat, _Two) else flat.gather(start, length))
                 if digest:
                     more = [pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in out], pa.string())]
@@ -501,7 +503,8 @@ class _Two:
     def gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends = np.cumsum(length)
         at = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        out, late = self.a[np.minimum(at, len(self.a) - 1)], at >= len(self.a)
+        late = at >= len(self.a)
+        out = self.a[np.where(late, 0, at)] if len(self.a) else np.zeros(len(at), np.int32)
         out[late] = self.b[at[late] - len(self.a)]
         return out
 
@@ -523,7 +526,9 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
     holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, unit string")
-    fills = holes.join(words.where(~frequent).select("unit", "ids"), "unit").groupBy("rk").agg(F.collect_list(F.struct("p", "ids")).alias("fills"))
+    # what fills a hole travels as text, place and ids, which compresses better than nested arrays
+    rest = words.where(~frequent).select("unit", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    fills = holes.join(rest, "unit").select("rk", F.concat_ws(",", "p", "ids").alias("fill")).groupBy("rk").agg(F.array_join(F.collect_list("fill"), ";").alias("fills"))
     rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
     whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
     return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
