@@ -37,7 +37,7 @@ from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, lean, mix
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast; bytes of text whose units are counted before they are sent.
-MOST_KNOWN, GROUP_BYTES = 500_000, 1 << 24
+MOST_KNOWN, GROUP_BYTES = 1_000_000, 1 << 24
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -87,22 +87,24 @@ def model(kind: int, rows: list[tuple[str, int, float, int]]) -> Model:
     return Model(kind, tuple(rows), max(map(len, normal), default=1), "".join(c for c in "\n\t\r" if c not in inside), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int, edge: Column) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int, edge: Column, most: int = 1 << 30) -> DataFrame:
     """(unit, n, edges) of words (unit, n): the pieces of ``least`` characters or more that stand in each unit from place s to place
-    e, as ``edge`` writes them from (s, e, id, score, rank), in order.
+    e, as ``edge`` writes them from (s, e, id, score, rank), in order. Units over ``most`` characters have none; a column ``long_ids``
+    is carried on.
 
     Words that are dealt by unit are grouped again without another shuffle."""
     size = F.length("unit")
-    starts = F.when(size >= least, F.sequence(F.lit(0), size - least))
-    spans = words.select("unit", "n", size.alias("size"), F.explode_outer(starts).alias("s"))
+    more = [c for c in words.columns if c == "long_ids"]
+    starts = F.when((size >= least) & (size <= most), F.sequence(F.lit(0), size - least))
+    spans = words.select("unit", "n", *more, size.alias("size"), F.explode_outer(starts).alias("s"))
     lengths = F.when(F.col("s").isNotNull(), F.sequence(F.lit(least), F.least(F.lit(longest), F.col("size") - F.col("s"))))
-    spans = spans.select("unit", "n", "s", F.explode_outer(lengths).alias("l"))
-    spans = spans.select("unit", "n", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
+    spans = spans.select("unit", "n", *more, "s", F.explode_outer(lengths).alias("l"))
+    spans = spans.select("unit", "n", *more, "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
     # joined by a 64-bit hash, as a table with a long key is probed fastest, and then compared
     known = pieces.where((F.col("kind") == NORMAL) & (F.length("piece") >= least)).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("same"), "id", "score", "rank")
     found = spans.withColumn("h", F.xxhash64("piece")).join(F.broadcast(known), "h", "left").withColumn("id", F.when(F.col("piece") == F.col("same"), F.col("id")))
     found = found.where(f"id IS NOT NULL OR s IS NULL OR s = 0 AND l = {least}").withColumn("e", F.col("s") + F.col("l"))
-    return found.groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    return found.groupBy("unit").agg(F.max("n").alias("n"), *[F.any_value(c).alias(c) for c in more], F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
 
 #: An edge in 46 bits, best first: rank of its score, s, e, id. And its parts, with bits for its ends and the places inside it.
@@ -121,6 +123,10 @@ def _decoded(codes: Column) -> Column:
     return F.transform(codes, one)
 
 
+#: Set beside the cuts when no pair is left.
+DONE = 1 << 62
+
+
 def merge(unit: Column, edges: Column) -> Column:
     """Cuts of a unit after all merges, a bit for each place between its pieces, both ends included. Edges come best first."""
     n = F.length(unit)
@@ -129,11 +135,12 @@ def merge(unit: Column, edges: Column) -> Column:
         # an edge joins two neighbours if its ends are cuts and one cut is inside it
         pair = lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
         best = F.get(F.filter(edges, pair), F.lit(0))
-        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["inside"], F.lit(0).cast("long"))))
+        merged = F.when(best.isNull(), cuts.bitwiseOR(F.lit(DONE))).otherwise(cuts.bitwiseAND(F.bitwise_not(best["inside"])))
+        return F.when(cuts >= DONE, cuts).otherwise(merged)
 
     most = F.least(n - 1, F.size(edges))
     rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1, step)
+    return F.aggregate(rounds, F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1, step).bitwiseAND(F.lit(DONE - 1))
 
 
 def viterbi(unit: Column, edges: Column, unknown_score: float) -> Column:
@@ -211,17 +218,19 @@ def merge_long(unit: str, scores: dict[str, float], longest: int) -> list[int]:
 
 
 def _long(m: Model):
+    """(unit, n) to (unit, n, long_ids), the ids of long units and null for others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, names = {p: s for p, _, s, k in m.rows if k == NORMAL}, {p: i for p, i, _, k in m.rows if k == NORMAL}
         for batch in batches:
-            out = []
-            for unit in batch.column(0).to_pylist():
-                cuts, got = merge_long(unit, scores, m.longest), []
+            size, out = pc.utf8_length(batch.column(0)).to_numpy(), [None] * batch.num_rows
+            for at in np.flatnonzero(size > MOST_FOLDED).tolist():
+                unit = batch.column(0)[at].as_py()
+                cuts, out[at] = merge_long(unit, scores, m.longest), []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     i = names.get(unit[a:b])
-                    got += [i] if i is not None else [m.bytes[x] for x in unit[a:b].encode()] if m.bytes else [m.unknown]
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+                    out[at] += [i] if i is not None else [m.bytes[x] for x in unit[a:b].encode()] if m.bytes else [m.unknown]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "long_ids"])
 
     return run
 
@@ -229,7 +238,6 @@ def _long(m: Model):
 def encode_units(words: DataFrame, m: Model) -> DataFrame:
     """(unit, n, ids) of distinct units (unit, n)."""
     spark = words.sparkSession
-    most = MOST_FOLDED if m.kind == BPE else 1 << 30
     unit, edges = F.col("unit"), F.col("edges")
     if m.kind != BPE:
         found = lattice(words, m.pieces(spark), m.longest, 1, F.struct("s", "e", "score", "id"))
@@ -238,14 +246,19 @@ def encode_units(words: DataFrame, m: Model) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("s"), F.get("cuts", i + 1).alias("e")))
         chosen = F.filter(edges, lambda x: F.array_contains(pairs, F.struct(x["s"].alias("s"), x["e"].alias("e"))))
         return found.select("unit", "n", ids(unit, F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))), F.col("cuts"), m).alias("ids"))
-    found = lattice(words.where(F.length("unit") <= most), m.pieces(spark), m.longest, 2, F.expr(CODE)).withColumn("edges", _decoded(edges))
+    if "long_ids" not in words.columns:
+        words = words.mapInArrow(lean(_long(m)), LONG)
+    found = lattice(words, m.pieces(spark), m.longest, 2, F.expr(CODE), MOST_FOLDED).withColumn("edges", _decoded(edges))
     bits = F.col("cuts")
     chosen = F.filter("edges", lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (bits.bitwiseAND(x["inside"]) == 0))
     done = found.withColumn("cuts", merge(unit, edges)).withColumn("chosen", F.array_sort(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))))
     places = F.filter(F.sequence(F.lit(0), F.length(unit)), lambda k: F.getbit(bits, k) == 1)
     known = F.size("chosen") == F.bit_count(bits) - 1
-    done = done.select("unit", "n", F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, F.col("chosen"), places, m)).alias("ids"))
-    return done.unionByName(words.where(F.length("unit") > most).select("unit", "n").mapInArrow(lean(_long(m)), "unit string, n long, ids array<int>"))
+    folded = F.when(known, F.transform("chosen", lambda x: x["id"])).otherwise(ids(unit, F.col("chosen"), places, m))
+    return done.select("unit", "n", F.when(F.col("long_ids").isNotNull(), F.col("long_ids")).otherwise(folded).alias("ids"))
+
+
+LONG = "unit string, n long, long_ids array<int>"
 
 
 class Units:
@@ -343,6 +356,7 @@ def _count(blobs: list[bytes]) -> pa.Table:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs sorted by shard to (unit, n)."""
     for _, found in by_shard(batches, _count):
         for batch in found.to_batches(max_chunksize=1 << 16):
             yield pa.RecordBatch.from_arrays([batch.column("unit").cast(pa.string()), batch.column("n_sum")], names=["unit", "n"])
@@ -353,35 +367,48 @@ def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     width = parts(docs.sparkSession)
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
     words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
-    return cut(encode_units(cut(words).repartition(4 * width, "unit"), m))
+    words = words.mapInArrow(lean(_long(m)), LONG) if m.kind == BPE else words
+    return cut(encode_units(words.repartition(4 * width, "unit"), m))
+
+
+def unit_keys(units: pa.Array) -> np.ndarray:
+    """Hashes of units, as :class:`Units` has them."""
+    column = as_bytes(pc.replace_substring(units, SPACE, " "))
+    off = offsets(column)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and off[-1] else np.zeros(0, np.uint8)
+    keys = np.zeros(len(column), np.uint64)
+    for a in range(0, len(column), 1 << 15):  # in parts, as powers are kept for short texts
+        o = off[a : a + (1 << 15) + 1]
+        d = data[o[0] : o[-1]]
+        p, inverse = powers(len(d) + 1)
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum(BYTES[d] * p[: len(d)], out=sums[1:])
+        o = o - o[0]
+        keys[a : a + len(o) - 1] = mix((sums[o[1:]] - sums[o[:-1]]) * inverse[o[:-1]] + np.diff(o).astype(np.uint64) * PLACES[70])
+    return keys
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, n, ids) to the unit's hash and its ids as text."""
+    for batch in batches:
+        ids = [",".join(map(str, x)) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(unit_keys(batch.column(0)).astype(np.int64)), pa.array(ids, pa.string())], names=["h", "ids"])
 
 
 class Known:
     """The frequent units of a corpus by hash: a bounded table."""
 
     def __init__(self, rows: pa.Table) -> None:
-        column = as_bytes(pc.replace_substring(_whole(rows["unit"]), SPACE, " "))
-        off = offsets(column)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[: off[-1]] if len(column) and off[-1] else np.zeros(0, np.uint8)
-        keys = np.zeros(len(column), np.uint64)
-        for a in range(0, len(column), 1 << 15):  # hashed in parts, as powers are kept for short texts
-            o = off[a : a + (1 << 15) + 1]
-            d = data[o[0] : o[-1]]
-            p, inverse = powers(len(d) + 1)
-            sums = np.zeros(len(d) + 1, np.uint64)
-            np.cumsum(BYTES[d] * p[: len(d)], out=sums[1:])
-            o = o - o[0]
-            keys[a : a + len(o) - 1] = mix((sums[o[1:]] - sums[o[:-1]]) * inverse[o[:-1]] + np.diff(o).astype(np.uint64) * PLACES[70])
-        ids = _whole(rows["ids"])
+        keys, ids = unit_keys(_whole(rows["unit"])), _whole(rows["ids"])
         self.flat = ids.flatten().to_numpy().astype(np.int32)
         self.length = ids.value_lengths().to_numpy().astype(np.int32)
         self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
         self.keys, self.slots = keys, None
 
     def _build(self) -> None:
-        """Open addressing, about four slots a unit. Built where it is needed: what is broadcast stays small."""
+        """Open addressing, two to four slots a unit. Built where it is needed: what is broadcast stays small."""
         keys = self.keys
-        self.mask = np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(4, (2 * len(keys)).bit_length())) - 1)
         self.slots, self.place = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
         left, step = np.arange(len(keys)), np.uint64(0)
         while len(left):
@@ -451,7 +478,7 @@ def _compact(m: Model, known, holes: bool):
                     at = np.flatnonzero(found == 0)
                     row = np.searchsorted(u.first, at, "right") - 1
                     rk = batch.column(0).to_numpy()[i:j][row]
-                    yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - u.first[row]).astype(np.int32)), _strings(*u.cut(at)).cast(pa.string())], names=["rk", "p", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - u.first[row]).astype(np.int32)), pa.array(u.keys[at].astype(np.int64))], names=["rk", "p", "h"])
                 else:
                     data, n = varints(found)
                     ends = np.concatenate([[0], np.cumsum(n)])[u.first]
@@ -514,21 +541,21 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     m = m or load()
     spark = docs.sparkSession
     words = vocabulary_of(docs, m)
-    sizes = sorted(words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), reverse=True)
-    least, total = 64, 0
-    for k, n in sizes:  # the most frequent units, by powers of two of the count, while they fit
+    # the most frequent units while they fit; a corpus of N units has less than sqrt(2 N) different counts
+    least, total = 1 << 62, 0
+    for k, n in sorted(words.groupBy("n").count().collect(), reverse=True):
         total += n
         if total > most:
             break
         least = k
-    frequent = F.floor(F.log2("n")) >= least
+    frequent = F.col("n") >= least
     known = spark.sparkContext.broadcast(Known(words.where(frequent).select("unit", "ids", "n").toArrow().sort_by([("n", "descending")])))
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, unit string")
+    holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, h long")
     # what fills a hole travels as text, place and ids, which compresses better than nested arrays
-    rest = words.where(~frequent).select("unit", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
-    fills = holes.join(rest, "unit").select("rk", F.concat_ws(",", "p", "ids").alias("fill")).groupBy("rk").agg(F.array_join(F.collect_list("fill"), ";").alias("fills"))
+    rest = words.where(~frequent).mapInArrow(lean(_hashed), "h long, ids string")
+    fills = holes.join(rest, "h").select("rk", F.concat_ws(",", "p", "ids").alias("fill")).groupBy("rk").agg(F.array_join(F.collect_list("fill"), ";").alias("fills"))
     rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
     whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
     return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
