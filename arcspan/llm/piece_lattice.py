@@ -32,12 +32,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, lean, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
+from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
 
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast; bytes of text whose units are counted before they are sent.
 MOST_KNOWN, GROUP_BYTES = 600_000, 1 << 23
+#: Units whose edges a task groups in memory; beyond that it sorts them.
+GROUPED_UNITS = 1 << 16
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -368,7 +370,13 @@ def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
     words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
     words = words.mapInArrow(lean(_long(m)), LONG) if m.kind == BPE else words
-    return cut(encode_units(words.repartition(4 * width, "unit"), m))
+    spark, name = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(GROUPED_UNITS))
+    try:
+        return cut(encode_units(words.repartition(4 * width, "unit"), m))
+    finally:
+        spark.conf.set(name, before)
 
 
 def unit_keys(units: pa.Array) -> np.ndarray:
@@ -389,10 +397,13 @@ def unit_keys(units: pa.Array) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, n, ids) to the unit's hash and its ids as text."""
+    """(unit, n, ids) to the unit's hash and its ids in bytes of seven bits."""
     for batch in batches:
-        ids = [",".join(map(str, x)) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(unit_keys(batch.column(0)).astype(np.int64)), pa.array(ids, pa.string())], names=["h", "ids"])
+        ids = batch.column(2)
+        data, size = varints(ids.flatten().to_numpy().astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])]
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(unit_keys(batch.column(0)).astype(np.int64)), packed.cast(pa.binary())], names=["h", "ids"])
 
 
 class Known:
@@ -502,15 +513,17 @@ def _assemble(known, digest: bool):
                     flat = t.flat
                     start, length = (x[at].astype(np.int64) if len(x) else np.zeros(len(at), np.int64) for x in (t.start, t.length))
                     if fill.is_valid:
-                        by_place = {}  # a repeated row's holes are there twice
-                        for x in fill.as_py().split(";"):
-                            p, _, ids = x.partition(",")
-                            by_place[int(p)] = ids
-                        found = [np.fromstring(by_place[p], np.int32, sep=",") for p in sorted(by_place)]
-                        n = np.array([len(x) for x in found], np.int64)
+                        rows = fill.values
+                        p, packed = rows.field("p").to_numpy(), rows.field("ids").cast(pa.large_binary())
+                        order = np.unique(p, return_index=True)[1]  # a repeated row's holes are there twice
+                        off = offsets(packed)
+                        raw = np.frombuffer(packed.buffers()[2], np.uint8)[off[0] : off[-1]]
+                        got = unvarints(raw)
+                        n = np.diff(np.concatenate([[0], np.cumsum(raw < 128)])[off - off[0]])
+                        begin, n = (np.cumsum(n) - n)[order], n[order]
                         mine = np.flatnonzero(at < 0)
-                        start[mine], length[mine] = np.cumsum(n) - n + len(flat), n
-                        flat = _Two(flat, np.concatenate(found))
+                        start[mine], length[mine] = begin + len(flat), n
+                        flat = _Two(flat, got)
                     out.append(gather(flat, start, length)[0] if not isinstance(flat, _Two) else flat.gather(start, length))
                 if digest:
                     more = [pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in out], pa.string())]
@@ -553,9 +566,9 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
     holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, h long")
-    # what fills a hole travels as text, place and ids, which compresses better than nested arrays
-    rest = words.where(~frequent).mapInArrow(lean(_hashed), "h long, ids string")
-    fills = holes.join(rest, "h").select("rk", F.concat_ws(",", "p", "ids").alias("fill")).groupBy("rk").agg(F.array_join(F.collect_list("fill"), ";").alias("fills"))
+    rest = words.where(~frequent).mapInArrow(lean(_hashed), "h long, ids binary")
+    # dealt by row before they are grouped, as single holes are smaller than lists of one
+    fills = deal(holes.join(rest, "h").select("rk", "p", "ids"), "rk").groupBy("rk").agg(F.collect_list(F.struct("p", "ids")).alias("fills"))
     rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
     whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
     return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
