@@ -32,14 +32,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
+from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, let_go, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
 
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast; bytes of text whose units are counted before they are sent.
 MOST_KNOWN, GROUP_BYTES = 600_000, 1 << 23
-#: Units whose edges a task groups in memory; beyond that it sorts them.
-GROUPED_UNITS = 1 << 16
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -370,13 +368,7 @@ def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
     words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
     words = words.mapInArrow(lean(_long(m)), LONG) if m.kind == BPE else words
-    spark, name = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(GROUPED_UNITS))
-    try:
-        return cut(encode_units(words.repartition(4 * width, "unit"), m))
-    finally:
-        spark.conf.set(name, before)
+    return cut(encode_units(words.repartition(4 * width, "unit"), m))
 
 
 def unit_keys(units: pa.Array) -> np.ndarray:
@@ -554,6 +546,7 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     m = m or load()
     spark = docs.sparkSession
     words = vocabulary_of(docs, m)
+    let_go(spark)
     # the most frequent units while they fit; a corpus of N units has less than sqrt(2 N) different counts
     least, total = 1 << 62, 0
     for k, n in sorted(words.groupBy("n").count().collect(), reverse=True):
