@@ -37,7 +37,7 @@ from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lea
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast; bytes of text whose units are counted before they are sent.
-MOST_KNOWN, GROUP_BYTES = 500_000, 1 << 22
+MOST_KNOWN, GROUP_BYTES = 500_000, 1 << 23
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
