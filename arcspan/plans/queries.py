@@ -485,7 +485,7 @@ def first_line_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.first_model(rows, "conv_id", "turn")
 
 
-_PROFILE = ["# Samples: 9K", "", "    55.50%  vector-db  [.] nearest", "    20.25%  vector-db  [.] scan<f32>", " 1.10%  vector-db  [k] page_fault [x]", "    not a row", "0.07%  sh  [k] read", "    20.25%  vector-db  [.] merge"]
+_PROFILE = ["# Samples: 9K", "", "    55.50%  search  [.] nearest", "    20.25%  search  [.] scan<f32>", " 1.10%  search  [k] page_fault [x]", "    not a row", "0.07%  sh  [k] read", "    20.25%  search  [.] merge"]
 
 
 @query("SELECT * FROM (VALUES ('nearest', 55.5, 9717), ('merge', 20.25, 9717), ('scan<f32>', 20.25, 9717), ('page_fault [x]', 1.1, 9717), ('read', 0.07, 9717)) AS t(\"function\", percentage, total_samples)")
