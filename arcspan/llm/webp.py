@@ -154,13 +154,10 @@ def write_code(w: BitWriter, lengths: list[int]) -> None:
     for s in LENGTH_ORDER:
         w.put(of[s], 3)
     w.put(1, 1)
-    bits = max(2, (len(tokens) - 2).bit_length() if len(tokens) > 2 else 2)
-    half = (bits - 1) // 2 if bits > 2 else 0
-    half = max(0, -(-(bits - 2) // 2))
-    w.put(half, 3)
     if len(tokens) < 2:
-        tokens.append((tokens[0][0], 0, tokens[0][2]))
-        raise ValueError("too few tokens")
+        raise ValueError("a code of one length takes the short header")
+    half = max(0, -(-((len(tokens) - 2).bit_length() - 2) // 2))
+    w.put(half, 3)
     w.put(len(tokens) - 2, 2 + 2 * half)
     code = Code(of)
     for s, extra, n in tokens:
@@ -306,7 +303,7 @@ def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     groups_of, bits, n_groups = None, 0, 1
     if main and r.get(1):
         bits = r.get(3) + 2
-        w = -(-width >> bits) if False else (width + (1 << bits) - 1) >> bits
+        w = (width + (1 << bits) - 1) >> bits
         h = (height + (1 << bits) - 1) >> bits
         groups_of = ((read_pixels(r, w, h, False) >> np.uint32(8)) & 0xFFFF).reshape(h, w).tolist()
         n_groups = 1 + max(map(max, groups_of))
