@@ -1,8 +1,8 @@
 r"""SentencePiece encoding and decoding: a relational lattice.
 
-Texts are written with ``▁`` for spaces and one before the text, and cut into units that no piece crosses: a run of ``▁`` with the
-word behind it, or a character that no longer piece contains. Each distinct unit is encoded once: its substrings up to the longest
-piece's length are exploded and equi-joined with the piece table (a model's size, broadcast by the planner); the joined edges are
+Texts are written with ``▁`` for spaces and one before the text, and cut into units that no piece crosses: between two characters
+that stand side by side in no piece, which is known from the last byte of one and the first byte of the other. Each distinct unit
+is encoded once: its substrings up to the longest piece's length are exploded and equi-joined with the piece table (a model's size, broadcast by the planner); the joined edges are
 grouped by unit and folded with Spark's ``aggregate``. The fold is Viterbi for unigram models (:func:`viterbi`): best score to each
 place, from the edges that end there. The public vocabulary is of the BPE kind, where the greatest sum of scores is not the
 library's answer; for it the same lattice is folded by merges (:func:`merge`): the neighbouring pair whose edge has the best score,
@@ -44,12 +44,13 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 @dataclass(frozen=True)
 class Model:
-    """A piece table and how to fold it. ``alone``: characters that no longer piece contains."""
+    """A piece table and how to fold it. ``joined``: 256 times the last byte of a character plus the first byte of the next, of all
+    neighbours inside a piece."""
 
     kind: int
     rows: tuple[tuple[str, int, float, int], ...]
     longest: int
-    alone: str
+    joined: tuple[int, ...]
     unknown: int
     bytes: tuple[int, ...]
 
@@ -79,12 +80,13 @@ def load(path: str | None = None) -> Model:
 
 def model(kind: int, rows: list[tuple[str, int, float, int]]) -> Model:
     normal = [p for p, _, _, k in rows if k == NORMAL]
-    inside = {c for p in normal if len(p) > 1 for c in p}
+    written = [p.replace(SPACE, " ") for p in normal]
+    joined = {256 * a.encode()[-1] + b.encode()[0] for p in written for a, b in zip(p, p[1:], strict=False)}
     if any(SPACE in p.lstrip(SPACE) for p in normal):
         raise ValueError("a piece crosses words")
     by_byte = {p: i for p, i, _, k in rows if k == BYTE}
     unknown = next((i for _, i, _, k in rows if k == UNKNOWN), 0)
-    return Model(kind, tuple(rows), max(map(len, normal), default=1), "".join(c for c in "\n\t\r" if c not in inside), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
+    return Model(kind, tuple(rows), max(map(len, normal), default=1), tuple(sorted(joined)), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int, edge: Column, most: int = 1 << 30) -> DataFrame:
@@ -264,7 +266,7 @@ LONG = "unit string, n long, long_ids array<int>"
 class Units:
     """Rows of a large binary column as units: their places, hashes and rows. Spaces stand for the model's space."""
 
-    def __init__(self, column: pa.Array, i: int, j: int, alone: np.ndarray) -> None:
+    def __init__(self, column: pa.Array, i: int, j: int, apart: np.ndarray) -> None:
         off = offsets(column)[i : j + 1]
         raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
         full = np.diff(off) > 0
@@ -278,8 +280,7 @@ class Units:
         d = self.data
         start = np.zeros(len(d), bool)
         if len(d):
-            lone = alone[d]
-            start[1:] = ((d[1:] == 32) & (d[:-1] != 32)) | lone[1:] | lone[:-1]
+            start[1:] = apart[d[:-1].astype(np.uint16) << 8 | d[1:]]
             start[self.off[:-1][full]] = True
         self.s = np.flatnonzero(start)
         self.e = np.append(self.s[1:], len(d)) if len(self.s) else self.s
@@ -311,9 +312,12 @@ def _texts(column: pa.Array) -> pa.Array:
     return as_bytes(pc.replace_substring(column, SPACE, " "))
 
 
-def _alone(m: Model) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(m.alone.encode())] = True
+def _apart(m: Model) -> np.ndarray:
+    """For two bytes: whether a unit ends between them. Bytes inside a character are never parted."""
+    out = np.ones((256, 256), bool)
+    out[:, 0x80:0xC0] = False
+    out = out.reshape(-1)
+    out[list(m.joined)] = False
     return out
 
 
@@ -321,13 +325,13 @@ def _ask(m: Model, shards: int):
     """Texts to blobs by shard: the distinct units of a group of texts with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone, press = _alone(m), zstandard.ZstdCompressor(level=3)
+        apart, press = _apart(m), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             column = as_bytes(batch.column(0))
             for i, j in slices(column, GROUP_BYTES):
                 part, found = _texts(batch.column(0).slice(i, j - i)), []
                 for a, b in slices(part):
-                    u = Units(part, a, b, alone)
+                    u = Units(part, a, b, apart)
                     keys, at, n = np.unique(u.keys, return_index=True, return_counts=True)
                     found.append((keys, n, *u.cut(at)))
                 keys, n, data, length = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -471,11 +475,11 @@ def _compact(m: Model, known, holes: bool):
     """Key, id and text: either the row with its units as places in the table (0: a hole), or its holes, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone, table_ = _alone(m), known.value
+        apart, table_ = _apart(m), known.value
         for batch in batches:
             column = as_bytes(batch.column(2))
             for i, j in slices(column):
-                u = Units(_texts(batch.column(2).slice(i, j - i)), 0, j - i, alone)
+                u = Units(_texts(batch.column(2).slice(i, j - i)), 0, j - i, apart)
                 found = table_.find(u.keys)
                 if holes:
                     at = np.flatnonzero(found == 0)

@@ -92,6 +92,18 @@ def test_sentencepiece_equals_the_library(spark, most):
     assert piece_lattice.encode(empty(spark)).count() == 0
 
 
+def test_units_never_cut_a_piece():
+    m = piece_lattice.load()
+    pieces = [p.replace(piece_lattice.SPACE, " ") for p, _, _, k in m.rows if k == piece_lattice.NORMAL]
+    texts = [*pieces, *[f"x{p}z" for p in pieces]]
+    u = piece_lattice.Units(pa.array([t.encode() for t in texts], pa.large_binary()), 0, len(texts), piece_lattice._apart(m))
+    starts = set(u.s.tolist())
+    for t, at, lead in zip(texts, u.off[:-1].tolist(), [1] * len(pieces) + [2] * len(pieces), strict=True):
+        size = len(t.encode()) - (lead == 2) * 2
+        assert not starts & set(range(at + lead + 1, at + lead + size)), t
+    assert u.data.tobytes().decode() == "".join(" " + t for t in texts)
+
+
 def test_repeated_rows_are_encoded_each(spark):
     rows = docs(spark, ["hello unusual", "x"])
     got = piece_lattice.encode(rows.unionByName(rows), most=1).collect()
