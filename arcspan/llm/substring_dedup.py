@@ -15,7 +15,8 @@ Tasks settle what repeats within their own batch before they send anything, and
 third of all documents share arrives once for each batch, not once for each document. Only hashes are shuffled for the search.
 Texts are shuffled once, by row, to meet their spans.
 
-Hashes have 64 bits in a batch; between batches a window is known by its anchor (64 bits) and 32 bits of its own.
+Hashes have 64 bits; between batches a window is known by its anchor and the whole of its own hash, as many windows can have one
+anchor.
 
 Defined results: null and empty texts have no words; texts under ``min_words`` words lose nothing; rows repeated with the same id
 and text lose all their windows, as each stands in both; an empty table gives an empty table; other columns are kept by
@@ -166,7 +167,7 @@ def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int) -> Iterato
             r, f, m, w = row[sent], start[sent], anchor[sent], twice[sent]
             s = _stretches(r, f, m, w)
             n = np.diff(s, append=len(sent))
-            fp = (key[sent] >> np.uint64(32)).astype(np.uint32)
+            fp = key[sent]
             to = (mix(m[s]) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             m, r, f, w, n, s, to = m[s][order], rk[r[s]][order], f[s][order], w[s][order], n[order], s[order], to[order]
@@ -184,7 +185,7 @@ def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
-_BLOB = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
+_BLOB = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32, np.uint32)
 
 
 def _search(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +196,7 @@ def _search(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(anchor):
         begin = np.cumsum(n) - n
         place = np.arange(len(fp)) - np.repeat(begin, n)
-        sign = np.add.reduceat(mix(fp.astype(np.uint64) + place.astype(np.uint64) * PLACES[7]), begin) + n.astype(np.uint64)
+        sign = np.add.reduceat(mix(fp + place.astype(np.uint64) * PLACES[7]), begin) + n.astype(np.uint64)
         order = np.lexsort((sign, anchor))
         g = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0]))
         size = np.diff(g, append=len(order))
@@ -213,7 +214,7 @@ def _search(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     seen.setdefault(int(sign[r]), []).append(r)
                 for rows in seen.values():
                     r = rows[0]
-                    sequence = [(x << 32) | v for v in fp[begin[r] : begin[r] + n[r]].tolist()]
+                    sequence = [(x << 64) | v for v in fp[begin[r] : begin[r] + n[r]].tolist()]
                     automaton.add(sequence, sum(2 if known[y] else 1 for y in rows))
                     runs.append((sequence, [y for y in rows if not known[y]]))
             automaton.finish()

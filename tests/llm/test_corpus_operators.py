@@ -588,6 +588,14 @@ def test_substring_removal_and_reference(spark):
     assert substring_dedup.digests(empty(spark)).count() == 0
 
 
+def test_windows_of_one_anchor_are_told_apart_by_all_their_bits(spark):
+    passage = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{passage} x40893", f"{passage} x140502", f"{passage} x18517", f"{passage} x91288"]
+    _, _, anchor, key = substring_dedup.windows(Text(as_bytes(pa.array(texts)), 0, 4), 35)
+    assert len(set(anchor.tolist())) == 1 and len(set(key.tolist())) == 4 and len(set((key >> np.uint64(32)).tolist())) == 2
+    assert [r.n_removed for r in substring_dedup.digests(docs(spark, texts)).collect()] == [0] * 4
+
+
 def test_automaton_counts_occurrences():
     rng = random.Random(1)
     for _ in range(50):
