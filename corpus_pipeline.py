@@ -22,9 +22,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop(docs)
 
 
+#: Words in a shingle and least similarity of near duplicates here; the defaults of ``jaccard_join`` are those of op3's query.
+SHINGLE, PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
-    return jaccard_join.dedup(docs)
+    return jaccard_join.dedup(docs, SHINGLE, PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

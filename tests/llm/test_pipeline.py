@@ -29,5 +29,16 @@ def test_pipeline_of_nothing(spark):
     assert docs.count() == 0
 
 
+def test_near_duplicates_are_of_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far = [*words], [*words]
+    for k in (30, 60):  # 5-word shingles 86 of 106, 4-word shingles 89 of 105
+        near[k] = f"x{k}"
+    for k in (20, 50, 80):  # 81 of 111
+        far[k] = f"y{k}"
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, near, far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
