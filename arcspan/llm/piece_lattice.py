@@ -496,7 +496,7 @@ def _compact(m: Model, known, holes: bool):
 
 
 def _assemble(known, digest: bool):
-    """Rows of units and what fills their holes to ids, or to their number and digest."""
+    """Rows of units and what fills their holes to ids, with their number and digest if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = known.value
@@ -523,7 +523,8 @@ def _assemble(known, digest: bool):
                     out.append(gather(flat, start, length)[0] if not isinstance(flat, _Two) else flat.gather(start, length))
                 if digest:
                     more = [pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in out], pa.string())]
-                    yield pa.RecordBatch.from_arrays([batch.column(1), *more], names=["doc_id", "n_tokens", "ids_sha256"])
+                    ids_ = pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(1), ids_, *more], names=["doc_id", "ids", "n_tokens", "ids_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["doc_id", "rk", "ids"])
 
@@ -568,11 +569,11 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     fills = deal(holes.join(rest, "h").select("rk", "p", "ids"), "rk").groupBy("rk").agg(F.collect_list(F.struct("p", "ids")).alias("fills"))
     rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
     whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
-    return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
+    return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
 
 
-def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, text) of (key, ids); bytes that are no text become replacement characters."""
+def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``keep`` columns, text) of (key, ids); bytes that are no text become replacement characters."""
     m = m or load()
     pieces = m.pieces(encoded.sparkSession)
     raw = F.when(F.col("kind") == BYTE, F.substring("piece", 4, 2)).otherwise(F.hex(F.encode(F.replace(F.col("piece"), F.lit(SPACE), F.lit(" ")), "utf-8")))
@@ -581,9 +582,11 @@ def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id") -> D
     places = rows.select("_row", F.posexplode("ids").alias("p", "id")).join(F.broadcast(pieces), "id")
     whole = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("p", "raw"))), lambda x: x["raw"]), "")
     texts = places.groupBy("_row").agg(F.decode(F.unhex(whole), "utf-8").alias("text"))
-    return rows.join(texts, "_row", "left").select(key, F.coalesce(F.regexp_replace("text", "^ ", ""), F.lit("")).alias("text"))
+    return rows.join(texts, "_row", "left").select(key, *keep, F.coalesce(F.regexp_replace("text", "^ ", ""), F.lit("")).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, digest of the ids."""
-    return encode(table(spark, sf_dir, "documents"), digest=True)
+    """Per document: doc_id, n_tokens, digest of the ids, digest of the text that they decode to."""
+    encoded = cut(encode(table(spark, sf_dir, "documents"), digest=True))
+    told = ("n_tokens", "ids_sha256")
+    return decode(encoded, keep=told).select("doc_id", *told, F.sha2("text", 256).alias("text_sha256"))

@@ -92,6 +92,15 @@ def test_sentencepiece_equals_the_library(spark, most):
     assert piece_lattice.encode(empty(spark)).count() == 0
 
 
+def test_query_decodes_the_ids_it_made(spark, tmp_path):
+    texts = [None, "", "two  words", "a▁b é 日 🙂\n\x00", "hello unusual", "hello unusual"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.doc_id: r.ids for r in piece_lattice.encode(docs(spark, texts)).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(i, len(ids[i]), sha(np.array(ids[i], "<u4").tobytes()), sha((t or "").replace("▁", " ").encode())) for i, t in enumerate(texts)]
+    assert sorted(tuple(r) for r in piece_lattice.query(spark, str(tmp_path)).collect()) == want
+
+
 def test_units_never_cut_a_piece():
     m = piece_lattice.load()
     pieces = [p.replace(piece_lattice.SPACE, " ") for p, _, _, k in m.rows if k == piece_lattice.NORMAL]
