@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are parsed at once. Temporary arrays take about 60 bytes for each of them.
+#: Bytes of text that are parsed at once. :class:`Text` takes about 40 bytes for each of them, :class:`Words` for those of one piece.
 SLICE_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -34,6 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="arcspan-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -50,17 +51,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, upon which Spark removes the shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(spark: SparkSession) -> int:
     """Partitions that the session asks of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text to a shard, which one task holds as a whole.
+SHARD_BYTES = 1 << 23
+
+
+def shards(docs: DataFrame, text: str = "text") -> int:
+    """Shards for tables made from these texts: at least the partitions of the session, and more as the texts grow."""
+    n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-n // SHARD_BYTES))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def deal(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by ``keys``, into as many partitions as the session asks."""
     return df.repartition(parts(df.sparkSession), *[F.col(k) for k in keys])
@@ -189,6 +205,47 @@ class Text:
         return np.diff(np.searchsorted(np.flatnonzero(flags), self.off))
 
 
+class Words:
+    """Rows ``i`` to ``j`` of a large binary column as hashes of words: 8 bytes a word, however long a row is."""
+
+    def __init__(self, column: pa.Array, i: int, j: int, fold: bool = False) -> None:
+        off = offsets(column)[i : j + 1]
+        self.n = j - i
+        if j - i > 1 or off[-1] - off[0] <= 2 * SLICE_BYTES:
+            t = Text(column, i, j, fold)
+            self.hashes, self.first, self.n_words = t.words(), t.first, t.n_words
+            return
+        found, at, end = [], int(off[0]), int(off[1])
+        data = np.frombuffer(column.buffers()[2], np.uint8, end, 0)
+        while at < end:
+            to = at
+            while True:  # a piece ends at a blank
+                to = min(to + SLICE_BYTES, end)
+                blanks = np.flatnonzero(~IS_WORD[data[at:to]]) if to < end else ()
+                if to == end or len(blanks):
+                    break
+            to = end if to == end else at + int(blanks[-1]) + 1
+            found.append(Text(pa.array([data[at:to].tobytes()], pa.large_binary()), 0, 1, fold).words())
+            at = to
+        self.hashes = np.concatenate(found)
+        self.n_words = np.array([len(self.hashes)])
+        self.first = np.array([0, len(self.hashes)])
+
+    def words(self) -> np.ndarray:
+        return self.hashes
+
+    def rows_of_words(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), self.n_words)
+
+
+def runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of equal values."""
+    if not len(x):
+        return [], []
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return start, [*start[1:], len(x)]
+
+
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, whatever row they are in."""
     n = len(words) - k + 1

@@ -12,15 +12,18 @@ documents link when 100 * intersection >= ``percent`` * union. The result is eac
 3. Join. A unit stores its sets, ordered by how frequent their shingles are in it, in a path-compressed trie and traverses it with
    each set: sets that begin alike share the partial overlap, and a subtree is left when the overlap so far and the remaining
    lengths cannot reach the bound, or when all of it is already in the set's component. So a dense group of copies costs about
-   one path each, and no pairs are listed. Units over :data:`UNIT_SETS` sets or :data:`UNIT_SHINGLES` shingles are split, each
-   two parts meeting once.
+   one path each, and no pairs are listed. Units over :data:`PART` sets are split (:func:`_linked`): parts are joined by
+   themselves and with a few leaders, which makes one component of a dense group; only sets outside the unit's largest component
+   then visit the other parts. A group of n near copies costs n rows; m sets outside cost m * n / :data:`PART`.
 
-Equal sets count as one set from the start of step 2 on. Shingles are 64-bit hashes. Links and components are tables; the driver
-only sees counts.
+Equal sets count as one set from the start of step 2 on. Shingles, sets and rows (by id and text) are known by 64-bit hashes: of
+10 ** 11 rows some 270 pairs would share a key. Links and components are tables; the driver only sees counts and the total size
+of the texts, from which shards get their number, so that none grows with the corpus.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; the component of
 rows without ids is named by the least id it has, or null; repeated rows each get a row; an empty table gives an empty table;
-other columns are kept by :func:`dedup` and not read otherwise.
+other columns, whatever their names, are kept by :func:`dedup` and not read otherwise. A long text is parsed in pieces, and takes
+memory for the hashes of its words, about 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -33,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, Text, as_bytes, by_shard, checkpoint_dir, cut, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, Words, as_bytes, by_shard, checkpoint_dir, cut, grams, lean, mix, pack_arrays, runs, shards, slices, spare, table, unpack_arrays, whole_runs
 from arcspan.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 GROUP_BYTES = 1 << 22
-UNIT_SETS, UNIT_SHINGLES = 1500, 3_000_000
+#: Sets and shingles of a unit beyond which it is split into parts of this size, and the sets of it that are joined with every part.
+PART, PART_SHINGLES, LEADERS = 64, 1_500_000, 8
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
 
-def shingles(t: Text, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(t: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, sorted within it, and the ends of the rows."""
     words = t.words()
     rows = t.rows_of_words()
@@ -77,7 +81,7 @@ def _ask(batches: Iterator[pa.RecordBatch], size: int, shards: int, blocks: int)
             part = column.slice(i, j - i)
             keys, owner = [], []
             for a, b in slices(part):
-                h, ends = shingles(Text(part, a, b, fold=True), size)
+                h, ends = shingles(Words(part, a, b, fold=True), size)
                 keys.append(_keys(h, shards))
                 owner.append(np.repeat(np.mod(rk[i + a : i + b], blocks), np.diff(ends)))
             key, block = np.concatenate(keys), np.concatenate(owner).astype(np.uint32)
@@ -87,11 +91,11 @@ def _ask(batches: Iterator[pa.RecordBatch], size: int, shards: int, blocks: int)
             keep[2:] = (key[2:] != key[:-2]) | (block[2:] != block[:-2])
             key, block = key[keep], block[keep]
             shard = (key >> _32).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard) != 0])) if len(key) else np.zeros(0, np.int64)
+            cuts, ends = runs(shard)
             blobs = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
-                at = np.flatnonzero(np.concatenate([[True], np.diff(block[a:b]) != 0]))
-                blobs.append(pack_arrays(block[a:b][at], np.diff(at, append=b - a).astype(np.uint32), (key[a:b] & _LOW).astype(np.uint32)))
+            for a, b in zip(cuts, ends, strict=True):
+                at, to = (np.array(x, np.int64) for x in runs(block[a:b]))
+                blobs.append(pack_arrays(block[a:b][at], (to - at).astype(np.uint32), (key[a:b] & _LOW).astype(np.uint32)))
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
@@ -115,8 +119,8 @@ def _count(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, (block, low, times) in by_shard(batches, _count):
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0])) if len(block) else np.zeros(0, np.int64)
-        blobs = [pack_arrays(np.array([shard], np.int64), low[a:b], times[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True)]
+        cuts, ends = runs(block)
+        blobs = [pack_arrays(np.array([shard], np.int64), low[a:b], times[a:b]) for a, b in zip(cuts, ends, strict=True)]
         if blobs:
             yield pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
@@ -157,7 +161,7 @@ def _order(batches: Iterator[pa.RecordBatch], size: int, percent: int, shards: i
             first = last
             column = as_bytes(part.column(4))
             for i, j in slices(column):
-                h, ends = shingles(Text(column, i, j, fold=True), size)
+                h, ends = shingles(Words(column, i, j, fold=True), size)
                 n = np.diff(ends)
                 rows = np.repeat(np.arange(j - i), n)
                 total = np.zeros(len(h) + 1, np.uint64)
@@ -189,8 +193,8 @@ def _order(batches: Iterator[pa.RecordBatch], size: int, percent: int, shards: i
                     ids, size_class = np.repeat([x[1] for x in routes], counts), np.repeat([x[2] for x in routes], counts).astype(np.uint8)
                     to = (mix(token) % np.uint64(shards)).astype(np.int64)
                     by = np.argsort(to, kind="stable")
-                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) != 0]))
-                    blobs = [pack_arrays(token[by[a:b]], ids[by[a:b]], size_class[by[a:b]]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True)]
+                    cuts, ends = runs(to[by])
+                    blobs = [pack_arrays(token[by[a:b]], ids[by[a:b]], size_class[by[a:b]]) for a, b in zip(cuts, ends, strict=True)]
                     yield _rows(ROUTES, part.column(3).type, n=pa.array(to[by[cuts]]), blob=pa.array(blobs, pa.binary()))
 
 
@@ -327,45 +331,100 @@ class Trie:
                 node.uniform = node.uniform and self.top(node.one) == self.top(own)
 
 
-def join_sets(rids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Prefix-tree join of sets: for each that links to others, a link to the first of its component."""
+def join_sets(rids: list[int], sets: list[np.ndarray], percent: int = PERCENT, guests: list[bool] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Prefix-tree join of sets: for each that links to others, a link to the first of its component.
+
+    Guests are joined with the other sets, but neither of the two kinds among themselves. Sets with the same ``known`` component
+    are linked already.
+    """
     values, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
     flat = rank[flat]
-    trie, at = Trie(len(values), percent), 0
-    for own, s in enumerate(sets):
-        ranks = np.sort(flat[at : at + len(s)])
-        at += len(s)
-        trie.up.append(own)
-        trie.link(ranks, own)
-        trie.add(ranks, own)
+    trie, ends = Trie(len(values), percent), np.cumsum([len(s) for s in sets])
+    first: dict[int, int] = {}
+    trie.up = [first.setdefault(known[x], x) if known else x for x in range(len(sets))]
+    for own in sorted(range(len(sets)), key=lambda x: guests[x]) if guests else range(len(sets)):
+        ranks = np.sort(flat[ends[own] - len(sets[own]) : ends[own]])
+        if not guests or guests[own]:
+            trie.link(ranks, own)
+        if not guests or not guests[own]:
+            trie.add(ranks, own)
     return [(rids[x], rids[t]) for x in range(len(sets)) if (t := trie.top(x)) != x]
 
 
-def _join(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit: unit, rid, set."""
+def _join(batches: Iterator[pa.RecordBatch], percent: int, visits: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit: unit, rid, set, guest, known component."""
+
+    def linked(sets: dict[int, tuple]) -> list[tuple[int, int]]:
+        rows = list(sets.values())
+        found = ([x[1] for x in rows], [x[2] for x in rows]) if visits else (None, None)
+        return join_sets(list(sets), [x[0] for x in rows], percent, *found) if len(sets) > 1 else []
 
     def units() -> Iterator[list[tuple[int, int]]]:
         now, sets = None, {}
         for batch in batches:
-            for unit, rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if unit != now:
-                    if len(sets) > 1:
-                        yield join_sets(list(sets), list(sets.values()), percent)
-                    now, sets = unit, {}
-                if rid not in sets:
-                    sets[rid] = np.frombuffer(blob.as_py(), np.uint64)
-        if len(sets) > 1:
-            yield join_sets(list(sets), list(sets.values()), percent)
+            unit, rid, blob, guest, known = batch.columns
+            for u, r, x, g, k in zip(unit.to_pylist(), rid.to_pylist(), blob, guest.to_pylist(), known.to_pylist(), strict=True):
+                if u != now:
+                    yield linked(sets)
+                    now, sets = u, {}
+                if r not in sets:
+                    sets[r] = np.frombuffer(x.as_py(), np.uint64), g, k
+        yield linked(sets)
 
     return _links(units())
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, rk (xxhash64 of id and text), n_shingles, component_id."""
+def _units(rows: DataFrame, width: int, percent: int, visits: bool) -> DataFrame:
+    """Links (a, b) of rows (unit, rid, blob, guest, known)."""
+    dealt = rows.repartition(width, "unit").sortWithinPartitions("unit", "guest", "rid")
+    return dealt.mapInArrow(lean(lambda b: _join(b, percent, visits)), "a long, b long")
+
+
+def _linked(sets: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of sets (rid, n, blob) within the units (node, root).
+
+    A unit over :data:`PART` sets is split into that many parts, each joined by itself and with the unit's :data:`LEADERS`, sets of
+    least hash. The sets outside the component that is then the unit's largest visit all parts, so any two sets that do not
+    share a component by then have met.
+    """
+    sized = sets.select("rid", "n", "blob").join(candidates.withColumnRenamed("node", "rid"), "rid").dropDuplicates(["rid"])
+    sized = cut(sized.select("root", "rid", "n", "blob"))
+    unit = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    g = F.greatest(F.ceil(F.col("sets") / PART), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
+    unit = cut(unit.select("root", F.when(F.col("sets") <= 2, 1).otherwise(g).alias("g")))
+    no = F.lit(False).alias("guest"), F.lit(0).cast("long").alias("known")
+    sized = sized.join(unit, "root").withColumn("slot", F.pmod(F.xxhash64("rid"), F.col("g")).cast("int"))
+    name = F.xxhash64("root", "slot").alias("unit")
+    parted = sized.select(name, "rid", "blob", *no)
+    if unit.where("g > 1").isEmpty():
+        return _units(parted, width, percent, False)
+
+    large = sized.where("g > 1")
+    leaders = large.groupBy("root", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(LEADERS)).alias("h")).agg(F.min("rid").alias("rid"))
+    leaders = large.join(leaders.select("rid"), "rid", "left_semi").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    links = cut(_units(parted.unionByName(leaders.select(name, "rid", "blob", *no)), width, percent, False))
+
+    found = components(links)
+    large = cut(large.join(found.select(F.col("node").alias("rid"), F.col("root").alias("c")), "rid", "left").withColumn("known", F.coalesce("c", "rid")).drop("c"))
+    most = large.groupBy("root", "known").count().groupBy("root").agg(F.max_by("known", F.struct("count", "known")).alias("most"))
+    others = large.join(cut(most), "root").where("known <> most").drop("most")
+    visits = cut(others.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("v")))
+    if visits.isEmpty():
+        return links
+    hosts = large.join(visits, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
+    guests = others.join(visits, "root").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("v")).cast("int"))
+    guests = guests.withColumnRenamed("slot", "own").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).where("slot <> own")
+    met = F.xxhash64("root", "slot", "chunk").alias("unit")
+    both = hosts.select(met, "rid", "blob", F.lit(False).alias("guest"), "known").unionByName(guests.select(met, "rid", "blob", F.lit(True).alias("guest"), "known"))
+    return links.unionByName(_units(both, width, percent, True))
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row: doc_id, rk, n_shingles, component_id, and root, the same for all rows of a component (null for an empty set)."""
     spark = docs.sparkSession
-    width = parts(spark)
+    width = shards(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
     asked = read.select("rk", "text").mapInArrow(lean(lambda b: _ask(b, size, width, width)), "shard int, blob binary")
@@ -383,32 +442,31 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     met = routes.select(F.col("n").cast("int").alias("shard"), "blob").repartition(width, "shard").sortWithinPartitions("shard")
     met = met.mapInArrow(lean(lambda b: _links(x for _, x in by_shard(b, _meet))), "a long, b long")
-    candidates = components(met)
-    sized = sets.select("rid", "n", "blob").join(candidates.withColumnRenamed("node", "rid"), "rid").select("root", "rid", "n", "blob")
-    unit = candidates.join(sets.select(F.col("rid").alias("node"), "n").distinct(), "node").groupBy("root")
-    unit = unit.agg(F.greatest(F.ceil(F.count("*") / (UNIT_SETS / 2)), F.ceil(F.sum("n") / (UNIT_SHINGLES / 2))).cast("int").alias("g"))
-    unit = unit.withColumn("g", F.when((F.col("g") <= 2), F.lit(1)).otherwise(F.col("g")))
-    slot = F.pmod(F.xxhash64("rid"), F.col("g")).cast("int")
-    others = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda x: x != slot))
-    spread = sized.join(unit, "root").select("root", "rid", "blob", slot.alias("slot"), F.explode(others).alias("other"))
-    spread = spread.select(F.xxhash64("root", F.least("slot", "other"), F.greatest("slot", "other")).alias("unit"), "rid", "blob")
-    links = spread.repartition(width, "unit").sortWithinPartitions("unit", "rid").mapInArrow(lean(lambda b: _join(b, percent)), "a long, b long")
-
-    found = components(links).withColumnRenamed("node", "rid")
+    found = components(_linked(sets, components(met), width, percent)).withColumnRenamed("node", "rid")
     least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least")).join(found, "rid", "left")
     least = cut(least.select("rid", F.coalesce("root", "rid").alias("root"), "least"))
     groups = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("rid", "root").join(groups, "root").select("rid", "component_id")
+    named = least.select("rid", "root").join(groups, "root")
     out = rows.select("doc_id", "rk", "rid", F.col("n").alias("n_shingles")).join(named, "rid", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+
+
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, rk (xxhash64 of id and text), n_shingles, component_id."""
+    return _joined(docs, size, percent).drop("root")
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents less all but one of each component: the one with its least id, all columns as they are."""
-    joined = join(docs, size, percent)
-    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("_rk"))
-    keep = keep.distinct()
-    return docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(keep, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    """The documents less all but one row of each component: one with its least id, of those the one with the least key.
+
+    Rows without words stay, once for each id and text. All columns are as they are.
+    """
+    joined = _joined(docs, size, percent)
+    alone = joined.where("root is null").select("rk")
+    one = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk"))["rk"].alias("rk"))
+    (key,) = spare(docs, "row_key")
+    keep = alone.unionByName(one.select("rk")).distinct().withColumnRenamed("rk", key)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcspan.llm import chat_format, jaccard_join, line_dedup, packing, pii, piece_lattice, quality_model, quality_rules, substring_dedup, webp
-from arcspan.llm.common import Text, as_bytes, grams, slices, whole_runs
+from arcspan.llm.common import Text, Words, as_bytes, grams, slices, whole_runs
 from arcspan.llm.components import components
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,14 @@ def test_query_decodes_the_ids_it_made(spark, tmp_path):
     assert sorted(tuple(r) for r in piece_lattice.query(spark, str(tmp_path)).collect()) == want
 
 
+def test_decoding_odd_ids(spark):
+    rows = spark.createDataFrame([(1, [230]), (2, [0]), (3, [1, 2]), (4, [99999999, -4]), (5, None), (6, []), (7, [None])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in piece_lattice.decode(rows).collect()}
+    assert got == {1: "\ufffd", 2: "\u2047 ", 3: "", 4: "\ufffd\ufffd", 5: "", 6: "", 7: "\ufffd"}
+    with pytest.raises(ValueError, match="bits"):
+        piece_lattice.model(piece_lattice.BPE, [("a", 1 << 24, 0.0, piece_lattice.NORMAL)])
+
+
 def test_units_never_cut_a_piece():
     m = piece_lattice.load()
     pieces = [p.replace(piece_lattice.SPACE, " ") for p, _, _, k in m.rows if k == piece_lattice.NORMAL]
@@ -145,29 +153,80 @@ def test_viterbi_equals_brute_force(spark):
 # --- 2 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one_and_prefers_what_it_saw():
-    rng = np.random.default_rng(1)
-    counts = np.zeros((64, 64, 64), np.int64)
-    at = rng.integers(0, 20, (3, 4000))
-    np.add.at(counts, tuple(at), 1)
-    p = np.exp(quality_model.kneser_ney(counts).astype(np.float64))
-    assert np.allclose(p.sum(-1), 1, atol=1e-4)
-    assert p[counts > 3].mean() > p[counts == 0].mean() * 5
-
-
-def test_interpolation_against_the_formula():
-    counts = np.zeros((64, 64, 64), np.int64)
-    for c, n in (((1, 2, 3), 4), ((1, 2, 4), 1), ((5, 2, 3), 2), ((1, 3, 3), 1), ((2, 3, 4), 3), ((7, 7, 7), 1), ((8, 7, 7), 2)):
-        counts[c] = n
-    d3, pairs = quality_model._discounts(counts), np.count_nonzero(counts, axis=0)
-    d2, single = quality_model._discounts(pairs), np.count_nonzero(pairs, axis=0)
-    d1 = quality_model._discounts(single)
-    p1 = (max(single[3] - d1[min(single[3], 3)], 0) + sum(d1[min(x, 3)] for x in single) / 64) / single.sum()
-    row = pairs[2]
-    p2 = max(row[3] - d2[min(row[3], 3)], 0) / row.sum() + sum(d2[min(x, 3)] for x in row) / row.sum() * p1
-    own = counts[1, 2]
-    p3 = max(own[3] - d3[min(own[3], 3)], 0) / own.sum() + sum(d3[min(x, 3)] for x in own) / own.sum() * p2
-    assert abs(np.exp(quality_model.kneser_ney(counts)[1, 2, 3]) - p3) < 1e-6
+def brute_model(texts, order=quality_model.ORDER):
+    """log P(c | context) by interpolated modified Kneser-Ney smoothing, from dictionaries."""
+    counts = collections.Counter(p[i : i + order] for t in texts for p in [quality_model.BEGIN * (order - 1) + t] for i in range(len(t)))
+    tables = [counts]
+    for _ in range(order - 1):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    stats = []
+    for t in tables:
+        n = [sum(c == k for c in t.values()) for k in range(6)]
+        d = [0, 0.5, 0.75, 0.9]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [0, *(max(0.05, min(k - 0.05, k - (k + 1) * y * (n[k + 1] / n[k] if n[k] else 1))) for k in (1, 2, 3))]
+        by = collections.defaultdict(list)
+        for g, c in t.items():
+            by[g[:-1]].append(c)
+        stats.append((t, d, by))
+
+    def p(g, level=0):
+        if level == order:
+            return 1 / (len(tables[-1]) + 1)
+        t, d, by = stats[level]
+        lower = p(g[1:], level + 1)
+        if g[:-1] not in by:
+            return lower
+        own = by[g[:-1]]
+        return max(t.get(g, 0) - d[min(t.get(g, 0), 3)], 0) / sum(own) + sum(d[min(c, 3)] for c in own) / sum(own) * lower
+
+    return p
+
+
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(quality_model, "PIECE", 500)
+    texts = [t for t in some_texts(21, 40) if t] + ["a\0\0b\0", "\0\0\0\0\0\0", "🙂🙂 é", "never seen Ω symbols"]
+    train = {"x": texts[:20], None: texts[15:30]}
+    rows = [(t, lang) for lang, ts in train.items() for t in ts] + [(None, "x")]
+    model = quality_model.train(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [(i, t, lang) for i, (t, lang) in enumerate([(t, lang) for t in texts for lang in ("x", None, "none")] + [(None, "x"), ("", None)])]
+    got = {r.doc_id: r for r in quality_model.score(spark.createDataFrame(asked, "doc_id long, text string, lang string").repartition(3), model).collect()}
+    assert len(got) == len(asked)
+    order = quality_model.ORDER
+    for i, t, lang in asked:
+        if lang == "none" or not t:
+            assert got[i].perplexity is None
+            continue
+        p = brute_model(train[lang]) if i < 3 else p_of[lang]
+        if i < 3:
+            p_of = {**(p_of if i else {}), lang: p}
+        padded = quality_model.BEGIN * (order - 1) + t
+        want = np.exp(-np.mean([np.log(p(padded[k : k + order])) for k in range(len(t))]))
+        assert abs(got[i].perplexity / want - 1) < 1e-9, (i, t, lang)
+        assert got[i].n_bytes == len(t.encode())
+
+
+def test_probabilities_sum_to_one():
+    p = brute_model(["abracadabra", "banana bread"])
+    alphabet = {*"abracadabra banana bread"}
+    for context in ("abra", "\x02\x02\x02\x02", "nana", "zzzz"):
+        assert abs(sum(p(context + c) for c in alphabet) + p(context + "?") - 1) < 1e-9
+
+
+def test_limits_come_from_documents_held_out(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["river", "stone", "walks", "over", "green", "hill"], k=40)) for _ in range(120)]
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    held = [r.doc_id for r in table.where(quality_model._held_out()).collect()]
+    model = quality_model.train(table.where(~quality_model._held_out()))
+    of = {r.doc_id: r.perplexity for r in quality_model.score(table, model).collect()}
+    out = quality_model.classify(table, labels, quantile=1.0, margin=1.0).collect()
+    assert 0 < len(held) < 60 and {r.max_perplexity for r in out} == {max(of[i] for i in held)}
+    twice = quality_model.classify(table.unionByName(table), labels)
+    assert twice.count() == 240
 
 
 def test_classifier_keeps_clean_text_and_rejects_noise(spark):
@@ -209,9 +268,10 @@ def brute_components(texts):
     return {i: (len(sets[i]), top(i)) for i in range(len(sets))}
 
 
-@pytest.mark.parametrize(("seed", "unit"), [(1, 1500), (2, 1500), (3, 12)])
-def test_jaccard_join(spark, monkeypatch, seed, unit):
-    monkeypatch.setattr(jaccard_join, "UNIT_SETS", unit)
+@pytest.mark.parametrize(("seed", "part", "leaders"), [(1, 1500, 8), (2, 64, 8), (3, 12, 2), (4, 5, 1)])
+def test_jaccard_join(spark, monkeypatch, seed, part, leaders):
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
     rng = random.Random(seed)
     texts = some_texts(seed, 150)
     base = words(texts[20]) + ["q"] * 3 + rng.choices(["u", "v", "w"], k=60)
@@ -234,6 +294,45 @@ def test_jaccard_dedup_keeps_one_row_of_each_component(spark):
     assert [r.component_id for r in jaccard_join.join(nulls).collect()] == [None, None]
 
 
+#: Tables without repeats, without words, of one row, and of good rows beside a partition of nulls.
+PLAIN = {"none": [], "null": [None], "blank": [" ", "", "\n"], "one": ["a b c d e f"], "unlike": [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)], "beside": [" ".join(f"w{i % 40}x{k}" for k in range(60)) for i in range(80)] + [None]}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+@pytest.mark.parametrize("width", [1, 8, 211])
+def test_jaccard_join_of_plain_tables(spark, name, width):
+    texts = PLAIN[name]
+    rows = docs(spark, texts, max(1, len(texts))) if texts else empty(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        want = brute_components(texts)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()} == want
+        if width == 8:
+            assert sorted(r.doc_id for r in jaccard_join.dedup(rows).collect()) == sorted({c for _, c in want.values()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_dedup_keeps_one_row_where_rows_share_an_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = spark.createDataFrame([(5, " ".join(base), 1), (5, " ".join([*base[:-1], "x"]), 2), (5, "other words here", 3), (None, " ".join([*base[1:], "y"]), 4)], "doc_id long, text string, row_key int")
+    kept = jaccard_join.dedup(rows).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {5} and 3 in {r.row_key for r in kept}
+
+
+def test_words_of_long_rows_are_parsed_in_pieces(monkeypatch):
+    from arcspan.llm import common
+
+    texts = ["a bb " * 300, "x" * 3000 + " y" + "z" * 900, " " * 2000, "one"]
+    column = as_bytes(pa.array(texts))
+    whole = [common.Text(column, i, i + 1, True).words().tolist() for i in range(4)]
+    monkeypatch.setattr(common, "SLICE_BYTES", 100)
+    for i in range(4):
+        w = common.Words(column, i, i + 1, True)
+        assert w.words().tolist() == whole[i] and w.n_words.tolist() == [len(whole[i])]
+
+
 def test_trie_equals_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
@@ -563,9 +662,10 @@ def brute_kept(texts, k):
 
 
 @pytest.mark.parametrize(("k", "alphabet"), [(5, "ab"), (6, "abcd"), (35, "abcdefgh")])
-@pytest.mark.parametrize("group", [1 << 23, 400])
-def test_substring_dedup(spark, monkeypatch, k, alphabet, group):
-    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group)
+@pytest.mark.parametrize(("group", "hot", "most", "shard"), [(1 << 23, 256, 60_000, 20_000), (400, 256, 60_000, 20_000), (400, 2, 60_000, 300), (400, 3, 200, 100), (700, 3, 0, 100)])
+def test_substring_dedup(spark, monkeypatch, k, alphabet, group, hot, most, shard):
+    for name, value in (("GROUP_BYTES", group), ("HOT", hot), ("MOST_PASSAGE_WORDS", most), ("SHARD_WORDS", shard)):
+        monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(k)
     base = [rng.choice(alphabet) for _ in range(400)]
     texts = [None, "", "   ", "a " * 50]
@@ -597,10 +697,32 @@ def test_substring_removal_and_reference(spark):
     assert substring_dedup.digests(empty(spark)).count() == 0
 
 
+def test_one_common_phrase_removes_nothing_else(spark, monkeypatch):
+    """Windows that differ around one phrase, the anchor of all of them, in batches of their own."""
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 4000)
+    rng = random.Random(8)
+    phrases = [[f"p{i}q{k}" for k in range(18)] for i in range(4000)]
+    column = as_bytes(pa.array([" ".join(x) for x in phrases]))
+    phrase = phrases[int(np.argmin([grams(Words(column, i, i + 1).words(), 18)[0] for i in range(4000)]))]
+    texts = [" ".join([f"{i}a{k}" for k in range(17)] + phrase + [f"{i}b{k}" for k in range(17)]) for i in range(3000)]
+    passage = [f"s{k}" for k in range(60)]
+    for i in rng.sample(range(3000), 700):  # beside it a passage that does repeat
+        texts[i] += " " + " ".join(passage)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.digests(docs(spark, texts)).collect()}
+    assert got == {i: 60 if "s59" in t else 0 for i, t in enumerate(texts)}
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, passage, "k", "r", 7, 8), (2, passage, "k", "r", 7, 8)], "doc_id long, text string, row_key string, Repeats string, _rk int, _spans int")
+    out = substring_dedup.remove(rows)
+    assert out.columns == rows.columns and sorted(tuple(r) for r in out.collect()) == [(1, "", "k", "r", 7, 8), (2, "", "k", "r", 7, 8)]
+
+
 def test_windows_of_one_anchor_are_told_apart_by_all_their_bits(spark):
     passage = " ".join(f"w{i}" for i in range(34))
     texts = [f"{passage} x40893", f"{passage} x140502", f"{passage} x18517", f"{passage} x91288"]
-    _, _, anchor, key = substring_dedup.windows(Text(as_bytes(pa.array(texts)), 0, 4), 35)
+    _, _, anchor, key = substring_dedup.windows(Words(as_bytes(pa.array(texts)), 0, 4), 35)
     assert len(set(anchor.tolist())) == 1 and len(set(key.tolist())) == 4 and len(set((key >> np.uint64(32)).tolist())) == 2
     assert [r.n_removed for r in substring_dedup.digests(docs(spark, texts)).collect()] == [0] * 4
 
