@@ -1,31 +1,34 @@
 """Substring dedup: passages of ``min_words`` words or more that stand in more than one place are removed, each time they occur.
 
 A window is ``min_words`` consecutive words of one document. A word goes if a window that covers it has a word sequence that
-starts anywhere else too. The method is suffix automata of reference shards that documents are streamed through:
+starts anywhere else too. The method is broadcast suffix automata of reference shards that documents are streamed through. With the
+corpus as its own reference it has two parts, as all of a corpus cannot be broadcast:
 
-* :func:`remove_reference` is the broadcast form, for a reference whose size is checked against a bound: one automaton over the
-  reference's words for each shard; each document's matching statistics give the maximal shared spans.
-* :func:`repeated` is the form for a corpus against itself, where the reference is all documents and cannot be broadcast. Each
-  window goes to the shard of its anchor, the least hash of the shorter runs of words in it, which depends on the window's words
-  alone; so equal windows meet, and neighbours mostly stay together as runs. A shard's automaton is built over its distinct
-  runs, a symbol for each window; runs stream through it, and what occurs twice or more is a maximal repeated span. Runs whose
-  anchor no other run has are skipped, and runs that all equal each other pass the automaton as one.
+* :func:`reference` finds the frequent repeated passages, bounded in words. They are broadcast, and each worker builds suffix
+  automata of shards of them. Documents stream through; where a matching statistic reaches ``min_words``, the window is one of a
+  passage, so it repeats. What a third of all documents share is settled here and never shuffled.
+* The other windows go to the shard of their anchor, the least hash of the shorter runs of words in them, which depends on the
+  window's words alone; so equal windows meet, and neighbours mostly stay together as runs. Where runs with one anchor differ, an
+  automaton over the distinct runs, a symbol for each window, gives the maximal spans that occur twice or more; runs that all equal
+  each other pass as one. Windows whose anchor is hot (many distinct windows around one common phrase) go by their own hash.
 
-Tasks settle what repeats within their own batch before they send anything, and send each distinct window once: a passage that a
-third of all documents share arrives once for each batch, not once for each document. Only hashes are shuffled for the search.
-Texts are shuffled once, by row, to meet their spans.
+:func:`remove_reference` is the broadcast form for any reference whose size is checked against a bound.
 
-Hashes have 64 bits; between batches a window is known by its anchor and the whole of its own hash, as many windows can have one
-anchor.
+Tasks settle what repeats within their own batch before they send anything, and send each distinct window once. Only hashes are
+shuffled for the search; shards get their number from the size of the texts. Texts are shuffled once, by row, to meet their spans.
+
+Windows are told apart by 128 bits between tasks: 64 of their anchor and 64 of their own, or by two hashes of 64 where the anchor is
+hot; inside a group of :data:`GROUP_BYTES` by 64. Rows are known by a 64-bit hash of id and text.
 
 Defined results: null and empty texts have no words; texts under ``min_words`` words lose nothing; rows repeated with the same id
-and text lose all their windows, as each stands in both; an empty table gives an empty table; other columns are kept by
-:func:`remove` and not read otherwise.
+and text lose all their windows, as each stands in both; an empty table gives an empty table; other columns, whatever their names,
+are kept by :func:`remove` and not read otherwise. A long text is parsed in pieces; it takes about 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import compress
 
@@ -34,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, SLICE_BYTES, Text, as_bytes, by_shard, grams, lean, mix, pack_arrays, parts, slices, table, unpack_arrays, whole_runs
+from arcspan.llm.common import PLACES, SLICE_BYTES, Words, as_bytes, by_shard, grams, lean, mix, pack_arrays, shards, slices, spare, table, unpack_arrays, whole_runs
 
 MIN_WORDS = 35
 #: Bytes of text in which repeats are settled before windows are sent.
 GROUP_BYTES = 1 << 23
-#: Words that a broadcast reference may have, and words in each of its automata.
-MOST_REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 250_000
+#: Stretches of windows that make an anchor hot, hot anchors at most, and words of the passages that are broadcast (0.5 MB).
+HOT, MOST_HOT, MOST_PASSAGE_WORDS = 256, 200_000, 60_000
+#: Words that a given reference may have, and words in each automaton.
+MOST_REFERENCE_WORDS, SHARD_WORDS = 250_000, 20_000
 
 
 class Automaton:
@@ -88,11 +93,10 @@ class Automaton:
             self.count[self.link[s]] += self.count[s]
         return self
 
-    def spans(self, sequence: list, least: int, times: int) -> list[tuple[int, int]]:
-        """Maximal spans of ``least`` symbols or more, each covered by factors that occur ``times`` times or more: start, end."""
-        out: list[list[int]] = []
+    def statistics(self, sequence: list, times: int = 1) -> Iterator[int]:
+        """Matching statistics: for each place the length of the longest factor that ends there and occurs ``times`` times or more."""
         state, matched = 0, 0
-        for i, symbol in enumerate(sequence):
+        for symbol in sequence:
             while state and symbol not in self.next[state]:
                 state = self.link[state]
                 matched = self.length[state]
@@ -102,6 +106,12 @@ class Automaton:
             while state and self.count[state] < times:
                 state = self.link[state]
                 matched = self.length[state]
+            yield matched
+
+    def spans(self, sequence: list, least: int, times: int) -> list[tuple[int, int]]:
+        """Maximal spans of ``least`` symbols or more, each covered by factors that occur ``times`` times or more: start, end."""
+        out: list[list[int]] = []
+        for i, matched in enumerate(self.statistics(sequence, times)):
             if matched >= least:
                 start = i + 1 - matched
                 if out and start <= out[-1][1]:
@@ -121,7 +131,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - more], x[more:]) if more else x
 
 
-def windows(t: Text, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(t: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of ``k`` words: its row, its first word there, its anchor, its hash."""
     words = t.words()
     if len(words) < k:
@@ -133,6 +143,11 @@ def windows(t: Text, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, at - t.first[row], anchor[at], grams(words, k)[at]
 
 
+def _other(words: np.ndarray, k: int) -> np.ndarray:
+    """A second hash of each window, independent of the first."""
+    return grams(mix(words ^ PLACES[31]), k)
+
+
 def _stretches(row: np.ndarray, start: np.ndarray, *same: np.ndarray) -> np.ndarray:
     """First places of the stretches of consecutive windows of a row that agree in ``same``."""
     new = np.ones(len(row), bool)
@@ -142,47 +157,168 @@ def _stretches(row: np.ndarray, start: np.ndarray, *same: np.ndarray) -> np.ndar
     return np.flatnonzero(new)
 
 
-def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Row key and text to blobs by shard: runs of windows seen here first, and spans already known to repeat."""
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Row key and text to groups of texts: row keys, parsed parts with their first row, and the windows' rows, places, anchors, hashes."""
     for batch in batches:
         column, rk = as_bytes(batch.column(1)), batch.column(0).to_numpy()
         for i, j in slices(column, GROUP_BYTES):
             part = column.slice(i, j - i)
-            found = []
-            for a, b in slices(part, SLICE_BYTES):
-                row, *rest = windows(Text(part, a, b), k)
-                found.append((row + (i + a), *rest))
+            parsed = [(a, Words(part, a, b)) for a, b in slices(part, SLICE_BYTES)]
+            found = [(r + a, *rest) for a, t in parsed for r, *rest in [windows(t, k)]]
             row, start, anchor, key = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(row):
-                continue
-            order = np.argsort(key, kind="stable")
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[order][1:] == key[order][:-1]
-            first, twice = np.empty(len(key), bool), np.empty(len(key), bool)
-            first[order], twice[order] = ~same[:-1], same[:-1] | same[1:]
-            known = np.flatnonzero(twice)
-            s = _stretches(row[known], start[known])
-            settled = [rk[row[known[s]]], start[known[s]], np.diff(s, append=len(known))]
-            sent = np.flatnonzero(first)
-            r, f, m, w = row[sent], start[sent], anchor[sent], twice[sent]
-            s = _stretches(r, f, m, w)
-            n = np.diff(s, append=len(sent))
-            fp = key[sent]
-            to = (mix(m[s]) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            m, r, f, w, n, s, to = m[s][order], rk[r[s]][order], f[s][order], w[s][order], n[order], s[order], to[order]
-            fp = fp[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            settled_to = np.mod(settled[0], shards)
-            by = np.argsort(settled_to, kind="stable")
-            settled, settled_to = [x[by] for x in settled], settled_to[by]
-            ids, blobs = [], []
-            for shard in np.union1d(to, settled_to).tolist():
-                a, b = np.searchsorted(to, [shard, shard + 1])
-                c, d = np.searchsorted(settled_to, [shard, shard + 1])
-                ids.append(shard)
-                blobs.append(pack_arrays(m[a:b], r[a:b], f[a:b].astype(np.uint32), (n[a:b].astype(np.uint32) << np.uint32(1)) | w[a:b], fp[ends[a] : ends[b]], settled[0][c:d], settled[1][c:d].astype(np.uint32), settled[2][c:d].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            if len(row):
+                yield rk[i:j], parsed, row, start, anchor, key
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """How many stretches of windows each anchor has, by group."""
+    for _, _, row, start, anchor, _ in _groups(batches, k):
+        found, n = np.unique(anchor[_stretches(row, start, anchor)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows with a hot anchor, by group: hash, how often, row key and place of the first by row key."""
+    for rk, _, row, start, anchor, key in _groups(batches, k):
+        at = np.flatnonzero(_within(anchor, hot))
+        keys, owner, first = key[at], rk[row[at]], start[at]
+        order = np.lexsort((first, owner, keys))
+        found, one, n = np.unique(keys[order], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(owner[order][one]), pa.array(first[order][one])], names=["key", "n", "rk", "start"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch], k: int, places: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words of the passages that windows at ``places`` (row key: first words) cover."""
+    for batch in batches:
+        column = as_bytes(batch.column(1))
+        for i, rk in enumerate(batch.column(0).to_pylist()):
+            words, out = Words(column, i, i + 1).words(), []
+            for at in places[rk]:
+                if out and at + k - 1 == out[-1][1]:
+                    out[-1][1] += 1
+                else:
+                    out.append([at, at + k])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([words[a:b].tobytes() for a, b in out], pa.binary())], names=["words"])
+
+
+class Reference:
+    """Frequent repeated passages, broadcast: suffix automata of shards of them, built by each worker that needs them."""
+
+    def __init__(self, passages: list[bytes], hot: np.ndarray) -> None:
+        self.passages, self.hot, self.built = passages, hot, None
+
+    def automata(self) -> list[Automaton]:
+        if self.built is None:
+            self.built, left = [], 0
+            for p in self.passages:
+                words = np.frombuffer(p, np.uint64).tolist()
+                if left <= 0:
+                    self.built.append(Automaton())
+                    left = SHARD_WORDS
+                self.built[-1].add(words)
+                left -= len(words)
+            for a in self.built:
+                a.finish()
+        return self.built
+
+
+def reference(docs: DataFrame, k: int) -> Reference:
+    """The passages that are broadcast, and the hot anchors: those of :data:`HOT` stretches or more, the most frequent first.
+
+    Windows with a hot anchor are counted, and the most frequent of those that repeat are taken while they have
+    :data:`MOST_PASSAGE_WORDS` words in all. What is beyond the two bounds is settled by the shuffle like all other windows.
+    """
+    read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
+    counts = read.mapInArrow(lean(lambda b: _anchors(b, k)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()
+    hot = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    if not len(hot):
+        return Reference([], hot)
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    found = read.mapInArrow(lean(lambda b: _hot_windows(b, k, sent.value)), "key long, n long, rk long, start long")
+    found = found.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "start")).alias("at")).where("n >= 2")
+    top = found.orderBy(F.desc("n"), "key").limit(MOST_PASSAGE_WORDS).select("at.rk", "at.start").collect()
+    taken: dict[int, set[int]] = {}
+    left = MOST_PASSAGE_WORDS
+    for rk, start in top:  # a window that follows a taken one adds a word
+        mine = taken.setdefault(rk, set())
+        left -= 1 if start - 1 in mine or start + 1 in mine else k
+        if left < 0:
+            break
+        mine.add(start)
+    places = {rk: sorted(x) for rk, x in taken.items()}
+    keys = docs.sparkSession.createDataFrame([(x,) for x in places], "rk long")
+    texts = read.join(F.broadcast(keys), "rk", "left_semi").dropDuplicates(["rk"])
+    return Reference([bytes(r[0]) for r in texts.mapInArrow(lean(lambda b: _passages(b, k, places)), "words binary").collect()], hot)
+
+
+def _matched(found: Reference, parsed: list, row: np.ndarray, start: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the windows ``at``, those that the reference's automata have: matching statistics of each stretch of them."""
+    out = np.zeros(len(at), bool)
+    if not len(at) or not found.passages:
+        return out
+    s = _stretches(row[at], start[at])
+    begins = [a for a, _ in parsed]
+    for a, b in zip(s.tolist(), [*s[1:].tolist(), len(at)], strict=True):
+        r = int(row[at[a]])
+        first, t = parsed[bisect_right(begins, r) - 1]
+        begin = int(t.first[r - first] + start[at[a]])
+        words = t.words()[begin : begin + (b - a) + k - 1].tolist()
+        for automaton in found.automata():
+            out[a:b] |= np.array([n >= k for n in automaton.statistics(words)], bool)[k - 1 :]
+    return out
+
+
+def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int, found: Reference) -> Iterator[pa.RecordBatch]:
+    """Row key and text to blobs by shard: runs of windows seen here first, and spans already known to repeat.
+
+    Windows that the reference has are known. Others with a hot anchor go by their own hash and are told apart by their second one.
+    """
+    for rk, parsed, row, start, anchor, key in _groups(batches, k):
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[order][1:] == key[order][:-1]
+        first, twice = np.empty(len(key), bool), np.empty(len(key), bool)
+        first[order], twice[order] = ~same[:-1], same[:-1] | same[1:]
+        hot = np.flatnonzero(_within(anchor, found.hot))
+        matched = np.zeros(len(key), bool)
+        matched[hot] = _matched(found, parsed, row, start, hot, k)
+        known = np.flatnonzero(twice | matched)
+        s = _stretches(row[known], start[known])
+        settled = [rk[row[known[s]]], start[known[s]], np.diff(s, append=len(known))]
+        hot = hot[~matched[hot]]
+        if len(hot):
+            second = np.concatenate([_other(t.words(), k)[whole_runs(t.first, t.n_words, k)] for _, t in parsed if len(t.words()) >= k])
+            anchor, fp = anchor.copy(), key.copy()
+            anchor[hot], fp[hot] = key[hot], second[hot]
+        else:
+            fp = key
+        sent = np.flatnonzero(first & ~matched)
+        r, f, m, w = row[sent], start[sent], anchor[sent], twice[sent]
+        s = _stretches(r, f, m, w)
+        n = np.diff(s, append=len(sent))
+        fp = fp[sent]
+        to = (mix(m[s]) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        m, r, f, w, n, s, to = m[s][order], rk[r[s]][order], f[s][order], w[s][order], n[order], s[order], to[order]
+        fp = fp[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        settled_to = np.mod(settled[0], shards)
+        by = np.argsort(settled_to, kind="stable")
+        settled, settled_to = [x[by] for x in settled], settled_to[by]
+        ids, blobs = [], []
+        for shard in np.union1d(to, settled_to).tolist():
+            a, b = np.searchsorted(to, [shard, shard + 1])
+            c, d = np.searchsorted(settled_to, [shard, shard + 1])
+            ids.append(shard)
+            blobs.append(pack_arrays(m[a:b], r[a:b], f[a:b].astype(np.uint32), (n[a:b].astype(np.uint32) << np.uint32(1)) | w[a:b], fp[ends[a] : ends[b]], settled[0][c:d], settled[1][c:d].astype(np.uint32), settled[2][c:d].astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
 _BLOB = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32, np.uint32)
@@ -205,24 +341,16 @@ def _search(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = ((size > 1) & alike)[group] & ~known[order]
         at = order[whole]
         out.append((rk[at], start[at].astype(np.int64), n[at]))
-        mixed = np.flatnonzero((size > 1) & ~alike)
-        if len(mixed):
-            automaton, runs = Automaton(), []
-            for x in mixed.tolist():
-                seen: dict[int, list] = {}
-                for r in order[g[x] : g[x] + size[x]].tolist():
-                    seen.setdefault(int(sign[r]), []).append(r)
-                for rows in seen.values():
-                    r = rows[0]
-                    sequence = [(x << 64) | v for v in fp[begin[r] : begin[r] + n[r]].tolist()]
-                    automaton.add(sequence, sum(2 if known[y] else 1 for y in rows))
-                    runs.append((sequence, [y for y in rows if not known[y]]))
+        for x in np.flatnonzero((size > 1) & ~alike).tolist():  # an automaton for each anchor whose runs differ
+            seen: dict[int, list] = {}
+            for r in order[g[x] : g[x] + size[x]].tolist():
+                seen.setdefault(int(sign[r]), []).append(r)
+            automaton, sequences = Automaton(), []
+            for rows in seen.values():
+                sequences.append((fp[begin[rows[0]] : begin[rows[0]] + n[rows[0]]].tolist(), [y for y in rows if not known[y]]))
+                automaton.add(sequences[-1][0], sum(2 if known[y] else 1 for y in rows))
             automaton.finish()
-            found = []
-            for sequence, rows in runs:
-                if rows:
-                    for a, b in automaton.spans(sequence, 1, 2):
-                        found += [(int(rk[y]), int(start[y]) + a, b - a) for y in rows]
+            found = [(int(rk[y]), int(start[y]) + a, b - a) for sequence, rows in sequences if rows for a, b in automaton.spans(sequence, 1, 2) for y in rows]
             if found:
                 out.append(tuple(np.array(c, np.int64) for c in zip(*found, strict=True)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -236,15 +364,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows that also stand elsewhere: rk (xxhash64 of id and text), first window, number of windows in a row."""
-    width = parts(docs.sparkSession)
-    shards = 2 * width
-    sent = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(lean(lambda b: _requests(b, min_words, shards)), "shard int, blob binary")
+    width = shards(docs)
+    found = docs.sparkSession.sparkContext.broadcast(reference(docs, min_words))
+    read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
+    sent = read.mapInArrow(lean(lambda b: _requests(b, min_words, 2 * width, found.value)), "shard int, blob binary")
     return sent.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_spans), "rk long, start long, n long")
 
 
 def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
-    spans = repeated(docs, min_words).groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("rk", "_rk")
-    return docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(spans.hint("shuffle_hash"), "_rk", "left").drop("_rk")
+    """``docs`` and, as the last column, what :func:`repeated` found in each row."""
+    key, gone = spare(docs, "row_key", "repeats")
+    spans = repeated(docs, min_words).groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias(gone)).withColumnRenamed("rk", key)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans.hint("shuffle_hash"), key, "left").drop(key)
 
 
 def _kept(text: bytes, spans: pa.Scalar, k: int) -> tuple[list[bytes], int]:
@@ -279,7 +410,8 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without repeated passages: kept words joined by a space where something went, else the text as it is."""
     names = docs.columns
-    last = _with_spans(docs, min_words).select(*[c for c in names if c != "text"], "text", "_spans")
+    found = _with_spans(docs, min_words)
+    last = found.select(*[c for c in names if c != "text"], "text", found.columns[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,33 +426,33 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = MIN_WORDS, most_words: int = MOST_REFERENCE_WORDS) -> DataFrame:
     """The documents without spans of ``min_words`` words or more that they share with ``reference`` (a text column).
 
-    The reference is broadcast as suffix automata of :data:`SHARD_WORDS` words; one of more than ``most_words`` words is refused.
+    The reference is broadcast as hashes of words, and workers build suffix automata of about :data:`SHARD_WORDS` words, some 700
+    bytes a word; a reference of more than ``most_words`` words is refused.
     """
     size = reference.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     if size > most_words + 2 * (rows := reference.count()):
         raise ValueError(f"the reference has {size} words in {rows} texts; {most_words} can be broadcast")
-    shards, left = [Automaton()], SHARD_WORDS
-    for row in reference.select("text").toLocalIterator():
-        words = (row[0] or "").encode().split()
-        if left < len(words) and left < SHARD_WORDS:
-            shards.append(Automaton())
-            left = SHARD_WORDS
-        shards[-1].add(words)
-        left -= len(words)
-    sent = docs.sparkSession.sparkContext.broadcast([s.finish() for s in shards])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = as_bytes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([Words(column, i, i + 1).words().tobytes() for i in range(len(column))], pa.binary())], names=["words"])
+
+    passages = [bytes(r[0]) for r in reference.select("text").mapInArrow(lean(hashed), "words binary").collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(Reference(passages, np.zeros(0, np.uint64)))
     names = docs.columns
     last = docs.select(*[c for c in names if c != "text"], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for x in batch.column(batch.num_columns - 1):
-                words = (x.as_py() or "").encode().split()
-                gone = [s for a in sent.value for s in a.spans(words, min_words, 1)]
+            new, column = [], as_bytes(batch.column(batch.num_columns - 1))
+            for i, x in enumerate(batch.column(batch.num_columns - 1)):
+                words = Words(column, i, i + 1).words().tolist()
+                gone = [s for a in sent.value.automata() for s in a.spans(words, min_words, 1)]
                 keep = np.ones(len(words), bool)
                 for a, b in gone:
                     keep[a:b] = False
-                new.append(b" ".join(compress(words, keep.tolist())).decode() if gone else x.as_py())
+                new.append(b" ".join(compress(column[i].as_py().split(), keep.tolist())).decode() if gone else x.as_py())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.string())], names=batch.schema.names)
 
     return last.mapInArrow(lean(run), last.schema).select(*names)
