@@ -1,160 +1,288 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and perplexity limits by language.
 
-The model's symbols are classes of bytes (letters by themselves, digits, blanks, kinds of punctuation, parts of multi-byte
-characters), :data:`N_SYMBOLS` at most, and its order is three, so a language's model has at most 64 ** 3 entries whatever the
-corpus. All trusted documents (labels with quality 1) are counted: tasks count their texts, counts of (language, n-gram) are
-summed in shards, and each language's probabilities are computed from its shard with discounts from its own counts of counts.
-The models, 1 MB a language and :data:`MOST_LANGUAGES` of them at most (checked), are broadcast, and each document is scored in one
-pass. A document is kept when its perplexity is at most its language's limit: the :data:`QUANTILE` quantile of trusted documents,
-times :data:`MARGIN`.
+The n-grams are of :data:`ORDER` characters (code points, case kept; a text begins with begin marks), with an open vocabulary, so
+the model grows with the trusted text. Everything is tables joined in shards:
+
+1. Training (:func:`train`). Tasks count the n-grams of their trusted texts; the counts are summed by (language, n-gram). The
+   lower orders are continuation counts, taken from the distinct n-grams of the next order. Each order has its own discounts from
+   its counts of counts, by language. The model is a table for each order of the probabilities of seen n-grams, interpolated, and
+   one of the backoff weights of seen contexts.
+2. Requests (:func:`_ask`). Blocks of documents ask for their distinct n-grams, once each.
+3. Count joins (:func:`looked_up`). The distinct n-grams of all blocks are joined with the tables of all orders, which gives the
+   log-probability of each, and these are joined with the requests and go back to their blocks.
+4. Perplexity (:func:`_score`). Blocks sum the log-probabilities of their documents' n-grams.
+
+A document is kept when its perplexity is at most its language's limit: the :data:`QUANTILE` quantile of trusted documents that were
+held out of training (one in :data:`HELD_OUT`, by a hash of the id), times :data:`MARGIN`; of those trained on, where a language has
+no held-out document.
+
+Documents travel to their log-probabilities once, in compressed blocks. A long text is read in pieces; a block takes memory for its
+bytes and about 20 bytes for each distinct n-gram.
 
 Defined results: null and empty texts have no perplexity and are not kept; documents in languages without trusted text are
-scored by nothing and kept; a null language is one of its own; repeated rows each get a row, repeated labels count once; an empty
-table gives an empty table.
+scored by nothing and kept; a null language is one of its own; a perplexity equal to its limit is kept; repeated rows each get a
+row, repeated labels count once; an empty table gives an empty table; other columns are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import as_bytes, cut, lean, offsets, slices, table
+from arcspan.llm.common import PLACES, as_bytes, checkpoint_dir, cut, lean, mix, offsets, shards, slices, table
+
+ORDER = 5
+QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
+#: Bytes of text in a block; characters of a long text that are read at once.
+BLOCK_BYTES, PIECE = 1 << 25, 1 << 19
+#: The begin mark, written so that any text may contain it.
+BEGIN = "\x02"
+_BLOCK, _REQUEST = range(2)
+
+
+def ngrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (large binary) in parts: code points with marks before each row, the n-grams' first places, and their rows."""
+    before = ORDER - 1
+    marks = np.full(before, ord(BEGIN), np.uint32)
+    for i, j in slices(column, PIECE):
+        off = offsets(column)[i : j + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8, int(off[-1])) if off[-1] > off[0] else np.zeros(0, np.uint8)
+        if j == i + 1:
+            text = raw[off[0] : off[-1]].tobytes().decode()
+            for a in range(0, len(text), PIECE):
+                points = np.frombuffer(text[max(0, a - before) : a + PIECE].encode("utf-32-le"), np.uint32)
+                n = min(PIECE, len(text) - a)
+                points = np.concatenate([marks[: before + n - len(points)], points])
+                yield points, np.arange(n), np.full(n, i)
+            continue
+        points = np.frombuffer(raw[off[0] : off[-1]].tobytes().decode().encode("utf-32-le"), np.uint32)
+        count = np.diff(np.concatenate([[0], np.cumsum((raw[off[0] : off[-1]] & 0xC0) != 0x80)])[off - off[0]])
+        rows = np.repeat(np.arange(j - i), count)
+        place = np.arange(len(points)) + before * (rows + 1)
+        out = np.full(len(points) + before * (j - i), ord(BEGIN), np.uint32)
+        out[place] = points
+        yield out, place - before, rows + i
+
+
+def hashes(points: np.ndarray, at: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams at these places, with a number for the language of each."""
+    out = tags * PLACES[ORDER]
+    for k in range(ORDER):
+        out += mix(points[at + k] + PLACES[80]) * PLACES[k]
+    return mix(out)
+
+
+def _tag(lang: str | None) -> str:
+    return "" if lang is None else "=" + lang
+
+
+def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts: the hashes of their distinct n-grams in order, their counts, and their keys (language and n-gram)."""
+    kinds = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+    tag = np.array([kinds[x] for x in langs], np.uint64)
+    names = [_tag(x) for x in kinds]
+    hash_, count, key = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+    parts, held = [], 0
+    for points, at, rows in ngrams(column):
+        h, one, n = np.unique(hashes(points, at, tag[rows]), return_index=True, return_counts=True)
+        parts.append((h, n, points[at[one][:, None] + np.arange(ORDER)], tag[rows[one]].astype(np.int64)))
+        held += len(h)
+        if held > 2_000_000:
+            parts, held = [_merged(parts)], 0
+    if parts:
+        hash_, count, grams, kind = _merged(parts)
+        grams = np.ascontiguousarray(grams).view(f"<U{ORDER}").reshape(-1)
+        # a string that ends in NUL characters would lose them
+        key = [names[k] + g + "\0" * (ORDER - len(g)) for k, g in zip(kind.tolist(), grams.tolist(), strict=True)]
+    return hash_, count, pa.array(key, pa.string())
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    h, n, grams, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, one, back = np.unique(h, return_index=True, return_inverse=True)
+    return h, np.bincount(back, n, len(h)).astype(np.int64), grams[one], kind[one]
+
 
-N_SYMBOLS, ORDER = 64, 3
-QUANTILE, MARGIN, MOST_LANGUAGES = 0.99, 1.1, 256
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (key, n): the distinct n-grams of a batch's texts."""
+    for batch in _blocks(batches):
+        _, n, key = _distinct(batch.column(0).to_pylist(), as_bytes(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([key, pa.array(n)], names=["key", "n"])
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 31, np.int64)  # other ASCII
-    out[97:123] = out[65:91] = np.arange(1, 27)
-    out[[9, 10, 11, 12, 13, 32]] = 27
-    out[48:58] = 28
-    out[list(b".,;:!?'\"()-")] = 29
-    out[list(b"#*$%&|<>@=+/\\_~^`{}[]")] = 30
-    out[128:192] = 32 + np.arange(64) % 16  # following bytes of a character
-    out[192:] = 48 + np.arange(64) % 16  # first bytes
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, the text last, in batches of about :data:`BLOCK_BYTES`."""
+    held, size = [], 0
+    for batch in batches:
+        column = as_bytes(batch.column(batch.num_columns - 1))
+        for i, j in slices(column, BLOCK_BYTES):
+            off = offsets(column)
+            held.append(batch.slice(i, j - i))
+            size += int(off[j] - off[i])
+            if size >= BLOCK_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rest[0]
+
+
+def _discount(lang_counts: DataFrame, order: int) -> DataFrame:
+    """(tag, d1, d2, d3): modified Kneser-Ney discounts of an order's counts, by language."""
+    ns = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
+    t = lang_counts.groupBy("tag").agg(*ns)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    ratio = lambda k: F.when(F.col(f"n{k}") > 0, F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(1.0)
+    spare = (0.5, 0.75, 0.9)
+    sound = (F.col("n1") > 0) & (F.col("n2") > 0)
+    d = [F.when(sound, F.greatest(F.lit(0.05), F.least(k - (k + 1) * y * ratio(k), F.lit(k - 0.05)))).otherwise(spare[k - 1]).alias(f"d{k}") for k in range(1, 4)]
+    return t.select("tag", *d)
+
+
+def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on, of a table with lang and text: (tag, gram, p) of seen n-grams and (tag, gram, weight) of seen contexts."""
+    counts = trusted.select(F.col("lang").cast("string"), "text").mapInArrow(lean(_count), "key string, n long")
+    key, size = F.col("key"), F.length("key")
+    counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
+    orders = [cut(counts.select(F.expr(f"left(key, length(key) - {ORDER})").alias("tag"), F.expr(f"right(key, {ORDER})").alias("gram"), "n"))]
+    for _ in range(ORDER - 1):
+        orders.append(cut(orders[-1].groupBy("tag", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count("*").alias("n"))))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k, t in enumerate(reversed(orders), 1):
+        context = F.substring("gram", 1, k - 1).alias("context")
+        of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2)]
+        stats = t.groupBy("tag", context).agg(F.sum("n").alias("total"), *of, F.count(F.when(F.col("n") > 2, 1)).alias("n3"), F.count("*").alias("kinds"))
+        stats = stats.join(_discount(t, k), "tag").withColumn("weight", sum(F.col(f"d{i}") * F.col(f"n{i}") for i in (1, 2, 3)) / F.col("total"))
+        stats = cut(stats)
+        own = F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        seen = t.select("tag", "gram", context, "n").join(stats.drop("n1", "n2", "n3"), ["tag", "context"])
+        if k == 1:  # one more kind stands for all characters not seen
+            lower = seen.withColumn("lower", 1 / (F.col("kinds") + 1))
+        else:
+            shorter = out[-1][0].select("tag", F.col("gram").alias("end"), F.col("p").alias("lower"))
+            lower = seen.withColumn("end", F.substring("gram", 2, k - 1)).join(shorter, ["tag", "end"])
+        p = lower.select("tag", "gram", (own / F.col("total") + F.col("weight") * F.col("lower")).alias("p"))
+        weight = F.col("weight") / (F.col("kinds") + 1) if k == 1 else F.col("weight")
+        out.append((cut(p), stats.select("tag", F.col("context").alias("gram"), weight.alias("weight"))))
     return out
 
 
-CLASS = _classes()  # 0 stands for the begin of a text
+def looked_up(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, logp) of distinct keys: the longest end of the n-gram that was seen, times the weights of the longer contexts that were.
 
+    Null in languages without a model. The weight of the empty context is the probability of a character not seen.
+    """
+    found = keys.withColumn("tag", F.expr(f"left(key, length(key) - {ORDER})")).withColumn("gram", F.expr(f"right(key, {ORDER})"))
+    for k, (p, weight) in reversed([*enumerate(model, 1)]):
+        end, context = F.substring("gram", ORDER - k + 1, k), F.substring("gram", ORDER - k + 1, k - 1)
+        found = found.withColumn("end", end).withColumn("context", context)
+        found = found.join(p.select("tag", F.col("gram").alias("end"), F.col("p").alias(f"p{k}")), ["tag", "end"], "left")
+        found = found.join(weight.select("tag", F.col("gram").alias("context"), F.col("weight").alias(f"w{k}")), ["tag", "context"], "left").drop("end", "context")
 
-def codes(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of rows, one for each byte, begun with two begin marks; offsets of the rows."""
-    off = offsets(column)[i : j + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-    off = off - off[0]
-    s = CLASS[raw]
-    code = s.copy()
-    for back in range(1, ORDER):
-        shifted = np.zeros_like(s)
-        shifted[back:] = s[:-back] if len(s) > back else s[:0]
-        for k in range(back):  # the first symbols of a row follow begin marks
-            at = off[:-1] + k
-            shifted[at[at < off[1:]]] = 0
-        code += shifted * N_SYMBOLS**back
-    return code, off
+    def back(value: Column, k: int) -> Column:
+        return F.coalesce(F.log(f"p{k}"), F.coalesce(F.log(f"w{k}"), F.lit(0.0)) + value)
 
+    return found.select("key", reduce(back, range(2, ORDER + 1), F.coalesce(F.log("p1"), F.log("w1"))).alias("logp"))
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Language and text to (lang, code, n): one row for each n-gram that the task has seen."""
-    seen: dict[str | None, np.ndarray] = {}
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, text) to blocks (compressed) and their requests: the distinct n-grams, by place in the order of their hashes."""
+    done = 0
+    for batch in _blocks(batches):
+        block = (TaskContext.get().partitionId() << 32) + done
+        done += 1
+        whole = io.BytesIO()
+        with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        _, _, key = _distinct(batch.column(1).to_pylist(), as_bytes(batch.column(2)))
+        n = len(key)
+        yield _answers(_BLOCK, [block], None, None, [whole.getvalue()])
+        for a in range(0, n, 1 << 16):
+            b = min(n, a + (1 << 16))
+            yield _answers(_REQUEST, [block] * (b - a), np.arange(a, b), key.slice(a, b - a), None)
+
+
+def _answers(kind: int, block: list[int], place: np.ndarray | None, key: pa.Array | None, blob: list[bytes] | None) -> pa.RecordBatch:
+    n = len(block)
+    arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int64()), pa.array(place, pa.int32()) if place is not None else pa.nulls(n, pa.int32()), key if key is not None else pa.nulls(n, pa.string()), pa.array(blob, pa.binary()) if blob else pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "block", "place", "key", "blob"])
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, the answers (place, logp) and then the block: doc_id, lang, n_bytes, perplexity."""
+    now, held = None, []
     for batch in batches:
-        column, langs = as_bytes(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
-        for i, j in slices(column):
-            code, off = codes(column, i, j)
-            row = np.repeat(np.arange(j - i), np.diff(off))
-            for lang in {*langs[i:j]}:
-                mine = np.array([x == lang for x in langs[i:j]], bool)
-                got = np.bincount(code[mine[row]], minlength=N_SYMBOLS**ORDER)
-                seen[lang] = seen[lang] + got if lang in seen else got
-    for lang, counts in seen.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "code", "n"])
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 3 - 4 * y]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
-
-
-def _interpolate(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of the last axis' symbols from counts and the next lower order's probabilities."""
-    d = _discounts(counts)[np.minimum(counts, 3)]
-    total = counts.sum(axis=-1, keepdims=True)
-    safe = np.maximum(total, 1)
-    p = np.maximum(counts - d, 0) / safe + d.sum(axis=-1, keepdims=True) / safe * lower
-    return np.where(total > 0, p, lower)
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log P(c | a b) from the counts of (a, b, c), by interpolated modified Kneser-Ney smoothing."""
-    pairs = np.count_nonzero(counts, axis=0)  # in how many contexts a pair continues
-    singles = np.count_nonzero(pairs, axis=0)
-    uniform = np.full(N_SYMBOLS, 1 / N_SYMBOLS)
-    p1 = _interpolate(singles, uniform)
-    p2 = _interpolate(pairs, p1[None])
-    return np.log(_interpolate(counts, p2[None])).astype(np.float32)
-
-
-def _model(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = np.zeros(N_SYMBOLS**ORDER, np.int64)
-    counts[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "model": [kneser_ney(counts.reshape((N_SYMBOLS,) * ORDER)).tobytes()]})
-
-
-def train(trusted: DataFrame) -> DataFrame:
-    """A model for each language of a table with lang and text."""
-    counts = trusted.select("lang", "text").mapInArrow(lean(_count), "lang string, code int, n long")
-    counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return counts.groupBy("lang").applyInPandas(_model, "lang string, model binary")
-
-
-def score(docs: DataFrame, models: DataFrame) -> DataFrame:
+        blocks, is_doc = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1])]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(blocks)], strict=True):
+            if blocks[a] != now:
+                now, held = blocks[a], []
+            if not is_doc[a]:
+                held.append((batch.column(1).slice(a, b - a).to_numpy(), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)))
+                continue
+            logp = np.zeros(sum(len(p) for p, _ in held))
+            for place, value in held:
+                logp[place] = value
+            for i in range(a, b):
+                yield _scored(pa.ipc.open_stream(batch.column(3)[i].as_buffer()).read_next_batch(), logp)
+
+
+def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
+    langs, column = batch.column(1).to_pylist(), as_bytes(batch.column(2))
+    kinds = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+    tag = np.array([kinds[x] for x in langs], np.uint64)
+    order = np.zeros(0, np.uint64)
+    for points, at, rows in ngrams(column):
+        order = np.union1d(order, hashes(points, at, tag[rows]))
+    total, n = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
+    for points, at, rows in ngrams(column):
+        place = np.searchsorted(order, hashes(points, at, tag[rows]))
+        total += np.bincount(rows, logp[place], len(langs))
+        n += np.bincount(rows, minlength=len(langs))
+    mean = -total / np.maximum(n, 1)
+    out = pa.array(np.exp(mean), mask=(n == 0) | np.isnan(mean))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets(column))), out], names=["doc_id", "lang", "n_bytes", "perplexity"])
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity (null without a model or a text)."""
-    rows = models.limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: bytes(r["model"]) for r in rows})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: np.frombuffer(v, np.float32) for k, v in sent.value.items()}
-        for batch in batches:
-            column, langs = as_bytes(batch.column(2)), batch.column(1).to_pylist()
-            for i, j in slices(column):
-                code, off = codes(column, i, j)
-                out = []
-                for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    t = tables.get(langs[i + k])
-                    out.append(float(np.exp(-t[code[a:b]].mean(dtype=np.float64))) if t is not None and b > a else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), pa.array(out, pa.float64())], names=["doc_id", "lang", "n_bytes", "perplexity"])
-
+    spark, width = docs.sparkSession, shards(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(lean(run), f"doc_id {kind}, lang string, n_bytes long, perplexity double")
+    schema, path = "kind int, block long, place int, key string, blob binary", f"{checkpoint_dir(spark)}/arcspan-{uuid.uuid4().hex}"
+    docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(lean(_ask), schema).write.partitionBy("kind").parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    asked = stored.where(F.col("kind") == _REQUEST).select("block", "place", "key")
+    told = cut(looked_up(asked.select("key").distinct(), model))
+    told = asked.join(told, "key").select("block", "place", F.coalesce("logp", F.lit(float("nan"))).alias("logp"), F.lit(None).cast("binary").alias("blob"))
+    blocks = stored.where(F.col("kind") == _BLOCK).select("block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("logp"), "blob")
+    dealt = told.unionByName(blocks).repartition(width, "block").sortWithinPartitions("block", F.col("blob").isNotNull())
+    return dealt.mapInArrow(lean(_score), f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "lang", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    return docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity, its language's limit, kept."""
-    scored = cut(score(docs, train(trusted_docs(docs, labels))))
+    scored = cut(score(docs, train(trusted_docs(docs, labels).where(~_held_out()))))
     ids = labels.where("quality = 1").select("doc_id").distinct()
-    limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("max_perplexity"))
-    limits = limits.withColumn("_lang", F.coalesce("lang", F.lit("\0"))).drop("lang")
-    joined = scored.withColumn("_lang", F.coalesce("lang", F.lit("\0"))).join(F.broadcast(limits), "_lang", "left").drop("_lang")
+    of = lambda part: F.percentile_approx(F.when(part, F.col("perplexity")), quantile, 10000)
+    limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(of(_held_out()), of(F.lit(True))) * margin).alias("max_perplexity"))
+    limits = cut(limits.select(F.coalesce("lang", F.lit("\0")).alias("limit_lang"), "max_perplexity"))
+    joined = scored.withColumn("limit_lang", F.coalesce("lang", F.lit("\0"))).join(limits, "limit_lang", "left").drop("limit_lang")
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(True))
     return joined.withColumn("kept", kept)
 
