@@ -12,10 +12,11 @@ model has none. Cuts are the bits of a long. Units over
 
 Tasks send the distinct units of a group of texts with counts, by shard. When all units are encoded, the most frequent ones, at
 most :data:`MOST_KNOWN`, are broadcast; tasks replace units by places in that table, and the rest, every place of it, is joined
-with the encoded units and put back into the rows. Decoding joins ids with pieces.
+with the encoded units and put back into the rows. Decoding gathers the pieces' bytes by id in one pass.
 
-Defined results: null and empty texts have no ids; repeated rows each get a row; an empty table gives an empty table; only the
-key and the text are read.
+Defined results: null and empty texts have no ids; repeated rows each get a row; an empty table gives an empty table; of equal
+scores the leftmost merge comes first; only the key and the text are read, so other columns may have any name. Long texts are cut
+into units like others; a long unit is merged with a heap.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, let_go, mix, offsets, pack_arrays, parts, powers, slices, table, unpack_arrays
+from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, mix, offsets, pack_arrays, powers, shards, slices, table, unpack_arrays
 
 SPACE = "▁"
 MOST_FOLDED = 60
-#: Units that are broadcast; bytes of text whose units are counted before they are sent.
-MOST_KNOWN, GROUP_BYTES = 500_000, 1 << 23
+#: Units that are broadcast, and their bytes there; bytes of text whose units are counted before they are sent.
+MOST_KNOWN, KNOWN_BYTES, GROUP_BYTES = 500_000, 1 << 25, 1 << 23
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -84,6 +85,8 @@ def model(kind: int, rows: list[tuple[str, int, float, int]]) -> Model:
     joined = {256 * a.encode()[-1] + b.encode()[0] for p in written for a, b in zip(p, p[1:], strict=False)}
     if any(SPACE in p.lstrip(SPACE) for p in normal):
         raise ValueError("a piece crosses words")
+    if rows and max(i for _, i, _, _ in rows) >> ID_BITS:
+        raise ValueError(f"ids must have {ID_BITS} bits at most")
     by_byte = {p: i for p, i, _, k in rows if k == BYTE}
     unknown = next((i for _, i, _, k in rows if k == UNKNOWN), 0)
     return Model(kind, tuple(rows), max(map(len, normal), default=1), tuple(sorted(joined)), unknown, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if len(by_byte) == 256 else ())
@@ -109,8 +112,10 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, least: int, edge:
     return found.groupBy("unit").agg(F.max("n").alias("n"), *[F.any_value(c).alias(c) for c in more], F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
 
-#: An edge in 46 bits, best first: rank of its score, s, e, id. And its parts, with bits for its ends and the places inside it.
-CODE = "(rank << 29) + (cast(s AS bigint) << 23) + (cast(e AS bigint) << 17) + id"
+#: An edge in a long, best first: rank of its score, s, e (six bits each), id (:data:`ID_BITS`). And its parts, with bits for its
+#: ends and the places inside it.
+ID_BITS = 24
+CODE = f"(rank << {ID_BITS + 12}) + (cast(s AS bigint) << {ID_BITS + 6}) + (cast(e AS bigint) << {ID_BITS}) + id"
 
 
 def _bit(c: Column) -> Column:
@@ -119,8 +124,8 @@ def _bit(c: Column) -> Column:
 
 def _decoded(codes: Column) -> Column:
     def one(c: Column) -> Column:
-        s, e = (F.call_function("shiftright", c, F.lit(n)).bitwiseAND(F.lit(63)).cast("int") for n in (23, 17))
-        return F.struct(s.alias("s"), e.alias("e"), c.bitwiseAND(F.lit((1 << 17) - 1)).cast("int").alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inside"))
+        s, e = (F.call_function("shiftright", c, F.lit(n)).bitwiseAND(F.lit(63)).cast("int") for n in (ID_BITS + 6, ID_BITS))
+        return F.struct(s.alias("s"), e.alias("e"), c.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inside"))
 
     return F.transform(codes, one)
 
@@ -321,7 +326,7 @@ def _apart(m: Model) -> np.ndarray:
     return out
 
 
-def _ask(m: Model, shards: int):
+def _ask(m: Model, width: int):
     """Texts to blobs by shard: the distinct units of a group of texts with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +345,7 @@ def _ask(m: Model, shards: int):
                 keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
                 n = np.bincount(back, n).astype(np.int64)
                 begin = np.cumsum(length) - length
-                shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
+                shard = (mix(keys) % np.uint64(width)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
                 blobs = []
@@ -368,7 +373,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     """(unit, n, ids) of all distinct units of the texts, written to the checkpoint folder."""
-    width = parts(docs.sparkSession)
+    width = shards(docs)
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
     words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
     words = words.mapInArrow(lean(_long(m)), LONG) if m.kind == BPE else words
@@ -551,12 +556,12 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     m = m or load()
     spark = docs.sparkSession
     words = vocabulary_of(docs, m)
-    let_go(spark)
-    # the most frequent units while they fit; a corpus of N units has less than sqrt(2 N) different counts
-    least, total = 1 << 62, 0
-    for k, n in sorted(words.groupBy("n").count().collect(), reverse=True):
-        total += n
-        if total > most:
+    # the most frequent units while they fit, by sixteenths of a power of two: about 1,000 rows whatever the corpus
+    least, total, size = 1 << 62, 0, 0
+    band = F.floor(16 * F.log2("n") + 1e-9).alias("band")
+    for _, k, n, flat in sorted(words.groupBy(band).agg(F.min("n"), F.count("*"), F.sum(F.size("ids"))).collect(), reverse=True):
+        total, size = total + n, size + 16 * n + 4 * flat
+        if total > most or size > KNOWN_BYTES:
             break
         least = k
     frequent = F.col("n") >= least
@@ -572,21 +577,41 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
 
 
+#: What stands for the unknown piece, as in the library, and for ids without a piece.
+UNKNOWN_TEXT, NO_TEXT = " \u2047 ", "\ufffd"
+
+
 def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ``keep`` columns, text) of (key, ids); bytes that are no text become replacement characters."""
+    """(key, ``keep`` columns, text) of (key, ids), in one pass: the pieces' bytes are gathered by id.
+
+    The space that encoding puts before a text goes. The unknown piece becomes :data:`UNKNOWN_TEXT`, control pieces nothing, an id
+    without a piece (or null) :data:`NO_TEXT`, and bytes that are no UTF-8 become replacement characters. Null ids are an empty text.
+    """
     m = m or load()
-    pieces = m.pieces(encoded.sparkSession)
-    raw = F.when(F.col("kind") == BYTE, F.substring("piece", 4, 2)).otherwise(F.hex(F.encode(F.replace(F.col("piece"), F.lit(SPACE), F.lit(" ")), "utf-8")))
-    pieces = pieces.select("id", raw.alias("raw"))
-    rows = encoded.withColumn("_row", F.xxhash64(key, "ids"))
-    places = rows.select("_row", F.posexplode("ids").alias("p", "id")).join(F.broadcast(pieces), "id")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("p", "raw"))), lambda x: x["raw"]), "")
-    texts = places.groupBy("_row").agg(F.decode(F.unhex(whole), "utf-8").alias("text"))
-    return rows.join(texts, "_row", "left").select(key, *keep, F.coalesce(F.regexp_replace("text", "^ ", ""), F.lit("")).alias("text"))
+    told = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
+    by_id = {i: told[k](p) if k in told else b"" for p, i, _, k in m.rows}
+    raw = [by_id.get(i, NO_TEXT.encode()) for i in range(max(by_id, default=-1) + 1)] + [NO_TEXT.encode()]
+    sent = encoded.sparkSession.sparkContext.broadcast(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = np.array([len(x) for x in sent.value])
+        data, start = np.frombuffer(b"".join(sent.value), np.uint8), np.cumsum(length) - length
+        for batch in batches:
+            out = []
+            for x in batch.column(batch.num_columns - 1):
+                at = (x.values if x.is_valid else pa.array([], pa.int64())).fill_null(-1).to_numpy().astype(np.int64)
+                at = np.where((at < 0) | (at >= len(length)), len(length) - 1, at)
+                text = gather(data, start[at], length[at])[0].tobytes().decode(errors="replace")
+                out.append(text.removeprefix(" "))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "text"])
+
+    rows = encoded.select(key, *keep, "ids")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lean(run), schema + "text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digest of the ids, digest of the text that they decode to."""
-    encoded = cut(encode(table(spark, sf_dir, "documents"), digest=True))
+    encoded = encode(table(spark, sf_dir, "documents"), digest=True)
     told = ("n_tokens", "ids_sha256")
     return decode(encoded, keep=told).select("doc_id", *told, F.sha2("text", 256).alias("text_sha256"))
