@@ -41,8 +41,8 @@ from arcspan.llm.common import PLACES, SLICE_BYTES, Words, as_bytes, by_shard, g
 
 MIN_WORDS = 35
 #: Bytes of text in which repeats are settled before windows are sent.
-GROUP_BYTES = 1 << 23
-#: Stretches of windows that make an anchor hot, hot anchors at most, and words of the passages that are broadcast (0.5 MB).
+GROUP_BYTES = 1 << 22
+#: Stretches of windows, those that repeat in a group counted once there, that make an anchor hot, hot anchors at most, and words of the passages that are broadcast (0.5 MB).
 HOT, MOST_HOT, MOST_PASSAGE_WORDS = 256, 200_000, 60_000
 #: Words that a given reference may have, and words in each automaton.
 MOST_REFERENCE_WORDS, SHARD_WORDS = 250_000, 20_000
@@ -175,9 +175,21 @@ def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
                 yield rk[i:j], parsed, row, start, anchor, key
 
 
+def _first(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a group are the first of their kind, and which have others of it."""
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[order][1:] == key[order][:-1]
+    first, twice = np.empty(len(key), bool), np.empty(len(key), bool)
+    first[order], twice[order] = ~same[:-1], same[:-1] | same[1:]
+    return first, twice
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """How many stretches of windows each anchor has, by group."""
-    for _, _, row, start, anchor, _ in _groups(batches, k):
+    """How many stretches of windows that its group sees first each anchor has."""
+    for _, _, row, start, anchor, key in _groups(batches, k):
+        at = np.flatnonzero(_first(key)[0])
+        row, start, anchor = row[at], start[at], anchor[at]
         found, n = np.unique(anchor[_stretches(row, start, anchor)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
@@ -281,11 +293,7 @@ def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int, found: Ref
     Windows that the reference has are known. Others with a hot anchor go by their own hash and are told apart by their second one.
     """
     for rk, parsed, row, start, anchor, key in _groups(batches, k):
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[order][1:] == key[order][:-1]
-        first, twice = np.empty(len(key), bool), np.empty(len(key), bool)
-        first[order], twice[order] = ~same[:-1], same[:-1] | same[1:]
+        first, twice = _first(key)
         hot = np.flatnonzero(_within(anchor, found.hot))
         matched = np.zeros(len(key), bool)
         matched[hot] = _matched(found, parsed, row, start, hot, k)
