@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 
 from arcspan.llm.common import PLACES, as_bytes, checkpoint_dir, cut, lean, mix, offsets, shards, slices, table
 
-ORDER = 5
+ORDER = 4
 QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
 #: Bytes of text in a block; characters of a long text that are read at once.
-BLOCK_BYTES, PIECE = 1 << 25, 1 << 19
+BLOCK_BYTES, PIECE = 1 << 24, 1 << 19
 #: The begin mark, written so that any text may contain it.
 BEGIN = "\x02"
 _BLOCK, _REQUEST = range(2)
@@ -95,7 +95,7 @@ def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np
         h, one, n = np.unique(hashes(points, at, tag[rows]), return_index=True, return_counts=True)
         parts.append((h, n, points[at[one][:, None] + np.arange(ORDER)], tag[rows[one]].astype(np.int64)))
         held += len(h)
-        if held > 2_000_000:
+        if held > 1_000_000:
             parts, held = [_merged(parts)], 0
     if parts:
         hash_, count, grams, kind = _merged(parts)
@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFram
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = labels.where("quality = 1").select("doc_id").distinct()
+    ids = labels.where("quality = 1").select("doc_id")  # not made distinct, so that the planner knows its size
     return docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
 
 
@@ -278,7 +278,7 @@ def _held_out() -> Column:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity, its language's limit, kept."""
     scored = cut(score(docs, train(trusted_docs(docs, labels).where(~_held_out()))))
-    ids = labels.where("quality = 1").select("doc_id").distinct()
+    ids = labels.where("quality = 1").select("doc_id")
     of = lambda part: F.percentile_approx(F.when(part, F.col("perplexity")), quantile, 10000)
     limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(of(_held_out()), of(F.lit(True))) * margin).alias("max_perplexity"))
     limits = cut(limits.select(F.coalesce("lang", F.lit("\0")).alias("limit_lang"), "max_perplexity"))

@@ -390,14 +390,23 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_rules(spark):
-    texts = some_texts(11) + ["a b\na b\n\n c\na b", "x y z x y z x", "\n\n", "l\nl\n", " l\nl"]
+@pytest.mark.parametrize("long", [1 << 22, 60])
+def test_quality_rules(spark, monkeypatch, long):
+    monkeypatch.setattr(quality_rules, "LONG", long)
+    texts = some_texts(11) + ["a b\na b\n\n c\na b", "x y z x y z x", "\n\n", "l\nl\n", " l\nl", "".join(chr(random.Random(k).randrange(33, 700)) for k in range(9000)), "word " * 1000 + " ".join(map(str, range(900)))]
     got = {r.doc_id: r for r in quality_rules.judge(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_rules(t), t
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        assert not (r.base_failed and r.kept)
+        raw = (t or "").encode()
+        squeeze = lambda x: len(x) / len(quality_rules.zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x))
+        band = lambda x, bands: next(a <= squeeze(x) <= b for n, a, b in bands if len(x) <= n)
+        chunks = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+        wrong = [x for x in chunks if not band(x, quality_rules.CHUNK_BANDS)]
+        assert (r.n_chunks, r.n_bad_chunks) == (len(chunks), len(wrong)) and r.whole_ratio == (squeeze(raw) if raw else 0)
+        fails = bool(raw) and (not band(raw, quality_rules.WHOLE_BANDS) or sum(map(len, wrong)) > 0.34 * len(raw))
+        assert r.kept == (not r.base_failed and not fails)
     kept = quality_rules.reject(docs(spark, texts))
     assert kept.columns == docs(spark, []).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
@@ -526,6 +535,45 @@ def test_webp_tools_round_trip(cache, references):
             assert (webp.decode(webp.encode(p, steps, cache, references)) == p).all()
 
 
+def test_unpacking_at_once_equals_symbol_by_symbol(monkeypatch):
+    rng = np.random.default_rng(12)
+    files, pictures = [], []
+    for k in range(40):
+        h, w = (int(x) for x in rng.integers(1, 40, 2))
+        p = rng.integers(0, (3, 40, 1 << 32)[k % 3], (h, w), np.uint64).astype(np.uint32)
+        p[h // 2 :] = p[: h - h // 2]
+        files.append(webp.encode(p, (), (0, 1, 6, 9, None)[k % 5], bool(k % 2)))
+        pictures.append(p)
+    at_once = [webp.decode(f) for f in files]
+    monkeypatch.setattr(webp, "unpack", None)
+    monkeypatch.setattr(webp, "AT_ONCE", 1 << 60)
+    for p, a, f in zip(pictures, at_once, files, strict=True):
+        assert (a == p).all() and (webp.decode(f) == p).all()
+
+
+def test_texts_are_stored_with_the_tools_that_shorten_them(monkeypatch):
+    rng = random.Random(2)
+    plain = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(300))
+    texts = {"plain": plain, "words": "abcd" * 3 + "abcdefgh" * 200, "few": " ".join(rng.choices(["yes", "no!"], k=500)), "runs": "".join(c * rng.randint(30, 90) for c in rng.choices("abcdefghij", k=60)), "rows": "".join(f"{rng.randrange(10**9):032d}{'x' * 32}" for _ in range(40)), "copies": plain + "." * (-len(plain) % 4) + plain}
+    used = collections.defaultdict(set)
+    raw_plan, raw_matches, now = webp.plan, webp.matches, []
+
+    def seen(what, said):
+        used[now[-1]].update(said(what))
+        return what
+
+    monkeypatch.setattr(webp, "plan", lambda p: seen(raw_plan(p), lambda steps: {k[0] for k in steps}))
+    monkeypatch.setattr(webp, "matches", lambda p: seen(raw_matches(p), lambda found: {"copies"} if found else set()))
+    for name, t in texts.items():
+        now.append(name)
+        payload = webp.padded(t.encode())
+        stored = webp.store(payload)
+        assert b"".join(p.astype("<u4").tobytes() for p in webp.load(stored)) == payload
+        assert len(stored) < len(payload)
+    assert webp.PALETTE in used["few"] and "copies" in used["copies"]
+    assert {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN} & set.union(*used.values())
+
+
 def test_webp_predictors_and_faults():
     rng = np.random.default_rng(7)
     p = rng.integers(0, 2**32, (9, 11), dtype=np.uint32)
