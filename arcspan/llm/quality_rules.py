@@ -1,13 +1,16 @@
 """Quality rules: compression bands.
 
-A document is rejected when its zstandard ratio, over the whole text or over any-size fixed chunks, leaves the band that its
-length allows: too high a ratio is repetitive text, too low a ratio is noise. The ratio of short texts is dominated by the
-frame header, so limits depend on the length. Base rules (word count, share of repeated three-word windows) come first.
+A document is rejected when its zstandard ratio leaves the band that its length allows, over the whole text or over fixed chunks
+that hold more than :data:`CHUNK_SHARE` of its bytes: too high a ratio is repetitive text, too low a ratio is noise. All bytes are
+in a chunk; the last one, or the only one, is as short as it comes. The ratio of short texts is dominated by the frame header, so
+all limits depend on the length. Base rules (word count, share of repeated three-word windows) come first.
 
-Everything is computed in one pass over the scan by :func:`measure`: no shuffle, bounded memory, any task can be repeated.
+Everything is computed in one pass over the scan by :func:`measure`: no shuffle, and any task can be repeated. Memory is bounded by
+the batch and the longest text: texts over :data:`LONG` bytes are read in pieces, with about 60 bytes a word.
 
-Defined results: a null or empty text has 0 words and fails the base rules; repeated rows each get their own result; an empty
-table gives an empty table; ``extra`` columns of the input are not read, so clashing names do no harm.
+Defined results: a null or empty text has 0 words and no chunk, and fails the base rules; a ratio on a limit is inside the band;
+repeated rows each get their own result; an empty table gives an empty table; other columns are kept by :func:`reject` and not read
+otherwise, so they may have any name.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, Text, as_bytes, lean, mix, slices, table
+from arcspan.llm.common import IS_WORD, PLACES, SLICE_BYTES, Text, Words, as_bytes, lean, mix, offsets, slices, table
 
 #: (bytes up to, least ratio, greatest ratio) of whole texts; the last band has no end.
 WHOLE_BANDS = ((512, 0.95, 2.6), (2048, 1.2, 2.4), (8192, 1.3, 2.55), (32768, 1.4, 2.75), (1 << 62, 1.4, 3.5))
-#: Bytes of a chunk; the band of a full chunk's ratio; the share of chunks that may leave it.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 4096, (1.3, 2.6), 0.34
+#: The same of chunks, the last band for full ones; bytes of a full chunk; the share of a text's bytes in chunks that may leave it.
+CHUNK_BANDS = ((64, 0.0, 1.7), (128, 0.6, 2.0), (256, 0.8, 2.2), (512, 0.95, 2.4), (1024, 1.1, 2.4), (2048, 1.2, 2.5), (4096, 1.3, 2.6))
+CHUNK_BYTES, CHUNK_SHARE = 4096, 0.34
+#: Bytes of a text that is read in pieces.
+LONG = 1 << 22
 MIN_WORDS, MAX_REPEAT = 50, 50
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
@@ -70,28 +76,55 @@ def repeated_lines(t: Text) -> np.ndarray:
     return np.bincount(row, minlength=t.n) - np.bincount(row[at], minlength=t.n)
 
 
-def ratios(text: bytes, c: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """Ratio of the whole text, full chunks, full chunks that leave the band."""
+def inside(n_bytes: int, ratio: float, bands: tuple[tuple[int, float, float], ...]) -> bool:
+    """Whether a ratio is in the band of its length."""
+    return next(least <= ratio <= greatest for most, least, greatest in bands if n_bytes <= most)
+
+
+def ratios(text: bytes, c: zstandard.ZstdCompressor) -> tuple[float, int, int, int]:
+    """Ratio of the whole text, its chunks, chunks that leave their band, bytes in those."""
     if not text:
-        return 0.0, 0, 0
+        return 0.0, 0, 0, 0
     whole = len(text) / len(c.compress(text))
-    n = len(text) // CHUNK_BYTES
-    if n == 1 and len(text) == CHUNK_BYTES:
-        return whole, 1, int(not CHUNK_BAND[0] <= whole <= CHUNK_BAND[1])
-    bad = 0
-    view = memoryview(text)
-    for i in range(n):
-        r = CHUNK_BYTES / len(c.compress(view[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES]))
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return whole, n, bad
-
-
-def outside(n_bytes: int, whole: float, chunks: int, bad: int) -> bool:
+    bad, lost, view = 0, 0, memoryview(text)
+    for i in range(0, len(text), CHUNK_BYTES):
+        part = view[i : i + CHUNK_BYTES]
+        r = whole if len(part) == len(text) else len(part) / len(c.compress(part))
+        if not inside(len(part), r, CHUNK_BANDS):
+            bad, lost = bad + 1, lost + len(part)
+    return whole, -(-len(text) // CHUNK_BYTES), bad, lost
+
+
+def outside(n_bytes: int, whole: float, chunks: int, bad: int, lost: int) -> bool:
     """Whether the ratios leave the band of the text's length."""
-    for most, least, greatest in WHOLE_BANDS:
-        if n_bytes <= most:
-            return not least <= whole <= greatest or bad > CHUNK_SHARE * chunks
-    raise AssertionError("the last band has no end")
+    return not inside(n_bytes, whole, WHOLE_BANDS) or lost > CHUNK_SHARE * n_bytes
+
+
+def _counts(t: Text) -> list[np.ndarray]:
+    """Per row: code points in words, symbols, repeated lines."""
+    points = (t.data & 0xC0) != 0x80
+    return [t.per_row(points & t.inside), t.per_row(_IS_SYMBOL[t.data]), repeated_lines(t)]
+
+
+def _long_counts(text: bytes) -> list[np.ndarray]:
+    """The same of one long text, in pieces."""
+    d, out = np.frombuffer(text, np.uint8), [0, 0, 0]
+    for a in range(0, len(d), SLICE_BYTES):
+        part = d[a : a + SLICE_BYTES]
+        out[0] += int(np.count_nonzero(((part & 0xC0) != 0x80) & IS_WORD[part]))
+        out[1] += int(np.count_nonzero(_IS_SYMBOL[part]))
+    seen: set[int] = set()
+    at = 0
+    while at <= len(text):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            key = hash(line)
+            out[2] += key in seen
+            seen.add(key)
+        at = end + 1
+    return [np.array([x]) for x in out]
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +133,15 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = as_bytes(batch.column(batch.num_columns - 1))
         for i, j in slices(column):
-            t = Text(column, i, j)
-            rows = t.rows_of_words()
-            points = (t.data & 0xC0) != 0x80
-            raw = t.data.tobytes()
-            off = t.off.tolist()
+            off = (offsets(column)[i : j + 1] - offsets(column)[i]).tolist()
+            if off[-1] > LONG:
+                raw, t = column[i].as_py(), Words(column, i, j)
+                more = _long_counts(raw)
+            else:
+                t = Text(column, i, j)
+                raw, more = t.data.tobytes(), _counts(t)
             found = [ratios(raw[a:b], c) for a, b in zip(off, off[1:], strict=False)]
-            out = [t.n_words, t.per_row(points & t.inside), t.per_row(_IS_SYMBOL[t.data]), repeated_lines(t), repeated_words(t.words(), rows, t.n)]
+            out = [t.n_words, *more, repeated_words(t.words(), t.rows_of_words(), t.n)]
             arrays = [pa.array(x.astype(np.int64)) for x in out]
             arrays += [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
             arrays.append(pa.array([outside(b - a, *f) for a, b, f in zip(off, off[1:], found, strict=False)], pa.bool_()))
