@@ -1,16 +1,18 @@
 """Media columns: lossless WebP (VP8L), stored and read back with numpy.
 
 :func:`decode` is a whole VP8L decoder: prefix codes, back-references, colour cache, several code groups, and the predictor,
-cross-colour, subtract-green and palette transforms. Pixels are little-endian 32-bit ARGB. Streams without back-references
-whose codes have one length for each channel are unpacked without a loop; all others go symbol by symbol.
+cross-colour, subtract-green and palette transforms. Pixels are little-endian 32-bit ARGB. Pictures with one code group are unpacked
+without a loop over their symbols (:func:`unpack`); those with several go symbol by symbol. Transforms are undone by row or at once;
+only predictors that need the pixel to the left go by pixel.
 
-:func:`store` writes a payload of bytes (a multiple of 64) as pictures 16 pixels wide, four bytes a pixel, with 7-bit codes if
-the payload is ASCII and 8-bit codes otherwise; a payload over 1 MiB takes several pictures, one RIFF file after the other.
-:func:`encode` is a general encoder that uses any of the format's tools.
+:func:`store` writes a payload of bytes (a multiple of 64) as pictures 16 pixels wide, four bytes a pixel, of 4,096 rows at most;
+a longer payload takes several, one RIFF file after the other. It chooses transforms, back-references, the colour cache and prefix
+codes by what makes a picture shortest (:func:`plan`, :func:`write_pixels`). :func:`encode` writes with any given tools.
 
 Defined results of the operator: null and empty texts are 64 zero bytes; equal texts give equal values; repeated rows each get a
-result; an empty table gives an empty table; only the key and the text are read, so other columns may have any name. One pass,
-no shuffle; memory is bounded by the batch and the longest text.
+result; of transforms with equal cost the first one is taken; an empty table gives an empty table; only the key and the text are
+read, so other columns may have any name. One pass, no shuffle; memory is bounded by the batch and the longest text, which is stored
+and read back picture by picture, about 60 MB each.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 from arcspan.llm.common import lean, table
 
-WIDTH, MAX_SIDE = 16, 16384
+#: Pixels in a row of stored texts, and rows of a picture at most; longest code that is written, and longest back-reference.
+WIDTH, ROWS, LONGEST, MOST_LENGTH = 16, 4096, 11, 4096
+#: Pixels from which a picture is unpacked at once.
+AT_ONCE = 24
 #: Order in which a header gives the lengths of the codes of code lengths (fixed by the format).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_MULT = 0x1E35A7BD
@@ -65,6 +70,15 @@ class BitReader:
         return value
 
 
+@lru_cache(maxsize=16)
+def _turned(bits: int) -> np.ndarray:
+    """All numbers of so many bits, with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 class Code:
     """A canonical prefix code given by the lengths of its symbols."""
 
@@ -74,8 +88,6 @@ class Code:
         self.only = used[0] if len(used) == 1 else None
         self.longest = max(lengths, default=0)
         self.used = used
-        #: Length of all symbols if it is one, else 0.
-        self.even = lengths[used[0]] if len({lengths[s] for s in used}) == 1 and len(used) == 1 << lengths[used[0]] else 0
         self.codes: dict[int, int] = {}
         code, at = 0, 0
         for s in sorted(used, key=lambda s: (lengths[s], s)):
@@ -86,6 +98,7 @@ class Code:
         if used and self.only is None and code != 1 << at:
             raise ValueError("not a complete prefix code")
         self.table: list[tuple[int, int]] | None = None
+        self.arrays = self.bits = None
 
     def read(self, r: BitReader) -> int:
         if self.only is not None:
@@ -103,6 +116,31 @@ class Code:
             raise ValueError("the stream ends early")
         return s
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """By the next bits of a stream: symbol and length; and the mask of those bits. A lone symbol takes none."""
+        if self.arrays is None:
+            if not self.used:
+                raise ValueError("a code without symbols")
+            if self.only is not None:
+                self.arrays = np.array([self.only], np.int32), np.zeros(1, np.int32), 0
+            else:
+                order = sorted(self.used, key=lambda s: (self.lengths[s], s))
+                length = np.array([self.lengths[s] for s in order], np.int32)
+                times = 1 << (self.longest - length)
+                turned = _turned(self.longest)
+                self.arrays = np.repeat(np.array(order, np.int32), times)[turned], np.repeat(length, times)[turned], (1 << self.longest) - 1
+        return self.arrays
+
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """By symbol: bits and their number."""
+        if self.bits is None:
+            bits, length = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.int64)
+            if self.only is None:
+                for s, c in self.codes.items():
+                    bits[s], length[s] = c, self.lengths[s]
+            self.bits = bits, length
+        return self.bits
+
     def write(self, w: BitWriter, s: int) -> None:
         if self.only is None:
             w.put(self.codes[s], self.lengths[s])
@@ -225,24 +263,15 @@ def read_code(r: BitReader, alphabet: int) -> Code:
     return Code(lengths)
 
 
-#: Headers of code groups seen before, by cache size and length in bits. Few: production streams have two.
-_known: dict[int, dict[int, dict[int, list[Code]]]] = {}
-
-
 def read_group(r: BitReader, cache: int) -> list[Code]:
-    """Codes of green (with lengths and cache), red, blue, alpha, distance."""
-    known = _known.setdefault(cache, {})
-    for bits, found in known.items():
-        if r.at + bits <= 8 * len(r.data) and (group := found.get(r.peek(bits))):
-            r.at += bits
-            return group
-    at = r.at
-    group = [read_code(r, n) for n in (280 + cache, 256, 256, 256, 40)]
-    if sum(map(len, known.values())) < 8 and all(c.even for c in group[:4]):
-        bits, r.at = r.at - at, at
-        known.setdefault(bits, {})[r.peek(bits)] = group
-        r.at += bits
-    return group
+    """Codes of green (with lengths and cache), red, blue, alpha, distance. Those of :func:`standard` are known by their header."""
+    for bits in STANDARD_CACHES:
+        if cache == (1 << bits if bits else 0):
+            codes, head, size = standard(bits)
+            if r.at + size <= 8 * len(r.data) and r.peek(size) == head:
+                r.at += size
+                return codes
+    return [read_code(r, n) for n in (280 + cache, 256, 256, 256, 40)]
 
 
 def prefixed(value: int) -> tuple[int, int, int]:
@@ -269,29 +298,133 @@ def distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _even(r: BitReader, codes: list[Code], n: int) -> np.ndarray | None:
-    """The pixels of a stream whose four channels have codes of one length, all literals."""
-    ks = [c.even for c in codes[:4]]
-    if not all(ks) or codes[0].used[-1] > 255 or len(set(ks)) > 1:
-        return None
-    k = ks[0]
-    need = 4 * n * k
-    if r.at + need > 8 * len(r.data):
+@lru_cache(maxsize=64)
+def _distances(width: int) -> np.ndarray:
+    return np.array([0] + [distance(k + 1, width) for k in range(len(NEAR))])
+
+
+def _extra(s: np.ndarray) -> np.ndarray:
+    """Extra bits after a prefix symbol."""
+    return np.where(s < 4, 0, (s - 2) >> 1)
+
+
+def _whole(s: np.ndarray, extra: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A length or distance from its prefix symbol and what follows it."""
+    return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + (bits & ((1 << extra) - 1)) + 1)
+
+
+def colour_keys(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_MULT)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The place before each one with the same key, -1 if there is none."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.full(len(keys), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Follow parents, which come earlier, to places that are their own."""
+    while True:
+        further = parent[parent]
+        if (further == parent).all():
+            return parent
+        parent = further
+
+
+def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int) -> np.ndarray:
+    """The pixels of a picture with one code group.
+
+    What a token would be is looked up for each bit of the stream at once; the tokens are those that follow each other from the
+    first bit. Back-references and cache symbols are pointers to earlier pixels, followed together to the literals they come from.
+    """
+    green, red, blue, alpha, far = codes
+    start, shift = r.at >> 3, r.at & 7
+    most = sum(c.longest if c.only is None else 0 for c in codes[:4]) + 64
+    raw = np.frombuffer(r.data, np.uint8)[start : start + (n * most >> 3) + 16]
+    end = 8 * (len(r.data) - start)
+    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.uint32)
+    word = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    peek = (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1).astype(np.int32) & 0x1FFFFFF
+    size = len(peek)
+    symbol, length, mask = green.tables()
+    seen = peek & mask
+    s, p = symbol[seen], np.minimum(np.arange(size, dtype=np.int32) + length[seen], size - 1)
+    after = p
+    lengths: dict[int, np.ndarray] = {}
+    for c in (red, blue, alpha):
+        if c.only is None:
+            if id(c) not in lengths:
+                _, own, own_mask = c.tables()
+                lengths[id(c)] = own[peek & own_mask]
+            after = np.minimum(after + lengths[id(c)][after], size - 1)
+    tokens = s > 255
+    if tokens.any():
+        after = np.where(tokens, p, after)
+        at = np.flatnonzero(tokens & (s < 280))
+        if len(at) and far.used:
+            f_symbol, f_length, f_mask = far.tables()
+            q = np.minimum(p[at] + _extra(s[at] - 256), size - 1)
+            d = peek[q] & f_mask
+            after[at] = np.minimum(q + f_length[d] + _extra(f_symbol[d]), size - 1)
+    found, place, step = [], shift, memoryview(after)
+    for _ in range(n):
+        found.append(place)
+        place = step[place]
+        if place >= end:
+            break
+    t = np.array(found)
+    s, p = s[t], p[t]
+    count, back = np.ones(len(t), np.int64), np.zeros(len(t), np.int64)
+    copies = np.flatnonzero((s > 255) & (s < 280))
+    if len(copies):
+        f_symbol, f_length, f_mask = far.tables()
+        k = s[copies] - 256
+        count[copies] = _whole(k, _extra(k), peek[p[copies]])
+        q = np.minimum(p[copies] + _extra(k), size - 1)
+        d = f_symbol[peek[q] & f_mask]
+        told = _whole(d, _extra(d), peek[np.minimum(q + f_length[peek[q] & f_mask], size - 1)])
+        near = _distances(width)
+        back[copies] = np.where(told < len(near), near[np.minimum(told, len(near) - 1)], told - len(NEAR))
+    ends = np.cumsum(count)
+    last = int(np.searchsorted(ends, n))
+    if last == len(t) or after[t[last]] > end:
         raise ValueError("the stream ends early")
-    byte, shift = r.at >> 3, r.at & 7
-    raw = np.frombuffer(r.data, np.uint8, (need + shift + 7) // 8, byte)
-    bits = np.unpackbits(raw, bitorder="little")[shift : shift + need].reshape(4 * n, k)
-    r.at += need
-    if k < 8:
-        wide = np.zeros((4 * n, 8), np.uint8)
-        wide[:, 8 - k :] = bits
-        bits = wide
-    symbols = np.packbits(bits, axis=None).reshape(n, 4)
-    if any(c.used != list(range(1 << k)) for c in codes[:4]):
-        symbols = np.stack([np.array(codes[i].used, np.uint8)[symbols[:, i]] for i in range(4)], 1)
-    out = np.empty((n, 4), np.uint8)
-    out[:, 1], out[:, 2], out[:, 0], out[:, 3] = symbols.T
-    return out.view("<u4").reshape(n)
+    if ends[last] > n:
+        raise ValueError("a back-reference leaves the picture")
+    r.at += int(after[t[last]]) - shift
+    t, s, p, count, back, ends = (x[: last + 1] for x in (t, s, p, count, back, ends))
+    value = s.astype(np.uint32) << np.uint32(8)
+    q = p
+    for c, to in ((red, 16), (blue, 0), (alpha, 24)):
+        c_symbol, c_length, c_mask = c.tables()
+        d = peek[q] & c_mask
+        value |= c_symbol[d].astype(np.uint32) << np.uint32(to)
+        q = np.minimum(q + c_length[d], size - 1)
+    if not (s > 255).any():
+        return value
+    begin = ends - count
+    out, parent = np.zeros(n, np.uint32), np.arange(n)
+    plain = s < 256
+    out[begin[plain]] = value[plain]
+    copies = np.flatnonzero((s > 255) & (s < 280))
+    if (back[copies] > begin[copies]).any():
+        raise ValueError("a back-reference leaves the picture")
+    m = count[copies]
+    inner = np.repeat(begin[copies] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    parent[inner] = inner - np.repeat(back[copies], m)
+    cached = np.flatnonzero(s >= 280)
+    if len(cached):
+        root = _roots(parent)
+        keys = colour_keys(out, cache_bits)
+        keys[begin[cached]] = (s[cached] - 280).astype(np.uint64)
+        earlier = _before(keys[root])[begin[cached]]
+        has = earlier >= 0  # an entry that nothing has filled is 0
+        parent[begin[cached[has]]] = earlier[has]
+    return out[_roots(parent)]
 
 
 def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -309,8 +442,8 @@ def read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
         n_groups = 1 + max(map(max, groups_of))
     groups = [read_group(r, cache) for _ in range(n_groups)]
     n = width * height
-    if groups_of is None and not cache and (out := _even(r, groups[0], n)) is not None:
-        return out
+    if groups_of is None and n >= AT_ONCE and all(c.used for c in groups[0][:4]):
+        return unpack(r, groups[0], cache_bits, width, n)
     colours = [0] * cache
     shift = 32 - cache_bits
     pixels: list[int] = []
@@ -365,43 +498,64 @@ def _predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, co
     if mode == 10:
         return (left + corner >> 1) + (top + right >> 1) >> 1
     if mode == 11:
-        to_left, to_top = np.abs(top - corner).sum(), np.abs(left - corner).sum()
-        return left if to_left < to_top else top
+        to_left, to_top = np.abs(top - corner).sum(-1, keepdims=True), np.abs(left - corner).sum(-1, keepdims=True)
+        return np.where(to_left < to_top, left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
         mean = left + top >> 1
         half = mean - corner
         return np.clip(mean + np.sign(half) * (np.abs(half) >> 1), 0, 255)
-    return np.array([0, 0, 0, 255])
+    return _BLACK
 
 
-def _prediction(c: np.ndarray, y: int, x: int, mode: int) -> np.ndarray:
-    if not y:
-        return c[0, x - 1] if x else np.array([0, 0, 0, 255])
-    if not x:
-        return c[y - 1, 0]
-    right = c[y - 1, x + 1] if x + 1 < c.shape[1] else c[y, 0]
-    return _predict(mode, c[y, x - 1], c[y - 1, x], right, c[y - 1, x - 1])
+#: Modes whose prediction doesn't need pixels of the same row.
+ABOVE = (0, 2, 3, 4, 8, 9)
+_BLACK = np.array([0, 0, 0, 255])
 
 
 def undo_predictor(p: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray:
+    """Row by row; within a row, stretches of one mode at once where the mode looks above or is the running sum, else by pixel."""
     c, m = _channels(p), (modes >> np.uint32(8)) & 15
-    if (m == 1).all():  # each row is a running sum
-        c[:, 0] = np.cumsum(c[:, 0] + np.array([[0, 0, 0, 255]]) * (np.arange(len(c)) == 0)[:, None], axis=0)
-        return _pixels(np.cumsum(c, axis=1))
-    for y in range(c.shape[0]):
-        for x in range(c.shape[1]):
-            c[y, x] = (c[y, x] + _prediction(c, y, x, int(m[y >> bits, x >> bits]))) & 255
+    h, w = p.shape
+    c[0, 0] += _BLACK
+    c[0] = np.cumsum(c[0], axis=0) & 255
+    for y in range(1, h):
+        row, top = c[y], c[y - 1]
+        row[0] = (row[0] + top[0]) & 255
+        kinds = m[y >> bits]
+        x = 1
+        while x < w:
+            mode, end = int(kinds[x >> bits]), ((x >> bits) + 1) << bits
+            while end < w and kinds[end >> bits] == mode:
+                end += 1 << bits
+            end = min(end, w)
+            if mode in ABOVE or mode > 13:
+                right = top[x + 1 : end + 1] if end < w else np.concatenate([top[x + 1 :], c[y, :1]])
+                row[x:end] = (row[x:end] + _predict(mode, top, top[x:end], right, top[x - 1 : end - 1])) & 255
+            elif mode == 1:
+                row[x:end] = (row[x - 1] + np.cumsum(row[x:end], axis=0)) & 255
+            else:
+                for i in range(x, end):
+                    right = top[i + 1] if i + 1 < w else row[0]
+                    row[i] = (row[i] + _predict(mode, row[i - 1], top[i], right, top[i - 1])) & 255
+            x = end
     return _pixels(c)
 
 
 def do_predictor(p: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray:
     c, m = _channels(p), (modes >> np.uint32(8)) & 15
-    out = np.empty_like(c)
-    for y in range(c.shape[0]):
-        for x in range(c.shape[1]):
-            out[y, x] = c[y, x] - _prediction(c, y, x, int(m[y >> bits, x >> bits]))
+    h, w = p.shape
+    out = c.copy()
+    out[0, 0] -= _BLACK
+    out[0, 1:] -= c[0, :-1]
+    out[1:, 0] -= c[:-1, 0]
+    kinds = np.repeat(np.repeat(m, 1 << bits, 0), 1 << bits, 1)[1:h, 1:w]
+    left, top, corner = c[1:, :-1], c[:-1, 1:], c[:-1, :-1]
+    right = np.concatenate([c[:-1, 2:], c[1:, :1]], axis=1) if w > 1 else top
+    for mode in np.unique(kinds).tolist():
+        at = kinds == mode
+        out[1:, 1:][at] -= _predict(mode, left[at], top[at], right[at], corner[at])
     return _pixels(out)
 
 
@@ -483,58 +637,167 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
 
 
-def write_pixels(w: BitWriter, pixels: list[int], width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """An entropy-coded picture with one code group."""
-    w.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        w.put(cache_bits, 4)
+def matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy back-references: place, distance, length. A run of three pixels is looked up where it stood last."""
+    n = len(pixels)
+    if n < 4:
+        return []
+    x = pixels.astype(np.uint64)
+    keys = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
+    before = _before(keys)
+    out, done = [], 0
+    at = np.flatnonzero(before >= 0)
+    for i, j in zip(at.tolist(), before[at].tolist(), strict=True):
+        if i < done:
+            continue
+        length, step = 0, 16
+        while length < MOST_LENGTH and i + length < n:
+            m = min(step, MOST_LENGTH - length, n - i - length)
+            differ = np.flatnonzero(pixels[i + length : i + length + m] != pixels[j + length : j + length + m])
+            if len(differ):
+                length += int(differ[0])
+                break
+            length, step = length + m, 4 * step
+        if length >= 3:
+            out.append((i, i - j, length))
+            done = i + length
+    return out
+
+
+class Tokens:
+    """A picture as literals, back-references and cache symbols."""
+
+    def __init__(self, pixels: np.ndarray, width: int, cache_bits: int, found: list[tuple[int, int, int]]) -> None:
+        n = len(pixels)
+        inside, starts = np.zeros(n, bool), np.zeros(n, bool)
+        for i, _, length in found:
+            inside[i : i + length] = True
+            starts[i] = True
+        cached = np.zeros(n, bool)
+        if cache_bits:
+            keys = colour_keys(pixels, cache_bits)
+            before = _before(keys)
+            cached = (before >= 0) & (pixels[before] == pixels) & ~inside
+        places = np.flatnonzero(~inside | starts)
+        self.count = len(places)
+        #: Places among the tokens.
+        self.copies, self.cached = np.flatnonzero(starts[places]), np.flatnonzero(cached[places])
+        self.plain = np.flatnonzero(~starts[places] & ~cached[places])
+        self.literals = np.ascontiguousarray(pixels[places[self.plain]], "<u4").view(np.uint8).reshape(-1, 4).astype(np.int64)
+        self.keys = keys[places[self.cached]].astype(np.int64) if cache_bits else np.zeros(0, np.int64)
+        near = {d: k for k, d in reversed([*enumerate(_distances(width).tolist())][1:])}
+        self.lengths = np.array([prefixed(length) for _, _, length in found], np.int64).reshape(-1, 3)
+        self.far = np.array([prefixed(near.get(d, d + len(NEAR))) for _, d, _ in found], np.int64).reshape(-1, 3)
+        self.cache = 1 << cache_bits if cache_bits else 0
+
+    def counts(self) -> list[np.ndarray]:
+        """How often the five codes have their symbols."""
+        first = np.concatenate([self.literals[:, 1], 256 + self.lengths[:, 0], 280 + self.keys])
+        of = lambda x, n: np.bincount(x, minlength=n)
+        return [of(first, 280 + self.cache), of(self.literals[:, 2], 256), of(self.literals[:, 0], 256), of(self.literals[:, 3], 256), of(self.far[:, 0], 40)]
+
+    def fields(self, codes: list[Code]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each token, and their number."""
+        value, size = np.zeros(self.count, np.uint64), np.zeros(self.count, np.int64)
+
+        def put(at: np.ndarray, bits: np.ndarray, n: np.ndarray) -> None:
+            value[at] |= bits.astype(np.uint64) << size[at].astype(np.uint64)
+            size[at] += n
+
+        def symbol(at: np.ndarray, code: Code, s: np.ndarray) -> None:
+            bits, n = code.written()
+            put(at, bits[s], n[s])
+
+        for code, channel in zip(codes, (1, 2, 0, 3), strict=False):
+            symbol(self.plain, code, self.literals[:, channel])
+        symbol(self.cached, codes[0], 280 + self.keys)
+        symbol(self.copies, codes[0], 256 + self.lengths[:, 0])
+        put(self.copies, self.lengths[:, 1], self.lengths[:, 2])
+        symbol(self.copies, codes[4], self.far[:, 0])
+        put(self.copies, self.far[:, 1], self.far[:, 2])
+        return value, size
+
+
+def _bits(value: np.ndarray, size: np.ndarray) -> tuple[int, int]:
+    """Fields one after the other, as one number, and its bits."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    inner = np.arange(total) - np.repeat(ends - size, size)
+    bits = (np.repeat(value, size) >> inner.astype(np.uint64)).astype(np.uint8) & 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), total
+
+
+def _entropy(counts: np.ndarray) -> float:
+    c = counts[counts > 0]
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) > 1 else 0.0
+
+
+def _of_header(counts: list[np.ndarray]) -> float:
+    """Bits that the headers of own codes take, about."""
+    return sum(60 + 4.5 * np.count_nonzero(c) if np.count_nonzero(c) > 1 else 12 for c in counts)
+
+
+def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
+    """An entropy-coded picture with one code group, its own or a standard one, whichever is shorter.
+
+    With ``cache_bits`` None, a standard cache is taken if it saves bits.
+    """
+    found = matches(pixels) if references else []
+    ways = [Tokens(pixels, width, b, found) for b in ([cache_bits] if cache_bits is not None else STANDARD_CACHES)]
+    best = None
+    for t in ways:
+        counts = t.counts()
+        own = sum(map(_entropy, counts)) + _of_header(counts)
+        bits = t.cache.bit_length() - 1 if t.cache else 0
+        plain = sum(int(c @ code.written()[1]) for c, code in zip(counts, standard(bits)[0], strict=True)) + standard(bits)[2] if bits in STANDARD_CACHES and main else None
+        for cost, codes in ((own, None), (plain, standard(bits)[0] if plain is not None else None)):
+            if cost is not None and (best is None or cost < best[0]):
+                best = cost, t, counts, codes, bits
+    _, t, counts, codes, bits = best
+    w.put(1 if bits else 0, 1)
+    if bits:
+        w.put(bits, 4)
     if main:
         w.put(0, 1)
-    cache, shift = [None] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
-    tokens: list[list[tuple[int, int, int, int]]] = []  # of (code, symbol, extra value, extra bits)
-    seen: dict[tuple[int, ...], int] = {}
-    i, n = 0, len(pixels)
-    while i < n:
-        length, key = 0, tuple(pixels[i : i + 3])
-        if references and len(key) == 3 and (j := seen.get(key)) is not None:
-            while i + length < n and length < 4096 and pixels[j + length] == pixels[i + length]:
-                length += 1
-        if length >= 3:
-            back = i - j
-            code = next((k + 1 for k in range(len(NEAR)) if distance(k + 1, width) == back), back + len(NEAR))
-            s, extra, bits = prefixed(length)
-            d, d_extra, d_bits = prefixed(code)
-            tokens.append([(0, 256 + s, extra, bits), (4, d, d_extra, d_bits)])
-        else:
-            length, p = 1, pixels[i]
-            at = (CACHE_MULT * p & 0xFFFFFFFF) >> shift if cache_bits else 0
-            if cache_bits and cache[at] == p:
-                tokens.append([(0, 280 + at, 0, 0)])
-            else:
-                tokens.append([(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)])
-        for k in range(i, i + length):
-            seen[tuple(pixels[k : k + 3])] = k
-            if cache_bits:
-                cache[(CACHE_MULT * pixels[k] & 0xFFFFFFFF) >> shift] = pixels[k]
-        i += length
-    counts = [[0] * a for a in (280 + len(cache), 256, 256, 256, 40)]
-    for t in tokens:
-        for c, s, _, _ in t:
-            counts[c][s] += 1
-    if sum(1 for x in counts[0] if x) == 1 and not counts[0][0]:
-        counts[0][0] = 1  # a lone symbol over 255 has no short header
-    codes = []
-    for c in counts:
-        lengths = lengths_of(c)
-        write_code(w, lengths)
-        codes.append(Code(lengths if any(lengths) else [1] + lengths[1:]))
-    for t in tokens:
-        for c, s, extra, bits in t:
-            codes[c].write(w, s)
-            w.put(extra, bits)
-
-
-def encode(p: np.ndarray, steps: tuple = (), cache_bits: int = 0, references: bool = False) -> bytes:
+    if codes is not None:
+        w.put(standard(bits)[1], standard(bits)[2])
+    else:
+        codes = []
+        if np.count_nonzero(counts[0]) == 1 and not counts[0][0]:
+            counts[0][0] = 1  # a lone symbol over 255 has no short header
+        for c in counts:
+            lengths = lengths_of(c.tolist(), LONGEST)
+            write_code(w, lengths)
+            codes.append(Code(lengths if any(lengths) else [1] + lengths[1:]))
+    extra, values = sum(c.longest for c in codes), t.fields(codes)
+    if extra > 64 and (values[1] > 64).any():
+        raise AssertionError("a token has over 64 bits")
+    w.put(*_bits(*values))
+
+
+#: Characters of usual text, frequent first, for the standard codes.
+USUAL = b" etaoinsrhldcumpgfybwvk.,\n-'\"0123456789xjqz:;()/"
+STANDARD_CACHES = (0, 6)
+
+
+@lru_cache(maxsize=4)
+def standard(cache_bits: int) -> tuple[list[Code], int, int]:
+    """Codes for text of four characters a pixel, so that short texts need none of their own; their header and its bits."""
+    literals = [8] * 33 + [12] * 95 + [20] * 64 + [4] * 64
+    for rank, c in enumerate(USUAL):
+        literals[c] = int(4000 / (rank + 1.5))
+    for c in range(65, 91):
+        literals[c] = 40
+    first = literals + [60] * 24 + [(30 if cache_bits else 0)] * (1 << cache_bits if cache_bits else 0)
+    red = Code(lengths_of(literals, LONGEST))
+    codes = [Code(lengths_of(first, LONGEST)), red, red, red, Code(lengths_of([1] * 40, LONGEST))]
+    w = BitWriter()
+    for c in codes:
+        write_code(w, c.lengths)
+    return codes, w.value, w.n
+
+
+def encode(p: np.ndarray, steps: tuple = (), cache_bits: int | None = 0, references: bool = False) -> bytes:
     """A picture with the given transforms, in order: (PREDICTOR or CROSS_COLOUR, bits, elements), (SUBTRACT_GREEN,), (PALETTE,)."""
     w = BitWriter()
     height, width = p.shape
@@ -548,7 +811,7 @@ def encode(p: np.ndarray, steps: tuple = (), cache_bits: int = 0, references: bo
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits, elements = args
             w.put(bits - 2, 3)
-            write_pixels(w, elements.ravel().tolist(), elements.shape[1], False)
+            write_pixels(w, elements.ravel(), elements.shape[1], False)
             p = do_predictor(p, bits, elements) if kind == PREDICTOR else cross_colour(p, bits, elements, -1)
         elif kind == SUBTRACT_GREEN:
             p = green(p, -1)
@@ -558,7 +821,7 @@ def encode(p: np.ndarray, steps: tuple = (), cache_bits: int = 0, references: bo
                 raise ValueError("too many colours for a palette")
             w.put(len(palette) - 1, 8)
             c = _channels(palette)
-            write_pixels(w, _pixels(np.diff(c, axis=0, prepend=0)).tolist(), len(palette), False)
+            write_pixels(w, _pixels(np.diff(c, axis=0, prepend=0)), len(palette), False)
             index, pack = index.reshape(p.shape).astype(np.uint32), packing(len(palette))
             if pack:
                 n, bits = 1 << pack, 8 >> pack
@@ -566,33 +829,70 @@ def encode(p: np.ndarray, steps: tuple = (), cache_bits: int = 0, references: bo
                 index = sum(index[..., i] << np.uint32(i * bits) for i in range(n))
             p = (index << np.uint32(8)) | np.uint32(0xFF000000)
     w.put(0, 1)
-    write_pixels(w, p.ravel().tolist(), p.shape[1], True, cache_bits, references)
+    write_pixels(w, p.ravel(), p.shape[1], True, cache_bits, references)
     return riff(w.bytes())
 
 
-@lru_cache(maxsize=16)
-def _header(k: int) -> np.ndarray:
-    """Bits from the transforms to the first pixel, for codes of ``k`` bits."""
-    w = BitWriter()
-    w.put(0, 3)  # no transform, no cache, one group
-    for n in (280, 256, 256, 256):
-        write_code(w, [k] * (1 << k) + [0] * (n - (1 << k)))
-    write_code(w, [0] * 40)
-    return np.unpackbits(np.frombuffer(w.bytes(), np.uint8), bitorder="little")[: w.n]
+def _cost(p: np.ndarray) -> float:
+    """Bits of a picture without back-references, about, in standard codes or its own."""
+    c = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4)
+    counts = [np.bincount(c[:, k], minlength=256) for k in range(4)]
+    return min(float(sum(counts) @ standard(0)[0][1].written()[1]), sum(map(_entropy, counts)) + _of_header(counts))
+
+
+#: Tiles of 4 x 4 pixels.
+TILE = 2
+
+
+def _tile_modes(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """The predictor that finds most bytes in each tile, of those that look one pixel away; the share of bytes found."""
+    c = _channels(p)
+    h, w = p.shape
+    sh, sw = (h + 3) >> TILE, (w + 3) >> TILE
+    hits = np.zeros((4, sh << TILE, sw << TILE), np.int32)
+    hits[0, :, 1:w][:h] = (c[:, 1:] == c[:, :-1]).sum(-1)
+    hits[1, 1:h, :w] = (c[1:] == c[:-1]).sum(-1)
+    hits[2, 1:h, : w - 1] = (c[1:, :-1] == c[:-1, 1:]).sum(-1)
+    hits[3, 1:h, 1:w] = (c[1:, 1:] == c[:-1, :-1]).sum(-1)
+    tiles = hits.reshape(4, sh, 1 << TILE, sw, 1 << TILE).sum((2, 4))
+    best = tiles.argmax(0)
+    return (best + 1).astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), float(tiles.max(0).sum() / c.size)
+
+
+def plan(p: np.ndarray) -> tuple:
+    """The transforms that make a picture shortest: none, a palette, predictors by tile, cross-colour or subtract-green.
+
+    Those that find little of what they look for are not tried.
+    """
+    c = _channels(p)
+    ways: list[tuple[float, tuple]] = [(_cost(p), ())]
+    palette, index = np.unique(p, return_counts=True)
+    if len(palette) <= 256 and p.size >= 2 * len(palette):
+        ways.append((150 + 30 * len(palette) + _entropy(index), ((PALETTE,),)))
+    modes, share = _tile_modes(p)
+    if share > LEAST_SHARE:
+        ways.append((150 + 2 * modes.size + _cost(do_predictor(p, TILE, modes)), ((PREDICTOR, TILE, modes),)))
+    same = [float((c[..., a] == c[..., b]).mean()) for a, b in ((1, 2), (1, 0), (2, 0))]
+    if max(same) > LEAST_SHARE:
+        ways.append((1 + _cost(green(p, -1)), ((SUBTRACT_GREEN,),)))
+        from_green, from_red = 32 * (same[1] >= same[2]), 32 * (same[1] < same[2])
+        element = 0xFF000000 | from_red << 16 | from_green << 8 | 32 * (same[0] > LEAST_SHARE)
+        elements = np.full(((p.shape[0] + 7) >> 3, (p.shape[1] + 7) >> 3), element, np.uint32)
+        ways.append((100 + _cost(cross_colour(p, 3, elements, -1)), ((CROSS_COLOUR, 3, elements),)))
+    return min(ways, key=lambda x: x[0])[1]
+
+
+#: Share of bytes that a transform must find before its cost is worked out.
+LEAST_SHARE = 0.2
 
 
 def store(payload: bytes) -> bytes:
     """A payload, in multiples of 64 bytes, as lossless pictures."""
     out = []
-    most = WIDTH * 4 * MAX_SIDE
+    most = WIDTH * 4 * ROWS
     for at in range(0, len(payload), most):
-        part = np.frombuffer(payload, np.uint8, min(most, len(payload) - at), at)
-        k = 7 if part.max() < 128 else 8
-        head = WIDTH - 1 | (len(part) // 64 - 1) << 14 | 1 << 28
-        symbols = part.reshape(-1, 4)[:, [1, 2, 0, 3]]
-        bits = np.unpackbits(np.ascontiguousarray(symbols).reshape(-1, 1), axis=1)[:, 8 - k :].reshape(-1)
-        first = np.unpackbits(np.frombuffer(head.to_bytes(4, "little"), np.uint8), bitorder="little")
-        out.append(riff(np.packbits(np.concatenate([first, _header(k), bits]), bitorder="little").tobytes()))
+        p = np.frombuffer(payload, "<u4", min(most, len(payload) - at) // 4, at).reshape(-1, WIDTH)
+        out.append(encode(p, plan(p), None, True))
     return b"".join(out)
 
 
@@ -608,10 +908,11 @@ def load(media: bytes) -> list[np.ndarray]:
 
 def features(pictures: list[np.ndarray]) -> str:
     """Size, then for blue, green, red, alpha: sum and greatest value."""
-    flat = np.concatenate([p.reshape(-1) for p in pictures])
-    c = np.ascontiguousarray(flat, "<u4").view(np.uint8).reshape(-1, 4)
-    sums, most = c.sum(axis=0, dtype=np.int64), c.max(axis=0)
-    return f"{WIDTH}x{len(flat) // WIDTH}:" + ",".join(f"{s}/{m}" for s, m in zip(sums.tolist(), most.tolist(), strict=True))
+    sums, most, rows = np.zeros(4, np.int64), np.zeros(4, np.uint8), 0
+    for p in pictures:
+        c = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4)
+        sums, most, rows = sums + c.sum(axis=0, dtype=np.int64), np.maximum(most, c.max(axis=0)), rows + len(p)
+    return f"{WIDTH}x{rows}:" + ",".join(f"{s}/{m}" for s, m in zip(sums.tolist(), most.tolist(), strict=True))
 
 
 def padded(text: bytes) -> bytes:
