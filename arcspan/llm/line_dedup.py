@@ -1,8 +1,9 @@
 r"""Line dedup: site-relative frequency, with DataFrame functions only.
 
 Documents are grouped by host. A line's frequency is the share of the host's pages that contain it; lines over
-:data:`MAX_SHARE` are boilerplate and dropped wherever they stand on that host. A host needs :data:`MIN_PAGES` pages and a line
-:data:`MIN_HITS` of them, so that small hosts lose nothing. Lines are compared without surrounding blanks, by 64-bit hash; blank
+:data:`MAX_SHARE` are boilerplate and dropped wherever they stand on that host. The share says little of few pages: on a host of two
+each line would be in half of them. So a host needs :data:`MIN_PAGES` pages and a line :data:`MIN_HITS` of them; both are parameters,
+and with 1 the share alone decides. Lines are compared without surrounding blanks, by 64-bit hash; blank
 lines stay.
 
 Each page's distinct line hashes are counted by (host, line) with partial sums before the shuffle, so a hot host or line is a
@@ -11,7 +12,8 @@ are written to the checkpoint folder, so that the planner knows their size: it b
 limit and otherwise joins by shuffle, where adaptive execution splits hot hosts. Texts are not shuffled in the broadcast form.
 
 Defined results: null hosts are one host, the same as the empty name; null texts have no lines and stay null; repeated rows count
-as pages; an empty table gives an empty table; all columns stay, the text aside (``n_chars``, if there, follows it).
+as pages; a share equal to the limit is no boilerplate; an empty table gives an empty table; all columns stay, whatever their names,
+the text aside (``n_chars``, if there, follows it). A long text takes memory for its lines.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import cut, table
+from arcspan.llm.common import cut, spare, table
 
 MAX_SHARE, MIN_PAGES, MIN_HITS = 0.05, 20, 5
 BLANKS = " \t\r"
@@ -43,19 +45,22 @@ def boilerplate(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min
     return common.groupBy("_host").agg(F.collect_set("_line").alias("_lines"))
 
 
-def _kept(docs: DataFrame, host: Column, **limits: float) -> DataFrame:
-    """``docs`` with ``_kept``, the lines that stay (null for a null text)."""
+def _kept(docs: DataFrame, host: Column, **limits: float) -> tuple[DataFrame, str]:
+    """``docs`` and a last column with the lines that stay (null for a null text), and its name."""
     found = cut(boilerplate(docs, host, **limits))
+    name, gone, kept = spare(docs, "page_host", "common_lines", "kept_lines")
     lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("_lines", F.xxhash64(_bare(x))))
-    joined = docs.withColumn("_host", F.coalesce(host, F.lit(""))).join(found, "_host", "left")
-    return joined.withColumn("_kept", F.when(F.col("_lines").isNull(), lines).otherwise(stays)).drop("_host", "_lines")
+    stays = F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains(gone, F.xxhash64(_bare(x))))
+    found = found.select(F.col("_host").alias(name), F.col("_lines").alias(gone))
+    joined = docs.withColumn(name, F.coalesce(host, F.lit(""))).join(found, name, "left")
+    return joined.withColumn(kept, F.when(F.col(gone).isNull(), lines).otherwise(stays)).drop(name, gone), kept
 
 
 def drop(docs: DataFrame, host: Column | None = None, **limits: float) -> DataFrame:
     """The documents without boilerplate lines."""
     names = docs.columns
-    out = _kept(docs, F.col("source") if host is None else host, **limits).withColumn("text", F.array_join("_kept", "\n"))
+    out, kept = _kept(docs, F.col("source") if host is None else host, **limits)
+    out = out.withColumn("text", F.array_join(kept, "\n"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*names)
@@ -68,9 +73,9 @@ def page_host(url: Column) -> Column:
 
 def digests(docs: DataFrame, **limits: float) -> DataFrame:
     """Per document: lines, lines dropped, digest of the text that stays."""
-    kept = _kept(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), F.col("source"), **limits)
+    out, kept = _kept(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), F.col("source"), **limits)
     n = F.size(_lines(F.col("text"))).cast("long")
-    return kept.select("doc_id", n.alias("n_lines"), (n - F.size("_kept")).alias("n_dropped"), F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
+    return out.select("doc_id", n.alias("n_lines"), (n - F.size(kept)).alias("n_dropped"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = f"""
