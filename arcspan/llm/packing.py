@@ -7,19 +7,21 @@ space: a bitset has a bit for each free space that an open bin has, so the best
 piece, is one shift and the lowest set bit. When nothing fits and all bins are open, the fullest closes first.
 
 Words between ASCII white space, less the dots and commas about them, are tokenised once for each Python worker and remembered,
-about :data:`REMEMBERED` words at most, since the tokenizer never joins tokens across such places and ignores case. The default
-vocabulary is the one these rules hold for.
+about :data:`REMEMBERED` words at most, since the tokenizer of the default vocabulary never joins tokens across such places and
+ignores case. With any other vocabulary whole texts are tokenised.
 
 Only lengths and check sums are shuffled for packing, never texts. Pieces are written to the checkpoint folder, as the number of
 tasks needs their total. Any task can be repeated: its pieces are sorted first, so it packs them alike.
 
-Defined results: null and empty texts are one piece, the end id; repeated rows are packed each; an empty table gives an empty
-table; other columns are not read.
+Defined results: null and empty texts are one piece, the end id; repeated rows are packed each; of bins with equal free space the
+one opened last is taken; an empty table gives an empty table; other columns are not read, so they may have any name. A long text is
+tokenised in pieces cut at white space (whole with another vocabulary) and takes memory for its ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import Text, as_bytes, cut, lean, slices, table
+from arcspan.llm.common import SLICE_BYTES, Text, as_bytes, cut, lean, offsets, slices, table
 
 CAPACITY, END_ID = 2048, 0
 #: Bins open at once; sequences a packing task makes, about; words that a task remembers.
 OPEN_BINS, SEQUENCES, REMEMBERED = 512, 16384, 1 << 20
+#: Packing tasks at most; beyond them each makes more sequences.
+MOST_TASKS = 20_000
 
 
 def vocabulary() -> str:
@@ -67,6 +71,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.by_word = os.path.samefile(path, vocabulary())
         self.clear()
 
     def clear(self) -> None:
@@ -135,6 +140,27 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
 
+def rows_of_ids(e: Encoder, column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows of a large binary column, end ids included, and how many each row has."""
+    off = offsets(column)
+    if not e.by_word:
+        found = [np.array([*x.ids, e.end_id], np.uint32) for x in e.tokenizer.encode_batch([column[k].as_py().decode() for k in range(i, j)], add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found])
+    if off[j] - off[i] <= 4 * SLICE_BYTES:
+        return e.encode(parsed(column, i, j))
+    text, at, out = column[i].as_py(), 0, []  # one long row
+    while at < len(text):
+        to = min(len(text), at + SLICE_BYTES)
+        if to < len(text):  # a word stays whole
+            m = _BLANK.search(text, to)
+            to = m.start() if m else len(text)
+        out.append(e.encode(parsed(pa.array([text[at:to]], pa.large_binary()), 0, 1))[0][:-1])
+        at = to
+    flat = np.concatenate([*out, np.array([e.end_id], np.uint32)])
+    return flat, np.array([len(flat)])
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -153,7 +179,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         for batch in batches:
             column = as_bytes(batch.column(1))
             for i, j in slices(column):
-                flat, counts = e.encode(parsed(column, i, j))
+                flat, counts = rows_of_ids(e, column, i, j)
                 n = -(-counts // capacity)
                 row = np.repeat(np.arange(j - i), n)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -212,7 +238,7 @@ class Bins:
 def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, sequences: int = SEQUENCES) -> DataFrame:
     """Pieces, at most ``capacity`` long each, with a sequence_id and an offset. ``parts`` is read twice."""
     total = parts.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, round(total / (capacity * sequences)))
+    tasks = min(MOST_TASKS, max(1, round(total / (capacity * sequences))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, high = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -222,7 +248,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sequence_id", "offset"])
 
     keys = ["doc_id", "piece", "ids_crc32", "length"]
-    dealt = parts.repartition(tasks, *keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
+    # rows that are alike go to several tasks, by the place they are read from
+    dealt = parts.repartition(tasks, *keys, F.spark_partition_id()).sortWithinPartitions(F.xxhash64(*keys), *keys)
     return dealt.mapInArrow(lean(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
 
 
