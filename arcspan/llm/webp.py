@@ -18,10 +18,9 @@ and read back picture by picture, about 60 MB each.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,18 +87,20 @@ class Code:
         self.only = used[0] if len(used) == 1 else None
         self.longest = max(lengths, default=0)
         self.used = used
-        self.codes: dict[int, int] = {}
-        code, at = 0, 0
-        for s in sorted(used, key=lambda s: (lengths[s], s)):
-            code <<= lengths[s] - at
-            at = lengths[s]
-            self.codes[s] = int(f"{code:0{at}b}"[::-1], 2)
-            code += 1
-        if used and self.only is None and code != 1 << at:
+        if used and self.only is None and sum(1 << (self.longest - lengths[s]) for s in used) != 1 << self.longest:
             raise ValueError("not a complete prefix code")
         self.table: list[tuple[int, int]] | None = None
         self.arrays = self.bits = None
 
+    @cached_property
+    def codes(self) -> dict[int, int]:
+        """The bits of each symbol, the first one lowest."""
+        turned, out, at = _turned(self.longest), {}, 0
+        for s in sorted(self.used, key=lambda s: (self.lengths[s], s)):
+            out[s] = int(turned[at])  # of a code with zeros behind it, in reverse
+            at += 1 << (self.longest - self.lengths[s])
+        return out
+
     def read(self, r: BitReader) -> int:
         if self.only is not None:
             return self.only
@@ -211,23 +212,31 @@ def lengths_of(counts: list[int], most: int = 15) -> list[int]:
         for s in used:
             out[s] = 1
         return out
-    floor = 1
+    floor, n = 1, len(used)
+    order = sorted(used, key=lambda s: counts[s])
     while True:
-        heap = [(max(counts[s], floor), i, [s]) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        k = len(used)
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in x + y:
-                depth[s] += 1
-            heapq.heappush(heap, (a + b, k, x + y))
-            k += 1
-        if max(depth.values()) <= most:
+        # the leaves in order and the inner nodes as they are made are two queues, each sorted
+        weight = [max(counts[s], floor) for s in order]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                    x, leaf = leaf, leaf + 1
+                else:
+                    x, inner = inner, inner + 1
+                total += weight[x]
+                parent[x] = new
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[parent[x]] + 1
+        if max(depth) <= most:
             break
         floor *= 2
-    for s in used:
-        out[s] = depth[s]
+    for s, d in zip(order, depth, strict=False):
+        out[s] = d
     return out
 
 
@@ -346,13 +355,14 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
     most = sum(c.longest if c.only is None else 0 for c in codes[:4]) + 64
     raw = np.frombuffer(r.data, np.uint8)[start : start + (n * most >> 3) + 16]
     end = 8 * (len(r.data) - start)
-    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.uint32)
-    word = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    peek = (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1).astype(np.int32) & 0x1FFFFFF
-    size = len(peek)
+    # zeros behind the stream, more than a token has bits, so that no place leaves the arrays
+    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.int32)
+    word = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+    peek = (word[:, None] >> np.arange(8, dtype=np.int32)).reshape(-1) & 0x1FFFFFF
+    size = 8 * len(raw)
     symbol, length, mask = green.tables()
-    seen = peek & mask
-    s, p = symbol[seen], np.minimum(np.arange(size, dtype=np.int32) + length[seen], size - 1)
+    seen = peek[:size] & mask
+    s, p = symbol[seen], np.arange(size, dtype=np.int32) + length[seen]
     after = p
     lengths: dict[int, np.ndarray] = {}
     for c in (red, blue, alpha):
@@ -360,21 +370,22 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
             if id(c) not in lengths:
                 _, own, own_mask = c.tables()
                 lengths[id(c)] = own[peek & own_mask]
-            after = np.minimum(after + lengths[id(c)][after], size - 1)
-    tokens = s > 255
-    if tokens.any():
-        after = np.where(tokens, p, after)
-        at = np.flatnonzero(tokens & (s < 280))
+            after = after + lengths[id(c)][after]
+    at = np.flatnonzero(s > 255)
+    if len(at):
+        after = after.copy() if after is p else after
+        after[at] = p[at]
+        at = at[s[at] < 280]
         if len(at) and far.used:
             f_symbol, f_length, f_mask = far.tables()
-            q = np.minimum(p[at] + _extra(s[at] - 256), size - 1)
+            q = p[at] + _extra(s[at] - 256)
             d = peek[q] & f_mask
-            after[at] = np.minimum(q + f_length[d] + _extra(f_symbol[d]), size - 1)
-    found, place, step = [], shift, memoryview(after)
+            after[at] = q + f_length[d] + _extra(f_symbol[d])
+    found, place, step, stop = [], shift, memoryview(after), min(size, end)
     for _ in range(n):
         found.append(place)
         place = step[place]
-        if place >= end:
+        if place >= stop:
             break
     t = np.array(found)
     s, p = s[t], p[t]
@@ -384,9 +395,9 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
         f_symbol, f_length, f_mask = far.tables()
         k = s[copies] - 256
         count[copies] = _whole(k, _extra(k), peek[p[copies]])
-        q = np.minimum(p[copies] + _extra(k), size - 1)
+        q = p[copies] + _extra(k)
         d = f_symbol[peek[q] & f_mask]
-        told = _whole(d, _extra(d), peek[np.minimum(q + f_length[peek[q] & f_mask], size - 1)])
+        told = _whole(d, _extra(d), peek[q + f_length[peek[q] & f_mask]])
         near = _distances(width)
         back[copies] = np.where(told < len(near), near[np.minimum(told, len(near) - 1)], told - len(NEAR))
     ends = np.cumsum(count)
@@ -403,7 +414,7 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
         c_symbol, c_length, c_mask = c.tables()
         d = peek[q] & c_mask
         value |= c_symbol[d].astype(np.uint32) << np.uint32(to)
-        q = np.minimum(q + c_length[d], size - 1)
+        q = q + c_length[d]
     if not (s > 255).any():
         return value
     begin = ends - count
@@ -664,6 +675,13 @@ def matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def cache_pays(pixels: np.ndarray) -> bool:
+    """Whether a standard cache has one pixel in forty; with less its symbols cost more than they save."""
+    keys = colour_keys(pixels, STANDARD_CACHES[-1])
+    before = _before(keys)
+    return 40 * np.count_nonzero((before >= 0) & (pixels[before] == pixels)) > len(pixels)
+
+
 class Tokens:
     """A picture as literals, back-references and cache symbols."""
 
@@ -738,19 +756,20 @@ def _of_header(counts: list[np.ndarray]) -> float:
 
 
 def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
-    """An entropy-coded picture with one code group, its own or a standard one, whichever is shorter.
+    """An entropy-coded picture with one code group, a standard one unless its own saves :data:`LEAST_SAVED` bits: codes of its own
+    take longer to write and read than all else of a short text.
 
     With ``cache_bits`` None, a standard cache is taken if it saves bits.
     """
     found = matches(pixels) if references else []
-    ways = [Tokens(pixels, width, b, found) for b in ([cache_bits] if cache_bits is not None else STANDARD_CACHES)]
+    ways = [Tokens(pixels, width, b, found) for b in ([cache_bits] if cache_bits is not None else STANDARD_CACHES if cache_pays(pixels) else (0,))]
     best = None
     for t in ways:
         counts = t.counts()
         own = sum(map(_entropy, counts)) + _of_header(counts)
         bits = t.cache.bit_length() - 1 if t.cache else 0
         plain = sum(int(c @ code.written()[1]) for c, code in zip(counts, standard(bits)[0], strict=True)) + standard(bits)[2] if bits in STANDARD_CACHES and main else None
-        for cost, codes in ((own, None), (plain, standard(bits)[0] if plain is not None else None)):
+        for cost, codes in ((own + (LEAST_SAVED if plain is not None else 0), None), (plain, standard(bits)[0] if plain is not None else None)):
             if cost is not None and (best is None or cost < best[0]):
                 best = cost, t, counts, codes, bits
     _, t, counts, codes, bits = best
@@ -775,6 +794,7 @@ def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
     w.put(*_bits(*values))
 
 
+LEAST_SAVED = 4096
 #: Characters of usual text, frequent first, for the standard codes.
 USUAL = b" etaoinsrhldcumpgfybwvk.,\n-'\"0123456789xjqz:;()/"
 STANDARD_CACHES = (0, 6)
@@ -783,11 +803,10 @@ STANDARD_CACHES = (0, 6)
 @lru_cache(maxsize=4)
 def standard(cache_bits: int) -> tuple[list[Code], int, int]:
     """Codes for text of four characters a pixel, so that short texts need none of their own; their header and its bits."""
-    literals = [8] * 33 + [12] * 95 + [20] * 64 + [4] * 64
+    literals = [8] * 33 + [16] * 95 + [8] * 64 + [2] * 64
     for rank, c in enumerate(USUAL):
-        literals[c] = int(4000 / (rank + 1.5))
-    for c in range(65, 91):
-        literals[c] = 40
+        literals[c] = int(4000 * 0.88**rank) + 16
+    literals[0xC3] = 100  # before most letters with accents
     first = literals + [60] * 24 + [(30 if cache_bits else 0)] * (1 << cache_bits if cache_bits else 0)
     red = Code(lengths_of(literals, LONGEST))
     codes = [Code(lengths_of(first, LONGEST)), red, red, red, Code(lengths_of([1] * 40, LONGEST))]
@@ -865,7 +884,7 @@ def plan(p: np.ndarray) -> tuple:
     Those that find little of what they look for are not tried.
     """
     c = _channels(p)
-    ways: list[tuple[float, tuple]] = [(_cost(p), ())]
+    ways: list[tuple[float, tuple]] = []
     palette, index = np.unique(p, return_counts=True)
     if len(palette) <= 256 and p.size >= 2 * len(palette):
         ways.append((150 + 30 * len(palette) + _entropy(index), ((PALETTE,),)))
@@ -879,7 +898,7 @@ def plan(p: np.ndarray) -> tuple:
         element = 0xFF000000 | from_red << 16 | from_green << 8 | 32 * (same[0] > LEAST_SHARE)
         elements = np.full(((p.shape[0] + 7) >> 3, (p.shape[1] + 7) >> 3), element, np.uint32)
         ways.append((100 + _cost(cross_colour(p, 3, elements, -1)), ((CROSS_COLOUR, 3, elements),)))
-    return min(ways, key=lambda x: x[0])[1]
+    return min([(_cost(p), ()), *ways], key=lambda x: x[0])[1] if ways else ()
 
 
 #: Share of bytes that a transform must find before its cost is worked out.
