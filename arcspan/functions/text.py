@@ -50,8 +50,19 @@ def truncated(text: Column, limit: int = 102_400, notice: str = "\n... [truncate
 
 
 def pretty_json(raw: Column) -> Column:
-    """Parsed and written again, or the text as it came when it isn't JSON."""
-    return F.coalesce(F.to_json(F.try_parse_json(raw)), raw)
+    """Parsed and written again over several lines, or the text as it came when it isn't JSON."""
+    return F.coalesce(F.to_json(F.try_parse_json(raw), {"pretty": "true"}), raw)
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as RFC 3339 has it. Differs from run to run."""
+    return rfc3339(F.current_timestamp())
+
+
+def rfc3339(at: Column) -> Column:
+    """A time in UTC with microseconds and offset."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def profile_percentage(line: Column) -> Column:

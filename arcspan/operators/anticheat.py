@@ -3,17 +3,23 @@ pairs in the order of query ids, found by integer offsets of the pair triangle's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcspan.functions.vectors import jaccard
+from arcspan.operators.topk import with_ordinal
+from arcspan.operators.written import written
 
 MOST_PAIRS, THRESHOLD = 500, 0.8
+# Messages of the verdict, and those of no results and of empty ones.
+WITHIN = "OK: Average Jaccard similarity %.4f is within threshold %.2f. Unique IDs: %d/%d total."
+OVER = "SUSPICIOUS: Average Jaccard similarity %.4f exceeds threshold %.2f. Unique IDs: %d/%d total. Possible hardcoded results detected."
+EMPTY = ("No results to analyze.", "All result sets are empty.")
 
 
 def numbered(results: DataFrame) -> DataFrame:
-    """Nested results (query_id, neighbors) with i, their place in the order of ids. One row a query of a benchmark's set."""
-    return results.withColumn("i", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))
+    """Nested results (query_id, neighbors) with i, their place in the order of ids."""
+    return with_ordinal(written(results), "query_id", "i")
 
 
 def pairs(results: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
@@ -37,9 +43,12 @@ def pairs(results: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
 
 
 def verdict(results: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """passed, avg_similarity, unique_ids, total_results, message. No results pass."""
+    """passed, avg_similarity, unique_ids, total_results, message. No results pass; the message says why."""
+    results = written(results)
     ids = results.select(F.explode("neighbors").alias("id")).agg(F.count_distinct("id").alias("unique_ids"), F.count("*").alias("total_results"))
     mean = pairs(results).agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("avg_similarity"))
     out = mean.crossJoin(F.broadcast(ids)).withColumn("passed", F.col("avg_similarity") <= threshold)  # one row each
-    said = F.when(F.col("passed"), "within").otherwise("over")
-    return out.withColumn("message", F.format_string("mean similarity %.4f is %s the limit %.2f; %d of %d ids are distinct", "avg_similarity", said, F.lit(threshold), "unique_ids", "total_results"))
+    empty = F.lit(EMPTY[0] if results.isEmpty() else EMPTY[1])
+    numbers = (F.col("avg_similarity"), F.lit(float(threshold)), F.col("unique_ids"), F.col("total_results"))
+    said = F.when(F.col("passed"), F.format_string(WITHIN, *numbers)).otherwise(F.format_string(OVER, *numbers))
+    return out.withColumn("message", F.when(F.col("total_results") == 0, empty).otherwise(said))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from arcspan.operators.knn import exact_d2, matrix
 from arcspan.operators.topk import sampled, stride, with_ordinal
 
 #: Bytes of centroids that may be broadcast.
-MOST_MODEL_BYTES = 1 << 30
+MOST_MODEL_BYTES = 256 << 20
 
 
 def init_stride(base: DataFrame, k: int) -> DataFrame:
@@ -67,10 +68,10 @@ def assign(base: DataFrame, centroids: DataFrame, method: str = "arrow") -> Data
         ids, c = sent.value
         for batch in batches:
             if batch.num_rows:
-                at, _ = nearest(matrix(batch.column(1)), c)
+                at, _ = nearest(matrix(batch.column(1), c.shape[1]), c)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[at])], names=["id", "vector", "cluster_id"])
 
-    read = base.select("id", "vector")
+    read = base.where("vector IS NOT NULL").select("id", "vector")
     return read.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema) + ", cluster_id long")
 
 
@@ -82,8 +83,20 @@ def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.join(means, "cluster_id", "left").select("cluster_id", F.coalesce("mean", "centroid").alias("centroid"))
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks, sorted by cluster and task, added up by cluster."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for place, n, check, sums in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), matrix(batch.column(4)), strict=True):
+            own = total.setdefault(place, [0, 0, 0.0])
+            own[0], own[1], own[2] = own[0] + n, own[1] + check, own[2] + sums
+    rows = list(total.values())
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["place", "n", "check_sum", "sums"])
+
+
 def fit(base: DataFrame, centroids: DataFrame, rounds: int) -> tuple[DataFrame, int]:
-    """Lloyd's rounds in arrays: each task sums its rows by cluster, sums are added by cluster, the model stays on the driver.
+    """Lloyd's rounds in arrays: each task sums its rows by cluster, sums are added by cluster in order of the tasks, so that results
+    don't depend on which ends first, and the model stays on the driver.
 
     Gives the centroids and the rounds done; it stops early when no assignment changes, told by the assignments' check sum.
     """
@@ -98,20 +111,22 @@ def fit(base: DataFrame, centroids: DataFrame, rounds: int) -> tuple[DataFrame,
             sums, counts, check = np.zeros_like(c), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    b = matrix(batch.column(1))
+                    b = matrix(batch.column(1), c.shape[1])
                     at, _ = nearest(b, c)
-                    np.add.at(sums, at, b)
+                    order = np.argsort(at, kind="stable")
+                    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                    sums[at[order][first]] += np.add.reduceat(b[order], first)
                     counts += np.bincount(at, minlength=len(c))
                     np.add.at(check, at, (batch.column(0).to_numpy().astype(np.int64) * 2654435761) & 0x3FFFFFFF)
             seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen]), pa.array(check[seen]), pa.array(list(sums[seen]), pa.list_(pa.float64()))], names=["place", "n", "check_sum", "sums"])
+            task = pa.array(np.full(len(seen), TaskContext.get().partitionId()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), task, pa.array(counts[seen]), pa.array(check[seen]), pa.array(list(sums[seen]), pa.list_(pa.float64()))], names=["place", "task", "n", "check_sum", "sums"])
 
-        parts = base.select("id", "vector").mapInArrow(run, "place long, n long, check_sum long, sums array<double>")
-        cells = parts.select("place", "n", "check_sum", F.posexplode("sums").alias("p", "x")).groupBy("place", "p")
-        got = cells.agg(F.sum("n").alias("n"), F.sum("check_sum").alias("check_sum"), F.sum("x").alias("x")).collect()
+        parts = base.where("vector IS NOT NULL").select("id", "vector").mapInArrow(run, "place long, task long, n long, check_sum long, sums array<double>")
+        got = parts.repartition("place").sortWithinPartitions("place", "task").mapInArrow(_added, "place long, n long, check_sum long, sums array<double>").collect()
         state = {(r["place"], r["n"], r["check_sum"]) for r in got}
         for r in got:
-            c[r["place"], r["p"]] = r["x"] / r["n"]
+            c[r["place"]] = np.array(r["sums"]) / r["n"]
         if state == before:
             break
         before = state

@@ -3,7 +3,8 @@
 ``sql``: a broadcast nested loop over the queries with fused expressions and a group limit. ``arrow``: blocks of queries are
 broadcast, each task keeps the best ``k`` of its rows for every query of the block, and only those are shuffled. A matrix product
 finds candidates; their distances are then summed in order of the dimensions, so both methods give the same bits and ranks.
-Blocks bound what is broadcast, however many queries there are.
+Blocks bound what is broadcast, however many queries there are. Queries and rows without a vector are left out; vectors of unlike
+widths are an error, never mixed.
 """
 
 from __future__ import annotations
@@ -31,10 +32,20 @@ def exact_d2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of one width as a matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column of one width as a matrix of doubles. Null vectors, null numbers and other widths are errors."""
+    if not len(column):
+        return np.zeros((0, width or 0))
+    if column.null_count:
+        raise ValueError("a vector is null")
+    sizes = column.value_lengths().to_numpy()
+    width = int(sizes[0]) if width is None else width
+    if (sizes != width).any():
+        raise ValueError(f"a vector has {int(sizes[sizes != width][0])} numbers instead of {width}")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a null number")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
 class Best:
@@ -46,18 +57,20 @@ class Best:
         self.limit = np.full(len(queries), np.inf)
         self.row, self.id, self.d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def see(self, ids: np.ndarray, b: np.ndarray) -> None:
-        if not len(b) or not self.k:
+    def see(self, ids: np.ndarray, b: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows to be held against all queries, or against those at the places ``asked``."""
+        if not len(b) or not self.k or asked is not None and not len(asked):
             return
-        near = self.norms[:, None] + (b * b).sum(1)[None] - 2.0 * (self.q @ b.T)
-        slack = 1e-9 * (1.0 + np.abs(self.norms) + float((b * b).sum(1).max()))
-        limit = self.limit
+        q, norms, limit = (self.q, self.norms, self.limit) if asked is None else (self.q[asked], self.norms[asked], self.limit[asked])
+        near = norms[:, None] + (b * b).sum(1)[None] - 2.0 * (q @ b.T)
+        slack = 1e-9 * (1.0 + np.abs(norms) + float((b * b).sum(1).max()))
         if b.shape[0] > self.k:
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
         row, col = np.nonzero(near <= (limit + slack)[:, None])
-        self.row = np.concatenate([self.row, row])
+        d2 = exact_d2(q[row], b[col])
+        self.row = np.concatenate([self.row, row if asked is None else asked[row]])
         self.id = np.concatenate([self.id, ids[col]])
-        self.d2 = np.concatenate([self.d2, exact_d2(self.q[row], b[col])])
+        self.d2 = np.concatenate([self.d2, d2])
         order = np.lexsort((self.id, self.d2, self.row))
         row = self.row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -68,31 +81,32 @@ class Best:
         self.limit[full] = self.d2[ends[full] - 1]
 
 
-def _blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     most = max(1, BLOCK_BYTES // (8 * max(width, 1)))
     ids, rows = [], []
     for r in queries.select("query_id", "vector").toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == most:
-            yield np.array(ids), np.array(rows, np.float64)
+            yield np.array(ids), matrix(pa.array(rows, pa.list_(pa.float64())), width)
             ids, rows = [], []
     if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+        yield np.array(ids), matrix(pa.array(rows, pa.list_(pa.float64())), width)
 
 
 def _arrow(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     spark = base.sparkSession
+    queries, base = queries.where("vector IS NOT NULL"), base.where("vector IS NOT NULL")
     first = queries.select(F.size("vector")).first()
     out = None
-    for ids, rows in _blocks(queries, first[0] if first else 1):
+    for ids, rows in query_blocks(queries, first[0] if first else 1):
         sent = spark.sparkContext.broadcast((ids, rows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best = Best(q, k)
             for batch in batches:
-                best.see(batch.column(0).to_numpy(), matrix(batch.column(1)))
+                best.see(batch.column(0).to_numpy(), matrix(batch.column(1), q.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(names[best.row].astype(np.int64)), pa.array(best.id), pa.array(best.d2)], names=["query_id", "id", "d2"])
 
         part = base.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, d2 double")
@@ -101,17 +115,23 @@ def _arrow(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
 
 
 def distances(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """All distances of a stated query set: query_id, id, d2."""
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    return base.crossJoin(F.broadcast(q)).select("query_id", "id", l2_squared("_q", "vector").alias("d2"))
+    """All distances of a stated query set: query_id, id, d2. Rows without a vector have none; unlike widths are an error."""
+    q = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").alias("_q"))
+    wrong = F.raise_error(F.format_string("a vector has %d numbers instead of %d", F.size("vector"), F.size("_q"))).cast("double")
+    d2 = F.when(F.size("vector") == F.size("_q"), l2_squared("_q", "vector")).otherwise(wrong)
+    return base.where("vector IS NOT NULL").crossJoin(F.broadcast(q)).select("query_id", "id", d2.alias("d2"))
 
 
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, method: str = "arrow") -> DataFrame:
     """(query_id, rank, id, distance) of queries (query_id, vector) over base (id, vector)."""
     if k < 0:
         raise ValueError("k is negative")
-    found = distances(queries, base) if method == "sql" else _arrow(queries, base, k)
-    return finish(found, k)
+    return finish(candidates(queries, base, k, method), k)
+
+
+def candidates(queries: DataFrame, base: DataFrame, k: int, method: str = "arrow") -> DataFrame:
+    """(query_id, id, d2) with at least the ``k`` nearest rows of each query."""
+    return distances(queries, base) if method == "sql" else _arrow(queries, base, k)
 
 
 def finish(found: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcspan.operators import topk
+
 
 def entries(names: DataFrame, column: str = "entry_dir") -> DataFrame:
     """Entry folders: no hidden ones, no build output."""
@@ -30,8 +32,8 @@ def best_per(runs: DataFrame, key: str, score: str, position: str, passed: Colum
 
 
 def ranked(board: DataFrame, *order: Column) -> DataFrame:
-    """The board with its ranks. A board has a row for each entry, so one task may number it."""
-    return board.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """The board with its ranks, in ranges of the order."""
+    return topk.ranked(board, *order)
 
 
 def progression(runs: DataFrame, key: str, order: list[str], score: Column) -> DataFrame:

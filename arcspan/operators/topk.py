@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcspan.operators.written import written
+
 
 def top_per_key(df: DataFrame, key: str, k: int, *order: Column | str, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key; the plan limits groups before the shuffle."""
@@ -33,6 +35,19 @@ def with_ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
     return placed.join(F.broadcast(before.drop("count")), "_part").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
 
 
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """1, 2, ... in any order that tells all rows apart, without gathering the table in one task.
+
+    The table is dealt by ranges of the order and written, since ranges are sampled anew each time; ranges are then counted, and the
+    counts of those before (one row each) are added to the places inside them.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before.drop("count")), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def stride(df: DataFrame, n_rows: int, n: int, ordinal: str = "ordinal") -> DataFrame:
     """``n`` evenly spaced rows: those whose ordinal is floor(c * n_rows / n) for a c."""
     if n >= n_rows:

@@ -7,7 +7,6 @@ price as score, status F as passed), logs are ``events`` and ``conversations``,
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +14,15 @@ from pyspark.sql import functions as F
 
 from arcspan.functions import text, vectors
 from arcspan.operators import anticheat, buckets, ivf, kmeans, knn, leaderboard, logs, metrics, store, topk
-from arcspan.sources import vecs
+from arcspan.operators.written import new_path, written
+from arcspan.sources import readers, vecs
 from arcspan.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: The stated query set, neighbours, lists and probes of the queries below.
-N_QUERIES, K, LISTS, PROBES = 20, 10, 16, 4
+#: The stated query set has every id divisible by EVERY. Neighbours, lists, and the recall that probes are chosen for.
+EVERY, K, LISTS, RECALL = 20, 10, 16, 0.95
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -43,8 +43,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = N_QUERIES) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -61,7 +61,10 @@ def D(a: str, b: str) -> str:  # noqa: N802
 E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM embeddings)"
 
 
-def knn_sql(k: int = K, where: str = f"q.id < {N_QUERIES}", base_where: str = "true") -> str:
+ASKED = f"q.id % {EVERY} = 0"
+
+
+def knn_sql(k: int = K, where: str = ASKED, base_where: str = "true") -> str:
     return f"""knn AS (SELECT query_id, rk AS rank, id, sqrt(d2) AS distance FROM (
       SELECT q.id AS query_id, b.id AS id, {D("q.v", "b.v")} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {D("q.v", "b.v")}, b.id) AS rk
       FROM e q, e b WHERE {where} AND {base_where}) WHERE rk <= {k})"""
@@ -79,8 +82,12 @@ c1 AS (SELECT c0.cid, coalesce(mv, cv) AS cv FROM c0 LEFT JOIN m1 ON c0.cid = m1
 INDEX = f"{E}, {C0}, {assign_sql('a0', 'c0')}, {C1}, {assign_sql('a1', 'c1')}"
 
 
-def probe_sql(nprobe: int = PROBES) -> str:
-    return f"pr AS (SELECT query_id, qv, cid, rk FROM (SELECT q.id AS query_id, q.v AS qv, c1.cid, row_number() OVER (PARTITION BY q.id ORDER BY {D('q.v', 'c1.cv')}, c1.cid) AS rk FROM e q, c1 WHERE q.id < {N_QUERIES}) WHERE rk <= {nprobe})"
+def probe_sql() -> str:
+    """Ranks of all lists, true neighbours, the fewest probes that reach the recall, and the probes."""
+    return f"""allpr AS (SELECT q.id AS query_id, q.v AS qv, c1.cid, row_number() OVER (PARTITION BY q.id ORDER BY {D('q.v', 'c1.cv')}, c1.cid) AS rk FROM e q, c1 WHERE {ASKED}),
+{knn_sql()}, found AS (SELECT allpr.rk AS p, count(*) AS n FROM knn JOIN a1 ON knn.id = a1.id JOIN allpr ON allpr.query_id = knn.query_id AND allpr.cid = a1.cid GROUP BY 1),
+byp AS (SELECT p, sum(n) OVER (ORDER BY p) / sum(n) OVER () AS recall FROM found), np AS (SELECT min(p) AS p FROM byp WHERE recall >= {RECALL}),
+pr AS (SELECT * FROM allpr WHERE rk <= (SELECT p FROM np))"""
 
 
 def ivf_sql(postings: str = "a1") -> str:
@@ -109,9 +116,9 @@ def knn_ground_truth_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"), F.size("neighbors").cast("long").alias("n"))
 
 
-@query(f"WITH {E} SELECT b.id, round(sqrt({D('q.v', 'b.v')}), 6) AS distance FROM e q, e b WHERE q.id = 7 ORDER BY {D('q.v', 'b.v')}, b.id LIMIT 25")
+@query(f"WITH {E} SELECT b.id, round(sqrt({D('q.v', 'b.v')}), 6) AS distance FROM e q, e b WHERE q.id = 20 ORDER BY {D('q.v', 'b.v')}, b.id LIMIT 25")
 def knn_full_sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = asked(spark, sf_dir).where("query_id = 7")
+    one = asked(spark, sf_dir).where("query_id = 20")
     near = topk.top(knn.distances(one, base(spark, sf_dir)), 25, "d2", "id")
     return near.select("id", F.round(F.sqrt("d2"), 6).alias("distance"))
 
@@ -121,11 +128,10 @@ def knn_k_exceeds_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.exact_knn(asked(spark, sf_dir), base(spark, sf_dir).where("id < 5"), 10), "distance")
 
 
-@query(f"WITH {E}, {knn_sql(1, where='true', base_where='q.id <> b.id')} SELECT query_id, id, round(distance, 6) AS distance FROM knn")
+@query(f"WITH {E}, {knn_sql(1, base_where='q.id <> b.id')} SELECT query_id, id, round(distance, 6) AS distance FROM knn")
 def knn_all_nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other row of every row: all rows are queries, in blocks."""
-    rows = base(spark, sf_dir)
-    found = knn.exact_knn(rows.withColumnRenamed("id", "query_id"), rows, 2).where("id <> query_id")
+    """The nearest other row of every row that is asked."""
+    found = knn.exact_knn(asked(spark, sf_dir), base(spark, sf_dir), 2).where("id <> query_id")
     return rounded(topk.top_per_key(found.drop("rank"), "query_id", 1, "distance", "id").drop("rank"), "distance")
 
 
@@ -144,11 +150,13 @@ def vec_dot_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(one)).select("id", F.round(vectors.dot("vector", "_one"), 6).alias("dot"), F.round(vectors.squared_norm("vector"), 6).alias("squared_norm"))
 
 
-@query(f"SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, round(avg(sqrt({D('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')})), 6) AS mean_distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100 GROUP BY 1, 2")
+@query(f"SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, round(avg(sqrt({D('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')})), 6) AS mean_distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1, 2")
 def vec_pairwise_label_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "embeddings").where("vec_id < 100")
-    a, b = rows.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"), F.col("label").alias("label_a")), rows.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"), F.col("label").alias("label_b"))
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j"))
+    """Mean distance of the asked rows of one label to all rows of another."""
+    rows = load(spark, sf_dir, "embeddings")
+    a = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"), F.col("label").alias("label_a"))
+    b = rows.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"), F.col("label").alias("label_b"))
+    pairs = b.join(F.broadcast(a), F.col("i") != F.col("j"))
     return pairs.groupBy("label_a", "label_b").agg(F.count("*").alias("pairs"), F.round(F.avg(vectors.l2_distance("x", "y")), 6).alias("mean_distance"))
 
 
@@ -218,11 +226,11 @@ def sample_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.stride(topk.with_ordinal(rows, "id"), rows.count(), 50).select("pick", "id")
 
 
-@query(None)
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squared_norm, len(embedding)::INTEGER AS width FROM embeddings")
 def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written as an fvecs file and read back by the data source; the file is on the driver's disk, for one machine."""
-    path = os.path.join(tempfile.mkdtemp(prefix="arcspan-"), "base.fvecs")
-    vecs.write_vecs(base(spark, sf_dir).where("id < 500"), path)
+    """Vectors written as parts of an fvecs file in the shared folder and read back by the data source."""
+    path = new_path(spark, "fvecs")
+    vecs.write_parts(base(spark, sf_dir), path)
     vecs.register(spark)
     return spark.read.format("vecs").option("kind", "f").option("path", path).load().select("id", F.round(vectors.squared_norm("vector"), 6).alias("squared_norm"), F.size("vector").alias("width"))
 
@@ -248,15 +256,40 @@ def kmeans_one_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.select("cluster_id", F.posexplode("centroid").alias("p", "x")).select("cluster_id", (F.col("p") + 1).cast("long").alias("p"), F.round("x", 6).alias("x"))
 
 
-@query(None)
+def lloyd_sql(rounds: int) -> str:
+    out = []
+    for i in range(rounds):
+        out.append(assign_sql(f"a{i}", f"c{i}").replace(" AS (", " AS MATERIALIZED (", 1))
+        out.append(f"m{i + 1} AS (SELECT cid, list(m ORDER BY p) AS mv FROM (SELECT cid, p, avg(v[p]) AS m FROM a{i}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM e))) AS p) GROUP BY cid, p) GROUP BY cid)")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cid, coalesce(mv, cv) AS cv FROM c{i} LEFT JOIN m{i + 1} ON c{i}.cid = m{i + 1}.cid)")
+    return ", ".join(out)
+
+
+@query(f"WITH {E}, {C0}, {lloyd_sql(5)} SELECT cid AS cluster_id, (p - 1)::INTEGER AS p, round(cv[p], 6) AS x FROM c5, (SELECT unnest(range(1, 65)) AS p)")
 def kmeans_lloyd_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir)
     centroids, _ = kmeans.fit(rows, kmeans.init_stride(rows, LISTS), 5)
     return centroids.select("cluster_id", F.posexplode("centroid").alias("p", "x")).select("cluster_id", "p", F.round("x", 6).alias("x"))
 
 
+#: Indexes and their probes by application and folder: postings are written once and read by all queries of a session.
+_built: dict[tuple[str, str], tuple[ivf.Index, int]] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[ivf.Index, int]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        index = ivf.build(base(spark, sf_dir), LISTS, 1, path=new_path(spark, "postings"))
+        _built[key] = index, ivf.probes_for(asked(spark, sf_dir), base(spark, sf_dir), index, K, RECALL)
+    return _built[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> ivf.Index:
-    return ivf.build(base(spark, sf_dir), LISTS, 1)
+    return _indexed(spark, sf_dir)[0]
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> int:
+    return _indexed(spark, sf_dir)[1]
 
 
 @query(f"WITH {INDEX} SELECT c1.cid AS cluster_id, count(a1.id) AS n FROM c1 LEFT JOIN a1 ON c1.cid = a1.cid GROUP BY 1")
@@ -271,12 +304,56 @@ def ivf_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX}, {probe_sql()} SELECT query_id, cid AS cluster_id, rk AS probe_rank FROM pr")
 def ivf_probe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.probes(asked(spark, sf_dir), _index(spark, sf_dir).centroids, PROBES).drop("_q")
+    return ivf.probes(asked(spark, sf_dir), _index(spark, sf_dir).centroids, _probes(spark, sf_dir)).drop("_q")
 
 
 @query(f"WITH {INDEX}, {probe_sql()}, {ivf_sql()} {OUT} ivf")
 def ivf_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ivf.search(asked(spark, sf_dir), _index(spark, sf_dir), K, PROBES), "distance")
+    return rounded(ivf.search(asked(spark, sf_dir), _index(spark, sf_dir), K, _probes(spark, sf_dir)), "distance")
+
+
+@query(f"WITH {INDEX}, {probe_sql()}, {ivf_sql()} {OUT} ivf")
+def ivf_search_top10_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ivf.search(asked(spark, sf_dir), _index(spark, sf_dir), K, _probes(spark, sf_dir), "sql"), "distance")
+
+
+@query(f"WITH {INDEX}, {probe_sql()}, {ivf_sql()}, r AS (SELECT count(i.id) / count(*) AS recall FROM knn k LEFT JOIN ivf i ON k.query_id = i.query_id AND k.id = i.id) SELECT ivf.query_id, ivf.rank, ivf.id, (SELECT p FROM np) AS nprobe, round(recall::DOUBLE, 6) AS recall, recall >= {RECALL} AS reached FROM ivf, r")
+def ivf_search_recall95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search with the fewest probes that reach the recall, beside the recall that its results have."""
+    q, nprobe = asked(spark, sf_dir), _probes(spark, sf_dir)
+    found = written(ivf.search(q, _index(spark, sf_dir), K, nprobe).drop("distance"))
+    recall = metrics.recall_mean(knn.nested(found), knn.ground_truth(q, base(spark, sf_dir), K)).select(F.round("recall", 6).alias("recall"), (F.col("recall") >= RECALL).alias("reached"))
+    return found.join(F.broadcast(recall)).select("query_id", "rank", "id", F.lit(nprobe).cast("long").alias("nprobe"), "recall", "reached")
+
+
+@query(f"WITH {INDEX}, {probe_sql()} SELECT p AS nprobe, round(recall::DOUBLE, 6) AS recall FROM byp")
+def ivf_recall_by_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(spark, sf_dir)
+    truth = knn.exact_knn(q, base(spark, sf_dir), K).select("query_id", "id")
+    return rounded(ivf.recall_by_probes(ivf.list_ranks(q, _index(spark, sf_dir), truth)), "recall")
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT least(greatest(n // 2048, 128), 512) AS l FROM n) SELECT (CASE WHEN l > 256 THEN 512 WHEN l > 128 THEN 256 ELSE 128 END)::BIGINT AS lists, (CASE WHEN l > 256 THEN 16 WHEN l > 128 THEN 14 ELSE 12 END)::BIGINT AS probes FROM l")
+def ivf_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists, probes = ivf.adaptive(base(spark, sf_dir).count())
+    return spark.createDataFrame([(lists, probes)], "lists long, probes long")
+
+
+@query(f"WITH {E}, {knn_sql()} SELECT step, builds, query_id, rank, id FROM knn, (VALUES ('built', 1), ('grown', 1), ('rebuilt', 2)) t(step, builds)")
+def ivf_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built by the first search, grown by an insert, and built anew after an insert that made it stale, all lists probed."""
+    q, rows, out = asked(spark, sf_dir), base(spark, sf_dir), []
+    late = rows.where("id % 4 = 1")
+    grown = ivf.Store(rows.where("id % 4 <> 1"), new_path(spark, "store"), "incremental", threshold=1, lists=LISTS)
+    stale = ivf.Store(rows.where("id % 4 <> 1"), new_path(spark, "store"), "always", threshold=1, lists=LISTS)
+    whole = ivf.Store(rows, new_path(spark, "store"), "always", threshold=1, lists=LISTS, eager=True)
+    for store_, step in ((whole, "built"), (grown, "grown"), (stale, "rebuilt")):
+        store_.ready()
+        if store_ is not whole:
+            store_.insert(late)
+        found = store_.search(q, K, LISTS)
+        out.append(found.select(F.lit(step).alias("step"), F.lit(store_.builds).alias("builds"), "query_id", "rank", "id"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(f"WITH {E}, {knn_sql()} {OUT} knn")
@@ -285,12 +362,12 @@ def ivf_search_all_probes_equals_exact(spark: SparkSession, sf_dir: str) -> Data
 
 
 @query(f"""WITH {INDEX}, {probe_sql()}, pool AS (SELECT cid, id, v FROM a1 WHERE id % 10 <> 0 OR id < 100),
-found AS (SELECT query_id, id, {D('qv', 'v')} AS d2 FROM pr JOIN pool ON pr.cid = pool.cid UNION ALL SELECT q.id, b.id, {D('q.v', 'b.v')} FROM e q, e b WHERE q.id < {N_QUERIES} AND b.id % 10 = 0 AND b.id >= 100)
-SELECT query_id, rank, id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM found) WHERE rank <= {K}""")
+cand AS (SELECT query_id, id, {D('qv', 'v')} AS d2 FROM pr JOIN pool ON pr.cid = pool.cid UNION ALL SELECT q.id, b.id, {D('q.v', 'b.v')} FROM e q, e b WHERE {ASKED} AND b.id % 10 = 0 AND b.id >= 100)
+SELECT query_id, rank, id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM cand) WHERE rank <= {K}""")
 def ivf_with_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, waits = _index(spark, sf_dir), "id % 10 = 0 AND id >= 100"
     index = ivf.stage(ivf.Index(whole.centroids, whole.postings.where(f"NOT ({waits})")), base(spark, sf_dir).where(waits))
-    return rounded(ivf.search(asked(spark, sf_dir), index, K, PROBES), "distance")
+    return rounded(ivf.search(asked(spark, sf_dir), index, K, _probes(spark, sf_dir)), "distance")
 
 
 @query(f"WITH {INDEX}, {probe_sql()}, {ivf_sql()} {OUT} ivf")
@@ -298,7 +375,7 @@ def ivf_incremental_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows added to built lists are found like rows that were there."""
     whole, late = _index(spark, sf_dir), "id % 5 = 0"
     index = ivf.add(ivf.Index(whole.centroids, whole.postings.where(f"NOT ({late})")), base(spark, sf_dir).where(late))
-    return rounded(ivf.search(asked(spark, sf_dir), index, K, PROBES), "distance")
+    return rounded(ivf.search(asked(spark, sf_dir), index, K, _probes(spark, sf_dir)), "distance")
 
 
 @query(f"SELECT vec_id AS id, (vec_id * 7) % {LISTS} AS cluster_id FROM embeddings")
@@ -308,12 +385,12 @@ def ivf_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evaluation ------------------------------------------------------------------------------------------------------------
 
-_NESTED = f"{INDEX}, {probe_sql()}, {ivf_sql()}, {knn_sql()}, r AS (SELECT k.query_id, count(i.id) / {K}.0 AS recall FROM knn k LEFT JOIN ivf i ON k.query_id = i.query_id AND k.id = i.id GROUP BY 1)"
+_NESTED = f"{INDEX}, {probe_sql()}, {ivf_sql()}, r AS (SELECT k.query_id, count(i.id) / {K}.0 AS recall FROM knn k LEFT JOIN ivf i ON k.query_id = i.query_id AND k.id = i.id GROUP BY 1)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = asked(spark, sf_dir)
-    return knn.nested(ivf.search(q, _index(spark, sf_dir), K, PROBES)), knn.ground_truth(q, base(spark, sf_dir), 100)
+    return knn.nested(ivf.search(q, _index(spark, sf_dir), K, _probes(spark, sf_dir))), knn.ground_truth(q, base(spark, sf_dir), 100)
 
 
 @query(f"WITH {_NESTED} SELECT query_id, round(recall::DOUBLE, 6) AS recall FROM r")
@@ -328,8 +405,7 @@ def recall_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = [metrics.percentile("value", p).alias(f"p{p}") for p in (50, 95, 99)]
-    return rounded(load(spark, sf_dir, "events").groupBy("event_type").agg(*named), "p50", "p95", "p99")
+    return rounded(metrics.percentiles(load(spark, sf_dir, "events"), ["event_type"], "value", 50, 95, 99), "p50", "p95", "p99")
 
 
 _RECALL = "avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END)"
@@ -349,28 +425,50 @@ def recall_gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", metrics.gated_score(price, price, 150000.0).alias("score"))
 
 
-def pairs_sql(n: int) -> str:
-    return f"{E}, {knn_sql(where=f'q.id < {n}')}, s AS (SELECT query_id - (SELECT min(query_id) FROM knn) AS i, list(id) AS ids FROM knn GROUP BY query_id)"
+_SIMILAR = "len(list_intersect(a.ids, b.ids)) / (len(a.ids) + len(b.ids) - len(list_intersect(a.ids, b.ids)))::DOUBLE"
 
 
-_SIMILAR = "len(list_intersect(a.ids, b.ids)) / (len(a.ids) + len(b.ids) - len(list_intersect(a.ids, b.ids)))::DOUBLE"
+def pairs_sql(most: int) -> str:
+    """Sets of results, and the pairs (i, j): all if they are at most ``most``, else as many evenly spaced ones."""
+    return f"""{E}, {knn_sql()}, s AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, ids FROM (SELECT query_id, list(id) AS ids FROM knn GROUP BY query_id)),
+ij AS (SELECT a.i AS i, b.i AS j, row_number() OVER (ORDER BY a.i, b.i) - 1 AS p FROM s a JOIN s b ON a.i < b.i), total AS (SELECT count(*) AS t FROM ij),
+pick AS (SELECT DISTINCT CASE WHEN t <= {most} THEN r.range ELSE (r.range * t) // {most} END AS p FROM range({most}) r, total WHERE r.range < t),
+chosen AS (SELECT ij.i, ij.j, {_SIMILAR} AS similarity FROM pick JOIN ij USING (p) JOIN s a ON a.i = ij.i JOIN s b ON b.i = ij.j)"""
 
 
-@query(f"WITH {pairs_sql(20)} SELECT a.i, b.i AS j, round({_SIMILAR}, 6) AS similarity FROM s a JOIN s b ON a.i < b.i")
+
+
+@query(f"WITH {pairs_sql(500)} SELECT i, j, round(similarity, 6) AS similarity FROM chosen")
 def jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of results while they are 500 at most."""
     return rounded(anticheat.pairs(knn.ground_truth(asked(spark, sf_dir), base(spark, sf_dir), K)), "similarity")
 
 
-@query(f"""WITH {pairs_sql(60)}, ij AS (SELECT a.i AS i, b.i AS j, row_number() OVER (ORDER BY a.i, b.i) - 1 AS p FROM s a JOIN s b ON a.i < b.i),
-pick AS (SELECT (range * (60 * 59 // 2)) // 500 AS p FROM range(500)) SELECT ij.i, ij.j, round({_SIMILAR}, 6) AS similarity FROM pick JOIN ij USING (p) JOIN s a ON a.i = ij.i JOIN s b ON b.i = ij.j""")
+@query(f"WITH {pairs_sql(100)} SELECT i, j, round(similarity, 6) AS similarity FROM chosen")
 def jaccard_sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(anticheat.pairs(knn.ground_truth(asked(spark, sf_dir, 60), base(spark, sf_dir), K)), "similarity")
+    return rounded(anticheat.pairs(knn.ground_truth(asked(spark, sf_dir), base(spark, sf_dir), K), 100), "similarity")
+
+
+_SAID = "CASE WHEN x <= 0.8 THEN printf('OK: Average Jaccard similarity %.4f is within threshold %.2f. Unique IDs: %d/%d total.', x, 0.8, u, t) ELSE printf('SUSPICIOUS: Average Jaccard similarity %.4f exceeds threshold %.2f. Unique IDs: %d/%d total. Possible hardcoded results detected.', x, 0.8, u, t) END"
 
 
-@query(f"WITH {pairs_sql(20)}, m AS (SELECT avg({_SIMILAR}) AS x FROM s a JOIN s b ON a.i < b.i) SELECT round(x, 6) AS avg_similarity, x <= 0.8 AS passed, (SELECT count(DISTINCT id) FROM knn) AS unique_ids, (SELECT count(*) FROM knn) AS total_results FROM m")
+@query(f"WITH {pairs_sql(500)}, m AS (SELECT avg(similarity) AS x, (SELECT count(DISTINCT id) FROM knn) AS u, (SELECT count(*) FROM knn) AS t FROM chosen) SELECT round(x, 6) AS avg_similarity, x <= 0.8 AS passed, u AS unique_ids, t AS total_results, {_SAID} AS message FROM m")
 def anti_cheat_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anticheat.verdict(knn.ground_truth(asked(spark, sf_dir), base(spark, sf_dir), K)).drop("message")
-    return rounded(out, "avg_similarity")
+    return rounded(anticheat.verdict(knn.ground_truth(asked(spark, sf_dir), base(spark, sf_dir), K)), "avg_similarity")
+
+
+@query("SELECT 'none' AS kind, true AS passed, 0::BIGINT AS total_results, 'No results to analyze.' AS message UNION ALL SELECT 'empty', true, 0, 'All result sets are empty.'")
+def anti_cheat_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "query_id long, neighbors array<long>")
+    empty = asked(spark, sf_dir).select("query_id", F.array().cast("array<long>").alias("neighbors"))
+    told = lambda rows, kind: anticheat.verdict(rows).select(F.lit(kind).alias("kind"), "passed", "total_results", "message")
+    return told(none, "none").unionByName(told(empty, "empty"))
+
+
+@query("SELECT user_id, recall >= 0.8 AS passed, CASE WHEN recall >= 0.8 THEN printf('Correctness test PASSED: recall %.4f >= threshold %.4f', recall, 0.8) ELSE printf('Correctness test FAILED: recall %.4f < threshold %.4f', recall, 0.8) END AS message FROM (SELECT user_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall FROM events GROUP BY 1)")
+def correctness_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = load(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)).alias("recall"))
+    return metrics.correctness(runs, "recall", 0.8).drop("recall")
 
 
 @query("""SELECT event_id, user_id, value, prev AS previous_value, CASE WHEN prev IS NULL THEN NULL WHEN prev > 0 THEN round((value - prev) / prev * 100, 2) ELSE 0 END::DOUBLE AS value_change_pct
@@ -506,8 +604,7 @@ def truncate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, rows: DataFrame, mode: str, schema: str) -> DataFrame:
     """What a stream has given when all its input is read. Tables go to the checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="arcspan-stream-")
-    path = f"{root}/stream-{os.urandom(8).hex()}"
+    path = new_path(spark, "stream")
 
     def told(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
@@ -535,8 +632,7 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {E}, {C0}, {assign_sql('a0', 'c0')} SELECT id, cid AS cluster_id FROM a0")
 def stream_ivf_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that come as a stream, assigned to strided centroids."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="arcspan-stream-")
-    path = f"{root}/stream-{os.urandom(8).hex()}"
+    path = new_path(spark, "stream")
     index = ivf.Index(kmeans.init_stride(base(spark, sf_dir), LISTS), spark.createDataFrame([], "cluster_id long, id long, vector array<float>"))
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     live.maintain(rows, index, f"{path}/postings", f"{path}/state").awaitTermination()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.functions.text import run_file, run_number
+from arcspan.operators.written import written
 
 VECTORS = "id long, vector array<float>"
 TRUTH = "query_id long, neighbors array<long>"
@@ -15,16 +17,27 @@ EVENT = "event string, timestamp string, model string, iteration long, tool stri
 
 
 def _array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that are one JSON array each: a file is one task, as an array can't be split."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def vectors(spark: SparkSession, path: str, name: str = "base_vectors") -> DataFrame:
-    """A JSON array of {id, vector}: the single file if it is there, else all its shards, whatever gaps their numbers have."""
-    jvm = spark.sparkContext._jvm
-    single = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json")
-    if single.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(single):
-        return _array(spark, f"{path}/{name}.json", VECTORS)
-    return _array(spark, f"{path}/{name}_*.json", VECTORS)
+def vectors(spark: SparkSession, path: str, name: str = "base_vectors", lines: bool = False) -> DataFrame:
+    """{id, vector}: the single file if it is there, else all its shards, whatever gaps their numbers have.
+
+    Files are JSON arrays, or with ``lines`` JSON lines, which split into as many tasks as their size asks for.
+    """
+    read = (lambda p: spark.read.schema(VECTORS).json(p)) if lines else (lambda p: _array(spark, p, VECTORS))
+    try:
+        return read(f"{path}/{name}.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return read(f"{path}/{name}_*.json")
+
+
+def shards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Shards of JSON lines as one table, in whatever folders they are."""
+    return spark.read.schema(VECTORS).option("recursiveFileLookup", True).json(list(paths))
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
@@ -60,4 +73,22 @@ def write_run(run: DataFrame, path: str, number: int) -> str:
 
 
 def write_board(rows: DataFrame, path: str) -> None:
-    rows.orderBy(F.desc("qps"), F.desc("recall"), "entry_dir").coalesce(1).write.mode("overwrite").json(path)
+    """A board's rows as JSON lines, best first."""
+    rows.orderBy(F.desc("qps"), F.desc("recall"), "entry_dir").write.mode("overwrite").json(path)
+
+
+def append_board(entry: DataFrame, path: str) -> DataFrame:
+    """Add rows to the board under ``path``, if there is one, and write it anew in order; gives the board.
+
+    The old board is copied to the shared folder first, so that what is overwritten is no longer read.
+    """
+    spark = entry.sparkSession
+    try:
+        old = spark.read.schema(BOARD).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], BOARD)
+    whole = old.unionByName(entry, allowMissingColumns=True)
+    write_board(written(whole.select(*old.columns)), path)
+    return spark.read.schema(BOARD).json(path)
