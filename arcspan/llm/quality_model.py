@@ -16,7 +16,7 @@ A document is kept when its perplexity is at most its language's limit: the :dat
 held out of training (one in :data:`HELD_OUT`, by a hash of the id), times :data:`MARGIN`; of those trained on, where a language has
 no held-out document.
 
-Documents travel to their log-probabilities once, in compressed blocks. A long text is read in pieces; a block takes memory for its
+Documents travel to their log-probabilities once, in compressed blocks. Trusted ids are broadcast up to :data:`MOST_IDS` of them. A long text is read in pieces; a block takes memory for its
 bytes and about 20 bytes for each distinct n-gram.
 
 Defined results: null and empty texts have no perplexity and are not kept; documents in languages without trusted text are
@@ -26,18 +26,17 @@ row, repeated labels count once; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
+import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, as_bytes, checkpoint_dir, cut, lean, mix, offsets, shards, slices, table
+from arcspan.llm.common import PLACES, as_bytes, cut, lean, mix, offsets, pack_arrays, runs, shards, slices, table, unpack_arrays
 
 ORDER = 4
 QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
@@ -45,7 +44,8 @@ QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
 BLOCK_BYTES, PIECE = 1 << 24, 1 << 19
 #: The begin mark, written so that any text may contain it.
 BEGIN = "\x02"
-_BLOCK, _REQUEST = range(2)
+#: Trusted ids that are broadcast to all tasks; beyond them documents and ids are shuffled to each other.
+MOST_IDS = 1_000_000
 
 
 def ngrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -192,46 +192,74 @@ def looked_up(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Data
     return found.select("key", reduce(back, range(2, ORDER + 1), F.coalesce(F.log("p1"), F.log("w1"))).alias("logp"))
 
 
+def _named(batch: pa.RecordBatch) -> int:
+    """A block's name: a hash of its languages and texts, on which alone its answers depend."""
+    told = hashlib.blake2b(repr(batch.column(1).to_pylist()).encode(), digest_size=8)
+    column = as_bytes(batch.column(2))
+    off = offsets(column)
+    told.update(np.diff(off).tobytes())
+    if off[-1] > off[0]:
+        told.update(column.buffers()[2][int(off[0]) : int(off[-1])])
+    return int.from_bytes(told.digest(), "little", signed=True)
+
+
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, lang, text) to blocks (compressed) and their requests: the distinct n-grams, by place in the order of their hashes."""
-    done = 0
+    """(doc_id, lang, text) to requests of blocks: the distinct n-grams, by place in the order of their hashes."""
+    for batch in _blocks(batches):
+        _, _, key = _distinct(batch.column(1).to_pylist(), as_bytes(batch.column(2)))
+        block = _named(batch)
+        for a in range(0, len(key), 1 << 16):
+            part = key.slice(a, 1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(a, a + len(part)), pa.int32()), part], names=["block", "place", "key"])
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same blocks themselves, compressed."""
     for batch in _blocks(batches):
-        block = (TaskContext.get().partitionId() << 32) + done
-        done += 1
         whole = io.BytesIO()
         with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(batch)
-        _, _, key = _distinct(batch.column(1).to_pylist(), as_bytes(batch.column(2)))
-        n = len(key)
-        yield _answers(_BLOCK, [block], None, None, [whole.getvalue()])
-        for a in range(0, n, 1 << 16):
-            b = min(n, a + (1 << 16))
-            yield _answers(_REQUEST, [block] * (b - a), np.arange(a, b), key.slice(a, b - a), None)
+        yield pa.RecordBatch.from_arrays([pa.array([_named(batch)]), pa.array([True]), pa.array([whole.getvalue()], pa.binary())], names=["block", "is_block", "blob"])
+
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, logp) to one blob of answers for each block and stretch of rows."""
 
-def _answers(kind: int, block: list[int], place: np.ndarray | None, key: pa.Array | None, blob: list[bytes] | None) -> pa.RecordBatch:
-    n = len(block)
-    arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int64()), pa.array(place, pa.int32()) if place is not None else pa.nulls(n, pa.int32()), key if key is not None else pa.nulls(n, pa.string()), pa.array(blob, pa.binary()) if blob else pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", "block", "place", "key", "blob"])
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, place, logp = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in range(3))
+        order = np.argsort(block, kind="stable")
+        block, place, logp = block[order], place[order].astype(np.uint32), logp[order].astype(np.float32)
+        cuts, ends = runs(block)
+        blobs = [pack_arrays(place[a:b], logp[a:b]) for a, b in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([False] * len(cuts)), pa.array(blobs, pa.binary())], names=["block", "is_block", "blob"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 1 << 20:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block, the answers (place, logp) and then the block: doc_id, lang, n_bytes, perplexity."""
-    now, held = None, []
+    """Rows by block, the answers and then the block: doc_id, lang, n_bytes, perplexity."""
+    now, held, logp = None, [], None
     for batch in batches:
-        blocks, is_doc = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1])]))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(blocks)], strict=True):
-            if blocks[a] != now:
-                now, held = blocks[a], []
-            if not is_doc[a]:
-                held.append((batch.column(1).slice(a, b - a).to_numpy(), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)))
+        for block, is_block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if block != now:
+                now, held, logp = block, [], None
+            if not is_block:
+                held.append(unpack_arrays(blob.as_buffer().to_pybytes(), np.uint32, np.float32))
                 continue
-            logp = np.zeros(sum(len(p) for p, _ in held))
-            for place, value in held:
-                logp[place] = value
-            for i in range(a, b):
-                yield _scored(pa.ipc.open_stream(batch.column(3)[i].as_buffer()).read_next_batch(), logp)
+            if logp is None:
+                logp = np.zeros(1 + max((int(p.max()) for p, _ in held if len(p)), default=-1))
+                for place, value in held:
+                    logp[place] = value
+                held = []
+            yield _scored(pa.ipc.open_stream(blob.as_buffer()).read_next_batch(), logp)
 
 
 def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
@@ -241,6 +269,8 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     order = np.zeros(0, np.uint64)
     for points, at, rows in ngrams(column):
         order = np.union1d(order, hashes(points, at, tag[rows]))
+    if len(order) != len(logp):
+        raise ValueError("the documents came in other blocks than those that asked; write them to a table first")
     total, n = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
     for points, at, rows in ngrams(column):
         place = np.searchsorted(order, hashes(points, at, tag[rows]))
@@ -252,23 +282,31 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Per document: doc_id, lang, n_bytes, perplexity (null without a model or a text)."""
-    spark, width = docs.sparkSession, shards(docs)
+    """Per document: doc_id, lang, n_bytes, perplexity (null without a model or a text).
+
+    ``docs`` is read twice and must come in the same rows and partitions, as a scan does; other blocks than those that asked are an
+    error.
+    """
+    width = shards(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema, path = "kind int, block long, place int, key string, blob binary", f"{checkpoint_dir(spark)}/arcspan-{uuid.uuid4().hex}"
-    docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(lean(_ask), schema).write.partitionBy("kind").parquet(path)
-    stored = spark.read.schema(schema).parquet(path)
-    asked = stored.where(F.col("kind") == _REQUEST).select("block", "place", "key")
+    read = docs.select("doc_id", F.col("lang").cast("string"), "text")
+    asked = cut(read.mapInArrow(lean(_ask), "block long, place int, key string"))
     told = cut(looked_up(asked.select("key").distinct(), model))
-    told = asked.join(told, "key").select("block", "place", F.coalesce("logp", F.lit(float("nan"))).alias("logp"), F.lit(None).cast("binary").alias("blob"))
-    blocks = stored.where(F.col("kind") == _BLOCK).select("block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("logp"), "blob")
-    dealt = told.unionByName(blocks).repartition(width, "block").sortWithinPartitions("block", F.col("blob").isNotNull())
+    answers = asked.join(told, "key").select("block", "place", F.coalesce("logp", F.lit(float("nan"))).alias("logp"))
+    rows = "block long, is_block boolean, blob binary"
+    both = answers.mapInArrow(lean(_told), rows).unionByName(read.mapInArrow(lean(_pressed), rows))
+    dealt = both.repartition(width, "block").sortWithinPartitions("block", "is_block")
     return dealt.mapInArrow(lean(_score), f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of quality 1, marked to be broadcast if they are :data:`MOST_IDS` at most, and else left to a shuffle."""
+    ids = labels.where("quality = 1").select("doc_id")
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = labels.where("quality = 1").select("doc_id")  # not made distinct, so that the planner knows its size
-    return docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "lang", "text").join(trusted_ids(labels), "doc_id", "left_semi")
 
 
 def _held_out() -> Column:
@@ -278,7 +316,7 @@ def _held_out() -> Column:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity, its language's limit, kept."""
     scored = cut(score(docs, train(trusted_docs(docs, labels).where(~_held_out()))))
-    ids = labels.where("quality = 1").select("doc_id")
+    ids = trusted_ids(labels)
     of = lambda part: F.percentile_approx(F.when(part, F.col("perplexity")), quantile, 10000)
     limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(of(_held_out()), of(F.lit(True))) * margin).alias("max_perplexity"))
     limits = cut(limits.select(F.coalesce("lang", F.lit("\0")).alias("limit_lang"), "max_perplexity"))

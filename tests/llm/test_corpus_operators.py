@@ -204,7 +204,7 @@ def test_perplexity_equals_brute_force(spark, monkeypatch):
             p_of = {**(p_of if i else {}), lang: p}
         padded = quality_model.BEGIN * (order - 1) + t
         want = np.exp(-np.mean([np.log(p(padded[k : k + order])) for k in range(len(t))]))
-        assert abs(got[i].perplexity / want - 1) < 1e-9, (i, t, lang)
+        assert abs(got[i].perplexity / want - 1) < 1e-6, (i, t, lang)
         assert got[i].n_bytes == len(t.encode())
 
 
@@ -215,7 +215,9 @@ def test_probabilities_sum_to_one():
         assert abs(sum(p(context + c) for c in alphabet) + p(context + "?") - 1) < 1e-9
 
 
-def test_limits_come_from_documents_held_out(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_limits_come_from_documents_held_out(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_model, "MOST_IDS", most)
     rng = random.Random(9)
     texts = [" ".join(rng.choices(["river", "stone", "walks", "over", "green", "hill"], k=40)) for _ in range(120)]
     table = docs(spark, texts)
