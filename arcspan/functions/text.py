@@ -50,8 +50,22 @@ def truncated(text: Column, limit: int = 102_400, notice: str = "\n... [truncate
 
 
 def pretty_json(raw: Column) -> Column:
-    """Parsed and written again over several lines, or the text as it came when it isn't JSON."""
-    return F.coalesce(F.to_json(F.try_parse_json(raw), {"pretty": "true"}), raw)
+    """Parsed and written again, each member on a line of its own, two blanks a level; the text as it came when it isn't JSON."""
+    compact = F.to_json(F.try_parse_json(raw))
+    # strings, brackets, commas, colons and other values; a string is one part whatever is in it
+    parts = F.regexp_extract_all(compact, F.lit(r'("(?:[^"\\]|\\.)*"|[\[\]{}:,]|[^\[\]{}:,"]+)'), 1)
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def add(state: Column, part: Column) -> Column:
+        opens, closes = part.isin("{", "["), part.isin("}", "]")
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        # an empty object or array stays on its line
+        lead = F.when(closes & state["open"], F.lit("")).when(closes, line(depth)).when(state["open"], line(state["depth"])).otherwise(F.lit(""))
+        tail = F.when(part == ":", F.lit(" ")).when(part == ",", line(depth)).otherwise(F.lit(""))
+        return F.struct(F.concat(state["text"], lead, part, tail).alias("text"), depth.cast("int").alias("depth"), opens.alias("open"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"), F.lit(False).alias("open"))
+    return F.coalesce(F.when(compact.isNotNull(), F.aggregate(parts, start, add)["text"]), raw)
 
 
 def utc_now() -> Column:

@@ -54,8 +54,9 @@ def build(base: DataFrame, lists: int | None = None, rounds: int = 1, sample: in
     if path:
         # a list may hold most rows: it is written by as many tasks as it has files' worth
         postings = written(postings, "assigned")
-        files = postings.groupBy("cluster_id").agg(F.ceil(F.count("*") / FILE_ROWS).alias("files"))
-        dealt = postings.join(F.broadcast(files), "cluster_id").repartition("cluster_id", F.pmod(F.xxhash64("id"), F.col("files"))).drop("files")
+        files = written(postings.groupBy("cluster_id").agg(F.ceil(F.count("*") / FILE_ROWS).alias("files")), "files")
+        tasks = files.agg(F.sum("files")).first()[0] or 1
+        dealt = postings.join(F.broadcast(files), "cluster_id").repartition(tasks, "cluster_id", F.pmod(F.xxhash64("id"), F.col("files"))).drop("files")
         dealt.sortWithinPartitions("cluster_id", "id").write.mode("overwrite").partitionBy("cluster_id").parquet(path)
         postings = base.sparkSession.read.schema("id long, vector array<float>, cluster_id long").parquet(path).select("cluster_id", "id", "vector")
         centroids = written(centroids, "centroids")

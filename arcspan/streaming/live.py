@@ -6,8 +6,10 @@ Producers roll files in a folder; each file is read once. State lives in the che
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,6 +45,40 @@ def paired(calls: DataFrame, results: DataFrame, call_time: str, result_time: st
     return left.join(right, within, "left_outer").drop("_key")
 
 
+def pair_log(events: DataFrame, is_call: Column, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Calls paired with results as they come, in whatever order, under ``path``; see :func:`pairs_of`.
+
+    A batch joins its rows with those that wait from before, writes the pairs, and writes anew what still waits, so state is as large
+    as the calls and results that are open. Each batch has folders of its own, which a repeated batch replaces.
+    """
+
+    def settle(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        others = [c for c in rows.columns if c not in keys]
+        rows = rows.select(*keys, F.struct(*others).alias("_event"), is_call.alias("_call"))
+        if batch:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/waiting/batch={batch - 1}"))
+        side = lambda call, name: rows.where(F.col("_call") == call).select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.col("_event").alias(name))
+        same = reduce(and_, [F.col(f"_call_{k}").eqNullSafe(F.col(f"_result_{k}")) for k in keys])
+        both = side(True, "call").join(side(False, "result"), same, "full_outer")
+        both = both.select(*[F.when(F.col("call").isNotNull(), F.col(f"_call_{k}")).otherwise(F.col(f"_result_{k}")).alias(k) for k in keys], "call", "result")
+        whole = F.col("call").isNotNull() & F.col("result").isNotNull()
+        both.where(whole).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch}")
+        waits = both.where(~whole).select(*keys, F.coalesce("call", "result").alias("_event"), F.col("call").isNotNull().alias("_call"))
+        waits.write.mode("overwrite").parquet(f"{path}/waiting/batch={batch}")
+
+    return events.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pairs_of(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """(keys, call, result) of :func:`pair_log`: all pairs, and then the calls and results that still wait, with null for the other."""
+    pairs = spark.read.parquet(f"{path}/pairs").drop("batch")
+    waiting = spark.read.parquet(f"{path}/waiting")
+    waiting = waiting.join(F.broadcast(waiting.agg(F.max("batch").alias("batch"))), "batch")  # what waits after the last batch
+    alone = waiting.select(*keys, F.when(F.col("_call"), F.col("_event")).alias("call"), F.when(~F.col("_call"), F.col("_event")).alias("result"))
+    return pairs.unionByName(alone)
+
+
 def maintain(new_rows: DataFrame, index: ivf.Index, path: str, checkpoint: str) -> StreamingQuery:
     """Assign vectors as they come and append them to the postings under ``path``. A batch that is repeated replaces its own files."""
 

@@ -277,7 +277,7 @@ def test_text(spark):
         kept = whole.encode()[:limit].decode(errors="ignore")
         assert v(text.truncated(F.lit(whole), limit, "!")) == kept + "!"
     assert v(text.truncated(F.lit("short"), 5)) == "short"
-    assert v(text.pretty_json(F.lit("{ \"a\" : 1 }"))) == '{"a":1}' and v(text.pretty_json(F.lit("{no"))) == "{no"
+    assert v(text.pretty_json(F.lit("{ \"a\" : 1 }"))) == '{\n  "a": 1\n}' and v(text.pretty_json(F.lit("{no"))) == "{no"
     assert v(text.seconds_between(F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.to_timestamp(F.lit("2024-01-01 00:00:01.5")))) == 1.5
 
 
@@ -338,3 +338,180 @@ def test_streams(spark, tmp_path):
     total = []
     live.each_change(sessions, lambda df, n: total.append(sum(r.n for r in df.collect())), str(tmp_path / "s5"), mode="complete").awaitTermination()
     assert total[-1] == 7
+
+
+# --- faults and edges of the second kind -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("method", ["arrow", "sql"])
+def test_vectors_of_unlike_widths_are_never_mixed(spark, method):
+    base = table(spark, [(0, [1.0]), (1, [2.0, 2.0, 2.0])], "id long, vector array<float>").coalesce(1)
+    asked = table(spark, [(0, [1.0, 2.0])], "query_id long, vector array<float>")
+    with pytest.raises(Exception, match="numbers instead of"):
+        knn.exact_knn(asked, base, 1, method).collect()
+    nulls = table(spark, [(0, None), (1, [1.0, 2.0]), (2, None)], "id long, vector array<float>").coalesce(1)
+    assert [(r.id, r.distance) for r in knn.exact_knn(asked, nulls, 5, method).collect()] == [(1, 0.0)]
+    assert knn.exact_knn(table(spark, [(0, None)], "query_id long, vector array<float>"), base, 1, method).count() == 0
+
+
+def test_null_numbers_are_an_error(spark):
+    base = table(spark, [(0, [1.0, None])], "id long, vector array<float>")
+    with pytest.raises(Exception, match="null number"):
+        knn.exact_knn(table(spark, [(0, [1.0, 2.0])], "query_id long, vector array<float>"), base, 1).collect()
+
+
+@pytest.mark.parametrize(("n", "want"), [(0, (128, 12)), (300_000, (256, 14)), (600_000, (512, 16)), (1 << 40, (512, 16))])
+def test_adaptive_lists(n, want):
+    assert ivf.adaptive(n) == want
+
+
+def test_searches_of_lists_agree(spark, tmp_path):
+    _, base = points(spark, 300)
+    index = ivf.build(base, 10, path=f"{tmp_path}/lists")
+    q = queries_of(base, 40)
+    rows = lambda found: sorted(tuple(r) for r in found.select("query_id", "rank", "id", "distance").collect())
+    for nprobe in (1, 3, 10):
+        assert rows(ivf.search(q, index, 5, nprobe)) == rows(ivf.search(q, index, 5, nprobe, "sql"))
+    assert rows(ivf.search(q, index, 5, 10)) == rows(knn.exact_knn(q, base, 5))
+    some = ivf.stage(ivf.Index(index.centroids, index.postings.where("id % 3 <> 0")), base.where("id % 3 = 0"))
+    assert rows(ivf.search(q, some, 5, 10)) == rows(knn.exact_knn(q, base, 5))
+    for recall in (0.5, 0.9, 1.0):
+        p = ivf.probes_for(q, base, index, 5, recall)
+        of = lambda n: metrics.recall_mean(knn.nested(ivf.search(q, index, 5, n)), knn.ground_truth(q, base, 5), 5).first()[0]
+        assert of(p) >= recall and (p == 1 or of(p - 1) < recall)
+
+
+def test_a_hot_list_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf, "FILE_ROWS", 50)
+    rows = table(spark, [(i, [1.0, 1.0] if i < 400 else [9.0, float(i)]) for i in range(420)], "id long, vector array<float>")
+    index = ivf.build(rows, 2, path=f"{tmp_path}/lists")
+    assert max(len(list(p.glob("*.parquet"))) for p in tmp_path.joinpath("lists").iterdir() if p.is_dir()) > 3
+    assert index.postings.count() == 420
+
+
+def test_life_of_an_index(spark, tmp_path):
+    _, base = points(spark, 120)
+    q = queries_of(base, 5)
+    want = [r.id for r in knn.exact_knn(q, base, 3).orderBy("query_id", "rank").collect()]
+    got = lambda s: [r.id for r in s.search(q, 3, 4).orderBy("query_id", "rank").collect()]
+    lazy = ivf.Store(base.where("id < 100"), f"{tmp_path}/a", "always", threshold=110, lists=4)
+    assert lazy.index is None and lazy.ready() is None and lazy.search(q, 3).count() == 15 and lazy.builds == 0
+    assert lazy.insert(base.where("id >= 100")) == 20 and lazy.builds == 0
+    assert got(lazy) == want and lazy.builds == 1 and got(lazy) == want and lazy.builds == 1
+    lazy.insert(base.limit(0))
+    assert lazy.dirty and got(lazy) == want and lazy.builds == 2
+    eager = ivf.Store(base.where("id < 100"), f"{tmp_path}/b", "incremental", threshold=100, eager=True, lists=4)
+    eager.insert(base.where("id >= 100 AND id < 110"))
+    assert eager.builds == 1 and not eager.dirty
+    eager.insert(base.where("id >= 110"))
+    assert eager.builds == 1 and got(eager) == want
+
+
+def test_percentiles_of_keys(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], [900, 100]), None: rng.random(7), "one": np.array([5.0]), "big": np.exp(rng.normal(size=500) * 9)}
+    rows = table(spark, [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("none", None)], "k string, v double").repartition(7)
+    got = {r.k: r for r in metrics.percentiles(rows, ["k"], "v", 0, 50, 95, 99.5, 100).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        for p in (0, 50, 95, 99.5, 100):
+            assert abs(got[k][f"p{p:g}"] - np.percentile(v, p)) <= 1e-9 * max(1, abs(np.percentile(v, p))), (k, p)
+    whole = np.concatenate(list(values.values()))
+    assert abs(metrics.percentiles(rows, [], "v", 50).first()[0] - np.median(whole)) < 1e-9
+    assert {r.k: r.p50_latency_ms for r in metrics.summary(rows, "v", F.lit(1.0), F.lit(1.0), 0.8, "k").collect()}["none"] == 0
+
+
+def test_ranks_in_ranges(spark):
+    rows = table(spark, [(i, (i * 37) % 11) for i in range(400)], "id long, score int").repartition(9)
+    got = {r.id: r["rank"] for r in topk.ranked(rows, F.desc("score"), F.col("id")).collect()}
+    want = {i: n for n, (_, i) in enumerate(sorted((-((i * 37) % 11), i) for i in range(400)), 1)}
+    assert got == want and topk.ranked(rows.limit(0), F.col("id")).count() == 0
+
+
+def test_parts_of_vector_files(spark, tmp_path):
+    rows, base = points(spark, 100)
+    assert vecs.write_parts(base, f"file://{tmp_path}/parts") == 100
+    vecs.register(spark)
+    read = spark.read.format("vecs").option("kind", "f").option("path", f"{tmp_path}/parts").load().orderBy("id").collect()
+    assert [r.id for r in read] == list(range(100)) and (np.array([r.vector for r in read], np.float32) == rows).all()
+    whole = b"".join(p.read_bytes() for p in sorted(tmp_path.joinpath("parts").glob("part-*")))
+    assert whole == vecs.encode(rows) and not list(tmp_path.joinpath("parts").glob("_task*"))
+    with pytest.raises(Exception, match="no vectors|NotFound|not found|FileNotFound"):
+        spark.read.format("vecs").option("path", f"{tmp_path}/nothing").load().collect()
+
+
+def test_truth_is_resumed(spark, tmp_path):
+    _, base = points(spark, 60)
+    q, path = queries_of(base, 30), f"{tmp_path}/chunks"
+    want = {r.query_id: r.neighbors for r in knn.ground_truth(q, base, 4).collect()}
+    read = lambda found: {r.query_id: r.neighbors for r in found.collect()}
+    found, n = store.resume_truth(q, base, path, 4, 10)
+    assert read(found) == want and n == 30
+    found, n = store.resume_truth(q, base, path, 4, 10)
+    assert read(found) == want and n == 0
+    chunk = next(tmp_path.joinpath("chunks", "chunk=1").glob("*.json"))
+    chunk.write_text(chunk.read_text()[: -len(chunk.read_text()) // 3])
+    for crc in chunk.parent.glob(".*.crc"):
+        crc.unlink()
+    found, n = store.resume_truth(q, base, path, 4, 10)
+    assert read(found) == want and n == 10
+    with pytest.warns(UserWarning, match="merged 30 queries but expected 31"):
+        store.merged(spark.read.schema("query_id long, neighbors array<long>").json(path), 31)
+
+
+def test_pretty_json(spark):
+    import json
+
+    for raw in ('{"a":{"b":[1,2,{"c":null}],"d":[],"e":{}},"f":"x, : {} \\" [y]","g":-1.5,"h":true}', "[]", "{}", "[1,[2]]", '"x"', "7"):
+        assert value(spark, text.pretty_json(F.lit(raw))) == json.dumps(json.loads(raw), indent=2)
+    assert value(spark, text.pretty_json(F.lit("not json {"))) == "not json {" and value(spark, text.pretty_json(F.lit(None).cast("string"))) is None
+
+
+def test_times(spark):
+    assert value(spark, text.rfc3339(F.expr("timestamp '2024-05-06 07:08:09.123456'"))) == "2024-05-06T07:08:09.123456+00:00"
+    assert len(value(spark, text.utc_now())) == 32
+
+
+def test_messages(spark):
+    runs = table(spark, [(0.95,), (0.9499,)], "recall double")
+    assert [r.message for r in metrics.correctness(runs).collect()] == ["Correctness test PASSED: recall 0.9500 >= threshold 0.9500", "Correctness test FAILED: recall 0.9499 < threshold 0.9500"]
+    same = table(spark, [(i, [1, 2, 3]) for i in range(4)], "query_id long, neighbors array<long>")
+    told = one(anticheat.verdict(same))
+    assert not told["passed"] and told["message"] == "SUSPICIOUS: Average Jaccard similarity 1.0000 exceeds threshold 0.80. Unique IDs: 3/12 total. Possible hardcoded results detected."
+    assert one(anticheat.verdict(same.limit(0)))["message"] == "No results to analyze."
+    alone = table(spark, [(7, [1, 2])], "query_id long, neighbors array<long>")
+    assert one(anticheat.verdict(alone))["message"] == "OK: Average Jaccard similarity 0.0000 is within threshold 0.80. Unique IDs: 2/2 total."
+
+
+def test_board_is_grown(spark, tmp_path):
+    entry = lambda name, score: table(spark, [(name, name, score, 1.0)], "model_name string, entry_dir string, qps double, recall double")
+    for name, score in (("b", 2.0), ("a", 1.0), ("c", 3.0)):
+        board = readers.append_board(entry(name, score), f"{tmp_path}/board")
+    assert sorted((r.model_name, r.qps) for r in board.collect()) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+
+
+def test_live_pairs_of_several_batches(spark, tmp_path):
+    rows = [(1, "c", "call", 10), (1, "c", "result", 11), (1, "d", "result", 20), (1, "d", "call", 21), (1, "e", "call", 30), (2, "f", "result", 40)]
+    for k, r in enumerate(rows):
+        table(spark, [r], "log int, id string, kind string, at int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema("log int, id string, kind string, at int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.pair_log(events, F.col("kind") == "call", ["log", "id"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = sorted((r.log, r.id, r.call and r.call.at, r.result and r.result.at) for r in live.pairs_of(spark, f"{tmp_path}/out", ["log", "id"]).collect())
+    assert got == [(1, "c", 10, 11), (1, "d", 21, 20), (1, "e", 30, None), (2, "f", None, 40)]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from arcspan.operators.written import shared_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {"spark.checkpoint.dir": ""}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
