@@ -123,13 +123,13 @@ class Code:
             if not self.used:
                 raise ValueError("a code without symbols")
             if self.only is not None:
-                self.arrays = np.array([self.only], np.int32), np.zeros(1, np.int32), 0
+                self.arrays = np.array([self.only]), np.zeros(1, np.int64), 0
             else:
                 order = sorted(self.used, key=lambda s: (self.lengths[s], s))
-                length = np.array([self.lengths[s] for s in order], np.int32)
+                length = np.array([self.lengths[s] for s in order])
                 times = 1 << (self.longest - length)
                 turned = _turned(self.longest)
-                self.arrays = np.repeat(np.array(order, np.int32), times)[turned], np.repeat(length, times)[turned], (1 << self.longest) - 1
+                self.arrays = np.repeat(np.array(order), times)[turned], np.repeat(length, times)[turned], (1 << self.longest) - 1
         return self.arrays
 
     def written(self) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +344,9 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = further
 
 
+_EIGHT, _NONE = np.arange(8), np.zeros(0, np.int64)
+
+
 def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int) -> np.ndarray:
     """The pixels of a picture with one code group.
 
@@ -356,13 +359,13 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
     raw = np.frombuffer(r.data, np.uint8)[start : start + (n * most >> 3) + 16]
     end = 8 * (len(r.data) - start)
     # zeros behind the stream, more than a token has bits, so that no place leaves the arrays
-    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.int32)
+    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.int64)
     word = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
-    peek = (word[:, None] >> np.arange(8, dtype=np.int32)).reshape(-1) & 0x1FFFFFF
+    peek = (word[:, None] >> _EIGHT).reshape(-1)
     size = 8 * len(raw)
     symbol, length, mask = green.tables()
     seen = peek[:size] & mask
-    s, p = symbol[seen], np.arange(size, dtype=np.int32) + length[seen]
+    p = np.arange(size) + length[seen]
     after = p
     lengths: dict[int, np.ndarray] = {}
     for c in (red, blue, alpha):
@@ -371,14 +374,15 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
                 _, own, own_mask = c.tables()
                 lengths[id(c)] = own[peek & own_mask]
             after = after + lengths[id(c)][after]
-    at = np.flatnonzero(s > 255)
+    at = np.flatnonzero((symbol > 255)[seen]) if symbol.max() > 255 else _NONE
     if len(at):
         after = after.copy() if after is p else after
         after[at] = p[at]
-        at = at[s[at] < 280]
+        s = symbol[seen[at]]
+        at, s = at[s < 280], s[s < 280]
         if len(at) and far.used:
             f_symbol, f_length, f_mask = far.tables()
-            q = p[at] + _extra(s[at] - 256)
+            q = p[at] + _extra(s - 256)
             d = peek[q] & f_mask
             after[at] = q + f_length[d] + _extra(f_symbol[d])
     found, place, step, stop = [], shift, memoryview(after), min(size, end)
@@ -388,7 +392,7 @@ def unpack(r: BitReader, codes: list[Code], cache_bits: int, width: int, n: int)
         if place >= stop:
             break
     t = np.array(found)
-    s, p = s[t], p[t]
+    s, p = symbol[seen[t]], p[t]
     count, back = np.ones(len(t), np.int64), np.zeros(len(t), np.int64)
     copies = np.flatnonzero((s > 255) & (s < 280))
     if len(copies):
@@ -676,10 +680,10 @@ def matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def cache_pays(pixels: np.ndarray) -> bool:
-    """Whether a standard cache has one pixel in forty; with less its symbols cost more than they save."""
+    """Whether a standard cache has one pixel in twenty; with less its symbols cost more than they save."""
     keys = colour_keys(pixels, STANDARD_CACHES[-1])
     before = _before(keys)
-    return 40 * np.count_nonzero((before >= 0) & (pixels[before] == pixels)) > len(pixels)
+    return 20 * np.count_nonzero((before >= 0) & (pixels[before] == pixels)) > len(pixels)
 
 
 class Tokens:
@@ -759,20 +763,18 @@ def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
     """An entropy-coded picture with one code group, a standard one unless its own saves :data:`LEAST_SAVED` bits: codes of its own
     take longer to write and read than all else of a short text.
 
-    With ``cache_bits`` None, a standard cache is taken if it saves bits.
+    With ``cache_bits`` None, a standard cache is taken if it pays.
     """
     found = matches(pixels) if references else []
-    ways = [Tokens(pixels, width, b, found) for b in ([cache_bits] if cache_bits is not None else STANDARD_CACHES if cache_pays(pixels) else (0,))]
-    best = None
-    for t in ways:
-        counts = t.counts()
-        own = sum(map(_entropy, counts)) + _of_header(counts)
-        bits = t.cache.bit_length() - 1 if t.cache else 0
-        plain = sum(int(c @ code.written()[1]) for c, code in zip(counts, standard(bits)[0], strict=True)) + standard(bits)[2] if bits in STANDARD_CACHES and main else None
-        for cost, codes in ((own + (LEAST_SAVED if plain is not None else 0), None), (plain, standard(bits)[0] if plain is not None else None)):
-            if cost is not None and (best is None or cost < best[0]):
-                best = cost, t, counts, codes, bits
-    _, t, counts, codes, bits = best
+    bits = cache_bits if cache_bits is not None else STANDARD_CACHES[cache_pays(pixels)]
+    t = Tokens(pixels, width, bits, found)
+    counts, codes = t.counts(), None
+    if bits in STANDARD_CACHES and main:
+        codes, _, size = standard(bits)
+        size += sum(int(c @ code.written()[1]) for c, code in zip(counts, codes, strict=True))
+        # a small picture can't save so much
+        if size > 3 * LEAST_SAVED and sum(map(_entropy, counts)) + _of_header(counts) + LEAST_SAVED < size:
+            codes = None
     w.put(1 if bits else 0, 1)
     if bits:
         w.put(bits, 4)
@@ -883,15 +885,21 @@ def plan(p: np.ndarray) -> tuple:
 
     Those that find little of what they look for are not tried.
     """
-    c = _channels(p)
+    b = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1)
     ways: list[tuple[float, tuple]] = []
-    palette, index = np.unique(p, return_counts=True)
-    if len(palette) <= 256 and p.size >= 2 * len(palette):
-        ways.append((150 + 30 * len(palette) + _entropy(index), ((PALETTE,),)))
-    modes, share = _tile_modes(p)
-    if share > LEAST_SHARE:
-        ways.append((150 + 2 * modes.size + _cost(do_predictor(p, TILE, modes)), ((PREDICTOR, TILE, modes),)))
-    same = [float((c[..., a] == c[..., b]).mean()) for a, b in ((1, 2), (1, 0), (2, 0))]
+    ordered = np.sort(p, axis=None)
+    new = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    if len(new) < 256 and p.size >= 2 * (len(new) + 1):
+        counts = np.diff(new, prepend=0, append=p.size)
+        ways.append((150 + 30 * len(counts) + _entropy(counts), ((PALETTE,),)))
+    row = 4 * p.shape[1]
+    # bytes found by each predictor, whatever tile they are in
+    if sum(np.count_nonzero(b[k:] == b[:-k]) for k in (4, row - 4, row, row + 4) if k < len(b)) > (LEAST_SHARE + 0.15) * len(b):
+        modes, share = _tile_modes(p)
+        if share > LEAST_SHARE:
+            ways.append((150 + 2 * modes.size + _cost(do_predictor(p, TILE, modes)), ((PREDICTOR, TILE, modes),)))
+    c = b.reshape(-1, 4)
+    same = [np.count_nonzero(c[:, x] == c[:, y]) / len(c) for x, y in ((1, 2), (1, 0), (2, 0))]
     if max(same) > LEAST_SHARE:
         ways.append((1 + _cost(green(p, -1)), ((SUBTRACT_GREEN,),)))
         from_green, from_red = 32 * (same[1] >= same[2]), 32 * (same[1] < same[2])
