@@ -766,7 +766,7 @@ def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
     With ``cache_bits`` None, a standard cache is taken if it pays.
     """
     found = matches(pixels) if references else []
-    bits = cache_bits if cache_bits is not None else STANDARD_CACHES[cache_pays(pixels)]
+    bits = cache_bits if cache_bits is not None else STANDARD_CACHES[int(cache_pays(pixels))]
     t = Tokens(pixels, width, bits, found)
     counts, codes = t.counts(), None
     if bits in STANDARD_CACHES and main:
