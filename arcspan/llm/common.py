@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -317,3 +319,44 @@ def by_shard(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[tupl
             blobs.append(blob.as_buffer().to_pybytes())
     if blobs:
         yield now, work(blobs)
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows, the text last, in batches of about ``size`` bytes of text."""
+    held, have = [], 0
+    for batch in batches:
+        column = as_bytes(batch.column(batch.num_columns - 1))
+        off = offsets(column)
+        for i, j in slices(column, size):
+            held.append(batch.slice(i, j - i))
+            have += int(off[j] - off[i])
+            if have >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, have = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rest[0]
+
+
+def block_name(batch: pa.RecordBatch) -> int:
+    """A block's name: a 64-bit hash of its texts and of the column before them, so that the same block has the same name wherever
+    it is read."""
+    told = hashlib.blake2b(repr(batch.column(batch.num_columns - 2).to_pylist()).encode(), digest_size=8)
+    column = as_bytes(batch.column(batch.num_columns - 1))
+    off = offsets(column)
+    told.update(np.diff(off).tobytes())
+    if off[-1] > off[0]:
+        told.update(column.buffers()[2][int(off[0]) : int(off[-1])])
+    return int.from_bytes(told.digest(), "little", signed=True)
+
+
+def pressed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows, compressed: block, is_block, blob."""
+    for batch in in_blocks(batches, size):
+        whole = io.BytesIO()
+        with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([block_name(batch)]), pa.array([True]), pa.array([whole.getvalue()], pa.binary())], names=["block", "is_block", "blob"])
+
+
+def unpressed(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()

@@ -11,8 +11,10 @@ model has none. Cuts are the bits of a long. Units over
 :data:`MOST_FOLDED` characters, which a fold would also take quadratic time for, are merged with a heap.
 
 Tasks send the distinct units of a group of texts with counts, by shard. When all units are encoded, the most frequent ones, at
-most :data:`MOST_KNOWN`, are broadcast; tasks replace units by places in that table, and the rest, every place of it, is joined
-with the encoded units and put back into the rows. Decoding gathers the pieces' bytes by id in one pass.
+most :data:`MOST_KNOWN`, are broadcast. Blocks of texts ask for the others, each distinct one once; what they ask is joined with the
+encoded units, and answers and compressed blocks meet again by the block's name, a hash of its texts. So texts must come in the same
+blocks when they are read again: with ``scan`` they do, as the table only reads files; otherwise they are written to one first. Other
+blocks than those that asked are an error. Decoding gathers the pieces' bytes by id in one pass.
 
 Defined results: null and empty texts have no ids; repeated rows each get a row; an empty table gives an empty table; of equal
 scores the leftmost merge comes first; only the key and the text are read, so other columns may have any name. Long texts are cut
@@ -33,12 +35,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import BYTES, PLACES, as_bytes, by_shard, cut, deal, lean, mix, offsets, pack_arrays, powers, shards, slices, table, unpack_arrays
+from arcspan.llm.common import BYTES, PLACES, as_bytes, block_name, by_shard, cut, in_blocks, lean, mix, offsets, pack_arrays, powers, pressed, runs, shards, slices, table, unpack_arrays, unpressed
 
 SPACE = "▁"
 MOST_FOLDED = 60
-#: Units that are broadcast, and their bytes there; bytes of text whose units are counted before they are sent.
-MOST_KNOWN, KNOWN_BYTES, GROUP_BYTES = 500_000, 1 << 25, 1 << 23
+#: Units that are broadcast, and their bytes there; bytes of text whose units are counted before they are sent, and of a block.
+MOST_KNOWN, KNOWN_BYTES, GROUP_BYTES, BLOCK_BYTES = 500_000, 1 << 25, 1 << 22, 1 << 22
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -476,66 +478,103 @@ def unvarints(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, start)
 
 
-def _compact(m: Model, known, holes: bool):
-    """Key, id and text: either the row with its units as places in the table (0: a hole), or its holes, a row each."""
+def _missing(m: Model, known):
+    """(key, id, text) to (block, h): the distinct units of each block of texts that aren't broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart, table_ = _apart(m), known.value
-        for batch in batches:
-            column = as_bytes(batch.column(2))
-            for i, j in slices(column):
-                u = Units(_texts(batch.column(2).slice(i, j - i)), 0, j - i, apart)
-                found = table_.find(u.keys)
-                if holes:
-                    at = np.flatnonzero(found == 0)
-                    row = np.searchsorted(u.first, at, "right") - 1
-                    rk = batch.column(0).to_numpy()[i:j][row]
-                    yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - u.first[row]).astype(np.int32)), pa.array(u.keys[at].astype(np.int64))], names=["rk", "p", "h"])
-                else:
-                    data, n = varints(found)
-                    ends = np.concatenate([[0], np.cumsum(n)])[u.first]
-                    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), blobs.cast(pa.binary())], names=["rk", "doc_id", "blob"])
+        for batch in in_blocks(batches, BLOCK_BYTES):
+            texts, found = batch.column(2), []
+            for i, j in slices(as_bytes(texts)):
+                u = Units(_texts(texts.slice(i, j - i)), 0, j - i, apart)
+                found.append(np.unique(u.keys[table_.find(u.keys) == 0]))
+            keys, block = np.unique(np.concatenate(found)), block_name(batch)
+            for a in range(0, len(keys), 1 << 16):
+                part = keys[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part.view(np.int64))], names=["block", "h"])
 
     return run
 
 
-def _assemble(known, digest: bool):
-    """Rows of units and what fills their holes to ids, with their number and digest if asked."""
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h, ids) to one blob of answers for each block and stretch of rows."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pa.array(np.argsort(t["block"].to_numpy(), kind="stable")))
+        block, h, ids = t["block"].to_numpy(), t["h"].to_numpy(), as_bytes(_whole(t["ids"]))
+        off = offsets(ids)
+        data = np.frombuffer(ids.buffers()[2], np.uint8)
+        cuts, ends = runs(block)
+        blobs = [pack_arrays(h[a:b], np.diff(off[a : b + 1]).astype(np.uint32), data[off[a] : off[b]]) for a, b in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([False] * len(cuts)), pa.array(blobs, pa.binary())], names=["block", "is_block", "blob"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 1 << 19:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def _assemble(m: Model, known, digest: bool):
+    """Rows by block, the answers and then the block, to ids, with their number and digest if asked."""
+
+    def texts(batch: pa.RecordBatch, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, apart = known.value, _apart(m)
+        h, start_of, flat = told
+        column = batch.column(2)
+        for i, j in slices(as_bytes(column)):
+            u = Units(_texts(column.slice(i, j - i)), 0, j - i, apart)
+            place = t.find(u.keys) - 1
+            start, length = (x[place].astype(np.int64) if len(x) else np.zeros(len(place), np.int64) for x in (t.start, t.length))
+            holes = np.flatnonzero(place < 0)
+            if len(holes):
+                at = np.minimum(np.searchsorted(h, u.keys[holes]), len(h) - 1) if len(h) else holes
+                if not len(h) or (h[at] != u.keys[holes]).any():
+                    raise ValueError("the documents came in other blocks than those that asked")
+                start[holes], length[holes] = start_of[at] + len(t.flat), start_of[at + 1] - start_of[at]
+            ids = _Two(t.flat, flat).gather(start, length)
+            ends = np.concatenate([[0], np.cumsum(length)])[u.first]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            if digest:
+                more = [pa.array(np.diff(ends)), pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), lists, *more], names=["doc_id", "ids", "n_tokens", "ids_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i), lists], names=["doc_id", "rk", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = known.value
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
-                out = []
-                for blob, fill in zip(batch.column(2), batch.column(3), strict=True):
-                    at = unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) - 1
-                    flat = t.flat
-                    start, length = (x[at].astype(np.int64) if len(x) else np.zeros(len(at), np.int64) for x in (t.start, t.length))
-                    if fill.is_valid:
-                        rows = fill.values
-                        p, packed = rows.field("p").to_numpy(), rows.field("ids").cast(pa.large_binary())
-                        order = np.unique(p, return_index=True)[1]  # a repeated row's holes are there twice
-                        off = offsets(packed)
-                        raw = np.frombuffer(packed.buffers()[2], np.uint8)[off[0] : off[-1]]
-                        got = unvarints(raw)
-                        n = np.diff(np.concatenate([[0], np.cumsum(raw < 128)])[off - off[0]])
-                        begin, n = (np.cumsum(n) - n)[order], n[order]
-                        mine = np.flatnonzero(at < 0)
-                        start[mine], length[mine] = begin + len(flat), n
-                        flat = _Two(flat, got)
-                    out.append(gather(flat, start, length)[0] if not isinstance(flat, _Two) else flat.gather(start, length))
-                if digest:
-                    more = [pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in out], pa.string())]
-                    ids_ = pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(1), ids_, *more], names=["doc_id", "ids", "n_tokens", "ids_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["doc_id", "rk", "ids"])
+        now, held, told = None, [], None
+        for batch in batches:
+            for block, is_block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    now, held, told = block, [], None
+                if not is_block:
+                    held.append(unpack_arrays(blob.as_buffer().to_pybytes(), np.int64, np.uint32, np.uint8))
+                    continue
+                if told is None:
+                    told, held = _joined(held), []
+                yield from texts(unpressed(blob), told)
 
     return run
 
 
+def _joined(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Answers in order: hashes, where each one's ids begin (and the end), ids."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+    h, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    size = size.astype(np.int64)
+    data, size = gather(data, (np.cumsum(size) - size)[order], size[order])
+    ends = np.concatenate([[0], np.cumsum(data < 128)])[np.concatenate([[0], np.cumsum(size)])]
+    return h[order], ends, unvarints(data).astype(np.int32)
+
+
 class _Two:
     """Two arrays read as one, without a copy of the first."""
 
@@ -551,7 +590,7 @@ class _Two:
         return out
 
 
-def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most: int = MOST_KNOWN) -> DataFrame:
+def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most: int = MOST_KNOWN, scan: bool = False) -> DataFrame:
     """(doc_id, rk, ids): the ids of each row's text, in order; with ``digest`` (doc_id, n_tokens, ids_sha256)."""
     m = m or load()
     spark = docs.sparkSession
@@ -566,15 +605,16 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
         least = k
     frequent = F.col("n") >= least
     known = spark.sparkContext.broadcast(Known(words.where(frequent).select("unit", "ids", "n").toArrow().sort_by([("n", "descending")])))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, width = docs.schema["doc_id"].dataType.simpleString(), shards(docs)
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    holes = read.mapInArrow(lean(_compact(m, known, True)), "rk long, p int, h long")
+    read = read if scan else cut(read)
     rest = words.where(~frequent).mapInArrow(lean(_hashed), "h long, ids binary")
-    # dealt by row before they are grouped, as single holes are smaller than lists of one
-    fills = deal(holes.join(rest, "h").select("rk", "p", "ids"), "rk").groupBy("rk").agg(F.collect_list(F.struct("p", "ids")).alias("fills"))
-    rows = read.mapInArrow(lean(_compact(m, known, False)), f"rk long, doc_id {kind}, blob binary")
-    whole = rows.join(fills.hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "blob", "fills")
-    return whole.mapInArrow(lean(_assemble(known, digest)), f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
+    missing = read.mapInArrow(lean(_missing(m, known)), "block long, h long")
+    rows = "block long, is_block boolean, blob binary"
+    answers = missing.join(rest, "h").select("block", "h", "ids").mapInArrow(lean(_answers), rows)
+    both = answers.unionByName(read.mapInArrow(lean(lambda b: pressed(b, BLOCK_BYTES)), rows))
+    dealt = both.repartition(width, "block").sortWithinPartitions("block", "is_block")
+    return dealt.mapInArrow(lean(_assemble(m, known, digest)), f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
 
 
 #: What stands for the unknown piece, as in the library, and for ids without a piece.
@@ -612,6 +652,6 @@ def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digest of the ids, digest of the text that they decode to."""
-    encoded = encode(table(spark, sf_dir, "documents"), digest=True)
+    encoded = encode(table(spark, sf_dir, "documents"), digest=True, scan=True)
     told = ("n_tokens", "ids_sha256")
     return decode(encoded, keep=told).select("doc_id", *told, F.sha2("text", 256).alias("text_sha256"))

@@ -26,8 +26,6 @@ row, repeated labels count once; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
-import hashlib
-import io
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, as_bytes, cut, lean, mix, offsets, pack_arrays, runs, shards, slices, table, unpack_arrays
+from arcspan.llm.common import PLACES, as_bytes, block_name, cut, in_blocks, lean, mix, offsets, pack_arrays, pressed, runs, shards, slices, table, unpack_arrays, unpressed
 
 ORDER = 4
 QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
@@ -111,29 +109,13 @@ def _merged(parts: list[tuple]) -> tuple:
     return h, np.bincount(back, n, len(h)).astype(np.int64), grams[one], kind[one]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (key, n): the distinct n-grams of a batch's texts."""
-    for batch in _blocks(batches):
+    for batch in in_blocks(batches, size):
         _, n, key = _distinct(batch.column(0).to_pylist(), as_bytes(batch.column(1)))
         yield pa.RecordBatch.from_arrays([key, pa.array(n)], names=["key", "n"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, the text last, in batches of about :data:`BLOCK_BYTES`."""
-    held, size = [], 0
-    for batch in batches:
-        column = as_bytes(batch.column(batch.num_columns - 1))
-        for i, j in slices(column, BLOCK_BYTES):
-            off = offsets(column)
-            held.append(batch.slice(i, j - i))
-            size += int(off[j] - off[i])
-            if size >= BLOCK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
-        yield rest[0]
-
-
 def _discount(lang_counts: DataFrame, order: int) -> DataFrame:
     """(tag, d1, d2, d3): modified Kneser-Ney discounts of an order's counts, by language."""
     ns = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
@@ -148,8 +130,8 @@ def _discount(lang_counts: DataFrame, order: int) -> DataFrame:
 
 def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1 on, of a table with lang and text: (tag, gram, p) of seen n-grams and (tag, gram, weight) of seen contexts."""
-    counts = trusted.select(F.col("lang").cast("string"), "text").mapInArrow(lean(_count), "key string, n long")
-    key, size = F.col("key"), F.length("key")
+    size = BLOCK_BYTES
+    counts = trusted.select(F.col("lang").cast("string"), "text").mapInArrow(lean(lambda b: _count(b, size)), "key string, n long")
     counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
     orders = [cut(counts.select(F.expr(f"left(key, length(key) - {ORDER})").alias("tag"), F.expr(f"right(key, {ORDER})").alias("gram"), "n"))]
     for _ in range(ORDER - 1):
@@ -192,36 +174,16 @@ def looked_up(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Data
     return found.select("key", reduce(back, range(2, ORDER + 1), F.coalesce(F.log("p1"), F.log("w1"))).alias("logp"))
 
 
-def _named(batch: pa.RecordBatch) -> int:
-    """A block's name: a hash of its languages and texts, on which alone its answers depend."""
-    told = hashlib.blake2b(repr(batch.column(1).to_pylist()).encode(), digest_size=8)
-    column = as_bytes(batch.column(2))
-    off = offsets(column)
-    told.update(np.diff(off).tobytes())
-    if off[-1] > off[0]:
-        told.update(column.buffers()[2][int(off[0]) : int(off[-1])])
-    return int.from_bytes(told.digest(), "little", signed=True)
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, text) to requests of blocks: the distinct n-grams, by place in the order of their hashes."""
-    for batch in _blocks(batches):
+    for batch in in_blocks(batches, size):
         _, _, key = _distinct(batch.column(1).to_pylist(), as_bytes(batch.column(2)))
-        block = _named(batch)
+        block = block_name(batch)
         for a in range(0, len(key), 1 << 16):
             part = key.slice(a, 1 << 16)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(a, a + len(part)), pa.int32()), part], names=["block", "place", "key"])
 
 
-def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same blocks themselves, compressed."""
-    for batch in _blocks(batches):
-        whole = io.BytesIO()
-        with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([_named(batch)]), pa.array([True]), pa.array([whole.getvalue()], pa.binary())], names=["block", "is_block", "blob"])
-
-
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, place, logp) to one blob of answers for each block and stretch of rows."""
 
@@ -259,7 +221,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for place, value in held:
                     logp[place] = value
                 held = []
-            yield _scored(pa.ipc.open_stream(blob.as_buffer()).read_next_batch(), logp)
+            yield _scored(unpressed(blob), logp)
 
 
 def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
@@ -270,7 +232,7 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     for points, at, rows in ngrams(column):
         order = np.union1d(order, hashes(points, at, tag[rows]))
     if len(order) != len(logp):
-        raise ValueError("the documents came in other blocks than those that asked; write them to a table first")
+        raise ValueError("the documents came in other blocks than those that asked")
     total, n = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
     for points, at, rows in ngrams(column):
         place = np.searchsorted(order, hashes(points, at, tag[rows]))
@@ -281,20 +243,21 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets(column))), out], names=["doc_id", "lang", "n_bytes", "perplexity"])
 
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], scan: bool = False) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity (null without a model or a text).
 
-    ``docs`` is read twice and must come in the same rows and partitions, as a scan does; other blocks than those that asked are an
-    error.
+    The documents are read twice and must come in the same blocks. With ``scan``, they do, as ``docs`` only reads files; otherwise
+    they are written to a table first. Other blocks than those that asked are an error, never a wrong score.
     """
-    width = shards(docs)
+    width, size = shards(docs), BLOCK_BYTES
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.col("lang").cast("string"), "text")
-    asked = cut(read.mapInArrow(lean(_ask), "block long, place int, key string"))
+    read = read if scan else cut(read)
+    asked = cut(read.mapInArrow(lean(lambda b: _ask(b, size)), "block long, place int, key string"))
     told = cut(looked_up(asked.select("key").distinct(), model))
     answers = asked.join(told, "key").select("block", "place", F.coalesce("logp", F.lit(float("nan"))).alias("logp"))
     rows = "block long, is_block boolean, blob binary"
-    both = answers.mapInArrow(lean(_told), rows).unionByName(read.mapInArrow(lean(_pressed), rows))
+    both = answers.mapInArrow(lean(_told), rows).unionByName(read.mapInArrow(lean(lambda b: pressed(b, size)), rows))
     dealt = both.repartition(width, "block").sortWithinPartitions("block", "is_block")
     return dealt.mapInArrow(lean(_score), f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
@@ -313,9 +276,9 @@ def _held_out() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, scan: bool = False) -> DataFrame:
     """Per document: doc_id, lang, n_bytes, perplexity, its language's limit, kept."""
-    scored = cut(score(docs, train(trusted_docs(docs, labels).where(~_held_out()))))
+    scored = cut(score(docs, train(trusted_docs(docs, labels).where(~_held_out())), scan))
     ids = trusted_ids(labels)
     of = lambda part: F.percentile_approx(F.when(part, F.col("perplexity")), quantile, 10000)
     limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(of(_held_out()), of(F.lit(True))) * margin).alias("max_perplexity"))
@@ -326,4 +289,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scan=True)

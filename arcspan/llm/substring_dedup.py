@@ -162,11 +162,11 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+def _groups(batches: Iterator[pa.RecordBatch], k: int, group: int) -> Iterator[tuple]:
     """Row key and text to groups of texts: row keys, parsed parts with their first row, and the windows' rows, places, anchors, hashes."""
     for batch in batches:
         column, rk = as_bytes(batch.column(1)), batch.column(0).to_numpy()
-        for i, j in slices(column, GROUP_BYTES):
+        for i, j in slices(column, group):
             part = column.slice(i, j - i)
             parsed = [(a, Words(part, a, b)) for a, b in slices(part, SLICE_BYTES)]
             found = [(r + a, *rest) for a, t in parsed for r, *rest in [windows(t, k)]]
@@ -185,18 +185,18 @@ def _first(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, twice
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], k: int, group: int) -> Iterator[pa.RecordBatch]:
     """How many stretches of windows that its group sees first each anchor has."""
-    for _, _, row, start, anchor, key in _groups(batches, k):
+    for _, _, row, start, anchor, key in _groups(batches, k, group):
         at = np.flatnonzero(_first(key)[0])
         row, start, anchor = row[at], start[at], anchor[at]
         found, n = np.unique(anchor[_stretches(row, start, anchor)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], k: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _hot_windows(batches: Iterator[pa.RecordBatch], k: int, group: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Windows with a hot anchor, by group: hash, how often, row key and place of the first by row key."""
-    for rk, _, row, start, anchor, key in _groups(batches, k):
+    for rk, _, row, start, anchor, key in _groups(batches, k, group):
         at = np.flatnonzero(_within(anchor, hot))
         keys, owner, first = key[at], rk[row[at]], start[at]
         order = np.lexsort((first, owner, keys))
@@ -223,7 +223,7 @@ class Reference:
     """Frequent repeated passages, broadcast: suffix automata of shards of them, built by each worker that needs them."""
 
     def __init__(self, passages: list[bytes], hot: np.ndarray) -> None:
-        self.passages, self.hot, self.built = passages, hot, None
+        self.passages, self.hot, self.built, self.shard = passages, hot, None, SHARD_WORDS
 
     def automata(self) -> list[Automaton]:
         if self.built is None:
@@ -232,7 +232,7 @@ class Reference:
                 words = np.frombuffer(p, np.uint64).tolist()
                 if left <= 0:
                     self.built.append(Automaton())
-                    left = SHARD_WORDS
+                    left = self.shard
                 self.built[-1].add(words)
                 left -= len(words)
             for a in self.built:
@@ -246,14 +246,15 @@ def reference(docs: DataFrame, k: int) -> Reference:
     Windows with a hot anchor are counted, and the most frequent of those that repeat are taken while they have
     :data:`MOST_PASSAGE_WORDS` words in all. What is beyond the two bounds is settled by the shuffle like all other windows.
     """
+    group = GROUP_BYTES
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    counts = read.mapInArrow(lean(lambda b: _anchors(b, k)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = read.mapInArrow(lean(lambda b: _anchors(b, k, group)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()
     hot = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     if not len(hot):
         return Reference([], hot)
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    found = read.mapInArrow(lean(lambda b: _hot_windows(b, k, sent.value)), "key long, n long, rk long, start long")
+    found = read.mapInArrow(lean(lambda b: _hot_windows(b, k, group, sent.value)), "key long, n long, rk long, start long")
     found = found.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "start")).alias("at")).where("n >= 2")
     top = found.orderBy(F.desc("n"), "key").limit(MOST_PASSAGE_WORDS).select("at.rk", "at.start").collect()
     taken: dict[int, set[int]] = {}
@@ -287,12 +288,12 @@ def _matched(found: Reference, parsed: list, row: np.ndarray, start: np.ndarray,
     return out
 
 
-def _requests(batches: Iterator[pa.RecordBatch], k: int, shards: int, found: Reference) -> Iterator[pa.RecordBatch]:
+def _requests(batches: Iterator[pa.RecordBatch], k: int, group: int, shards: int, found: Reference) -> Iterator[pa.RecordBatch]:
     """Row key and text to blobs by shard: runs of windows seen here first, and spans already known to repeat.
 
     Windows that the reference has are known. Others with a hot anchor go by their own hash and are told apart by their second one.
     """
-    for rk, parsed, row, start, anchor, key in _groups(batches, k):
+    for rk, parsed, row, start, anchor, key in _groups(batches, k, group):
         first, twice = _first(key)
         hot = np.flatnonzero(_within(anchor, found.hot))
         matched = np.zeros(len(key), bool)
@@ -372,10 +373,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows that also stand elsewhere: rk (xxhash64 of id and text), first window, number of windows in a row."""
-    width = shards(docs)
+    width, group = shards(docs), GROUP_BYTES
     found = docs.sparkSession.sparkContext.broadcast(reference(docs, min_words))
     read = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    sent = read.mapInArrow(lean(lambda b: _requests(b, min_words, 2 * width, found.value)), "shard int, blob binary")
+    sent = read.mapInArrow(lean(lambda b: _requests(b, min_words, group, 2 * width, found.value)), "shard int, blob binary")
     return sent.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_spans), "rk long, start long, n long")
 
 

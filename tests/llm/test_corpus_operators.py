@@ -392,9 +392,36 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
-@pytest.mark.parametrize("long", [1 << 22, 60])
-def test_quality_rules(spark, monkeypatch, long):
-    monkeypatch.setattr(quality_rules, "LONG", long)
+def test_long_texts_are_measured_alike(monkeypatch):
+    texts = some_texts(11) + ["a b\na b\n\n c\na b", "l\nl\n", " l\nl", "é " * 99 + "\n#"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = lambda: [tuple(r.values()) for b in quality_rules.measure(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr("arcspan.llm.common.SLICE_BYTES", 64)  # a text over it is a slice of its own
+    whole = rows()
+    monkeypatch.setattr(quality_rules, "LONG", 65)
+    monkeypatch.setattr(quality_rules, "SLICE_BYTES", 10)
+    assert rows() == whole and len(whole) == len(texts)
+
+
+def test_ngrams_do_not_depend_on_pieces(monkeypatch):
+    texts = [t or "" for t in some_texts(3, 30)] + ["日本" * 40, ""]
+    column = as_bytes(pa.array(texts))
+    tags = np.zeros(len(texts), np.uint64)
+
+    def all_hashes():
+        out = collections.defaultdict(list)
+        for points, at, rows in quality_model.ngrams(column):
+            for r, h in zip(rows.tolist(), quality_model.hashes(points, at, tags[rows]).tolist(), strict=True):
+                out[r].append(h)
+        return [out[i] for i in range(len(texts))]
+
+    whole = all_hashes()
+    assert [len(whole[i]) for i in range(len(texts))] == [len(t) for t in texts]
+    monkeypatch.setattr(quality_model, "PIECE", 37)
+    assert all_hashes() == whole
+
+
+def test_quality_rules(spark):
     texts = some_texts(11) + ["a b\na b\n\n c\na b", "x y z x y z x", "\n\n", "l\nl\n", " l\nl", "".join(chr(random.Random(k).randrange(33, 700)) for k in range(9000)), "word " * 1000 + " ".join(map(str, range(900)))]
     got = {r.doc_id: r for r in quality_rules.judge(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
