@@ -72,10 +72,22 @@ def ngrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def hashes(points: np.ndarray, at: np.ndarray, tags: np.ndarray) -> np.ndarray:
     """64-bit hashes of the n-grams at these places, with a number for the language of each."""
-    out = tags * PLACES[ORDER]
+    mixed, n = mix(points + PLACES[80]), len(points) - ORDER + 1
+    out = np.zeros(max(n, 0), np.uint64)
     for k in range(ORDER):
-        out += mix(points[at + k] + PLACES[80]) * PLACES[k]
-    return mix(out)
+        out += mixed[k : k + n] * PLACES[k]
+    return mix(out[at] + tags * PLACES[ORDER])
+
+
+def _kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and which one stands where. (A plain sort takes a fraction of a stable one's time.)"""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    return h[one], one, which
 
 
 def _tag(lang: str | None) -> str:
@@ -90,7 +102,8 @@ def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np
     hash_, count, key = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
     parts, held = [], 0
     for points, at, rows in ngrams(column):
-        h, one, n = np.unique(hashes(points, at, tag[rows]), return_index=True, return_counts=True)
+        h, one, which = _kinds(hashes(points, at, tag[rows]))
+        n = np.bincount(which, minlength=len(h))
         parts.append((h, n, points[at[one][:, None] + np.arange(ORDER)], tag[rows[one]].astype(np.int64)))
         held += len(h)
         if held > 1_000_000:
@@ -105,8 +118,8 @@ def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np
 
 def _merged(parts: list[tuple]) -> tuple:
     h, n, grams, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-    h, one, back = np.unique(h, return_index=True, return_inverse=True)
-    return h, np.bincount(back, n, len(h)).astype(np.int64), grams[one], kind[one]
+    h, one, which = _kinds(h)
+    return h, np.bincount(which, n, len(h)).astype(np.int64), grams[one], kind[one]
 
 
 def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -228,15 +241,16 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     langs, column = batch.column(1).to_pylist(), as_bytes(batch.column(2))
     kinds = {x: k for k, x in enumerate(dict.fromkeys(langs))}
     tag = np.array([kinds[x] for x in langs], np.uint64)
-    order = np.zeros(0, np.uint64)
+    parts = []
     for points, at, rows in ngrams(column):
-        order = np.union1d(order, hashes(points, at, tag[rows]))
+        h, _, which = _kinds(hashes(points, at, tag[rows]))
+        parts.append((h, which.astype(np.int32), rows))
+    order = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _, _ in parts]]))
     if len(order) != len(logp):
         raise ValueError("the documents came in other blocks than those that asked")
     total, n = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
-    for points, at, rows in ngrams(column):
-        place = np.searchsorted(order, hashes(points, at, tag[rows]))
-        total += np.bincount(rows, logp[place], len(langs))
+    for h, which, rows in parts:
+        total += np.bincount(rows, logp[np.searchsorted(order, h)][which], len(langs))
         n += np.bincount(rows, minlength=len(langs))
     mean = -total / np.maximum(n, 1)
     out = pa.array(np.exp(mean), mask=(n == 0) | np.isnan(mean))
