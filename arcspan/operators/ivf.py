@@ -73,6 +73,25 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     return top_per_key(far, "query_id", nprobe, "c2", "cluster_id", rank="probe_rank").select("query_id", F.col("vector").alias("_q"), "cluster_id", "probe_rank")
 
 
+def _nearest_lists(q: np.ndarray, c: np.ndarray, nprobe: int) -> np.ndarray:
+    """Places of the nearest centroids of each query, in no order; of equals the first ones.
+
+    A matrix product may differ from the sums over dimensions in the last bits, so where it can't tell the last list probed from the
+    first one left out, the sums decide.
+    """
+    if nprobe >= len(c):
+        return np.broadcast_to(np.arange(len(c)), (len(q), len(c)))
+    own = (c * c).sum(1)
+    near = own[None] - 2.0 * (q @ c.T)
+    order = np.argpartition(near, [nprobe - 1, nprobe], axis=1)
+    edge = np.take_along_axis(near, order[:, nprobe - 1 : nprobe + 1], axis=1)
+    unsure = np.flatnonzero(edge[:, 1] - edge[:, 0] < 1e-9 * (1.0 + (q * q).sum(1) + own.max()))
+    out = order[:, :nprobe]
+    for i in unsure.tolist():
+        out[i] = np.argsort(exact_d2(np.broadcast_to(q[i], c.shape), c), kind="stable")[:nprobe]
+    return out
+
+
 def _probed(queries: DataFrame, index: Index, k: int, nprobe: int) -> DataFrame:
     """Candidates (query_id, id, d2) in arrays: blocks of queries are broadcast with their lists, as in an exact search; a task holds
     the rows of a list against the queries that probe it, keeps the best ``k`` of each, and only those are shuffled."""
@@ -81,10 +100,8 @@ def _probed(queries: DataFrame, index: Index, k: int, nprobe: int) -> DataFrame:
     out = None
     queries = queries.where("vector IS NOT NULL")
     for ids, rows in query_blocks(queries, c.shape[1] if c.size else 1):
-        # summed in order of the dimensions, as a matrix product may differ in the last bits
-        d2 = np.stack([exact_d2(np.broadcast_to(one, c.shape), c) for one in rows])
-        order = np.argsort(d2, axis=1, kind="stable")[:, :nprobe]
-        asked = {int(cluster[at]): np.flatnonzero((order == at).any(1)) for at in np.unique(order)}
+        near = _nearest_lists(rows, c, nprobe)
+        asked = {int(cluster[at]): np.flatnonzero((near == at).any(1)) for at in np.unique(near)}
         sent = spark.sparkContext.broadcast((ids, rows, asked))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -95,7 +112,7 @@ def _probed(queries: DataFrame, index: Index, k: int, nprobe: int) -> DataFrame:
                 for one in np.unique(lists).tolist():
                     at = np.flatnonzero(lists == one)
                     best.see(own[at], b[at], asked[one])
-            yield pa.RecordBatch.from_arrays([pa.array(names[best.row].astype(np.int64)), pa.array(best.id), pa.array(best.d2)], names=["query_id", "id", "d2"])
+            yield best.rows(names)
 
         part = index.postings.where(F.col("cluster_id").isin(sorted(asked))).select(F.col("cluster_id").cast("long"), F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, d2 double")
         out = part if out is None else out.unionByName(part)

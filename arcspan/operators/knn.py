@@ -21,6 +21,8 @@ from arcspan.operators.topk import top_per_key
 
 #: Bytes of query vectors that are broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: Distances that are worked out at once.
+MOST_CELLS = 1 << 22
 
 
 def exact_d2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,37 +51,59 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 
 
 class Best:
-    """The ``k`` nearest rows of each query so far."""
+    """The ``k`` nearest rows of each query so far. Candidates are gathered and put in order from time to time, by :meth:`settle`."""
 
     def __init__(self, queries: np.ndarray, k: int) -> None:
         self.q, self.k = queries, k
         self.norms = (queries * queries).sum(1)
         self.limit = np.full(len(queries), np.inf)
         self.row, self.id, self.d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def see(self, ids: np.ndarray, b: np.ndarray, asked: np.ndarray | None = None) -> None:
         """Rows to be held against all queries, or against those at the places ``asked``."""
-        if not len(b) or not self.k or asked is not None and not len(asked):
+        n = len(self.q) if asked is None else len(asked)
+        if not n or not self.k:
             return
+        step = max(1, MOST_CELLS // n)
+        for at in range(0, len(b), step):
+            self._see(ids[at : at + step], b[at : at + step], asked)
+
+    def _see(self, ids: np.ndarray, b: np.ndarray, asked: np.ndarray | None) -> None:
         q, norms, limit = (self.q, self.norms, self.limit) if asked is None else (self.q[asked], self.norms[asked], self.limit[asked])
-        near = norms[:, None] + (b * b).sum(1)[None] - 2.0 * (q @ b.T)
-        slack = 1e-9 * (1.0 + np.abs(norms) + float((b * b).sum(1).max()))
+        own = (b * b).sum(1)
+        near = q @ b.T
+        near *= -2.0
+        near += norms[:, None]
+        near += own[None]
+        slack = 1e-9 * (1.0 + np.abs(norms) + float(own.max()))
         if b.shape[0] > self.k:
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
         row, col = np.nonzero(near <= (limit + slack)[:, None])
-        d2 = exact_d2(q[row], b[col])
-        self.row = np.concatenate([self.row, row if asked is None else asked[row]])
-        self.id = np.concatenate([self.id, ids[col]])
-        self.d2 = np.concatenate([self.d2, d2])
-        order = np.lexsort((self.id, self.d2, self.row))
-        row = self.row[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.held.append((row if asked is None else asked[row], ids[col], exact_d2(q[row], b[col])))
+        self.waiting += len(row)
+        if self.waiting > max(1 << 16, self.k * len(self.q)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the ``k`` nearest of each query, with ties to the least id."""
+        row, ids, d2 = (np.concatenate(x) for x in zip((self.row, self.id, self.d2), *self.held, strict=True))
+        self.held, self.waiting = [], 0
+        order = np.lexsort((ids, d2, row))
+        sorted_ = row[order]
+        place = np.arange(len(row)) - np.searchsorted(sorted_, sorted_)
         order = order[place < self.k]
-        self.row, self.id, self.d2 = self.row[order], self.id[order], self.d2[order]
+        self.row, self.id, self.d2 = row[order], ids[order], d2[order]
         ends = np.searchsorted(self.row, np.arange(len(self.q)), "right")
         full = ends - np.searchsorted(self.row, np.arange(len(self.q))) == self.k
         self.limit[full] = self.d2[ends[full] - 1]
 
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        """(query_id, id, d2) of what was kept."""
+        self.settle()
+        return pa.RecordBatch.from_arrays([pa.array(names[self.row].astype(np.int64)), pa.array(self.id), pa.array(self.d2)], names=["query_id", "id", "d2"])
+
 
 def query_blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     most = max(1, BLOCK_BYTES // (8 * max(width, 1)))
@@ -107,7 +131,7 @@ def _arrow(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
             best = Best(q, k)
             for batch in batches:
                 best.see(batch.column(0).to_numpy(), matrix(batch.column(1), q.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[best.row].astype(np.int64)), pa.array(best.id), pa.array(best.d2)], names=["query_id", "id", "d2"])
+            yield best.rows(names)
 
         part = base.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, d2 double")
         out = part if out is None else out.unionByName(part)
