@@ -244,7 +244,7 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     parts = []
     for points, at, rows in ngrams(column):
         h, _, which = _kinds(hashes(points, at, tag[rows]))
-        parts.append((h, which.astype(np.int32), rows))
+        parts.append((h, which.astype(np.int32), rows.astype(np.int32)))
     order = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _, _ in parts]]))
     if len(order) != len(logp):
         raise ValueError("the documents came in other blocks than those that asked")

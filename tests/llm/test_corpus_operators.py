@@ -916,3 +916,63 @@ def test_automaton_counts_occurrences():
                 if e - s >= 3 and n >= 3:
                     want |= set(range(s, e))
             assert marked == want
+
+
+# --- all of them -----------------------------------------------------------------------------------------------------------
+
+#: Extra columns with the names that operators use inside.
+ODD = "_rk long, _spans string, rk long, rid long, row_key string, root long, block long, blob string, is_block int, kind string, unit string, h long, place int, found string, page_host string, kept_lines string, ids string, n_words long, kept string, perplexity string, limit_lang string"
+PER_ROW = {
+    "sentencepiece": lambda d: piece_lattice.encode(d).select("doc_id", "ids"),
+    "model": lambda d: quality_model.classify(d, d.sparkSession.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).select("doc_id", "n_bytes", "kept"),
+    "jaccard": lambda d: jaccard_join.join(d).select("doc_id", "n_shingles", "component_id"),
+    "rules": quality_rules.judge,
+    "lines": line_dedup.digests,
+    "pii": pii.digests,
+    "webp": webp.digests,
+    "packing": lambda d: packing.pieces(d).select("doc_id", "piece", "length", "ids_crc32"),
+    "substrings": substring_dedup.digests,
+}
+KEEPING = {"rules": quality_rules.reject, "lines": line_dedup.drop, "jaccard": jaccard_join.dedup, "pii": pii.mask, "substrings": substring_dedup.remove}
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_repeated_rows_each_get_their_result(spark, name):
+    texts = [None, "", " ", "call +1 (202) 555-0147 now", "one two three four five six " * 12, "Ein Wort, noch ein Wort.\nmenu\n"]
+    rows = docs(spark, texts)
+    got = collections.Counter(str(r.asDict()) for r in PER_ROW[name](rows.unionByName(rows)).collect())
+    assert got and all(n % 2 == 0 for n in got.values())
+    ids = collections.Counter(r.doc_id for r in PER_ROW[name](rows.unionByName(rows)).collect())
+    assert set(ids) == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_columns_of_any_name_do_no_harm(spark, name):
+    names = [c.split()[0] for c in ODD.split(", ")]
+    texts = ["call +1 (202) 555-0147 now", "one two three four five six " * 12, None]
+    plain = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    odd = spark.createDataFrame([(i, t, "en", "s", *[1 if c.split()[1] in ("long", "int") else "x" for c in ODD.split(", ")]) for i, t in enumerate(texts)], f"doc_id long, text string, lang string, source string, {ODD}")
+    assert sorted(map(str, PER_ROW[name](odd).collect())) == sorted(map(str, PER_ROW[name](plain).collect()))
+    if name in KEEPING:
+        out = KEEPING[name](odd)
+        assert out.columns == odd.columns and all([r[c] for c in names] == [1 if c.split()[1] in ("long", "int") else "x" for c in ODD.split(", ")] for r in out.collect())
+
+
+def test_a_text_of_a_megabyte_beside_short_ones(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=180_000)) + "\n" + "x" * 40_000 + " \n" + "é" * 40_000, "short text", None]
+    rows = docs(spark, texts, 2)
+    assert len(texts[0].encode()) > 1 << 20
+    want = brute_rules(texts[0])
+    got = {r.doc_id: r for r in quality_rules.judge(rows).collect()}[0]
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == want
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(rows).collect()} == {0: 0, 1: 1, 2: 2}
+    _, kept = brute_kept(texts, 35)
+    assert {r.doc_id: r.n_words - r.n_removed for r in substring_dedup.digests(rows).collect()} == {i: len(k) for i, k in enumerate(kept)}
+    payload = webp.padded(texts[0].encode())
+    assert {r.doc_id: r.payload_sha256 for r in webp.digests(rows).collect()}[0] == hashlib.sha256(payload).hexdigest()
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.vocabulary())
+    assert {r.doc_id: r.ids for r in piece_lattice.encode(rows).collect()}[0] == library.encode(texts[0])
