@@ -9,10 +9,10 @@ documents link when 100 * intersection >= ``percent`` * union. The result is eac
 2. Routing. By the prefix bound, linked sets share one of the first n - ceil(t n) + 1 shingles. Each of those that isn't unique
    sends the set's id and size class to its shard; sets of a shard that share a shingle and have fitting sizes become candidates
    of one unit, by stars, never as pairs.
-3. Join. A unit stores its sets, ordered by how frequent their shingles are in it, in a path-compressed trie and traverses it with
-   each set: sets that begin alike share the partial overlap, and a subtree is left when the overlap so far and the remaining
-   lengths cannot reach the bound, or when all of it is already in the set's component. So a dense group of copies costs about
-   one path each, and no pairs are listed. Units over :data:`PART` sets are split (:func:`_linked`): parts are joined by
+3. Join. A unit stores its sets, in the global order from its frequent end, in a path-compressed trie and traverses it with each
+   set: sets that begin alike share the partial overlap, and a subtree is left when the overlap so far and the remaining lengths
+   cannot reach the bound, or when all of it is already in the set's component. So a dense group of copies costs about one path
+   each, and no pairs are listed. Units over :data:`PART` sets are split (:func:`_linked`): parts are joined by
    themselves and with a few leaders, which makes one component of a dense group; only sets outside the unit's largest component
    then visit the other parts. A group of n near copies costs n rows; m sets outside cost m * n / :data:`PART`.
 
@@ -183,9 +183,10 @@ def _order(batches: Iterator[pa.RecordBatch], size: int, percent: int, shards: i
                         continue
                     seen.add(r)
                     own = h[ends[k] : ends[k + 1]]
-                    shared = np.lexsort((own, rank[ends[k] : ends[k + 1]]))[unique[k] : prefix[k]]
+                    places = rank[ends[k] : ends[k + 1]]
+                    shared = np.lexsort((own, places))[unique[k] : prefix[k]]
                     routes.append((own[shared], r, _size_class(int(n[k]), percent)))
-                    sets.append((r, int(n[k]), own.tobytes()))
+                    sets.append((r, int(n[k]), pack_arrays(own, places)))
                 if sets:
                     yield _rows(SETS, part.column(3).type, rid=pa.array([s[0] for s in sets], pa.int64()), n=pa.array([s[1] for s in sets], pa.int64()), blob=pa.array([s[2] for s in sets], pa.binary()))
                     token = np.concatenate([x[0] for x in routes])
@@ -331,15 +332,17 @@ class Trie:
                 node.uniform = node.uniform and self.top(node.one) == self.top(own)
 
 
-def join_sets(rids: list[int], sets: list[np.ndarray], percent: int = PERCENT, guests: list[bool] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+def join_sets(rids: list[int], sets: list[np.ndarray], percent: int = PERCENT, guests: list[bool] | None = None, known: list[int] | None = None, places: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Prefix-tree join of sets: for each that links to others, a link to the first of its component.
 
-    Guests are joined with the other sets, but neither of the two kinds among themselves. Sets with the same ``known`` component
+    ``places`` gives each value's place in the global order, the same in all sets; the trie has the last ones, the most frequent
+    values, first, so that sets which are alike begin alike. Guests are joined with the other sets, but neither of the two kinds among themselves. Sets with the same ``known`` component
     are linked already.
     """
-    values, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    values, one, flat = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    place = np.concatenate(places)[one].astype(np.int64) if places else np.zeros(len(values), np.int64)
     rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values))
+    rank[np.lexsort((values, -place))] = np.arange(len(values))
     flat = rank[flat]
     trie, ends = Trie(len(values), percent), np.cumsum([len(s) for s in sets])
     first: dict[int, int] = {}
@@ -358,8 +361,8 @@ def _join(batches: Iterator[pa.RecordBatch], percent: int, visits: bool) -> Iter
 
     def linked(sets: dict[int, tuple]) -> list[tuple[int, int]]:
         rows = list(sets.values())
-        found = ([x[1] for x in rows], [x[2] for x in rows]) if visits else (None, None)
-        return join_sets(list(sets), [x[0] for x in rows], percent, *found) if len(sets) > 1 else []
+        found = ([x[2] for x in rows], [x[3] for x in rows]) if visits else (None, None)
+        return join_sets(list(sets), [x[0] for x in rows], percent, *found, [x[1] for x in rows]) if len(sets) > 1 else []
 
     def units() -> Iterator[list[tuple[int, int]]]:
         now, sets = None, {}
@@ -370,7 +373,7 @@ def _join(batches: Iterator[pa.RecordBatch], percent: int, visits: bool) -> Iter
                     yield linked(sets)
                     now, sets = u, {}
                 if r not in sets:
-                    sets[r] = np.frombuffer(x.as_py(), np.uint64), g, k
+                    sets[r] = *unpack_arrays(x.as_buffer().to_pybytes(), np.uint64, np.uint8), g, k
         yield linked(sets)
 
     return _links(units())

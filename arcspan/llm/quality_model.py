@@ -39,7 +39,7 @@ from arcspan.llm.common import PLACES, as_bytes, block_name, cut, in_blocks, lea
 ORDER = 4
 QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
 #: Bytes of text in a block; characters of a long text that are read at once.
-BLOCK_BYTES, PIECE = 1 << 24, 1 << 19
+BLOCK_BYTES, PIECE = 1 << 23, 1 << 19
 #: The begin mark, written so that any text may contain it.
 BEGIN = "\x02"
 #: Trusted ids that are broadcast to all tasks; beyond them documents and ids are shuffled to each other.
