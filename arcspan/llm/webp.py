@@ -796,7 +796,7 @@ def write_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
     w.put(*_bits(*values))
 
 
-LEAST_SAVED = 4096
+LEAST_SAVED = 8192
 #: Characters of usual text, frequent first, for the standard codes.
 USUAL = b" etaoinsrhldcumpgfybwvk.,\n-'\"0123456789xjqz:;()/"
 STANDARD_CACHES = (0, 6)
