@@ -49,6 +49,6 @@ def verdict(results: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mean = pairs(results).agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("avg_similarity"))
     out = mean.crossJoin(F.broadcast(ids)).withColumn("passed", F.col("avg_similarity") <= threshold)  # one row each
     empty = F.lit(EMPTY[0] if results.isEmpty() else EMPTY[1])
-    numbers = (F.col("avg_similarity"), F.lit(float(threshold)), F.col("unique_ids"), F.col("total_results"))
+    numbers = (F.bround("avg_similarity", 4), F.lit(float(threshold)), F.col("unique_ids"), F.col("total_results"))
     said = F.when(F.col("passed"), F.format_string(WITHIN, *numbers)).otherwise(F.format_string(OVER, *numbers))
     return out.withColumn("message", F.when(F.col("total_results") == 0, empty).otherwise(said))

@@ -161,7 +161,7 @@ def profile_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.crossJoin(F.broadcast(logs.profile_samples(top)))  # one row
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, round(epoch_us(ts) / 1e6 - epoch_us(TIMESTAMP '2020-01-01') / 1e6, 3) AS seconds FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, round((epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) / 1e6, 3) AS seconds FROM events")
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.select("event_id", text.rfc3339(F.col("ts")).alias("at"), text.file_stamp(F.col("ts")).alias("stamp"), F.round(text.seconds_between(F.lit("2020-01-01").cast("timestamp"), F.col("ts")), 3).alias("seconds"))
