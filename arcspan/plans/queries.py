@@ -276,7 +276,8 @@ def kmeans_lloyd_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 _built: dict[tuple[str, str], tuple[ivf.Index, int]] = {}
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> tuple[ivf.Index, int]:
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[ivf.Index, int]:
+    """The index of a folder's embeddings and its probes, built once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         index = ivf.build(base(spark, sf_dir), LISTS, 1, path=new_path(spark, "postings"))
@@ -285,11 +286,11 @@ def _indexed(spark: SparkSession, sf_dir: str) -> tuple[ivf.Index, int]:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> ivf.Index:
-    return _indexed(spark, sf_dir)[0]
+    return indexed(spark, sf_dir)[0]
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> int:
-    return _indexed(spark, sf_dir)[1]
+    return indexed(spark, sf_dir)[1]
 
 
 @query(f"WITH {INDEX} SELECT c1.cid AS cluster_id, count(a1.id) AS n FROM c1 LEFT JOIN a1 ON c1.cid = a1.cid GROUP BY 1")
