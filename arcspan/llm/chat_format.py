@@ -11,7 +11,7 @@ long a conversation is. A task only holds running digests of the conversation it
 
 Defined results: null texts and roles are empty; a null id is a conversation of its own; null turns come first; rows with the same
 id and turn stay in the order of role, then text, repeated rows included; an empty table gives an empty table; other columns are
-not read, so they may have any name. A long text takes memory for about 40 bytes a byte while it is escaped.
+not read, so they may have any name. A long text is escaped in pieces and takes about 25 bytes a byte while it is read back.
 """
 
 from __future__ import annotations
@@ -55,18 +55,26 @@ def _escapes(d: np.ndarray, off: np.ndarray, role: bool) -> np.ndarray:
     return np.sort(np.concatenate(found))
 
 
+#: Bytes whose places are worked out at once.
+PIECE = 1 << 22
+
+
 def _scatter(out: np.ndarray, d: np.ndarray, off: np.ndarray, esc: np.ndarray, base: np.ndarray) -> None:
     """Write the rows of ``d``, escaped, so that each begins at its ``base``."""
     if not len(d):
         return
-    lengths = np.diff(off)
-    flags = np.zeros(len(d), np.int64)
-    flags[esc] = 1
-    more = np.cumsum(flags)
-    before = np.concatenate([[0], more])[off[:-1]]
-    at = np.arange(len(d)) + more + np.repeat(base - off[:-1] - before, lengths)
-    out[at] = d
-    out[at[esc] - 1] = 92
+    # what each row is moved by, less the escapes before it
+    shift = base - off[:-1] - np.searchsorted(esc, off[:-1])
+    for a in range(0, len(d), PIECE):  # in pieces, as a row may be long
+        b = min(len(d), a + PIECE)
+        first, last = np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b, "left")
+        lengths = np.diff(np.clip(off[first : last + 1], a, b))
+        x, y = np.searchsorted(esc, [a, b])
+        flags = np.zeros(b - a, np.int64)
+        flags[esc[x:y] - a] = 1
+        at = np.arange(a, b) + np.cumsum(flags) + x + np.repeat(shift[first:last], lengths)
+        out[at] = d[a:b]
+        out[at[esc[x:y] - a] - 1] = 92
 
 
 def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,12 +122,14 @@ def parse(d: np.ndarray, mask: np.ndarray) -> list[tuple[bytes, bytes, bytes, in
     heads = colons[np.searchsorted(colons, starts)]
     keep = np.ones(len(d), bool)
     keep[active] = False
-    place = np.concatenate([[0], np.cumsum(keep)])
+    small = np.int32 if len(d) < 1 << 31 else np.int64
+    sums = lambda flags: np.concatenate([np.zeros(1, small), np.cumsum(flags, dtype=small)])
+    place = sums(keep)
     clean = d[keep].tobytes()
     kept_mask = mask[keep]
-    under = np.concatenate([[0], np.cumsum(kept_mask)])
+    under = sums(kept_mask)
     trained = d[keep & mask].tobytes()
-    points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
+    points = sums((d & 0xC0) != 0x80)
     out = []
     for s, h, e in zip(starts.tolist(), heads.tolist(), ends.tolist(), strict=True):
         a, b, c, f = place[s + len(OPEN)], place[h], place[h + len(MIDDLE)], place[e]

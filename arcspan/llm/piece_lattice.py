@@ -270,6 +270,10 @@ def encode_units(words: DataFrame, m: Model) -> DataFrame:
 LONG = "unit string, n long, long_ids array<int>"
 
 
+#: Bytes whose hashes are worked out at once.
+STRETCH = 1 << 20
+
+
 class Units:
     """Rows of a large binary column as units: their places, hashes and rows. Spaces stand for the model's space."""
 
@@ -292,10 +296,18 @@ class Units:
         self.s = np.flatnonzero(start)
         self.e = np.append(self.s[1:], len(d)) if len(self.s) else self.s
         self.first = np.searchsorted(self.s, self.off)
-        p, inverse = powers(len(d) + 1)
-        sums = np.zeros(len(d) + 1, np.uint64)
-        np.cumsum(BYTES[d] * p[: len(d)], out=sums[1:])
-        self.keys = mix((sums[self.e] - sums[self.s]) * inverse[self.s] + (self.e - self.s).astype(np.uint64) * PLACES[70])
+        self.keys = np.zeros(len(self.s), np.uint64)
+        first = 0
+        while first < len(self.s):  # in stretches of whole units, as a row may be long
+            last = max(first + 1, int(np.searchsorted(self.e, self.s[first] + STRETCH, "right")))
+            a = self.s[first]
+            s, e = self.s[first:last] - a, self.e[first:last] - a
+            part = d[a : a + e[-1]]
+            p, inverse = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTES[part] * p[: len(part)], out=sums[1:])
+            self.keys[first:last] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * PLACES[70])
+            first = last
 
     def cut(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the units ``at``, and their lengths."""

@@ -121,6 +121,15 @@ def test_units_never_cut_a_piece():
     assert u.data.tobytes().decode() == "".join(" " + t for t in texts)
 
 
+def test_units_do_not_depend_on_stretches(monkeypatch):
+    texts = [t or "" for t in some_texts(13, 40)]
+    apart = piece_lattice._apart(piece_lattice.load())
+    column = as_bytes(pa.array(texts))
+    whole = piece_lattice.Units(column, 0, len(texts), apart).keys.tolist()
+    monkeypatch.setattr(piece_lattice, "STRETCH", 7)
+    assert piece_lattice.Units(column, 0, len(texts), apart).keys.tolist() == whole
+
+
 def test_repeated_rows_are_encoded_each(spark):
     rows = docs(spark, ["hello unusual", "x"])
     got = piece_lattice.encode(rows.unionByName(rows), most=1).collect()
@@ -754,7 +763,9 @@ def test_bins_choose_the_best_fit():
 # --- 9 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_turns_come_back():
+@pytest.mark.parametrize("piece", [1 << 22, 5, 1])
+def test_turns_come_back(monkeypatch, piece):
+    monkeypatch.setattr(chat_format, "PIECE", piece)
     rng = random.Random(3)
     pieces = ["\\", "#", "##", "###", "<", "</turn>", "</turn>\n", "\n", ":", ": ", "é", "日", "a", "", "### assistant: "]
     for _ in range(200):
