@@ -49,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     The files stay until the application's owner empties the folder, since results that are still lazy read them.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/arcspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -353,7 +353,7 @@ def pressed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     """Blocks of rows, compressed: block, is_block, blob."""
     for batch in in_blocks(batches, size):
         whole = io.BytesIO()
-        with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(whole, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
             w.write_batch(batch)
         yield pa.RecordBatch.from_arrays([pa.array([block_name(batch)]), pa.array([True]), pa.array([whole.getvalue()], pa.binary())], names=["block", "is_block", "blob"])
 

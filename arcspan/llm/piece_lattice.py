@@ -40,7 +40,7 @@ from arcspan.llm.common import BYTES, PLACES, as_bytes, block_name, by_shard, cu
 SPACE = "▁"
 MOST_FOLDED = 60
 #: Units that are broadcast, and their bytes there; bytes of text whose units are counted before they are sent, and of a block.
-MOST_KNOWN, KNOWN_BYTES, GROUP_BYTES, BLOCK_BYTES = 500_000, 1 << 25, 1 << 22, 1 << 22
+MOST_KNOWN, KNOWN_BYTES, GROUP_BYTES, BLOCK_BYTES = 500_000, 1 << 25, 1 << 23, 1 << 22
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -344,7 +344,7 @@ def _ask(m: Model, width: int):
     """Texts to blobs by shard: the distinct units of a group of texts with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart, press = _apart(m), zstandard.ZstdCompressor(level=3)
+        apart, press = _apart(m), zstandard.ZstdCompressor(level=6)
         for batch in batches:
             column = as_bytes(batch.column(0))
             for i, j in slices(column, GROUP_BYTES):
@@ -518,7 +518,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = offsets(ids)
         data = np.frombuffer(ids.buffers()[2], np.uint8)
         cuts, ends = runs(block)
-        blobs = [pack_arrays(h[a:b], np.diff(off[a : b + 1]).astype(np.uint32), data[off[a] : off[b]]) for a, b in zip(cuts, ends, strict=True)]
+        press = zstandard.ZstdCompressor(level=3)
+        blobs = [press.compress(pack_arrays(h[a:b], np.diff(off[a : b + 1]).astype(np.uint32), data[off[a] : off[b]])) for a, b in zip(cuts, ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([False] * len(cuts)), pa.array(blobs, pa.binary())], names=["block", "is_block", "blob"])
 
     held, n = [], 0
@@ -565,7 +566,7 @@ def _assemble(m: Model, known, digest: bool):
                 if block != now:
                     now, held, told = block, [], None
                 if not is_block:
-                    held.append(unpack_arrays(blob.as_buffer().to_pybytes(), np.int64, np.uint32, np.uint8))
+                    held.append(unpack_arrays(zstandard.decompress(blob.as_buffer().to_pybytes()), np.int64, np.uint32, np.uint8))
                     continue
                 if told is None:
                     told, held = _joined(held), []
