@@ -248,17 +248,6 @@ def runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return start, [*start[1:], len(x)]
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` words, whatever row they are in."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += words[i : i + n] * PLACES[i]
-    return mix(out)
-
-
 def whole_runs(first: np.ndarray, n_words: np.ndarray, k: int) -> np.ndarray:
     """Of the runs of ``k`` words, those that lie in one row: a mask."""
     total = int(first[-1])
