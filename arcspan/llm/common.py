@@ -240,6 +240,17 @@ class Words:
         return np.repeat(np.arange(self.n), self.n_words)
 
 
+def kinds_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and which one stands where. (A plain sort takes a fraction of a stable one's time.)"""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    return h[one], one, which
+
+
 def runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     """Starts and ends of the runs of equal values."""
     if not len(x):

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import BYTES, PLACES, as_bytes, block_name, by_shard, cut, in_blocks, lean, mix, offsets, pack_arrays, powers, pressed, runs, shards, slices, table, unpack_arrays, unpressed
+from arcspan.llm.common import BYTES, PLACES, as_bytes, block_name, by_shard, cut, in_blocks, kinds_of, lean, mix, offsets, pack_arrays, powers, pressed, runs, shards, slices, table, unpack_arrays, unpressed
 
 SPACE = "▁"
 MOST_FOLDED = 60
@@ -351,12 +351,12 @@ def _ask(m: Model, width: int):
                 part, found = _texts(batch.column(0).slice(i, j - i)), []
                 for a, b in slices(part):
                     u = Units(part, a, b, apart)
-                    keys, at, n = np.unique(u.keys, return_index=True, return_counts=True)
-                    found.append((keys, n, *u.cut(at)))
+                    keys, at, which = kinds_of(u.keys)
+                    found.append((keys, np.bincount(which, minlength=len(keys)), *u.cut(at)))
                 keys, n, data, length = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(keys):
                     continue
-                keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+                keys, at, back = kinds_of(keys)
                 n = np.bincount(back, n).astype(np.int64)
                 begin = np.cumsum(length) - length
                 shard = (mix(keys) % np.uint64(width)).astype(np.int64)

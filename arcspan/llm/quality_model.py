@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspan.llm.common import PLACES, as_bytes, block_name, cut, in_blocks, lean, mix, offsets, pack_arrays, pressed, runs, shards, slices, table, unpack_arrays, unpressed
+from arcspan.llm.common import PLACES, as_bytes, block_name, cut, in_blocks, kinds_of, lean, mix, offsets, pack_arrays, pressed, runs, shards, slices, table, unpack_arrays, unpressed
 
 ORDER = 4
 QUANTILE, MARGIN, HELD_OUT = 0.99, 1.1, 10
@@ -79,17 +79,6 @@ def hashes(points: np.ndarray, at: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return mix(out[at] + tags * PLACES[ORDER])
 
 
-def _kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, a place of each, and which one stands where. (A plain sort takes a fraction of a stable one's time.)"""
-    order = np.argsort(h)
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    which = np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    one = order[new]
-    return h[one], one, which
-
-
 def _tag(lang: str | None) -> str:
     return "" if lang is None else "=" + lang
 
@@ -102,7 +91,7 @@ def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np
     hash_, count, key = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
     parts, held = [], 0
     for points, at, rows in ngrams(column):
-        h, one, which = _kinds(hashes(points, at, tag[rows]))
+        h, one, which = kinds_of(hashes(points, at, tag[rows]))
         n = np.bincount(which, minlength=len(h))
         parts.append((h, n, points[at[one][:, None] + np.arange(ORDER)], tag[rows[one]].astype(np.int64)))
         held += len(h)
@@ -118,7 +107,7 @@ def _distinct(langs: list[str | None], column: pa.Array) -> tuple[np.ndarray, np
 
 def _merged(parts: list[tuple]) -> tuple:
     h, n, grams, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-    h, one, which = _kinds(h)
+    h, one, which = kinds_of(h)
     return h, np.bincount(which, n, len(h)).astype(np.int64), grams[one], kind[one]
 
 
@@ -243,7 +232,7 @@ def _scored(batch: pa.RecordBatch, logp: np.ndarray) -> pa.RecordBatch:
     tag = np.array([kinds[x] for x in langs], np.uint64)
     parts = []
     for points, at, rows in ngrams(column):
-        h, _, which = _kinds(hashes(points, at, tag[rows]))
+        h, _, which = kinds_of(hashes(points, at, tag[rows]))
         parts.append((h, which.astype(np.int32), rows.astype(np.int32)))
     order = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _, _ in parts]]))
     if len(order) != len(logp):
