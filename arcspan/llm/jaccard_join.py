@@ -424,8 +424,9 @@ def _linked(sets: DataFrame, candidates: DataFrame, width: int, percent: int) ->
     return links.unionByName(_units(both, width, percent, True))
 
 
-def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row: doc_id, rk, n_shingles, component_id, and root, the same for all rows of a component (null for an empty set)."""
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, rk, rid, n; rid null for an empty set), and each distinct set: rid, root of its component, the least id of its
+    rows, and its first row (by id, then key)."""
     spark = docs.sparkSession
     width = shards(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -446,17 +447,18 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     met = routes.select(F.col("n").cast("int").alias("shard"), "blob").repartition(width, "shard").sortWithinPartitions("shard")
     met = met.mapInArrow(lean(lambda b: _links(x for _, x in by_shard(b, _meet))), "a long, b long")
     found = components(_linked(sets, components(met), width, percent)).withColumnRenamed("node", "rid")
-    least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least")).join(found, "rid", "left")
-    least = cut(least.select("rid", F.coalesce("root", "rid").alias("root"), "least"))
-    groups = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("rid", "root").join(groups, "root")
-    out = rows.select("doc_id", "rk", "rid", F.col("n").alias("n_shingles")).join(named, "rid", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("first")
+    least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least"), first).join(found, "rid", "left")
+    return rows.select("doc_id", "rk", "rid", "n"), cut(least.select("rid", F.coalesce("root", "rid").alias("root"), "least", "first"))
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, rk (xxhash64 of id and text), n_shingles, component_id."""
-    return _joined(docs, size, percent).drop("root")
+    rows, sets = _grouped(docs, size, percent)
+    groups = sets.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = sets.select("rid", "root").join(groups, "root").select("rid", "component_id")
+    out = rows.withColumnRenamed("n", "n_shingles").join(named, "rid", "left")
+    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -464,11 +466,11 @@ def dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
 
     Rows without words stay, once for each id and text. All columns are as they are.
     """
-    joined = _joined(docs, size, percent)
-    alone = joined.where("root is null").select("rk")
-    one = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk"))["rk"].alias("rk"))
+    rows, sets = _grouped(docs, size, percent)
+    alone = rows.where("rid is null").select("rk")
+    one = sets.groupBy("root").agg(F.min("first").alias("first")).select("first.rk")
     (key,) = spare(docs, "row_key")
-    keep = alone.unionByName(one.select("rk")).distinct().withColumnRenamed("rk", key)
+    keep = alone.unionByName(one).distinct().withColumnRenamed("rk", key)
     return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
