@@ -44,5 +44,5 @@ def test_query(spark, sql, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 200
+    assert __spark_entry__.entry(spark).count() == 250
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
