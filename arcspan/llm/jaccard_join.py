@@ -448,16 +448,34 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     met = met.mapInArrow(lean(lambda b: _links(x for _, x in by_shard(b, _meet))), "a long, b long")
     found = components(_linked(sets, components(met), width, percent)).withColumnRenamed("node", "rid")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("first")
-    least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least"), first).join(found, "rid", "left")
-    return rows.select("doc_id", "rk", "rid", "n"), cut(least.select("rid", F.coalesce("root", "rid").alias("root"), "least", "first"))
+    least = rows.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("copies")).join(found, "rid", "left")
+    return rows.select("doc_id", "rk", "rid", "n"), cut(least.select("rid", F.coalesce("root", "rid").alias("root"), "least", "first", "copies"))
+
+
+def _named(many: DataFrame, few: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``many`` left joined with ``few``, which has a row for each key. ``counts`` (key, copies) tells how many rows of ``many`` have it.
+
+    Keys with over 1 / :data:`KEYS` of all rows are dealt to several tasks; there are fewer than :data:`KEYS`, which bounds the table
+    of them that is broadcast.
+    """
+    most = max(100, (counts.agg(F.sum("copies")).first()[0] or 0) // KEYS)
+    hot = cut(counts.where(F.col("copies") > most).select(key, F.ceil(F.col("copies") / most).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = many.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts).cast("int")).drop("salts")
+    spread = few.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(spread, [key, "salt"], "left").drop("salt")
+
+
+#: Keys that may be dealt to several tasks.
+KEYS = 10_000
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, rk (xxhash64 of id and text), n_shingles, component_id."""
     rows, sets = _grouped(docs, size, percent)
-    groups = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = sets.select("rid", "root").join(groups, "root").select("rid", "component_id")
-    out = rows.withColumnRenamed("n", "n_shingles").join(named, "rid", "left")
+    groups = cut(sets.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")))
+    named = _named(sets.select("rid", "root"), groups.select("root", "component_id"), "root", groups.select("root", "copies")).select("rid", "component_id")
+    out = _named(rows.withColumnRenamed("n", "n_shingles"), named, "rid", sets.select("rid", "copies"))
     return out.select("doc_id", "rk", "n_shingles", F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

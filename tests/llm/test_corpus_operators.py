@@ -325,6 +325,16 @@ def test_jaccard_join_of_plain_tables(spark, name, width):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_copies_of_a_great_share_are_named(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "KEYS", 3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 500 + [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (0, 1, 58, 59)] * 60 + [f"own words {i} of this" for i in range(30)] + [None] * 20
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(rows.unionByName(rows)).collect()}
+    assert got == {i: 0 if i < 740 else i for i in range(len(texts))}
+    assert jaccard_join.join(rows.unionByName(rows)).count() == 2 * len(texts)
+
+
 def test_dedup_keeps_one_row_where_rows_share_an_id(spark):
     base = [f"w{i}" for i in range(100)]
     rows = spark.createDataFrame([(5, " ".join(base), 1), (5, " ".join([*base[:-1], "x"]), 2), (5, "other words here", 3), (None, " ".join([*base[1:], "y"]), 4)], "doc_id long, text string, row_key int")
