@@ -186,9 +186,9 @@ def _order(batches: Iterator[pa.RecordBatch], size: int, percent: int, shards: i
                     places = rank[ends[k] : ends[k + 1]]
                     shared = np.lexsort((own, places))[unique[k] : prefix[k]]
                     routes.append((own[shared], r, _size_class(int(n[k]), percent)))
-                    sets.append((r, int(n[k]), pack_arrays(own, places)))
+                    sets.append((r, int(n[k]), pack_arrays(own, places), k))
                 if sets:
-                    yield _rows(SETS, part.column(3).type, rid=pa.array([s[0] for s in sets], pa.int64()), n=pa.array([s[1] for s in sets], pa.int64()), blob=pa.array([s[2] for s in sets], pa.binary()))
+                    yield _rows(SETS, part.column(3).type, rid=pa.array([s[0] for s in sets], pa.int64()), rk=part.column(2).slice(i, j - i).take(pa.array([s[3] for s in sets])), n=pa.array([s[1] for s in sets], pa.int64()), blob=pa.array([s[2] for s in sets], pa.binary()))
                     token = np.concatenate([x[0] for x in routes])
                     counts = [len(x[0]) for x in routes]
                     ids, size_class = np.repeat([x[1] for x in routes], counts), np.repeat([x[2] for x in routes], counts).astype(np.uint8)
@@ -386,14 +386,15 @@ def _units(rows: DataFrame, width: int, percent: int, visits: bool) -> DataFrame
 
 
 def _linked(sets: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of sets (rid, n, blob) within the units (node, root).
+    """Links of sets (rid, rk, n, blob) within the units (node, root).
 
     A unit over :data:`PART` sets is split into that many parts, each joined by itself and with the unit's :data:`LEADERS`, sets of
     least hash. The sets outside the component that is then the unit's largest visit all parts, so any two sets that do not
     share a component by then have met.
     """
-    sized = sets.select("rid", "n", "blob").join(candidates.withColumnRenamed("node", "rid"), "rid").dropDuplicates(["rid"])
-    sized = cut(sized.select("root", "rid", "n", "blob"))
+    # each block has given a set once; one of them is chosen by keys alone, so that those of a frequent set don't meet in one task
+    one = sets.groupBy("rid").agg(F.min("rk").alias("rk")).join(candidates.withColumnRenamed("node", "rid"), "rid")
+    sized = cut(sets.select("rid", "rk", "n", "blob").join(one, ["rid", "rk"]).select("root", "rid", "n", "blob"))
     unit = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     g = F.greatest(F.ceil(F.col("sets") / PART), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
     unit = cut(unit.select("root", F.when(F.col("sets") <= 2, 1).otherwise(g).alias("g")))
