@@ -614,7 +614,8 @@ def _drained(spark: SparkSession, rows: DataFrame, mode: str, schema: str) -> Da
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(load(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream, be it one file or a folder of part files. Only as a pattern may a stream's path be a file."""
+    return spark.readStream.schema(load(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
