@@ -389,8 +389,9 @@ def vocabulary_of(docs: DataFrame, m: Model) -> DataFrame:
     """(unit, n, ids) of all distinct units of the texts, written to the checkpoint folder."""
     width = shards(docs)
     asked = docs.select("text").mapInArrow(lean(_ask(m, width)), "shard int, blob binary")
-    words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(_counted), "unit string, n long")
-    words = words.mapInArrow(lean(_long(m)), LONG) if m.kind == BPE else words
+    # counted and merged by one worker: each more of a task's takes memory of its own
+    work, schema = (lambda b: _long(m)(_counted(b)), LONG) if m.kind == BPE else (_counted, "unit string, n long")
+    words = asked.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(lean(work), schema)
     return cut(encode_units(words.repartition(4 * width, "unit"), m))
 
 
@@ -603,8 +604,9 @@ class _Two:
         return out
 
 
-def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most: int = MOST_KNOWN, scan: bool = False) -> DataFrame:
-    """(doc_id, rk, ids): the ids of each row's text, in order; with ``digest`` (doc_id, n_tokens, ids_sha256)."""
+def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most: int = MOST_KNOWN, scan: bool = False, decoded: bool = False) -> DataFrame:
+    """(doc_id, rk, ids): the ids of each row's text, in order; with ``digest`` (doc_id, ids, n_tokens, ids_sha256), and with
+    ``decoded`` too (doc_id, n_tokens, ids_sha256, text): what :func:`decode` makes of the ids, worked out by the same worker."""
     m = m or load()
     spark = docs.sparkSession
     words = vocabulary_of(docs, m)
@@ -627,6 +629,10 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
     answers = missing.join(rest, "h").select("block", "h", "ids").mapInArrow(lean(_answers), rows)
     both = answers.unionByName(read.mapInArrow(lean(lambda b: pressed(b, BLOCK_BYTES)), rows))
     dealt = both.repartition(width, "block").sortWithinPartitions("block", "is_block")
+    if digest and decoded:
+        sent, order = spark.sparkContext.broadcast(_spellings(m)), ["doc_id", "n_tokens", "ids_sha256", "ids"]
+        work = lambda b: _spelled(sent)(batch.select(order) for batch in _assemble(m, known, True)(b))
+        return dealt.mapInArrow(lean(work), f"doc_id {kind}, n_tokens long, ids_sha256 string, text string")
     return dealt.mapInArrow(lean(_assemble(m, known, digest)), f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string" if digest else f"doc_id {kind}, rk long, ids array<int>")
 
 
@@ -634,17 +640,15 @@ def encode(docs: DataFrame, m: Model | None = None, digest: bool = False, most:
 UNKNOWN_TEXT, NO_TEXT = " \u2047 ", "\ufffd"
 
 
-def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ``keep`` columns, text) of (key, ids), in one pass: the pieces' bytes are gathered by id.
-
-    The space that encoding puts before a text goes. The unknown piece becomes :data:`UNKNOWN_TEXT`, control pieces nothing, an id
-    without a piece (or null) :data:`NO_TEXT`, and bytes that are no UTF-8 become replacement characters. Null ids are an empty text.
-    """
-    m = m or load()
+def _spellings(m: Model) -> list[bytes]:
+    """The bytes of each id, and at the end those of ids without a piece."""
     told = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
     by_id = {i: told[k](p) if k in told else b"" for p, i, _, k in m.rows}
-    raw = [by_id.get(i, NO_TEXT.encode()) for i in range(max(by_id, default=-1) + 1)] + [NO_TEXT.encode()]
-    sent = encoded.sparkSession.sparkContext.broadcast(raw)
+    return [by_id.get(i, NO_TEXT.encode()) for i in range(max(by_id, default=-1) + 1)] + [NO_TEXT.encode()]
+
+
+def _spelled(sent):
+    """Rows with ids in the last column to rows with the text there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = np.array([len(x) for x in sent.value])
@@ -658,13 +662,22 @@ def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep
                 out.append(text.removeprefix(" "))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
+    return run
+
+
+def decode(encoded: DataFrame, m: Model | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``keep`` columns, text) of (key, ids), in one pass: the pieces' bytes are gathered by id.
+
+    The space that encoding puts before a text goes. The unknown piece becomes :data:`UNKNOWN_TEXT`, control pieces nothing, an id
+    without a piece (or null) :data:`NO_TEXT`, and bytes that are no UTF-8 become replacement characters. Null ids are an empty text.
+    """
+    sent = encoded.sparkSession.sparkContext.broadcast(_spellings(m or load()))
     rows = encoded.select(key, *keep, "ids")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lean(run), schema + "text string")
+    return rows.mapInArrow(lean(_spelled(sent)), schema + "text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digest of the ids, digest of the text that they decode to."""
-    encoded = encode(table(spark, sf_dir, "documents"), digest=True, scan=True)
-    told = ("n_tokens", "ids_sha256")
-    return decode(encoded, keep=told).select("doc_id", *told, F.sha2("text", 256).alias("text_sha256"))
+    told = encode(table(spark, sf_dir, "documents"), digest=True, scan=True, decoded=True)
+    return told.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("text_sha256"))

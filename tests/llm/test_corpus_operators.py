@@ -101,6 +101,14 @@ def test_query_decodes_the_ids_it_made(spark, tmp_path):
     assert sorted(tuple(r) for r in piece_lattice.query(spark, str(tmp_path)).collect()) == want
 
 
+def test_query_takes_one_worker_a_task(spark, tmp_path):
+    """op1 of round 2: ids went from one Python worker to another in the same task, and memory went over its limit."""
+    docs(spark, ["a text of words"]).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = piece_lattice.query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(i for i, x in enumerate(plan) if "Sort" in x)
+    assert sum("MapInArrow" in x for x in plan[:last]) == 1
+
+
 def test_decoding_odd_ids(spark):
     rows = spark.createDataFrame([(1, [230]), (2, [0]), (3, [1, 2]), (4, [99999999, -4]), (5, None), (6, []), (7, [None])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in piece_lattice.decode(rows).collect()}
